@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import ogg, packing, shared, tokenfile
+from evidra.llm import decontam, ogg, packing, shared, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,13 +30,18 @@ def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder)
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_media": op5_media,
         "op6_packing": op6_packing,
         "op8_tokenfile": op8_tokenfile,
+        "op10_decontam": op10_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontam": decontam.REPORT_SQL}
