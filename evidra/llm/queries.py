@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import decontam, ogg, packing, pii, shared, simhash, tokenfile
+from evidra.llm import decontam, ogg, packing, pii, shared, simhash, substring, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(spark, folder)
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Query]:
         "op5_media": op5_media,
         "op6_packing": op6_packing,
         "op8_tokenfile": op8_tokenfile,
+        "op9_substring": op9_substring,
         "op10_decontam": op10_decontam,
     }
 
