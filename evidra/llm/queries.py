@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import decontam, ogg, packing, pii, shared, simhash, substring, tokenfile
+from evidra.llm import decontam, html_tree, ogg, packing, pii, shared, simhash, substring, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), shared.tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.new_folder(spark, "tokens")
     tokenfile.write_token_files(_table(spark, sf_dir, "documents"), folder, shared.tokenizer_path())
@@ -48,10 +56,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html": op1_html,
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
         "op5_media": op5_media,
         "op6_packing": op6_packing,
+        "op7_toxicity": op7_toxicity,
         "op8_tokenfile": op8_tokenfile,
         "op9_substring": op9_substring,
         "op10_decontam": op10_decontam,
