@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import decontam, html_tree, ogg, packing, pii, shared, simhash, substring, tokenfile, toxicity
+from evidra.llm import decontam, html_tree, lm, ogg, packing, pii, shared, simhash, substring, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.store_texts(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op1_html": op1_html,
         "op2_simhash": op2_simhash,
         "op3_pii": op3_pii,
+        "op4_lm": op4_lm,
         "op5_media": op5_media,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,
