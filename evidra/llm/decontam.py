@@ -105,7 +105,8 @@ class Matcher:
 
     def found(self, docs: DataFrame) -> DataFrame:
         """``docs`` with words, n_words and found: distinct (start, length, window) of each hit window, by length and start."""
-        d = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_n", F.size("_words"))
+        # _row keeps the optimiser from moving a later filter, and with it the words' regex, into every lambda.
+        d = docs.select("*", words_of(F.col("text")).alias("_words"), F.monotonically_increasing_id().alias("_row")).withColumn("_n", F.size("_words"))
         if self.grams is None:
             return d.withColumn("_found", F.array().cast("array<struct<start:int,length:int,window:string>>"))
         if not self.broadcast:
@@ -135,7 +136,7 @@ class Matcher:
         """The same by shuffled joins, for a benchmark beyond the bound: grams, then windows, are joined on equality."""
         from evidra.llm.shared import materialise
 
-        d = materialise(d.withColumn("_row", F.monotonically_increasing_id()), "decontam")
+        d = materialise(d, "decontam")
         words, n, parts = F.col("_words"), F.col("_n"), None
         for p in self.probes:
             own = self.grams.where(F.col("length") == p.length).select("gram")
@@ -146,7 +147,7 @@ class Matcher:
             parts = made if parts is None else parts.unionByName(made)
         found = parts.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "length", "window"))).alias("_found"))
         none = F.array().cast("array<struct<start:int,length:int,window:string>>")
-        return d.join(found, "_row", "left").withColumn("_found", F.coalesce("_found", none)).drop("_row")
+        return d.join(found, "_row", "left").withColumn("_found", F.coalesce("_found", none))
 
 
 def _n_hit(found: Column) -> Column:
@@ -159,7 +160,7 @@ def report(docs: DataFrame, benchmark: DataFrame, max_grams: int = MAX_GRAMS) ->
     One shuffle, of a small row per text and one per distinct hit window; texts stay where they are read.
     """
     m = Matcher(benchmark.select("item_id", "text"), max_grams)
-    d = m.found(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("_n").cast("long").alias("n_words"), _n_hit(F.col("_found")).cast("long").alias("n_hit"), F.array_distinct(F.transform("_found", lambda x: x["window"])).alias("own"))
+    d = m.found(docs.select("doc_id", "text")).select(F.col("_row").alias("row"), "doc_id", F.col("_n").cast("long").alias("n_words"), _n_hit(F.col("_found")).cast("long").alias("n_hit"), F.array_distinct(F.transform("_found", lambda x: x["window"])).alias("own"))
     # Items of a window: bounded by the benchmark, and broadcast only under the checked bound.
     items = m.windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     d = d.withColumn("window", F.explode_outer("own")).drop("own").join(F.broadcast(items) if m.broadcast else items, "window", "left")
@@ -176,7 +177,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
     columns = docs.columns
     d = Matcher(benchmark.select("item_id", "text"), max_grams).found(docs)
     if whole:
-        return d.where(F.size("_found") == 0).select(*columns)
+        return d.where((F.size("_found") == 0) & (F.col("_row") >= 0)).select(*columns)
     hit = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), hit), lambda i: F.get(F.col("_words"), i))
     return d.withColumn("text", F.when(F.size("_found") > 0, F.array_join(kept, " ")).otherwise(F.col("text"))).select(*columns)
