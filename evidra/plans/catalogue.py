@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text, times
-from evidra.operators import entities, evidence, logs, series, store, timeline
+from evidra.operators import entities, logs, series, store
 from evidra.sources import adapters
 from evidra.sources.adapters import table
 
@@ -162,15 +162,14 @@ def trace_window(spark, sf_dir):
     return store.trace_windows(s).select("trace_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n_spans")
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, c_nationkey, rank = 1 AND s_nationkey IS NULL AS inserted FROM (
-  SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank FROM customer) LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey <= 5) ON s_nationkey = c_nationkey""")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, c_nationkey AS nation, c_mktsegment AS segment, rank = 1 AND s_nationkey IS NULL AS inserted FROM (
+  SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS rank FROM customer)
+  LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON s_nationkey = c_nationkey AND c_mktsegment = 'BUILDING'""")
 def insert_unique(spark, sf_dir):
-    old = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("seq"))
-    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_nationkey", F.col("c_custkey").alias("seq"))
-    merged, refused = store.insert_unique(old.limit(0), new.join(old.select("c_nationkey").distinct(), "c_nationkey", "left_anti"), "c_nationkey")
-    taken = new.join(old.select("c_nationkey").distinct(), "c_nationkey", "left_semi")
-    out = merged.withColumn("inserted", F.lit(True)).unionByName(refused.withColumn("inserted", F.lit(False))).unionByName(taken.withColumn("inserted", F.lit(False)).select("key", "c_nationkey", "seq", "inserted"))
-    return out.select("key", "c_nationkey", "inserted")
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_nationkey").alias("nation"), F.lit("BUILDING").alias("segment"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("boolean").alias("inserted"))
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("seq"), F.lit(True).alias("inserted"))
+    merged, refused = store.insert_unique(old, new, "nation", "segment")
+    return merged.where("inserted").unionByName(refused.withColumn("inserted", F.lit(False))).select("key", "nation", "segment", "inserted")
 
 
 # --- series -------------------------------------------------------------------
@@ -323,10 +322,10 @@ def split_ambiguous(spark, sf_dir):
     return entities.split_ambiguous(_resources(spark, sf_dir))
 
 
-@query("""SELECT 'user:' || CAST(user_id AS VARCHAR) AS entity, round(count(*) / (SELECT count(*) FROM events), 2) AS share FROM events WHERE user_id % 11 = 0 GROUP BY user_id""")
+@query("""SELECT 'user:' || CAST(user_id AS VARCHAR) AS entity, round(count(*) / (SELECT count(*) FROM events), 2)::DOUBLE AS share FROM events WHERE event_type = 'error' GROUP BY user_id""")
 def unresolved_share(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return entities.unresolved_share(ev, F.when(F.col("user_id") % 11 == 0, F.concat(F.lit("user:"), F.col("user_id").cast("string"))))
+    return entities.unresolved_share(ev, F.when(F.col("event_type") == "error", F.concat(F.lit("user:"), F.col("user_id").cast("string"))))
 
 
 @query("""SELECT CASE WHEN s.n IS NULL THEN 'external-api:' || p.peer ELSE s.dst END AS dst, s.n IS NULL AS is_external, count(*) AS n_calls
@@ -371,13 +370,13 @@ def cache_miss_sibling(spark, sf_dir):
     return entities.with_miss_sibling(s.drop("miss"), s.where("miss")).select("trace_id", "span_id")
 
 
-@query("""WITH r AS (SELECT DISTINCT 'c:' || CAST(o_custkey % 40 AS VARCHAR) AS src, l_partkey % 200 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+@query("""WITH r AS (SELECT DISTINCT 'c:' || CAST(o_custkey % 40 AS VARCHAR) AS src, l_partkey % 200 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 w AS (SELECT DISTINCT 's:' || CAST(l_suppkey % 40 AS VARCHAR) AS other, l_partkey % 200 AS dst FROM lineitem WHERE 0.9 + l_discount >= 0.96)
 SELECT src, other, count(*) AS n_shared FROM r JOIN w USING (dst) WHERE src <> other GROUP BY src, other""")
 def shared_resource_edges(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     dst = (F.col("l_partkey") % 200).alias("dst")
-    reads = table(spark, sf_dir, "orders").join(li.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c:"), (F.col("o_custkey") % 40).cast("string")).alias("src"), dst)
+    reads = table(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c:"), (F.col("o_custkey") % 40).cast("string")).alias("src"), dst)
     writes = li.select(F.concat(F.lit("s:"), (F.col("l_suppkey") % 40).cast("string")).alias("src"), dst, (F.lit(0.9) + F.col("l_discount")).alias("confidence"))
     return entities.shared_resource_edges(reads, writes)
 
@@ -423,3 +422,6 @@ def damped_edges(spark, sf_dir):
     ent = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), ((F.col("s_suppkey") % 10) / 10.0).alias("confidence"))
     edges = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("src"), F.col("c_nationkey").cast("string").alias("dst"), F.lit(0.95).alias("confidence"))
     return entities.edge_confidence(edges, ent).select(F.col("c_custkey").alias("id"), F.round("confidence", 6).alias("confidence"))
+
+
+from evidra.plans import more as _more  # noqa: E402,F401  registers the rest
