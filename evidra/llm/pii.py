@@ -43,6 +43,7 @@ CONTEXT = 80  #: code points on either side of an entity in which terms count as
 MIN_SUPPORT = 3
 THRESHOLD = 0.5
 BROADCAST_TERMS = 50_000
+PART = 16  #: one in so many texts gives the first lower bound of a term's count
 TERM = r"\p{L}{4,}"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -131,9 +132,31 @@ def contexts(found: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, near: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(entity, term, pmi, ic): pairs at or beyond the disclosure threshold, or None if no pair has the support."""
+    """(entity, term): pairs at or beyond the disclosure threshold, or None if there is none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    total = docs.select(F.xxhash64(text).alias("h")).distinct().count()
+    c_e = near.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
+    # A term stands in at least as many texts as it stands in next to any entity, which bounds its PMI from above:
+    # pairs whose bound is short of the threshold need no corpus count.
+    c_near = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("c_near"))
     pairs = near.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
-    pairs = shared.materialise(pairs, "pairs")
+    pairs = shared.materialise(pairs.join(c_e, "entity").join(c_near, "term").withColumn("n", F.lit(total)), "pairs")
+    # So does a count over any part of the texts: one part in PART, by hash, settles the common terms at little cost.
+    part = _text_counts(docs.where(F.pmod(F.xxhash64(text), F.lit(PART)) == 0), _may_reveal(pairs, F.col("c_near"), threshold))
+    pairs = None if part is None else shared.materialise(pairs.join(part, "term", "left").withColumn("c_near", F.greatest("c_near", F.coalesce("c_t", F.lit(0).cast("long")))).drop("c_t"), "pairs")
+    left = None if pairs is None else _may_reveal(pairs, F.col("c_near"), threshold)
+    c_t = None if left is None else _text_counts(docs, left)
+    return None if c_t is None else _may_reveal(left.join(c_t, "term"), F.col("c_t"), threshold).select("entity", "term")
+
+
+def _may_reveal(pairs: DataFrame, c_t: Column, threshold: float) -> DataFrame:
+    """Pairs at or beyond the threshold if their term stands in ``c_t`` texts."""
+    ic = F.log2(F.col("n") / F.col("c_e"))
+    return pairs.where((ic > 0) & (F.log2(F.col("n") * F.col("c_te") / (c_t * F.col("c_e"))) >= threshold * ic))
+
+
+def _text_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """(term, c_t): in how many distinct texts of ``docs`` each term of ``pairs`` stands; None without terms."""
     terms = pairs.select("term").distinct()
     n_terms = terms.limit(BROADCAST_TERMS + 1).count()
     if not n_terms:
@@ -142,13 +165,7 @@ def revealing_terms(docs: DataFrame, near: DataFrame, min_support: int = MIN_SUP
         terms = F.broadcast(terms)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    c_t = own.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
-    c_e = near.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    total = docs.select(F.xxhash64(text).alias("h")).distinct().agg(F.count("*").alias("n"))
-    scored = pairs.join(c_t, "term").join(c_e, "entity").join(F.broadcast(total), F.lit(True))
-    pmi = F.log2(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
-    ic = F.log2(F.col("n") / F.col("c_e"))
-    return scored.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= threshold * F.col("ic")))
+    return own.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
