@@ -174,13 +174,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
 
     Cutting joins a touched text's remaining normalised words by one space; texts without hits stay as they are.
     """
-    columns = docs.columns
-    d = Matcher(benchmark.select("item_id", "text"), max_grams).found(docs)
+    from evidra.llm.shared import neutral
+
+    own = neutral(docs)
+    columns = own.columns
+    d = Matcher(benchmark.select("item_id", "text"), max_grams).found(own)
     if whole:
-        return d.where((F.size("_found") == 0) & (F.col("_row") >= 0)).select(*columns)
+        return d.where((F.size("_found") == 0) & (F.col("_row") >= 0)).select(*columns).toDF(*docs.columns)
     hit = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), hit), lambda i: F.get(F.col("_words"), i))
-    return d.withColumn("text", F.when(F.size("_found") > 0, F.array_join(kept, " ")).otherwise(F.col("text"))).select(*columns)
+    return d.withColumn("text", F.when(F.size("_found") > 0, F.array_join(kept, " ")).otherwise(F.col("text"))).select(*columns).toDF(*docs.columns)
 
 
 #: The report in DuckDB, by every window against every window.

@@ -213,8 +213,9 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     Overlapping spans are joined; the joined span takes the kind that comes first.
     Texts without spans, null among them, stay exactly as they are; ``n_chars`` follows the new text where it exists.
     """
-    columns = docs.columns
-    d = _with_terms(docs, min_support, threshold)
+    own = shared.neutral(docs)
+    columns = own.columns
+    d = _with_terms(own, min_support, threshold)
     order = {k: i for i, k in enumerate((*KINDS, "term"))}
     ranked = [F.transform(f"_{k}", _ranked(order[k])) for k in KINDS]
     ranked.append(F.transform("_terms", _ranked(len(KINDS))))
@@ -234,4 +235,4 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
     tail = F.substring(F.col("_t"), F.element_at(ends, -1) + 1, F.char_length("_t"))
     text = F.when(F.size("_joined") > 0, F.concat(F.array_join(gaps, ""), tail)).otherwise(F.col("text"))
     made = [text.alias("text") if c == "text" else F.when(F.size("_joined") > 0, F.char_length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
-    return d.select(*made)
+    return d.select(*made).toDF(*docs.columns)

@@ -67,6 +67,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def neutral(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column but doc_id, text and n_chars under a name no operator uses; ``toDF(*names)`` restores them."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"_x{i}" for i, c in enumerate(docs.columns)))
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A string column as a list of UTF-8 bytes; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -354,6 +354,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id."""
-    kept = near_duplicates(docs, tau).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """``docs`` with one document of each group: the one with the least id.  Of rows that share an id one stays; rows without an id all stay."""
+    named = docs.where("doc_id is not null")
+    kept = near_duplicates(named, tau).where("doc_id = component_id").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -179,4 +179,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    return scored(docs, labels).where(F.col("_score") < CUT).select(*docs.columns)
+    d = shared.neutral(docs)
+    return scored(d, labels).where(F.col("_score") < CUT).select(*d.columns).toDF(*docs.columns)
