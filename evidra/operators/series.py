@@ -22,7 +22,7 @@ def merge_max(points: DataFrame) -> DataFrame:
 
 def instance_entities(points: DataFrame, mapping: DataFrame) -> DataFrame:
     """Instance entities replaced by their service where ``mapping`` (instance, service) knows one."""
-    return points.join(F.broadcast(mapping) if mapping.isStreaming is False else mapping, points["entity"] == mapping["instance"], "left").withColumn("entity", F.coalesce("service", "entity")).select(*points.columns)
+    return points.join(mapping, points["entity"] == mapping["instance"], "left").withColumn("entity", F.coalesce("service", "entity")).select(*points.columns)
 
 
 def baselines(points: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def value_in_window(points: DataFrame, start: Column, end: Column) -> Column:
 
 def compare_windows(points: DataFrame, bounds: DataFrame) -> DataFrame:
     """Per series its value in a healthy and an anomalous window (bounds: incident_id, healthy_*, anomalous_*), delta, factor and note."""
-    j = points.join(F.broadcast(bounds), "incident_id")
+    j = points.join(bounds, "incident_id")
     v = j.groupBy(*SERIES).agg(
         value_in_window(j, F.col("healthy_start"), F.col("healthy_end")).alias("from_v"), value_in_window(j, F.col("anomalous_start"), F.col("anomalous_end")).alias("to_v")
     ).where("from_v is not null and to_v is not null")

@@ -43,7 +43,7 @@ def change_events(changes: DataFrame, windows: DataFrame) -> DataFrame:
     """Changes as triggers or changes; one after the onset on an entity without an anomaly is no cause."""
     onset = windows.groupBy("incident_id").agg(F.min("start").alias("onset"))
     active = windows.select("incident_id", "entity").distinct().withColumn("_active", F.lit(True))
-    j = changes.join(F.broadcast(onset), "incident_id", "left").join(active, ["incident_id", "entity"], "left")
+    j = changes.join(onset, "incident_id", "left").join(active, ["incident_id", "entity"], "left")
     late = (F.col("t") > F.col("onset")) & F.col("_active").isNull()
     marker = F.when(F.coalesce(late, F.lit(False)), "non-causal-change").when(F.col("kind").isin(*TRIGGER_KINDS), "trigger").otherwise("change")
     return j.select("incident_id", "t", marker.alias("marker"), "entity", F.col("change_id").alias("source_ref"))

@@ -83,7 +83,7 @@ def resolve_entities(i: Incidents) -> DataFrame:
 def resolve_relationships(i: Incidents, found: DataFrame) -> DataFrame:
     """Edges (incident_id, src, type, dst, confidence, evidence, attributes) from spans and resources."""
     r = resource_entities(i)
-    own = i.spans.join(F.broadcast(r.select("incident_id", "resource_id", "entity", "endpoint")), ["incident_id", "resource_id"])
+    own = i.spans.join(r.select("incident_id", "resource_id", "entity", "endpoint"), ["incident_id", "resource_id"])
     s = own.select(
         F.struct("incident_id", "trace_id").alias("trace_id"), "span_id", "parent_id", "endpoint", "entity", F.concat_ws("/", F.col("trace_id"), F.col("span_id")).alias("ref"), F.col("seq").cast("long").alias("seq"),
         F.col("attributes")["db.statement"].alias("statement"), F.col("attributes")["peer.service"].alias("peer"), (F.col("attributes")["cache.hit"] == "false").alias("miss"), F.col("attributes")["retry.attempt"].try_cast("int").alias("attempt"), "incident_id",
@@ -153,7 +153,7 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     late = c("marker") == "non-causal-change"
     rows.append(_candidate(ch, "change_event", "change_event", F.when(late, "weakens").otherwise("supports"), F.concat_ws(" ", c("kind"), F.lit("on"), c("entity")), F.array("entity"), F.array("change_id"), c("t"), c("t"), F.format_string("%010d", "seq"), time_alignment=fit, signal=F.lit("change"), note=F.when(late, "after the onset")))
     bad = i.spans.groupBy("incident_id", "trace_id").agg(F.array_sort(F.collect_list(F.when(c("status") == "ERROR", F.concat_ws("/", "trace_id", "span_id")))).alias("errors"), F.min("start").alias("start"), F.max("end").alias("end"))
-    own = i.spans.join(F.broadcast(resource_entities(i).select("incident_id", "resource_id", "entity")), ["incident_id", "resource_id"]).groupBy("incident_id", "trace_id").agg(F.array_sort(F.collect_set("entity")).alias("path"))
+    own = i.spans.join(resource_entities(i).select("incident_id", "resource_id", "entity"), ["incident_id", "resource_id"]).groupBy("incident_id", "trace_id").agg(F.array_sort(F.collect_set("entity")).alias("path"))
     tr = i.traces.join(bad, ["incident_id", "trace_id"]).join(own, ["incident_id", "trace_id"], "left").where((F.size("errors") > 0) | (F.coalesce("exemplar_of", F.lit("")) != "baseline"))
     rows.append(_candidate(tr, "trace_exemplar", "trace_exemplar", "supports", F.concat_ws(" ", F.lit("trace"), c("trace_id"), F.lit("with"), F.size("errors").cast("string"), F.lit("failed spans")), F.coalesce("path", F.array().cast("array<string>")), F.concat(F.array("trace_id"), c("errors")), c("start"), c("end"), F.format_string("%010d", "seq"), span_specificity=F.when(F.size("errors") > 0, 1.0).otherwise(0.65), signal=F.lit("trace")))
     rows.append(_candidate(d.edges.where(c("type").isin(*DEPENDENCY_KINDS, "retries")), "dependency_edge", "dependency_edge", "neutral", F.concat_ws(" ", c("src"), c("type"), c("dst")), F.array("src", "dst"), c("evidence"), n, n, F.concat_ws("|", "src", "type", "dst"), edge_confidence=c("confidence"), signal=F.lit("relationship")))

@@ -217,7 +217,7 @@ def series_merge_max(spark, sf_dir):
     p = ev.groupBy(F.concat(F.lit("instance:"), F.col("user_id").cast("string")).alias("entity"), F.date_trunc("day", "ts").alias("t")).agg(F.max("value").alias("v"))
     p = p.select(F.lit("x").alias("incident_id"), F.lit("m").alias("name"), "entity", "t", "v", F.lit(0).cast("long").alias("ord"))
     mapping = ev.select("user_id").distinct().select(F.concat(F.lit("instance:"), F.col("user_id").cast("string")).alias("instance"), F.concat(F.lit("svc:"), (F.col("user_id") % 4).cast("string")).alias("service"))
-    mapped = p.join(mapping, p["entity"] == mapping["instance"], "left").withColumn("entity", F.coalesce("service", "entity")).drop("instance", "service")
+    mapped = series.instance_entities(p, mapping)
     n = mapped.groupBy("entity", "t").agg(F.count("*").alias("n_merged"))
     return series.merge_max(mapped).join(n, ["entity", "t"]).select("entity", F.date_format("t", "yyyy-MM-dd").alias("day"), "v", "n_merged")
 
