@@ -191,7 +191,7 @@ def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d:
     query.checked()
     d = d or derive(i)
     cand = cut(candidates(i, d))
-    found = evidence.suspects(cand).withColumn("reasons", F.array().cast("array<string>"))
+    found = evidence.suspects(cand)
     causes = cut(evidence.rank_causes(evidence.along_edges(found, d.edges.select("incident_id", "src", "type", "dst", "attributes"))))
     item = F.struct("candidate_id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "note")
     priced = cand.withColumn("token_cost", scores.token_cost(F.to_json(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind")))

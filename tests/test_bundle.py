@@ -73,6 +73,7 @@ def test_causes_and_checks(answer):
     causes = {(r.incident_id, r.entity): r for r in b.causes.collect()}
     assert ("two", "under-determined") in causes and ("one", "under-determined") not in causes
     assert all(0 <= r.score <= 1 for r in causes.values())
+    assert {"error_rate_spike", "deploy_origin"} <= set(causes[("one", "service:pay")].reasons)
     assert all(r.n <= 3 for r in b.checks.groupBy("incident_id").agg(F.count("*").alias("n")).collect()) and b.checks.count() > 0
 
 
