@@ -31,7 +31,7 @@ THRESHOLD = 0.2
 MIN_PAGES = 4  #: a node on fewer pages of its host is never low
 DAMPING = 0.9
 BROADCAST_NODES = 200_000
-MAX_DEPTH = 64
+MAX_DEPTH = 64  #: style nodes on a path at most; deeper elements keep tags, roles and main, and share the last node
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,11 +107,14 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
         holder = None
 
     held: list[Element] = []
+    open_tags: Counter = Counter()
 
     def close(to: int) -> None:
         while len(stack) > to:
             e = stack.pop()
-            nodes.append((e.key, tuple(x.key for x in stack[1:]) + (e.key,), " ".join(e.children), len(e.children)))
+            open_tags[e.tag] -= 1
+            if len(stack) <= MAX_DEPTH:
+                nodes.append((e.key, tuple(x.key for x in stack[1:]) + (e.key,), " ".join(e.children), len(e.children)))
 
     def say(s: str) -> None:
         nonlocal holder, held
@@ -119,7 +122,7 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
         if holder is not None and (holder.noise != top.noise or holder.main != top.main):
             flush()
         if holder is None and s.strip():
-            holder, held = top, stack[1:]
+            holder, held = top, stack[1 : MAX_DEPTH + 1]
         if holder is not None:
             text.append(unescape(s) if "&" in s else s)
 
@@ -137,7 +140,7 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if open_tags[tag] else 0, 0, -1):
                 if stack[i].tag == tag:
                     if any(e.tag not in INLINE for e in stack[i:]):
                         flush()
@@ -146,7 +149,7 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
+            for i in range(len(stack) - 1 if open_tags["p"] else 0, 0, -1):  # a block closes an open paragraph
                 if stack[i].tag == "p":
                     close(i)
                     break
@@ -154,7 +157,7 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
                     break
         if tag in CLOSES_ITEM:
             kin = ITEM_KIN.get(tag, {tag})
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if any(open_tags[k] for k in kin) else 0, 0, -1):
                 if stack[i].tag in kin:
                     close(i)
                     break
@@ -176,14 +179,14 @@ def read_page(html: str) -> tuple[list[Block], list[tuple[int, tuple[int, ...],
             end = re.compile(r"</head\s*>|<body", re.I).search(html, at)
             at = (end.end() if html[end.start() + 1] == "/" else end.start()) if end else at
             continue
-        if len(stack) > MAX_DEPTH:
-            continue
         style = tag + "".join("." + _DIGITS.sub("#", c) for c in sorted(a.get("class", "").split())[:3])
         main = top.main or tag in MAIN or a.get("role", "").lower() == "main" or a.get("itemprop", "") == "articleBody"
         noise = top.noise or _role(tag, a, main)
         if not top.children or top.children[-1] != style:
             top.children.append(style)
-        stack.append(Element(tag, xxhash.xxh64_intdigest(f"{top.key}/{style}") >> 1, noise, main and not noise))
+        key = xxhash.xxh64_intdigest(f"{top.key}/{style}") >> 1 if len(stack) <= MAX_DEPTH else top.key
+        open_tags[tag] += 1
+        stack.append(Element(tag, key, noise, main and not noise))
     flush()
     close(1)
     return blocks, nodes
