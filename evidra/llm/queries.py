@@ -29,7 +29,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"))
+    return lm.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
