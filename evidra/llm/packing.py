@@ -3,13 +3,15 @@
 Every example has a demand vector (tokens, segments, loss-bearing tokens); every
 sequence has a capacity vector.  Each step places the waiting example whose demand
 has the largest dot product with the sequence's free capacity, so an example fills
-the dimension that has most room.  Full-length heads of long examples become
-sequences of their own, and a gap too large to pad is filled by cutting one
-waiting example.  Each task packs what it reads (no shuffle), with a bounded
-number of waiting examples, so memory does not grow with the table.
-
-Null text counts as empty (its end id alone); repeated rows are packed each;
-ties go to the example that came first.
+the dimension that has most room.  A long example is dealt into full sequences that
+take its prompt and its answer in proportion, so that no sequence runs out of one
+dimension early; a gap too large to pad is filled by cutting one waiting example.
+Each task packs what it reads (no shuffle), with a bounded number of waiting examples,
+so memory does not grow with the table.
+
+Null text counts as empty (its end id alone); repeated rows are packed each; ties go to
+the example that came first.  A very long text is read alone and cut freely.  An empty
+table gives no rows; columns other than doc_id, text and the prompt's are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Limits:
 
     tokens: int = 2048
     segments: int = 256
-    loss_tokens: int = 2048
+    loss_tokens: int = 1792
     waiting: int = 2048  #: examples a task keeps waiting at most
     pad: int = 4  #: a gap of so many tokens is padded rather than filled by a cut
 
@@ -69,14 +71,24 @@ class Packer:
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         whole = self.limits.tokens
-        while len(piece.ids) >= whole and piece.loss(whole) <= self.limits.loss_tokens:
-            head, piece = piece.cut(whole)
-            yield [head]
-        if len(piece.ids):
-            self._wait(piece)
-            if self.live > self.limits.waiting:
-                for _ in range(max(1, self.limits.waiting // 64)):
-                    yield self._fill()
+        bears = piece.loss()
+        free, tail = len(piece.ids) - bears, None
+        while free + bears >= whole:
+            take = min(bears, self.limits.loss_tokens, max(whole - free, round(whole * bears / (free + bears))))
+            if whole - take > free or (0 < take < whole and self.limits.segments < 2):
+                break
+            if tail is None:
+                piece, tail = piece.cut(free)
+            head, piece = piece.cut(whole - take)
+            part, tail = tail.cut(take)
+            free, bears = free - whole + take, bears - take
+            yield [p for p in (head, part) if len(p.ids)]
+        for p in (piece, tail):
+            if p is not None and len(p.ids):
+                self._wait(p)
+        while self.live > self.limits.waiting:
+            for _ in range(max(1, self.limits.waiting // 64)):
+                yield self._fill()
 
     def finish(self) -> Iterator[list[Piece]]:
         while self.live:
@@ -129,10 +141,12 @@ class Packer:
         return placed
 
 
+#: Share of an example that is instruction where the table does not say which part is: plain documents have no roles.
+PROMPT = 0.25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(vocab: str, limits: Limits, with_ids: bool):
+def _pack(vocab: str, limits: Limits, share: float, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(vocab), Packer(limits)
         first, made, rows = shared.task_partition() << 33, 0, []
@@ -153,11 +167,12 @@ def _pack(vocab: str, limits: Limits, with_ids: bool):
             rows.clear()
             return out
 
-        for batch in shared.small_batches(batches):
-            docs, prompts = batch.column("doc_id").to_pylist(), enc.raw_ids(shared.binary(batch.column("prompt"))) if "prompt" in batch.schema.names else None
-            for k, ids in enumerate(enc.ids(shared.binary(batch.column("text")))):
-                head = len(prompts[k]) // enc.dtype.itemsize if prompts else 0
-                for pieces in packer.add(Piece(docs[k], 0, ids, len(ids), head)):
+        for batch in shared.small_batches(batches, 2048, "text"):
+            docs = batch.column("doc_id").to_pylist()
+            ids, at = enc.flat(batch.column("text"))
+            heads = np.diff(enc.flat(batch.column("prompt"), end=False)[1]) if "prompt" in batch.schema.names else (np.diff(at) * share).astype(int)
+            for doc, i, j, head in zip(docs, at[:-1].tolist(), at[1:].tolist(), heads.tolist(), strict=True):
+                for pieces in packer.add(Piece(doc, 0, ids[i:j].copy(), j - i, min(head, j - i - 1))):
                     put(pieces)
             if len(rows) >= 4096:
                 yield batch_of()
@@ -171,15 +186,17 @@ def _pack(vocab: str, limits: Limits, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocab: str, limits: Limits = Limits(), prompt: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, limits: Limits = Limits(), prompt: str | float = PROMPT, with_ids: bool = False) -> DataFrame:
     """One row per piece of each example of ``docs`` (doc_id, text).
 
-    ``prompt`` names a column with the leading part of the text that bears no loss.
+    ``prompt`` names a column with the leading part of the text that bears no loss, or is
+    the share of each example's tokens, counted from its start, that does.
     ``with_ids`` adds the piece's token ids as packed little-endian 32-bit integers.
     ``sequence_id`` carries the task's number in its upper bits, so ids are unique
     and a repeated task makes the same ones.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    if prompt:
+    if isinstance(prompt, str):
         columns.append(F.col(prompt).cast("string").alias("prompt"))
-    return docs.select(*columns).mapInArrow(_pack(vocab, limits, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    run = _pack(vocab, limits, 0.0 if isinstance(prompt, str) else prompt, with_ids)
+    return docs.select(*columns).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

@@ -9,7 +9,9 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
@@ -89,11 +91,20 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
     return run
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of the incoming batches, so that Python objects of only so many rows live at once."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, column: str | None = None, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the incoming batches, so that Python objects of only so many rows, and bytes of ``column``, live at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = None
+        if column in batch.schema.names:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            n = rows
+            if ends is not None:  # a text beyond the size is a batch of its own
+                before = ends[start - 1] if start else 0
+                n = min(rows, max(1, int(np.searchsorted(ends, before + size, side="right")) - start))
+            yield batch.slice(start, n)
+            start += n
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

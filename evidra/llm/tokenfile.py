@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import shared
-from evidra.llm.tokens import encoder, ids_crc32
+from evidra.llm.tokens import crcs, encoder
 
 NO_ID = -(1 << 63)
 
@@ -33,18 +33,18 @@ def _write_shard(folder: str, vocab: str):
         shard, attempt = shared.task_partition(), uuid.uuid4().hex
         doc_ids, lengths, out, size = [], [], None, 0
         target = f"{folder}/tokens-{shard:06d}.bin"
-        for batch in shared.small_batches(batches):
+        for batch in shared.small_batches(batches, 4096, "text"):
             enc = encoder(vocab)
             if out is None:
                 out, size = shared.open_out(f"{target}.{attempt}"), enc.dtype.itemsize
-            for ids in enc.ids(shared.binary(batch.column("text"))):
-                out.write(ids.tobytes())
-                lengths.append(len(ids))
+            ids, at = enc.flat(batch.column("text"))
+            out.write(ids.tobytes())
+            lengths.append(np.diff(at))
             doc_ids += [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
         if out is None:
             return
         out.close()
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         index = f"{folder}/index-{shard:06d}.bin"
         with shared.open_out(f"{index}.{attempt}") as f:
             f.write(np.array([len(doc_ids), *doc_ids], "<i8").tobytes() + offsets.tobytes())
@@ -78,33 +78,46 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, partitions: int
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _map_file(uri: str, dtype: str) -> np.ndarray:
-    if (path := shared.local_path(uri)) is not None:
-        return np.memmap(path, dtype=dtype, mode="r")
-    from pyarrow import fs
+class _File:
+    """Integers of a file by range: memory-mapped on a local path, ranged reads on any other file system."""
 
-    system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    def __init__(self, uri: str, dtype: str):
+        self.dtype, self.mapped, self.file = np.dtype(dtype), None, None
+        if (path := shared.local_path(uri)) is not None:
+            self.mapped = np.memmap(path, dtype=dtype, mode="r")
+        else:
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(uri)
+            self.file = system.open_input_file(path)
+
+    def __call__(self, start: int, end: int) -> np.ndarray:
+        if self.mapped is not None:
+            return np.asarray(self.mapped[start:end])
+        size = self.dtype.itemsize
+        self.file.seek(start * size)
+        return np.frombuffer(self.file.read((end - start) * size), self.dtype)
 
 
 def _read_shards(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                index = _map_file(f"{folder}/index-{r['shard']:06d}.bin", "<i8")
-                n = int(index[0])
-                doc_ids, offsets = index[1 : n + 1], index[n + 1 :]
-                tokens = _map_file(f"{folder}/tokens-{r['shard']:06d}.bin", f"<u{r['item_size']}")
+                index = _File(f"{folder}/index-{r['shard']:06d}.bin", "<i8")
+                tokens = _File(f"{folder}/tokens-{r['shard']:06d}.bin", f"<u{r['item_size']}")
+                n = int(index(0, 1)[0])
                 for at in range(0, n, 4096):
                     to = min(n, at + 4096)
-                    some = np.asarray(doc_ids[at:to])
+                    some, offsets = index(1 + at, 1 + to), index(1 + n + at, 2 + n + to)
+                    crc = []
+                    for i in range(to - at):  # a document at a time: bounded by its length
+                        crc += crcs(tokens(int(offsets[i]), int(offsets[i + 1])), [0, int(offsets[i + 1] - offsets[i])])
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(some, pa.int64(), mask=some == NO_ID),
-                            "start": pa.array(np.asarray(offsets[at:to]) + r["base"], pa.int64()),
-                            "n_tokens": pa.array(np.diff(offsets[at : to + 1]), pa.int64()),
-                            "ids_crc32": pa.array([ids_crc32(tokens[offsets[i] : offsets[i + 1]]) for i in range(at, to)], pa.int64()),
+                            "start": pa.array(offsets[:-1] + r["base"], pa.int64()),
+                            "n_tokens": pa.array(np.diff(offsets), pa.int64()),
+                            "ids_crc32": pa.array(crc, pa.int64()),
                         }
                     )
 

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import gc
 import os
-import unicodedata
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words and pieces kept per worker; beyond it the memo starts afresh (results do not change).
 MEMO = 500_000
 #: Words encoded in one step.
 STEP = 100_000
 END_ID = 1
-#: Letters up to here have one class in every Unicode version; marks that stand alone after a word.
-LAST_LATIN = "ſ"
-POINTS = (",", ".", ";", ":", "!", "?")
+BREAK = 0xFFFF  #: no id of a vocabulary that is encoded by words
+#: Letters whose class is the same in every Unicode version; words with others go to the library whole.
+LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ıĴ-ſ]+").fullmatch
+#: Fixed pattern of the vocabulary file, for lowered words of such letters, and the line feed that ends a word.
+SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^\s0-9a-zÀ-ÖØ-öø-ſ]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,43 +41,39 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         gc.freeze()  # the memo holds no cycles; collections need not walk it
         gc.set_threshold(200_000, 50, 1000)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.fast = "Lowercase" in repr(self.whole.normalizer) and self.whole.model.end_of_word_suffix == "</w>"
+        self.fast = "Lowercase" in repr(self.whole.normalizer) and self.whole.model.end_of_word_suffix == "</w>" and max(vocab.values()) < BREAK
         if self.fast:
             self.bare = Tokenizer(self.whole.model)
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             for token, i in vocab.items():
                 self.ends[i] = token.endswith("</w>")
-            # Fixed pattern of the vocabulary file, for words of plain Latin letters.
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-            # Letters whose class is the same in every Unicode version; other words go to the library whole.
-            self.latin = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ıĴ-ſ]+").fullmatch
+            self.pieces["\n"] = np.array([BREAK], self.dtype).tobytes()
             self.letters = {b: s for b, s in _byte_letters().items()}
 
     def _encode_pieces(self, missing: list[str]) -> None:
         for start in range(0, len(missing), 4000):
             part = missing[start : start + 4000]
-            shown = " ".join(p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in part)
+            shown = " ".join(part)
+            if not shown.isascii():
+                shown = " ".join([p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in part])
             ids = np.array(self.bare.encode(shown, add_special_tokens=False).ids, dtype=self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):  # a vocabulary that lacks a letter
                 self.pieces.update((p, self._direct(p)) for p in part)
                 continue
-            raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                self.pieces[p] = raw[at * size : end * size]
-                at = end
+            raw, at = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+            self.pieces.update(zip(part, [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -82,70 +82,65 @@ class WordEncoder:
         if len(self.words) + len(missing) > MEMO:
             self.words.clear()
         if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        split: dict[bytes, str | list[str]] = {}
-        parts: set[str] = set()
-        plain = self.fast
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            end = s[-1:]
-            body = s[:-1] if end in POINTS else s
-            if plain and body.isalpha() and max(body) <= LAST_LATIN and "İ" not in body:
-                body = body.lower()
-                parts.add(body)
-                if len(body) < len(s):
-                    parts.add(end)
-                    split[w] = [body, end]
-                else:
-                    split[w] = body
-            elif plain and self.latin(s) and (found := self.split((s if s.isascii() else unicodedata.normalize("NFC", s)).lower())):
-                split[w] = found
-                parts.update(found)
-            else:
-                self.words[w] = self._direct(s)
-        self._encode_pieces([p for p in parts if p not in self.pieces])
-        pieces, words = self.pieces, self.words
-        for w, found in split.items():
-            words[w] = pieces[found] if type(found) is str else b"".join([pieces[p] for p in found])
-
-    def raw_ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text as packed little-endian integers of ``self.dtype``."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, list[bytes]]] = []
-        held = 0
-        for k, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[k].append(self._direct(text.decode("utf-8", "replace")))
-                continue
-            words = text.split()
-            for start in range(0, len(words), STEP):  # bounded steps, also through a very long text
-                some = words[start : start + STEP]
-                waiting.append((k, some))
-                held += len(some)
-                if held >= STEP:
-                    self._put(waiting, out)
-                    held = 0
-        self._put(waiting, out)
-        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
-
-    def _put(self, waiting: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        have, missing = self.words, set()
-        for _, some in waiting:
-            missing.update(some)
-        missing = missing.difference(have)
+            self.pieces = {"\n": self.pieces["\n"]} if self.fast else {}
+        other = [] if self.fast else list(missing)
+        if self.fast and not LATIN("".join(set((b"".join(missing)).decode("utf-8", "replace")))):
+            other = [w for w in missing if not LATIN(w.decode("utf-8", "replace"))]
+        for w, made in zip(other, self.whole.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(made.ids, dtype=self.dtype).tobytes()
+        plain = list(missing.difference(other)) if other else list(missing)
+        for start in range(0, len(plain) if self.fast else 0, STEP):
+            some = plain[start : start + STEP]
+            # Words hold no line feed, so all are lowered and split into pieces in one go, each closed by a line feed.
+            found = SPLIT((b"\n".join(some) + b"\n").decode().lower())
+            self._encode_pieces(list(set(found).difference(self.pieces)))
+            raw, size = b"".join(map(self.pieces.__getitem__, found)), self.dtype.itemsize
+            ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == BREAK) * size).tolist()
+            self.words.update(zip(some, [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct words."""
+        missing = set(words).difference(self.words)
         if missing:
-            before = len(have)
+            before = len(self.words)
             self._learn(missing)
-            if len(have) < before:  # the memo started afresh
-                self._learn({w for _, some in waiting for w in some if w not in have})
-        for k, some in waiting:
-            out[k].append(b"".join(map(have.__getitem__, some)))
-        waiting.clear()
+            if len(self.words) < before:  # the memo started afresh
+                self._learn(set(words).difference(self.words))
+        return list(map(self.words.__getitem__, words))
+
+    def flat(self, texts: pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings; null is empty) in a row, each with the end id after it, and their offsets."""
+        texts = pc.fill_null(texts, "")
+        if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            made = [self._flat(texts.slice(i, 1), end) if not any(s in t for s in self.special) else self._one(t, end) for i, t in enumerate(texts.to_pylist())]
+            return np.concatenate([m[0] for m in made]), np.concatenate([[0], np.cumsum([len(m[0]) for m in made])])
+        return self._flat(texts, end)
+
+    def _one(self, text: str, end: bool) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(self._direct(text), self.dtype)
+        ids = np.append(ids, np.array([END_ID], self.dtype)) if end else ids
+        return ids, np.array([0, len(ids)])
+
+    def _flat(self, texts: pa.Array, end: bool) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        which = words.indices.to_numpy(zero_copy_only=False)
+        known = self._known(pc.cast(words.dictionary, pa.binary() if pa.types.is_string(words.dictionary.type) else pa.large_binary()).to_pylist())
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        if end:
+            known.append(np.array([END_ID], self.dtype).tobytes())
+            which = np.insert(which, edges[1:], len(known) - 1)
+            edges += np.arange(len(edges))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        ids, n = np.frombuffer(b"".join(known), self.dtype), size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])], ends[edges]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """As :meth:`raw_ids`, each with the end id after it."""
-        end = np.array([END_ID], self.dtype).tobytes()
-        return [np.frombuffer(x + end, self.dtype) for x in self.raw_ids(texts)]
+        """The ids of each UTF-8 text, with the end id after it."""
+        flat, at = self.flat(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -158,6 +153,13 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def crcs(ids: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Unsigned crc32 of each run of ids as little-endian unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4")).cast("B")
+    at = (np.asarray(offsets) * 4).tolist()
+    return [zlib.crc32(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def ids_crc32(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+    """As :func:`crcs` for one run of ids."""
     return zlib.crc32(ids.astype("<u4").tobytes())
