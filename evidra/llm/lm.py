@@ -1,19 +1,27 @@
 """Language-model scores with stupid backoff, computed relationally.
 
-Three steps over whole texts: (1) texts are gathered into batches, whose distinct n-grams
-are dealt by hash, one packed row per batch and hash bucket; (2) each bucket sums its
-part of the n-gram count table and answers every batch with the counts of the batch's
-n-grams; (3) answers are joined to their batch, where each token is scored and scores are
-summed per document.  A common n-gram is one entry a batch, so no bucket is hot, and a
-bucket's size is the table's divided by ``buckets``.
+Every token of the corpus becomes a row that holds the n-grams around it: the centre word w,
+its left neighbour l and its right neighbour r.  Rows are dealt by the hash of the centre word, so
+that the count tables of w, (l, w), (w, r) and (l, w, r) all lie with the rows that ask for them:
+one exchange serves all orders.  Each row takes its counts from them and adds its part of the
+score, and parts are summed per document.
 
 A document is scored by the rest of the corpus: its own counts are taken off.  With c
 those counts, N the tokens of all other documents and ALPHA the backoff factor,
 
     S(w | h) = c(h w) / c(h) if c(h w) > 0, else ALPHA S(w | shorter h);  S(w) = max(c(w), 1) / N
 
-Words are lower-cased (A-Z) and split at ASCII white space.  Null and wordless texts have no tokens and score 0.
-Repeated rows are documents of their own.
+An n-gram seen elsewhere has its shorter ones seen elsewhere too, so the logarithms of a text's
+scores can be summed by centre word: each count stands in the rows of one centre only.
+
+A word that would fill more than ``HOT`` mean partitions is hot.  Its count is known from the word
+counts; its pairs and triples get count tables of their own, pre-aggregated and then joined, where
+adaptive execution splits what is still skewed.
+
+Words are lower-cased (A-Z) and split at ASCII white space; they are compared by 64 bits of hash.
+Null and wordless texts have no tokens and score 0; an empty table gives no rows.  Repeated rows
+are documents of their own, with or without one id.  Very long texts are read in bounded batches
+(a text beyond the bound alone).  Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -22,157 +30,216 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import shared
 from evidra.llm.substring import _mix, word_hashes
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
-BATCH_BYTES, BATCH_DOCS = 6_000_000, 4096
-_SALT = np.uint64(0x9E3779B97F4A7C15)
-_KEY = np.uint64((1 << 48) - 1)
+HOT = 2  #: a word with more rows than so many mean partitions is hot
+CHUNK = 250_000  #: rows that are counted at once, unless one word has more
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LEFT, RIGHT = 1, 2  #: bits of ``side``: which neighbours there are
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Unsigned integers as byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + planes.tobytes())
+def _sources(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, h, text): ``id`` and ``h`` name a row's content; equal rows have equal scores."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(0).cast("long")).alias("id"), F.xxhash64(doc.isNull(), text).alias("h"), text.alias("text"))
 
 
-def _unpack(blob: bytes, width: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=8).reshape(width, n).T
-    return out.view("<u8").ravel()
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of a batch's texts in a row, and each word's text number."""
+    per = [word_hashes(t.lower()) for t in shared.binary(batch.column("text"))]
+    return np.concatenate(per), np.repeat(np.arange(len(per)), [len(h) for h in per])
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
-    """(batch, docs, n_tokens, texts): texts gathered in the order they are read, compressed."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): the count table of single words, pre-aggregated by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, size = shared.task_partition() << 32, [], [], 0
+        for batch in shared.small_batches(batches, 4096, "text"):
+            w, n = np.unique(_hashes(batch)[0], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"w": pa.array(w.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-        def out() -> pa.RecordBatch:
-            ends = np.cumsum([len(t) for t in texts]).astype("<i8")
-            blob = zstandard.ZstdCompressor(level=1).compress(ends.tobytes() + b"".join(texts))
-            tokens = sum(len(t.split()) for t in texts)
-            return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "docs": pa.array([ids], pa.list_(pa.int64())), "n_tokens": pa.array([tokens], pa.int64()), "texts": pa.array([blob], pa.binary())})
+    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
-        for batch in shared.small_batches(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), shared.binary(batch.column("text")), strict=True):
-                ids.append(doc)
-                texts.append(text)
-                size += len(text)
-                if size >= BATCH_BYTES or len(ids) >= BATCH_DOCS:
-                    yield out()
-                    number, ids, texts, size = number + 1, [], [], 0
-        if ids:
-            yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "batch long, docs array<long>, n_tokens long, texts binary")
+def _grouped(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each place the sum of the weights of all places with its key."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    sums = np.add.reduceat(weights[order], first)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+    return out
 
 
-def _texts(n: int, blob: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    ends = np.frombuffer(raw, "<i8", n)
-    body = raw[8 * n :]
-    return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+GRAMS = "id long, h long, w long, l long, r long, side int, k long, own_w long, own_lw long, own_wr long"
 
 
-def grams(texts: list[bytes], order: int, buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per n the keys of all n-grams in a row (key = bucket, then 48 bits of hash), and the document number of each token.
+def gram_rows(docs: DataFrame, hot: frozenset[int], only_hot: bool) -> DataFrame:
+    """The exploded n-grams: per text and distinct (l, w, r) one row with its count k, and the text's own counts of w, (l, w), (w, r)."""
+    words = np.array(sorted(hot), np.int64).view(np.uint64)
 
-    The n-gram that ends at token i is at place i; places without one (too near a text's start) hold the largest key.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.small_batches(batches, 1024, "text", 4_000_000):
+            w, doc = _hashes(batch)
+            if not len(w):
+                continue
+            joint = np.concatenate([[False], doc[1:] == doc[:-1], [False]])
+            left, right = joint[:-1], joint[1:]
+            l, r = np.where(left, np.roll(w, 1), 0), np.where(right, np.roll(w, -1), 0)
+            side = left * LEFT + right * RIGHT
+            if len(words):
+                mine = np.isin(w, words) == only_hot
+                w, doc, l, r, side = w[mine], doc[mine], l[mine], r[mine], side[mine]
+            one = np.ones(len(w), np.int64)
+            at = _mix(w + doc.astype(np.uint64) * _A)
+            lw, wr = _mix(at + l * _B + (side & LEFT).astype(np.uint64)), _mix(at + r * _A + (side & RIGHT).astype(np.uint64))
+            _, first, k = np.unique(_mix(lw + wr * _B), return_index=True, return_counts=True)
+            own = [_grouped(x, one)[first] for x in (at, lw, wr)]
+            ids, hs = (batch.column(c).to_numpy()[doc[first]] for c in ("id", "h"))
+            columns = [ids, hs, w[first].view(np.int64), l[first].view(np.int64), r[first].view(np.int64), side[first].astype(np.int32), k.astype(np.int64), *own]
+            yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(c) for n, c in zip(GRAMS.split(", "), columns, strict=True)})
+
+    return docs.select("id", "h", "text").mapInArrow(run, GRAMS)
+
+
+def parts(x: dict[str, np.ndarray], order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per row its part of its text's summed log score, and how many words it scores by S(w) = c(w) / N, where log N is still to be taken off.
+
+    With c the rest's counts: the word at its own place by S(w), unless (l, w) is seen; the right
+    neighbour by (w, r), unless (l, w, r) is seen; the right neighbour by (l, w, r).
     """
-    hashes = [word_hashes(t.lower()) for t in texts]
-    doc = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    out, x = [], np.zeros(len(h), np.uint64)
-    for n in range(1, order + 1):
-        x = x * _SALT + np.concatenate([np.zeros(min(n - 1, len(h)), np.uint64), h[: max(0, len(h) - n + 1)]])
-        k = _mix(x + np.uint64(n))
-        key = (((k >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(48)) | (k & _KEY)
-        inside = np.concatenate([np.zeros(min(n - 1, len(h)), bool), doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]]) if n > 1 else np.ones(len(h), bool)
-        out.append(np.where(inside, key, np.uint64(0xFFFFFFFFFFFFFFFF)))
-    return out, doc
-
-
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def _asked(order: int, buckets: int):
-    """Rows (bucket, batch, keys): the distinct n-grams of a batch with their counts, split by bucket."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            for b, docs, blob in zip(r.column("batch").to_pylist(), r.column("docs").to_pylist(), r.column("texts").to_pylist(), strict=True):
-                keys, n = np.unique(np.concatenate(grams(_texts(len(docs), blob), order, buckets)[0]), return_counts=True)
-                if len(keys) and keys[-1] == _NONE:
-                    keys, n = keys[:-1], n[:-1]
-                bucket = (keys >> np.uint64(48)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                first = np.concatenate([[0], cuts]).astype(int) if len(keys) else np.zeros(0, int)
-                last = np.append(first[1:], len(keys))
-                packed = [_pack(np.diff(keys[i:j] & _KEY, prepend=np.uint64(0)), 6) for i, j in zip(first, last, strict=True)]
-                counts = [_pack(n[i:j], 4) for i, j in zip(first, last, strict=True)]
-                if packed:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first]), "batch": pa.array([b] * len(packed), pa.int64()), "keys": pa.array(packed, pa.binary()), "n": pa.array(counts, pa.binary())})
+    k, left, right = x["k"], (x["side"] & LEFT) > 0, (x["side"] & RIGHT) > 0
+    w, lw, wr, lwr = x["n_w"] - x["own_w"], x["n_lw"] - x["own_lw"], x["n_wr"] - x["own_wr"], x["n_lwr"] - k
+    log = lambda n: np.log(np.maximum(n, 1))
+    single = ~(left & (lw > 0))
+    three = left & right & (order > 2)
+    triple = three & (lwr > 0)
+    pair = right & (wr > 0) & ~triple
+    backoffs = (single & left).astype(np.int64) + (three & ~triple)
+    s = single * log(w) + pair * (log(wr) - log(w)) + triple * (log(lwr) - log(lw)) + backoffs * np.log(alpha)
+    return s * k, single * k
 
-    return run
 
+PARTS = "id long, h long, s double, u long, n long"
+
+
+def _summed(x: dict[str, np.ndarray], order: int, alpha: float) -> pa.RecordBatch:
+    """The rows' parts, pre-aggregated by text."""
+    s, u = parts(x, order, alpha)
+    sort = np.lexsort((x["h"], x["id"]))
+    i, h = x["id"][sort], x["h"][sort]
+    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))
+    added = {name: np.add.reduceat(v[sort], first) for name, v in (("s", s), ("u", u), ("n", x["k"]))}
+    return pa.RecordBatch.from_pydict({"id": pa.array(i[first]), "h": pa.array(h[first]), **{n: pa.array(v) for n, v in added.items()}})
+
+
+def _by_centre(order: int, alpha: float):
+    """Over rows sorted by centre word, a word's rows whole: the count tables of its n-grams, joined to the rows, and their parts."""
+
+    def out(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        w, k = x["w"].view(np.uint64) * _A, x["k"]
+        lw = _mix(w + x["l"].view(np.uint64) + (x["side"] & LEFT).astype(np.uint64))
+        wr = _mix(w + x["r"].view(np.uint64) + (x["side"] & RIGHT).astype(np.uint64))
+        counts = {"n_w": _grouped(w, k), "n_lw": _grouped(lw, k), "n_wr": _grouped(wr, k), "n_lwr": _grouped(_mix(lw + wr * _B), k)}
+        return _summed(x | counts, order, alpha)
 
-def _answered(table: pa.Table) -> pa.Table:
-    """A bucket's part of the count table, and for each batch the counts of its n-grams."""
-    keys = [np.cumsum(_unpack(k, 6)) for k in table.column("keys").to_pylist()]
-    n = np.concatenate([_unpack(x, 4) for x in table.column("n").to_pylist()])
-    own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(own)).astype(np.uint64)
-    ends = np.cumsum([len(k) for k in keys])
-    got = [_pack(total[inverse[e - len(k) : e]], 6) for k, e in zip(keys, ends.tolist(), strict=True)]
-    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "counts": pa.array(got, pa.binary())})
-
-
-def _scores(order: int, buckets: int, alpha: float, total: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            for docs, blob, answers in zip(r.column("docs").to_pylist(), r.column("texts").to_pylist(), r.column("answers").to_pylist(), strict=True):
-                per, doc = grams(_texts(len(docs), blob), order, buckets)
-                keys, inverse = np.unique(np.concatenate(per), return_inverse=True)
-                counts = np.concatenate([_unpack(x["counts"], 6) for x in sorted(answers or [], key=lambda x: x["bucket"])] or [np.zeros(0, np.uint64)]).astype(np.float64)
-                counts = np.append(counts, 0.0)[: len(keys)] if len(keys) and keys[-1] == _NONE else counts
-                # What the document itself adds to each of its n-grams.
-                pair = np.tile(doc, order) * np.int64(len(keys) + 1) + inverse
-                _, same, own = np.unique(pair, return_inverse=True, return_counts=True)
-                rest = (counts[inverse] - own[same]).reshape(order, len(doc)) if len(doc) else np.zeros((order, 0))
-                size = np.bincount(doc, minlength=len(docs))
-                others = np.maximum(total - size, 1)[doc]
-                log_s = np.log(np.maximum(rest[0], 1) / others)
-                there = (np.concatenate(per) != _NONE).reshape(order, len(doc)) if len(doc) else None
-                for n in range(1, order):
-                    context = np.concatenate([[1.0], rest[n - 1][:-1]]) if len(doc) else log_s
-                    seen = there[n] & (rest[n] > 0) & (context > 0)
-                    direct = np.log(np.where(seen, rest[n], 1) / np.where(seen, context, 1))
-                    log_s = np.where(seen, direct, np.where(there[n], log_s + np.log(alpha), log_s))
-                summed = np.bincount(doc, weights=log_s, minlength=len(docs)) if len(doc) else np.zeros(len(docs))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(size, pa.int64()), "log_score": pa.array(summed), "score": pa.array(summed / np.maximum(size, 1))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append({c: batch.column(c).to_numpy() for c in batch.schema.names})
+            n += batch.num_rows
+            if n < CHUNK:
+                continue
+            x = {c: np.concatenate([y[c] for y in held]) for c in held[0]}
+            other = np.flatnonzero(x["w"] != x["w"][-1])
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield out({c: v[:whole] for c, v in x.items()})
+            held = [{c: v[whole:] for c, v in x.items()}]
+            n = len(held[0]["w"]) if whole else 0  # one word so far: wait for as many again
+        if held and len((x := {c: np.concatenate([y[c] for y in held]) for c in held[0]})["w"]):
+            yield out(x)
 
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, buckets: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_score (natural, summed), score (its mean over tokens)."""
+def _hot_parts(rows: DataFrame, words: DataFrame, order: int, alpha: float) -> DataFrame:
+    """The parts of rows whose centre word is hot: count tables by pair and triple, pre-aggregated, written, joined."""
+    rows = shared.materialise(rows, "lm-hot")
+    joined = rows.join(F.broadcast(words.select("w", F.col("n").alias("n_w"))), "w")  # fewer than the partitions / HOT
+    for name, key in (("n_lw", ["w", "l", "left"]), ("n_wr", ["w", "r", "right"]), ("n_lwr", ["w", "l", "r", "side"])):
+        sides = {"left": F.col("side").bitwiseAND(LEFT), "right": F.col("side").bitwiseAND(RIGHT)}
+        extra = {c: sides[c] for c in key if c in sides}
+        table = shared.materialise(rows.withColumns(extra).groupBy(*key).agg(F.sum("k").alias(name)), f"lm-{name[2:]}")
+        joined = joined.withColumns(extra).join(table, key).drop(*extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _summed({c: batch.column(c).to_numpy() for c in batch.schema.names}, order, alpha)
+
+    return joined.mapInArrow(run, PARTS)
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, hot: float = HOT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, log_score (natural, summed), score (its mean over tokens).
+
+    ``order`` is 2 or 3.
+    """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    buckets = buckets or min(4 * n, 60_000)
-    texts = shared.materialise(batches_of(docs), "lm-texts")
-    total = texts.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    asked = texts.select("batch", "docs", "texts").mapInArrow(_asked(order, buckets), "bucket long, batch long, keys binary, n binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "batch long, bucket long, counts binary")
-    # One answer a bucket, and a batch's n-grams in all.
-    answers = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-    joined = texts.select("batch", "docs", "texts").join(answers, "batch", "left").select("docs", "texts", "answers")
-    return joined.mapInArrow(_scores(order, buckets, alpha, total), "doc_id long, n_tokens long, log_score double, score double")
+    n = shared.partitions(spark)
+    texts = _sources(docs)
+    counts = shared.materialise(word_counts(texts), "lm-words")
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    often = counts.where(F.col("n") > hot * total / n)
+    common = frozenset(r.w for r in often.collect())  # fewer than n / hot words
+    cold = gram_rows(texts, common, False).repartition(n, "w").sortWithinPartitions("w")
+    made = cold.mapInArrow(_by_centre(order, alpha), PARTS)
+    if common:
+        made = made.unionByName(_hot_parts(gram_rows(texts, common, True), often, order, alpha))
+    sums = made.groupBy("id", "h").agg(F.sum("s").alias("s"), F.sum("u").alias("u"), F.sum("n").alias("n"))
+    # Equal rows have added to one sum.
+    each = texts.groupBy("id", "h").agg(F.count("*").alias("m")).join(sums, ["id", "h"])
+    size = (F.col("n") / F.col("m")).cast("long")
+    log_score = (F.col("s") - F.col("u") * F.log(F.greatest(F.lit(total) - size, F.lit(1)))) / F.col("m")
+    each = each.select("id", "h", size.alias("n_tokens"), log_score.alias("log_score"))
+    zero = F.lit(0.0)
+    return texts.select("doc_id", "id", "h").join(each, ["id", "h"], "left").select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("log_score", zero).alias("log_score"), F.coalesce(F.col("log_score") / F.col("n_tokens"), zero).alias("score")
+    )
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """:func:`score` to four decimals of a text's score, six of its mean: sums in another order differ in the last bits."""
+    return score(docs).select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
+
+
+#: The same in DuckDB, over windows of all tokens.
+REPORT_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+g AS (SELECT rid, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM p WINDOW d AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT rid, i, v, u,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY rid, w) AS c1,
+    count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY rid, v, w) AS c2,
+    count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY rid, u, v, w) AS c3,
+    count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n FROM g),
+h AS (SELECT *, lag(c1) OVER d AS h1, lag(c2) OVER d AS h2 FROM c WINDOW d AS (PARTITION BY rid ORDER BY i)),
+s AS (SELECT rid, CASE WHEN u IS NOT NULL AND c3 > 0 THEN ln(c3) - ln(h2)
+    ELSE CASE WHEN u IS NOT NULL THEN ln({ALPHA}) ELSE 0 END + CASE WHEN v IS NOT NULL AND c2 > 0 THEN ln(c2) - ln(h1)
+    ELSE CASE WHEN v IS NOT NULL THEN ln({ALPHA}) ELSE 0 END + ln(greatest(c1, 1)) - ln(greatest(n, 1)) END END AS x FROM h)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_tokens, round(coalesce(a.x, 0), 4) AS log_score, round(coalesce(a.x / len(t.ws), 0), 6) AS score
+FROM t LEFT JOIN (SELECT rid, sum(x) AS x FROM s GROUP BY rid) a USING (rid)
+"""

@@ -29,7 +29,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"), order=3)
+    return lm.report(_table(spark, sf_dir, "documents"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontam": decontam.REPORT_SQL}
+    return {"op4_lm": lm.REPORT_SQL, "op9_substring": substring.REPORT_SQL, "op10_decontam": decontam.REPORT_SQL}

@@ -69,6 +69,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def partitions(spark: SparkSession) -> int:
+    """Into how many partitions a shuffle deals."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def neutral(docs: DataFrame) -> DataFrame:
     """``docs`` with every column but doc_id, text and n_chars under a name no operator uses; ``toDF(*names)`` restores them."""
     return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"_x{i}" for i, c in enumerate(docs.columns)))

@@ -3,15 +3,19 @@
 The reference is the corpus itself in document order, cut into blocks and indexed.  Of
 every window of ``WINDOW`` words the least-hashed gram of ``GRAM`` words is its anchor, so
 equal windows share their anchor wherever they start.  The windows of one anchor make a
-block; blocks with equal words are found by one shuffle on the anchor.  Every block but
-the first of its kind is a piece of a factor whose source starts earlier.  Where a
-matching run begins or ends, an anchor repeats while its blocks differ: there, at the
-factor boundaries, single windows are compared.  A document is parsed greedily into
-factors, longest runs that go on in one source; their words are the duplicate spans.
-
-Null text has no words.  Ties go to the smaller doc_id, then the earlier start; a null
-doc_id counts as the least.  Rows that share a doc_id share what is found in any of them,
-so rows must have ids of their own.  Blocks and windows are compared by 128 bits of hash.
+block, and the index holds every block under its anchor.  A document is factored against
+it: an anchor that the index holds is the seed of a factor; where the whole block is
+indexed, the seed grows to the block, and from there to the next block for as long as the
+same source goes on.  Each block is offered two sources, its first holder and the one next
+before it, and at each place the parse takes the source that reaches furthest.  Where a seed does
+not grow to its whole block, the factor's boundary lies inside: there single windows are
+looked up.  Factors of ``WINDOW`` words or more are the duplicate spans.
+
+Defined results: null text has no words.  Documents are ordered by doc_id (null least), rows that
+share a doc_id by a hash of their text, equal rows in any order; each row is a document of its own,
+so of equal rows one keeps its words.  Texts of fewer than ``WINDOW`` words stay whole.  Very long
+texts are read in bounded batches (a text beyond the bound alone).  An empty table gives no rows.
+Columns other than doc_id and text are not looked at.  Blocks and windows are compared by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -30,12 +34,10 @@ WINDOW = 20
 GRAM = 6
 #: Texts hashed together by a task, within which blocks are pre-aggregated.
 BATCH = 2048
-#: An anchor with differing blocks in more than one in so many texts of a batch is dealt by block.  Fewer than
-#: HOT_SHARE times the mean number of anchors a text has can be such, which bounds what is sent to the tasks.
-HOT_SHARE = 20
+#: An anchor with more blocks than so many mean partitions is dealt by block; fewer than the partitions can be such.
+HOT = 2
 #: Bits of the fixed-size filter of document ids that keeps untouched texts from being shuffled.
 FILTER_BITS = 1 << 23
-NULL_ID = -(1 << 63)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -105,22 +107,56 @@ def blocks(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
     return lo, hi, g[at[lo]], _range_hashes(h, lo, hi + window, _WORD_POWERS)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text): ``own`` is the given id and ``doc_id`` a number of the row's own in document order.
+
+    Where ids are whole and unique (one small aggregation tells), they are that number.  Else rows are ranked by one
+    range shuffle and prefix sums, equal rows spread over it, and written.
+    """
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
+    if d.groupBy("own").agg(F.count("*").alias("n")).where("n > 1 or own is null").isEmpty():
+        return d.select(F.col("own").alias("doc_id"), "own", "text")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = shared.task_partition(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict({"own": batch.column("own"), "text": batch.column("text"), "part": pa.array(np.full(n, part), pa.int32()), "at": pa.array(np.arange(at, at + n), pa.int64())})
+            at += n
+
+    order = ["own", "h", "m"]
+    ranked = d.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()}).repartitionByRange(shared.partitions(spark), *order).sortWithinPartitions(*order)
+    ranked = shared.materialise(ranked.select("own", "text").mapInArrow(place, "own long, text string, part int, at long"), "ranked")
+    base, bases = 0, []
+    for r in ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
+        bases.append((r.part, base))
+        base += r.n
+    named = ranked.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    return named.select((F.col("base") + F.col("at")).alias("doc_id"), "own", "text")
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in columns.items()})
 
 
-BLOCKS = "kind int, doc_id long, lo long, a long, v long, source long, at long"
+BLOCKS = "kind int, doc_id long, lo long, a long, v long, source long, at long, near long, near_at long"
+MATCHED = "kind int, doc_id long, lo long, source long, at long, near long, near_at long"
+
+
+def _rows(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; columns that are not given are 0."""
+    zero = np.zeros(n, np.int64)
+    names = [x.split()[0] for x in (BLOCKS if "a" in columns else MATCHED).split(", ")[1:]]
+    return _batch(kind=np.full(n, kind, np.int32), **{c: columns.get(c, zero) for c in names})
 
 
-def block_rows(docs: DataFrame) -> DataFrame:
-    """Blocks of all texts.  kind 0: the first of its batch (a, v); 1: a later one in its batch (source, at); 2: a hot anchor (a)."""
+def block_rows(docs: DataFrame, share: float) -> DataFrame:
+    """Blocks of all texts.  kind 0: the first of its batch (a, v); 1: a later one in its batch, with its two sources;
+    2: an anchor (a) with more than ``share`` of the batch's blocks (their number in v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches, BATCH):
+        for batch in shared.small_batches(batches, BATCH, "text"):
             ids = batch.column("doc_id").to_numpy()
             doc, lo, a, v = [], [], [], []
             for i, text in enumerate(shared.binary(batch.column("text"))):
@@ -139,34 +175,33 @@ def block_rows(docs: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (v[1:] != v[:-1])])
             first = np.flatnonzero(new)
             own = first[np.cumsum(new) - 1]
-            zero = np.zeros(len(first), np.int64)
-            yield _batch(kind=np.zeros(len(first), np.int32), doc_id=doc[first], lo=lo[first], a=a[first], v=v[first], source=zero, at=zero)
+            yield _rows(0, len(first), doc_id=doc[first], lo=lo[first], a=a[first], v=v[first])
             later = np.flatnonzero(~new)
             if len(later):
-                zero = np.zeros(len(later), np.int64)
-                yield _batch(kind=np.ones(len(later), np.int32), doc_id=doc[later], lo=lo[later], a=zero, v=zero, source=doc[own[later]], at=lo[own[later]])
+                src, near = own[later], later - 1
+                yield _rows(1, len(later), doc_id=doc[later], lo=lo[later], a=np.zeros(len(later), np.int64), source=doc[src], at=lo[src], near=doc[near], near_at=lo[near])
             anchor, n = np.unique(a[first], return_counts=True)
-            hot = anchor[n > max(8, batch.num_rows // HOT_SHARE)]
-            if len(hot):
-                zero = np.zeros(len(hot), np.int64)
-                yield _batch(kind=np.full(len(hot), 2, np.int32), doc_id=zero, lo=zero, a=hot, v=zero, source=zero, at=zero)
+            many = n > max(8, share * len(first))
+            if many.any():
+                yield _rows(2, int(many.sum()), a=anchor[many], v=n[many])
 
-    return _texts(docs).mapInArrow(run, BLOCKS)
+    return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
 def _match_blocks(hot: frozenset[int]):
-    """Over rows sorted by (k, a, v, doc_id, lo), k's groups whole: later blocks with their source, and first blocks to check.
+    """Over rows sorted by (k, a, v, doc_id, lo), k's groups whole: later blocks with their sources, and first blocks to check.
 
     Constant memory: of a group only its state is held.  A block is checked if its anchor has other blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first block so far of an anchor with one kind of block: it waits for a second kind
-        key = source = None
-        multiple = False
+        key = source = before = None
         for batch in batches:
             a, v, doc, lo = (batch.column(c).to_numpy() for c in ("a", "v", "doc_id", "lo"))
             n = len(a)
+            if not n:
+                continue
             prev_a, prev_v = np.concatenate([[0], a[:-1]]), np.concatenate([[0], v[:-1]])
             new_a, new_v = a != prev_a, v != prev_v
             if key is not None:
@@ -177,11 +212,9 @@ def _match_blocks(hot: frozenset[int]):
             at_first = np.maximum.accumulate(np.where(first, np.arange(n), -1))
             later = np.flatnonzero(~first)
             if len(later):
-                src = at_first[later]
-                carried = source or (0, 0)
-                src_doc = np.where(src >= 0, doc[src], carried[0])
-                src_lo = np.where(src >= 0, lo[src], carried[1])
-                yield _batch(kind=np.ones(len(later), np.int32), doc_id=doc[later], lo=lo[later], source=src_doc, at=src_lo)
+                src, carried, last = at_first[later], source or (0, 0), before or (0, 0)
+                near_doc, near_lo = np.concatenate([[last[0]], doc[:-1]]), np.concatenate([[last[1]], lo[:-1]])
+                yield _rows(1, len(later), doc_id=doc[later], lo=lo[later], source=np.where(src >= 0, doc[src], carried[0]), at=np.where(src >= 0, lo[src], carried[1]), near=near_doc[later], near_at=near_lo[later])
             # Groups of one anchor within this batch; the one under way goes on from the last batch.
             group = np.cumsum(new_a)
             kinds = np.bincount(group, weights=first, minlength=int(group[-1]) + 1)
@@ -191,7 +224,7 @@ def _match_blocks(hot: frozenset[int]):
             if group[0] == 0 and len(firsts):
                 many |= group[firsts] == 0  # the anchor under way has another block before
             if held is not None and group[0] == 0 and kinds[0] > 0:
-                yield _batch(kind=np.full(1, 3, np.int32), doc_id=np.array([held[0]]), lo=np.array([held[1]]), source=np.zeros(1, np.int64), at=np.zeros(1, np.int64))
+                yield _rows(3, 1, doc_id=np.array([held[0]]), lo=np.array([held[1]]))
                 held = None
             if group[-1] > 0:
                 held = None
@@ -200,18 +233,17 @@ def _match_blocks(hot: frozenset[int]):
                     held = (int(doc[last[0]]), int(lo[last[0]]))
             check = firsts[many]
             if len(check):
-                zero = np.zeros(len(check), np.int64)
-                yield _batch(kind=np.full(len(check), 3, np.int32), doc_id=doc[check], lo=lo[check], source=zero, at=zero)
+                yield _rows(3, len(check), doc_id=doc[check], lo=lo[check])
             if at_first[-1] >= 0:
                 source = (int(doc[at_first[-1]]), int(lo[at_first[-1]]))
-            key = (int(a[-1]), int(v[-1]))
+            key, before = (int(a[-1]), int(v[-1])), (int(doc[-1]), int(lo[-1]))
 
     return run
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w1, w2, doc_id, start): the windows of the blocks to check."""
-    for batch in shared.small_batches(batches, 256):
+    for batch in shared.small_batches(batches, 256, "text"):
         ids = batch.column("doc_id").to_numpy()
         out = []
         for i, (text, wanted) in enumerate(zip(shared.binary(batch.column("text")), batch.column("los").to_pylist(), strict=True)):
@@ -243,7 +275,7 @@ class IdFilter:
     def split(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(texts that may be in it, texts that are not)."""
         bits, table = self.words * 64, self.broadcast
-        keyed = texts.withColumn("_b0", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(bits))).withColumn("_b1", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(bits)))
+        placed = texts.withColumn("_b0", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(bits))).withColumn("_b1", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(bits)))
 
         def only(wanted: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,58 +285,76 @@ class IdFilter:
                     for c in ("_b0", "_b1"):
                         b = batch.column(c).to_numpy()
                         there &= (t[b // 64] >> (b % 64)) & 1 == 1
-                    yield batch.select(["doc_id", "text"]).filter(pa.array(there == wanted))
+                    yield batch.select(["doc_id", "own", "text"]).filter(pa.array(there == wanted))
 
             return run
 
-        return tuple(keyed.mapInArrow(only(w), "doc_id long, text string") for w in (True, False))
-
+        return tuple(placed.mapInArrow(only(w), "doc_id long, own long, text string") for w in (True, False))
 
-FOUND = "array<struct<start:bigint,windows:bigint,source:bigint,at:bigint>>"
 
+def found_pieces(texts: DataFrame) -> DataFrame:
+    """(doc_id, found): per document of ``texts`` (:func:`keyed`), the blocks and windows that start earlier elsewhere.
 
-def found_pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): per document, runs of windows that start earlier elsewhere, as (first, whole block or one window, source, place).
-
-    ``windows`` is 0 for a whole block (its windows follow from the text) and 1 for a single window.
+    A piece is (start, windows, source, at, near, near_at); ``windows`` is 0 for a whole block (its windows follow from the
+    text) and 1 for a single window.
     """
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = shared.materialise(block_rows(docs), "blocks")
-    hot = frozenset(r.a for r in rows.where("kind = 2").select("a").distinct().collect())
+    spark = texts.sparkSession
+    n = shared.partitions(spark)
+    rows = shared.materialise(block_rows(texts, HOT / n / 2), "blocks")
+    # An anchor with the share HOT / n of all blocks has half of it in batches that name it, so it is among these; they are fewer than n.
+    total = rows.where("kind = 0").count()
+    hot = rows.where("kind = 2").groupBy("a").agg(F.sum("v").alias("n")).where(F.col("n") > HOT / n / 2 * total).select("a")
+    named = frozenset(r.a for r in hot.collect())
     reps = rows.where("kind = 0").select("a", "v", "doc_id", "lo")
-    key = F.when(F.col("a").isin(list(hot)), F.col("v")).otherwise(F.col("a")) if hot else F.col("a")
-    dealt = reps.withColumn("k", key).repartition(n, "k").sortWithinPartitions("k", "a", "v", "doc_id", "lo")
-    matched = shared.materialise(dealt.mapInArrow(_match_blocks(hot), "kind int, doc_id long, lo long, source long, at long"), "matched")
-    later = rows.where("kind = 1").select("doc_id", "lo", "source", "at").unionByName(matched.where("kind = 1").select("doc_id", "lo", "source", "at"))
+    if named:
+        reps = reps.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "a", "left").withColumn("k", F.when(F.col("_hot"), F.col("v")).otherwise(F.col("a"))).drop("_hot")
+    else:
+        reps = reps.withColumn("k", F.col("a"))
+    dealt = reps.select("a", "v", "doc_id", "lo", "k").repartition(n, "k").sortWithinPartitions("k", "a", "v", "doc_id", "lo")
+    matched = shared.materialise(dealt.mapInArrow(_match_blocks(named), MATCHED), "matched")
+    columns = ["doc_id", "lo", "source", "at", "near", "near_at"]
+    later = rows.where("kind = 1").select(*columns).unionByName(matched.where("kind = 1").select(*columns))
     # At the factor boundaries: windows of the first block of each kind, where its anchor has other blocks.
     check = matched.where("kind = 3").groupBy("doc_id").agg(F.collect_list("lo").alias("los"))  # within a text's length
-    maybe, _ = IdFilter(check.select("doc_id")).split(_texts(docs))
-    windows = shared.materialise(maybe.join(check, "doc_id").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, start long"), "windows")
+    maybe, _ = IdFilter(check.select("doc_id")).split(texts)
+    windows = shared.materialise(maybe.join(check, "doc_id").select("doc_id", "text", "los").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, start long"), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
     single = windows.join(least, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    pieces = later.select("doc_id", F.struct(F.col("lo").alias("start"), F.lit(0).cast("long").alias("windows"), "source", "at").alias("x")).unionByName(
-        single.select("doc_id", F.struct("start", F.lit(1).cast("long").alias("windows"), F.col("first.doc_id").alias("source"), F.col("first.start").alias("at")).alias("x"))
-    )
+    piece = lambda windows, *c: F.struct(c[0].alias("start"), F.lit(windows).cast("long").alias("windows"), *(x.alias(n) for x, n in zip(c[1:], ("source", "at", "near", "near_at"), strict=True))).alias("x")
+    col, one = F.col, (F.col("first.doc_id"), F.col("first.start"))
+    pieces = later.select("doc_id", piece(0, *(col(c) for c in columns[1:]))).unionByName(single.select("doc_id", piece(1, col("start"), *one, *one)))
     found = shared.materialise(pieces.groupBy("doc_id").agg(F.collect_list("x").alias("found")), "found")  # within a text's length
     for df in (rows, matched, windows):
         shared.discard(df)
     return found
 
 
-def parse(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Factors (start, n_words, source document, source start) of one document.
+Piece = tuple[int, int, tuple[tuple[int, int], ...]]  #: first window, windows, sources (document, place)
 
-    ``pieces``: (first window, windows, source document, source start).  Greedy: a factor goes on
-    while the next piece starts right after it, in the same source at the following place.
+
+def parse(pieces: list[Piece]) -> list[tuple[int, int, int, int]]:
+    """The factors (start, n_words, source document, source start) of one document from its matched pieces.
+
+    Greedy: from the first word not yet behind a factor, the longest run of adjoining pieces that one source
+    holds in a row.  A factor may reach back into the words of the one before, as far as its first window does.
     """
-    factors: list[list[int]] = []
-    for start, windows, source, at in sorted(pieces):
-        if factors and (f := factors[-1])[2] == source and start == f[0] + f[1] and at - start == f[3] - f[0]:
-            f[1] += windows
-        else:
-            factors.append([start, windows, source, at])
-    return [(s, n + WINDOW - 1, source, at) for s, n, source, at in factors]
+    at = sorted(pieces)
+    starts = {p[0]: i for i, p in reversed(list(enumerate(at)))}
+    reach: dict[tuple[int, int, int], int] = {}  # (piece, source, diagonal) -> end of the run of windows from there
+    for i in range(len(at) - 1, -1, -1):
+        start, n, sources = at[i]
+        follows = starts.get(start + n)
+        for doc, place in sources:
+            run = (doc, place - start)
+            reach[i, *run] = reach.get((follows, *run), start + n) if follows is not None else start + n
+    factors, done = [], -1
+    for i, (start, n, sources) in enumerate(at):
+        if start + n <= done:
+            continue
+        end, doc, shift = max((reach[i, doc, place - start], -doc, place - start) for doc, place in sources)
+        factors.append((start, end - start + WINDOW - 1, -doc, start + shift))
+        done = end
+    return factors
 
 
 def covered(factors: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
@@ -320,7 +370,7 @@ def factors_of(text: bytes, found: list[dict]) -> list[tuple[int, int, int, int]
     """The factors of a text from its found pieces."""
     lo, hi, _, _ = blocks(word_hashes(text))
     size = dict(zip(lo.tolist(), (hi - lo + 1).tolist(), strict=True))
-    return parse([(x["start"], x["windows"] or size[x["start"]], x["source"], x["at"]) for x in found if x["windows"] or x["start"] in size])
+    return parse([(x["start"], x["windows"] or size[x["start"]], tuple(dict.fromkeys([(x["source"], x["at"]), (x["near"], x["near_at"])]))) for x in found])
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -328,17 +378,17 @@ REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches, 256):
+        for batch in shared.small_batches(batches, 256, "text"):
             out = []
             founds = batch.column("found").to_pylist() if "found" in batch.schema.names else [None] * batch.num_rows
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), shared.binary(batch.column("text")), founds, strict=True):
+            for doc, text, found in zip(batch.column("own").to_pylist(), shared.binary(batch.column("text")), founds, strict=True):
                 words = text.split()
                 kept = words
-                if found and len(words) >= WINDOW:
+                if found:
                     gone = covered(factors_of(text, found), len(words))
                     kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 joined = b" ".join(kept)
-                out.append((None if doc == NULL_ID else doc, len(words), len(words) - len(kept), joined.decode() if with_text else hashlib.sha256(joined).hexdigest()))
+                out.append((doc, len(words), len(words) - len(kept), joined.decode() if with_text else hashlib.sha256(joined).hexdigest()))
             if out:
                 names = ["doc_id", "n_words", "n_removed", "text" if with_text else "kept_sha256"]
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string() if n in ("text", "kept_sha256") else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)})
@@ -348,19 +398,35 @@ def _cut(with_text: bool):
 
 def report(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (or ``text``, the kept words joined by one space)."""
-    found = found_pieces(docs)
-    maybe, untouched = IdFilter(found.select("doc_id")).split(_texts(docs))
+    texts = keyed(docs)
+    found = found_pieces(texts)
+    maybe, untouched = IdFilter(found.select("doc_id")).split(texts)
     shape = REPORT.replace("kept_sha256", "text") if with_text else REPORT
-    return maybe.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_cut(with_text), shape).unionByName(untouched.mapInArrow(_cut(with_text), shape))
+    return maybe.join(found, "doc_id", "left").select("own", "text", "found").mapInArrow(_cut(with_text), shape).unionByName(untouched.select("own", "text").mapInArrow(_cut(with_text), shape))
 
 
 def factor_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, source, at): every factor, in words."""
+    """(doc_id, start, n_words, source, at): every factor, in words; doc_id and source are the numbers of :func:`keyed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches, 256):
+        for batch in shared.small_batches(batches, 256, "text"):
             rows = [(doc, *f) for doc, text, found in zip(batch.column("doc_id").to_pylist(), shared.binary(batch.column("text")), batch.column("found").to_pylist(), strict=True) for f in factors_of(text, found)]
             if rows:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_words", "source", "at"), zip(*rows, strict=True), strict=True)})
 
-    return _texts(docs).join(found_pieces(docs), "doc_id").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, start long, n_words long, source long, at long")
+    texts = keyed(docs)
+    return texts.join(found_pieces(texts), "doc_id").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, start long, n_words long, source long, at long")
+
+
+#: The same in DuckDB: a window's words by nineteen leads.  Ids must be unique there.
+REPORT_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+g AS (SELECT doc_id, i, w, lead(w, {WINDOW - 1}) OVER d IS NOT NULL AS whole, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER d" for k in range(1, WINDOW))}) AS x
+    FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, w, whole AND row_number() OVER (PARTITION BY whole, x ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT doc_id, i, w, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, sum(gone) AS n, string_agg(w, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""

@@ -113,23 +113,28 @@ def test_pii_terms(spark):
     assert "term:3:10" in got[0] and got[0].startswith("email:23:34") and got[10] == ""
 
 
-def test_lm(docs, none):
-    rows = {i: t.encode().lower().split() for i, t in texts().items()}
-    count, total = Counter(), sum(map(len, rows.values()))
-    for w in rows.values():
-        count.update([*((a,) for a in w), *zip(w, w[1:], strict=False)])
-    got = {r.doc_id: r for r in lm.score(docs, buckets=7).collect()}
-    for i, w in rows.items():
-        own = Counter([*((a,) for a in w), *zip(w, w[1:], strict=False)])
-        s = 0.0
-        for k, x in enumerate(w):
-            uni = max(count[(x,)] - own[(x,)], 1) / max(total - len(w), 1)
-            if k:
-                bi, c = count[(w[k - 1], x)] - own[(w[k - 1], x)], count[(w[k - 1],)] - own[(w[k - 1],)]
-                uni = bi / c if bi > 0 and c > 0 else lm.ALPHA * uni
-            s += math.log(uni)
-        assert got[i].n_tokens == len(w) and math.isclose(got[i].log_score, s, rel_tol=1e-9, abs_tol=1e-6)
-    assert lm.score(none).count() == 0
+@pytest.mark.parametrize(("order", "hot"), [(2, 2), (3, 2), (3, 0.001)])
+def test_lm(spark, docs, order, hot):
+    extra = spark.createDataFrame([(3, "one"), (3, "another text"), (None, "a a b a"), (None, None), (20, "one")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").unionByName(extra)
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in table.collect()]
+    grams = lambda w: [tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+    count, total = Counter(g for _, w in rows for g in grams(w)), sum(len(w) for _, w in rows)
+    want = []
+    for i, w in rows:
+        own, s = Counter(grams(w)), 0.0
+        rest = lambda g: count[g] - own[g]  # noqa: E731, B023
+        for k in range(len(w)):
+            x = max(rest((w[k],)), 1) / max(total - len(w), 1)
+            for n in range(2, min(order, k + 1) + 1):
+                g = tuple(w[k - n + 1 : k + 1])
+                x = rest(g) / rest(g[:-1]) if rest(g) > 0 else lm.ALPHA * x
+            s += math.log(x)
+        want.append((i if i is not None else -1, len(w), round(s, 5)))
+    got = [(r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.log_score, 5)) for r in lm.score(table, order, hot=hot).collect()]
+    for a, b in zip(sorted(want), sorted(got), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-8, abs_tol=2e-5)
+    assert lm.score(table.limit(0)).count() == 0
 
 
 def test_ogg(docs, none):
