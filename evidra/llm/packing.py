@@ -39,6 +39,9 @@ class Limits:
     pad: int = 4  #: a gap of so many tokens is padded rather than filled by a cut
 
 
+GONE = 1e18  #: the size of a place whose example is taken
+
+
 @dataclass
 class Piece:
     doc: int | None
@@ -66,7 +69,7 @@ class Packer:
     def __init__(self, limits: Limits):
         self.limits = limits
         self.items: list[Piece | None] = []
-        self.size = np.zeros((limits.waiting + 1, 3))  # tokens, segments, loss-bearing tokens
+        self.size = np.zeros((3, limits.waiting + 1))  # tokens, segments, loss-bearing tokens
         self.live = 0
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
@@ -95,43 +98,43 @@ class Packer:
             yield self._fill()
 
     def _wait(self, piece: Piece) -> None:
-        if len(self.items) == len(self.size):
+        if len(self.items) == self.size.shape[1]:
             self._compact()
-        self.size[len(self.items)] = (len(piece.ids), 1, piece.loss())
+        self.size[:, len(self.items)] = (len(piece.ids), 1, piece.loss())
         self.items.append(piece)
         self.live += 1
 
     def _compact(self) -> None:
         keep = [i for i, p in enumerate(self.items) if p is not None]
-        self.size[: len(keep)] = self.size[keep]
+        self.size[:, : len(keep)] = self.size[:, keep]
         self.items = [self.items[i] for i in keep]
-        if len(self.items) == len(self.size):
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        if len(self.items) == self.size.shape[1]:
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)], axis=1)
 
     def _take(self, i: int) -> Piece:
         piece, self.items[i] = self.items[i], None
-        self.size[i] = np.inf
+        self.size[:, i] = GONE
         self.live -= 1
         return piece
 
     def _fill(self) -> list[Piece]:
         if self.live and len(self.items) > 2 * self.live:
             self._compact()
-        caps = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], float)
-        free, placed = caps.copy(), []
+        caps = (self.limits.tokens, self.limits.segments, self.limits.loss_tokens)
+        free, placed = list(caps), []
         while free[0] > 0 and free[1] > 0 and self.live:
-            size = self.size[: len(self.items)]
-            fits = (size <= free).all(axis=1)
-            if not fits.any():
+            tokens, segments, loss = self.size[:, : len(self.items)]
+            fits = (tokens <= free[0]) & (segments <= free[1]) & (loss <= free[2])
+            dot = tokens * (free[0] / caps[0] ** 2) + segments * (free[1] / caps[1] ** 2) + loss * (free[2] / caps[2] ** 2)
+            i = int(np.argmax(np.where(fits, dot, -1.0)))
+            if not fits[i]:
                 break
-            score = np.where(fits, np.where(fits[:, None], size, 0) @ (free / caps**2), -1.0)
-            i = int(np.argmax(score))
-            free -= size[i]
+            free = [f - int(x) for f, x in zip(free, self.size[:, i], strict=True)]
             placed.append(self._take(i))
         if self.live and free[0] > self.limits.pad and free[1] > 0:
-            left = np.where(np.isfinite(self.size[: len(self.items), 0]), self.size[: len(self.items), 0], -1)
-            i = int(np.argmax(left))
-            length = min(int(free[0]), self.items[i].fits_loss(int(free[2])))
+            tokens = self.size[0, : len(self.items)]
+            i = int(np.argmax(np.where(tokens < GONE, tokens, -1)))
+            length = min(free[0], self.items[i].fits_loss(free[2]))
             if 0 < length:
                 piece = self._take(i)
                 head, rest = piece.cut(min(length, len(piece.ids)))

@@ -59,15 +59,17 @@ class WordEncoder:
             for token, i in vocab.items():
                 self.ends[i] = token.endswith("</w>")
             self.pieces["\n"] = np.array([BREAK], self.dtype).tobytes()
-            self.letters = {b: s for b, s in _byte_letters().items()}
+            self.letters = [(chr(b), s) for b, s in _byte_letters().items() if b > 126 and chr(b) != s]
 
     def _encode_pieces(self, missing: list[str]) -> None:
         for start in range(0, len(missing), 4000):
             part = missing[start : start + 4000]
             shown = " ".join(part)
             if not shown.isascii():
-                shown = " ".join([p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode())) for p in part])
-            ids = np.array(self.bare.encode(shown, add_special_tokens=False).ids, dtype=self.dtype)
+                shown = shown.encode().decode("latin-1")
+                for byte, letter in self.letters:
+                    shown = shown.replace(byte, letter)
+            ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):  # a vocabulary that lacks a letter
                 self.pieces.update((p, self._direct(p)) for p in part)
@@ -78,35 +80,37 @@ class WordEncoder:
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > MEMO:
-            self.words.clear()
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """The packed ids of words outside the memo, which enter it."""
         if len(self.pieces) > MEMO:
             self.pieces = {"\n": self.pieces["\n"]} if self.fast else {}
-        other = [] if self.fast else list(missing)
+        other = [] if self.fast else missing
         if self.fast and not LATIN("".join(set((b"".join(missing)).decode("utf-8", "replace")))):
             other = [w for w in missing if not LATIN(w.decode("utf-8", "replace"))]
-        for w, made in zip(other, self.whole.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(made.ids, dtype=self.dtype).tobytes()
-        plain = list(missing.difference(other)) if other else list(missing)
-        for start in range(0, len(plain) if self.fast else 0, STEP):
+        made = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        new = {w: np.array(x.ids, dtype=self.dtype).tobytes() for w, x in zip(other, made, strict=True)}
+        plain = [w for w in missing if w not in new] if other else missing
+        for start in range(0, len(plain), STEP):
             some = plain[start : start + STEP]
             # Words hold no line feed, so all are lowered and split into pieces in one go, each closed by a line feed.
             found = SPLIT((b"\n".join(some) + b"\n").decode().lower())
             self._encode_pieces(list(set(found).difference(self.pieces)))
             raw, size = b"".join(map(self.pieces.__getitem__, found)), self.dtype.itemsize
             ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == BREAK) * size).tolist()
-            self.words.update(zip(some, [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
+            new.update(zip(some, [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
+        if len(self.words) + len(new) > MEMO:
+            self.words = {}
+        self.words.update(new)
+        return list(map(new.__getitem__, missing))
 
     def _known(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of distinct words."""
-        missing = set(words).difference(self.words)
-        if missing:
-            before = len(self.words)
-            self._learn(missing)
-            if len(self.words) < before:  # the memo started afresh
-                self._learn(set(words).difference(self.words))
-        return list(map(self.words.__getitem__, words))
+        got = list(map(self.words.get, words))
+        holes = [i for i, x in enumerate(got) if x is None]
+        if holes:
+            for i, x in zip(holes, self._learn([words[i] for i in holes]), strict=True):
+                got[i] = x
+        return got
 
     def flat(self, texts: pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings; null is empty) in a row, each with the end id after it, and their offsets."""
@@ -131,11 +135,11 @@ class WordEncoder:
             known.append(np.array([END_ID], self.dtype).tobytes())
             which = np.insert(which, edges[1:], len(known) - 1)
             edges += np.arange(len(edges))
-        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        begin = np.cumsum(size) - size
-        ids, n = np.frombuffer(b"".join(known), self.dtype), size[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return ids[np.repeat(begin[which] - ends[:-1], n) + np.arange(ends[-1])], ends[edges]
+        if not len(which):
+            return np.zeros(0, self.dtype), np.zeros(len(edges), np.int64)
+        rows = pa.array(known, pa.large_binary()).take(pa.array(which))
+        ends = np.frombuffer(rows.buffers()[1], np.int64)[: len(which) + 1] // self.dtype.itemsize
+        return np.frombuffer(rows.buffers()[2], self.dtype, count=int(ends[-1])), ends[edges]
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, with the end id after it."""
