@@ -1,16 +1,21 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions alone.
 
-Base entities are found by pattern (email, ip, card, phone).  Beyond them, a term is
-disclosive when the corpus says it reveals an entity: with N distinct texts, c(e) of
-them holding the entity, c(t) the term, and c(t, e) the term next to the entity,
+Base entities are found by pattern (email, ip, card, phone).  Beyond them, a term (a word or number)
+is disclosive when the corpus says it reveals an entity: with N distinct texts, c(e) of
+them holding the entity, c(t) the term, and c(t, e) both, anywhere in the text,
 
     PMI(t, e) = log2(N c(t, e) / (c(t) c(e))),    IC(e) = log2(N / c(e)),
 
-and the term is generalised or removed next to that entity where PMI / IC reaches the
-disclosure threshold.  All counts are over distinct texts, so copies add no evidence,
-and over all documents.  Terms need ``MIN_SUPPORT`` texts with the entity.
+and the term is treated in the texts that hold the entity where PMI / IC reaches the disclosure
+threshold and c(t, e) lies ``BEYOND`` standard errors above what chance gives: generalised to its
+kind (name, number, word), or removed where the ratio reaches ``REMOVE``.  All counts are over
+distinct texts, so copies add no evidence, and over all documents.  Pairs need ``MIN_SUPPORT`` texts.
 
-Null text counts as empty.  Repeated rows are each reported.  Positions are code points.
+Defined results: null text counts as empty and has no spans.  Repeated rows, and rows that share an id, are
+each reported; what is found depends on a row's text alone.  Spans that overlap are reported each and replaced
+as one.  Positions are code points.  Very long texts are read whole, by regular expressions without
+backtracking and by scans in steps of ``STEP`` spans.  An empty table gives no rows.  Columns other than
+doc_id and text are left as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -39,13 +44,48 @@ NEEDS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-CONTEXT = 80  #: code points on either side of an entity in which terms count as next to it
 MIN_SUPPORT = 3
 THRESHOLD = 0.5
+REMOVE = 0.9
+BEYOND = 5.0
 BROADCAST_TERMS = 50_000
+BROADCAST_SPANS = 500_000
 PART = 16  #: one in so many texts gives the first lower bound of a term's count
-TERM = r"\p{L}{4,}"
+STEP = 128  #: spans that one scan holds
+PIECE = 4096  #: code points of a text that are searched for a place
+TERM = r"[\p{L}\p{N}]++"
+LABELS = {"name": "<NAME>", "number": "<NUMBER>", "word": "<WORD>", "gone": ""}
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_PLACES = "array<struct<start:int,end:int,kind:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once, however often and wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, zero: Column, place, shape: str) -> Column:
+    """The array of what ``place(state, item)`` -> (state, out) gives from left to right.
+
+    In steps, so that an array being built is short: a long one would be copied for every item.
+    """
+
+    def within(state: Column, some: Column) -> Column:
+        start = F.struct(state.alias("s"), F.array().cast(shape).alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            s, out = place(acc["s"], x)
+            return F.struct(s.alias("s"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+        return F.aggregate(some, start, add)
+
+    def whole(items: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(items, i + 1, STEP))
+        first = F.array(F.struct(zero.alias("s"), F.array().cast(shape).alias("out")))
+        done = F.aggregate(steps, first, lambda acc, some: F.concat(acc, F.array(within(F.element_at(acc, -1)["s"], some))))
+        return F.flatten(F.transform(done, lambda x: x["out"]))
+
+    return _let(items, whole)
 
 
 def _digits(value: Column) -> Column:
@@ -74,118 +114,135 @@ VALID = {
 
 def _located(text: Column, pattern: str, kind: str) -> Column:
     """All matches with their places: what lies between them, from a split on the same pattern, gives the offsets."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, value: F.struct(F.char_length(gap).alias("gap"), value.alias("value"), F.char_length(value).alias("n")))
+    def place(at: Column, step: Column) -> tuple[Column, Column]:
+        start = at + step["gap"]
+        return start + step["n"], F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + step["n"]).alias("end"), step["value"].alias("value"))
 
-    def place(state: Column, step: Column) -> Column:
-        start = state["at"] + step["gap"]
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + step["n"]).alias("end"), step["value"].alias("value"))
-        return F.struct((start + step["n"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def found(matches: Column) -> Column:
+        between = F.split(text, pattern, -1)
+        steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, value: F.struct(F.char_length(gap).alias("gap"), value.alias("value"), F.char_length(value).alias("n")))
+        return F.when(F.size(matches) > 0, _scan(steps, F.lit(0), place, _SPANS)).otherwise(F.array().cast(_SPANS))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.aggregate(steps, start, place, lambda state: state["spans"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def _valid(kind: str):
     return lambda x: VALID[kind](x["value"])
 
 
-def _ranked(rank: int):
-    return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"))
-
-
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind, the kept matches in order: array of (kind, start, end, value)."""
     none = F.array().cast(_SPANS)
     return {k: F.when(NEEDS[k](text), F.filter(_located(text, PATTERNS[k], k), _valid(k))).otherwise(none) for k in KINDS}
 
 
+def _with_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_t`` (text or empty) and ``_h`` (its hash)."""
+    return docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_h", F.xxhash64("_t"))
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_t`` (text or empty), ``_h`` (its hash) and one ``_<kind>`` array per kind."""
-    d = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_h", F.xxhash64("_t"))
+    """``docs`` with ``_t``, ``_h`` and one ``_<kind>`` array per kind."""
+    d = _with_text(docs)
     for kind, spans in base_spans(F.col("_t")).items():
         d = d.withColumn(f"_{kind}", spans)
-    return d.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in KINDS)))
-
-
-def _context_terms(text: Column, entity: Column) -> Column:
-    """Terms near an entity with their places, from whole words on either side of it."""
-    start, end = entity["start"], entity["end"]
-    left_at = F.greatest(start - CONTEXT, F.lit(0))
-    left = F.substring(text, left_at + 1, start - left_at)
-    right = F.substring(text, end + 1, F.lit(CONTEXT))
-    # A word cut off at the far edge is no term: blank it out, so that places stay.
-    cut = F.when(left_at > 0, F.char_length(F.regexp_extract(left, r"^\p{L}*", 0))).otherwise(F.lit(0))
-    left = F.concat(F.repeat(F.lit(" "), cut), F.substring(left, cut + 1, F.lit(CONTEXT)))
-    right = F.when(F.char_length(right) < CONTEXT, right).otherwise(F.regexp_replace(right, r"\p{L}*$", ""))
-    found = F.transform(_located(left, TERM, "term"), lambda x: F.struct(F.lower(x["value"]).alias("term"), (x["start"] + left_at).alias("start"), (x["end"] + left_at).alias("end")))
-    after = F.transform(_located(right, TERM, "term"), lambda x: F.struct(F.lower(x["value"]).alias("term"), (x["start"] + end).alias("start"), (x["end"] + end).alias("end")))
-    return F.concat(found, after)
-
-
-def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, h, entity, term, start, end): each term next to each entity occurrence."""
-    e = found.where(F.size("_base") > 0).select("doc_id", "_t", "_h", F.explode("_base").alias("e"))
-    name = F.concat(F.col("e.kind"), F.lit(":"), F.when(F.col("e.kind") == "email", F.lower("e.value")).when(F.col("e.kind") == "ip", F.col("e.value")).otherwise(_digits(F.col("e.value"))))
-    return e.select("doc_id", F.col("_h").alias("h"), name.alias("entity"), F.explode(_context_terms(F.col("_t"), F.col("e"))).alias("x")).select("doc_id", "h", "entity", "x.*")
-
-
-def revealing_terms(docs: DataFrame, near: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(entity, term): pairs at or beyond the disclosure threshold, or None if there is none."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    total = docs.select(F.xxhash64(text).alias("h")).distinct().count()
-    c_e = near.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    # A term stands in at least as many texts as it stands in next to any entity, which bounds its PMI from above:
+    return d
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def entities_of(found: DataFrame) -> DataFrame:
+    """(h, entity): the entities of each distinct text of ``found`` (_h, _base)."""
+    e = found.where(F.size("_base") > 0).select(F.col("_h").alias("h"), F.explode("_base").alias("e"))
+    value = F.when(F.col("e.kind") == "email", F.lower("e.value")).when(F.col("e.kind") == "ip", F.col("e.value")).otherwise(_digits(F.col("e.value")))
+    return e.select("h", F.concat(F.col("e.kind"), F.lit(":"), value).alias("entity")).distinct()
+
+
+def _small(df: DataFrame, bound: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
+    """(entity, term, ratio) of pairs at or beyond the disclosure threshold, and (h, entity) of the texts they are in; or None if there is none.
+
+    A pair stands in no more texts than its entity, so entities in fewer than ``min_support`` texts need no terms.
+    """
+    held = shared.materialise(entities_of(found), "entities")
+    c_e = held.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= min_support)
+    held = shared.materialise(held.join(c_e, "entity"), "entities")
+    if held.isEmpty():
+        return None
+    of = held.groupBy("h").agg(F.collect_list(F.struct("entity", "c_e")).alias("es"))  # the entities of one text
+    texts = _with_text(docs).select(F.col("_h").alias("h"), "_t").join(_small(of, BROADCAST_TERMS), "h").dropDuplicates(["h"])
+    near = shared.materialise(texts.select("es", _terms(F.col("_t")).alias("ts")), "near")
+    total = found.select("_h").distinct().count()
+    pairs = near.select(F.explode("es").alias("e"), "ts").select("e.*", F.explode("ts").alias("term")).groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
+    # A term stands in at least as many texts as it stands in beside any entity, which bounds its PMI from above:
     # pairs whose bound is short of the threshold need no corpus count.
-    c_near = near.select("term", "h").distinct().groupBy("term").agg(F.count("*").alias("c_near"))
-    pairs = near.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
-    pairs = shared.materialise(pairs.join(c_e, "entity").join(c_near, "term").withColumn("n", F.lit(total)), "pairs")
+    c_near = near.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("c_near"))
+    pairs = shared.materialise(pairs.join(c_near, "term").withColumn("n", F.lit(total)), "pairs")
     # So does a count over any part of the texts: one part in PART, by hash, settles the common terms at little cost.
-    part = _text_counts(docs.where(F.pmod(F.xxhash64(text), F.lit(PART)) == 0), _may_reveal(pairs, F.col("c_near"), threshold))
-    pairs = None if part is None else shared.materialise(pairs.join(part, "term", "left").withColumn("c_near", F.greatest("c_near", F.coalesce("c_t", F.lit(0).cast("long")))).drop("c_t"), "pairs")
-    left = None if pairs is None else _may_reveal(pairs, F.col("c_near"), threshold)
-    c_t = None if left is None else _text_counts(docs, left)
-    return None if c_t is None else _may_reveal(left.join(c_t, "term"), F.col("c_t"), threshold).select("entity", "term")
+    part = _text_counts(docs, _may_reveal(pairs, F.col("c_near"), threshold), F.pmod(F.col("_h"), F.lit(PART)) == 0)
+    if part is None:
+        return None
+    bound = F.greatest("c_near", F.coalesce("c_t", F.lit(0).cast("long")))
+    left = shared.materialise(_may_reveal(pairs.join(part, "term", "left").withColumn("c_near", bound).drop("c_t"), F.col("c_near"), threshold), "pairs")
+    c_t = _text_counts(docs, left)
+    if c_t is None:
+        return None
+    shown = _may_reveal(left.join(c_t, "term"), F.col("c_t"), threshold).withColumn("ratio", _ratio(F.col("c_t"))).select("entity", "term", "ratio")
+    return shared.materialise(shown, "revealing"), held.select("h", "entity")
+
+
+def _ratio(c_t: Column) -> Column:
+    """PMI / IC of a pair whose term stands in ``c_t`` texts."""
+    return F.log2(F.col("n") * F.col("c_te") / (c_t * F.col("c_e"))) / F.log2(F.col("n") / F.col("c_e"))
 
 
 def _may_reveal(pairs: DataFrame, c_t: Column, threshold: float) -> DataFrame:
-    """Pairs at or beyond the threshold if their term stands in ``c_t`` texts."""
-    ic = F.log2(F.col("n") / F.col("c_e"))
-    return pairs.where((ic > 0) & (F.log2(F.col("n") * F.col("c_te") / (c_t * F.col("c_e"))) >= threshold * ic))
+    """Pairs at or beyond the threshold, and beyond chance, if their term stands in ``c_t`` texts."""
+    expected = c_t * F.col("c_e") / F.col("n")
+    chance = F.col("c_te") - expected >= BEYOND * F.sqrt(expected * (1 - F.col("c_e") / F.col("n")))
+    return pairs.where((F.col("c_e") < F.col("n")) & (_ratio(c_t) >= threshold) & chance)
 
 
-def _text_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """(term, c_t): in how many distinct texts of ``docs`` each term of ``pairs`` stands; None without terms."""
-    terms = pairs.select("term").distinct()
-    n_terms = terms.limit(BROADCAST_TERMS + 1).count()
-    if not n_terms:
+def _text_counts(docs: DataFrame, pairs: DataFrame, which: Column | None = None) -> DataFrame | None:
+    """(term, c_t): in how many distinct texts of ``docs`` (of those that ``which`` names) each term of ``pairs`` stands; None without terms."""
+    terms = shared.materialise(pairs.select("term").distinct(), "terms")
+    if terms.isEmpty():
         return None
-    if n_terms <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.xxhash64(text).alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    return own.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c_t"))
+    d = _with_text(docs.select("text"))
+    d = d if which is None else d.where(which)
+    own = d.select("_h", F.explode(_terms(F.col("_t"))).alias("term")).join(_small(terms, BROADCAST_TERMS), "term", "left_semi")
+    return own.distinct().groupBy("term").agg(F.count("*").alias("c_t"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(doc_id, h, terms): the places of disclosive terms in each text that has some."""
-    near = shared.materialise(contexts(found), "contexts")
-    pairs = revealing_terms(docs, near, min_support, threshold)
-    if pairs is None:
+    """(h, terms): the places and kinds of disclosive terms in each distinct text that has some."""
+    got = revealing_terms(docs, found, min_support, threshold)
+    if got is None or got[0].isEmpty():
         return None
-    # Spans of one text, bounded by its length.
-    return near.join(pairs, ["entity", "term"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    pairs, held = got
+    # Terms that an entity of the text reveals; the highest ratio counts.
+    named = held.join(pairs, "entity").groupBy("h", "term").agg(F.max("ratio").alias("ratio"))
+    of = shared.materialise(named.select("h").distinct(), "texts")
+    texts = _with_text(docs).select(F.col("_h").alias("h"), "_t").join(_small(of, BROADCAST_TERMS), "h", "left_semi").dropDuplicates(["h"])
+    at = texts.select("h", F.explode(_located(F.col("_t"), TERM, "term")).alias("x")).withColumn("term", F.lower("x.value"))
+    value = F.col("x.value")
+    kind = F.when(F.col("ratio") >= REMOVE, "gone").when(value.rlike(r"\p{N}"), "number").when(value.rlike(r"^\p{Lu}"), "name").otherwise("word")
+    # Terms of one text, bounded by its length.
+    placed = at.join(named, ["h", "term"]).groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end"), kind.alias("kind")))).alias("terms"))
+    return shared.materialise(placed, "term-spans")
 
 
-def _with_terms(docs: DataFrame, min_support: int, threshold: float) -> DataFrame:
-    found = detect(docs)
-    terms = term_spans(docs, found, min_support, threshold)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    if terms is None:
-        return found.withColumn("_terms", none)
-    terms = terms.select(F.col("doc_id").alias("_d"), F.col("h").alias("_th"), F.col("terms").alias("_terms"))
-    return found.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left").drop("_d", "_th").withColumn("_terms", F.coalesce("_terms", none))
+def _few(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if they have few spans in all."""
+    n = terms.agg(F.sum(F.size("terms")).alias("n")).first().n or 0
+    return F.broadcast(terms) if n <= BROADCAST_SPANS else terms
 
 
 def _shown(spans: Column) -> Column:
@@ -193,46 +250,73 @@ def _shown(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, counts per base kind, base_sha256, spans (base spans, then disclosive terms)."""
+    """Per row: doc_id, counts per base kind, base_sha256, spans (base spans, then disclosive terms), n_term."""
     d = docs.select("doc_id", "text")
-    found = detect(d).select("doc_id", "_h", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), _shown(F.col("_base")).alias("_b"))
-    terms = term_spans(d, detect(d), min_support, threshold)
-    out = [F.col("doc_id"), *(F.col(f"n_{k}") for k in KINDS), F.sha2("_b", 256).alias("base_sha256")]
+    found = detect(d).select("doc_id", "_h", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.concat(*(F.col(f"_{k}") for k in KINDS)).alias("_base"))
+    found = shared.materialise(found, "spans")
+    terms = term_spans(d, found, min_support, threshold)
+    base = _shown(F.col("_base"))
+    out = [F.col("doc_id"), *(F.col(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256")]
     if terms is None:
-        return found.select(*out, F.col("_b").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+        return found.select(*out, base.alias("spans"), F.lit(0).cast("long").alias("n_term"))
     shown = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
-    terms = terms.select(F.col("doc_id").alias("_d"), F.col("h").alias("_th"), shown.alias("_more"), F.size("terms").cast("long").alias("n_term"))
-    j = found.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left")
-    spans = F.concat_ws(",", F.nullif(F.col("_b"), F.lit("")), F.col("_more"))
-    return j.select(*out, spans.alias("spans"), F.coalesce("n_term", F.lit(0).cast("long")).alias("n_term"))
+    j = found.join(_few(terms).withColumnRenamed("h", "_h"), "_h", "left")
+    spans = F.concat_ws(",", F.nullif(base, F.lit("")), shown)
+    return j.select(*out, spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
+
+
+def _replaced(text: Column, spans: Column, label) -> Column:
+    """``text`` with each of its disjoint spans replaced; a place is looked for in its piece of the text alone."""
+
+    def made(pieces: Column, spans: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.substring(some, start - first * PIECE + 1, end - start)
+
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+        gaps = F.zip_with(F.slice(ends, 1, F.size(spans)), spans, lambda at, x: F.concat(between(at, x["start"]), label(x)))
+        return F.concat(F.array_join(gaps, ""), between(F.element_at(ends, -1), F.char_length(text)))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.char_length(text), F.lit(PIECE)), lambda i: F.substring(text, i + 1, F.lit(PIECE)))
+    return _let(pieces, lambda p: _let(spans, lambda x: made(p, x)))
 
 
 def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each entity generalised to its kind and each disclosive term to a placeholder.
+    """``docs`` with each entity generalised to its kind and each disclosive term to its own or removed.
 
     Overlapping spans are joined; the joined span takes the kind that comes first.
     Texts without spans, null among them, stay exactly as they are; ``n_chars`` follows the new text where it exists.
     """
     own = shared.neutral(docs)
     columns = own.columns
-    d = _with_terms(own, min_support, threshold)
-    order = {k: i for i, k in enumerate((*KINDS, "term"))}
-    ranked = [F.transform(f"_{k}", _ranked(order[k])) for k in KINDS]
-    ranked.append(F.transform("_terms", _ranked(len(KINDS))))
-    d = d.withColumn("_all", F.array_sort(F.concat(*ranked)))
+    found = shared.materialise(detect(own.select("text")).select("_h", F.concat(*(F.col(f"_{k}") for k in KINDS)).alias("_base")).where(F.size("_base") > 0), "spans")
+    every = _with_text(own.select("text")).select("_h").distinct()
+    terms = term_spans(own, every.join(found.dropDuplicates(["_h"]), "_h", "left").select("_h", F.coalesce("_base", F.array().cast(_SPANS)).alias("_base")), min_support, threshold)
+    d = detect(own)
+    if terms is None:
+        d = d.withColumn("terms", F.array().cast(_PLACES))
+    else:
+        d = d.join(_few(terms).withColumnRenamed("h", "_h"), "_h", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_PLACES)))
+    labels = [f"<{k.upper()}>" for k in KINDS] + list(LABELS.values())
+    kinds = [*KINDS, *LABELS]
+    rank = lambda x: (F.array_position(F.array(*map(F.lit, kinds)), x["kind"]) - 1).cast("int")
+    ranked = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), rank(x).alias("rank")))
+    d = d.withColumn("_all", F.array_sort(F.concat(*(ranked(F.col(c)) for c in (*(f"_{k}" for k in KINDS), "terms")))))
     shape = "array<struct<start:int,end:int,rank:int>>"
 
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        merged = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.least(last["rank"], x["rank"]).alias("rank"))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) > 0) & (x["start"] < last["end"]), F.concat(head, F.array(merged))).otherwise(F.concat(acc, F.array(x)))
-
-    d = d.withColumn("_joined", F.aggregate("_all", F.array().cast(shape), join))
-    labels = F.array(*(F.lit(f"<{k.upper()}>") for k in (*KINDS, "term")))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_joined", lambda x: x["end"]))
-    gaps = F.zip_with(F.slice(ends, 1, F.size("_joined")), F.col("_joined"), lambda at, x: F.concat(F.substring(F.col("_t"), at + 1, x["start"] - at), F.get(labels, x["rank"])))
-    tail = F.substring(F.col("_t"), F.element_at(ends, -1) + 1, F.char_length("_t"))
-    text = F.when(F.size("_joined") > 0, F.concat(F.array_join(gaps, ""), tail)).otherwise(F.col("text"))
-    made = [text.alias("text") if c == "text" else F.when(F.size("_joined") > 0, F.char_length(text).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
+    def join(last: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["start"] >= last["end"]
+        now = F.struct(
+            F.when(apart, x["start"]).otherwise(last["start"]).alias("start"), F.when(apart, x["end"]).otherwise(F.greatest(last["end"], x["end"])).alias("end"), F.when(apart, x["rank"]).otherwise(F.least(last["rank"], x["rank"])).alias("rank")
+        )
+        return now, now
+
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("rank"))
+    d = d.withColumn("_run", F.when(F.size("_all") > 0, _scan(F.col("_all"), zero, join, shape)).otherwise(F.array().cast(shape)))
+    ends = lambda x, i: (i == F.size("_run") - 1) | (F.get(F.col("_all"), i + 1)["start"] >= x["end"])
+    d = d.withColumn("_joined", F.filter("_run", ends))
+    text = F.when(F.size("_joined") > 0, _replaced(F.col("_t"), F.col("_joined"), lambda x: F.get(F.array(*map(F.lit, labels)), x["rank"]))).otherwise(F.col("text"))
+    d = d.withColumn("_new", text)
+    made = [F.col("_new").alias("text") if c == "text" else F.when(F.size("_joined") > 0, F.char_length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in columns]
     return d.select(*made).toDF(*docs.columns)
