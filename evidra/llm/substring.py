@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,11 +367,32 @@ def covered(factors: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def factors_of(text: bytes, found: list[dict]) -> list[tuple[int, int, int, int]]:
-    """The factors of a text from its found pieces."""
-    lo, hi, _, _ = blocks(word_hashes(text))
-    size = dict(zip(lo.tolist(), (hi - lo + 1).tolist(), strict=True))
-    return parse([(x["start"], x["windows"] or size[x["start"]], tuple(dict.fromkeys([(x["source"], x["at"]), (x["near"], x["near_at"])]))) for x in found])
+class Found:
+    """The found pieces of a batch's documents as columns."""
+
+    FIELDS = ("start", "windows", "source", "at", "near", "near_at")
+
+    def __init__(self, column: pa.ListArray):
+        rows = column.flatten()
+        self.ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        self.columns = [rows.field(f).to_numpy(zero_copy_only=False) for f in self.FIELDS]
+
+    def pieces(self, i: int, text: bytes) -> list[Piece]:
+        """Document i's pieces, those joined that adjoin in both sources."""
+        own = slice(self.ends[i], self.ends[i + 1])
+        start, n, source, at, near, near_at = (c[own] for c in self.columns)
+        if not len(start):
+            return []
+        order = np.argsort(start, kind="stable")
+        start, n, source, at, near, near_at = (c[order] for c in (start, n, source, at, near, near_at))
+        if (n == 0).any():
+            lo, hi, _, _ = blocks(word_hashes(text))
+            n = np.where(n == 0, (hi - lo + 1)[np.searchsorted(lo, start).clip(max=len(lo) - 1)], n)
+        same = [c[1:] == c[:-1] for c in (source, near, at - start, near_at - start)]
+        first = np.flatnonzero(np.concatenate([[True], ~(np.logical_and.reduce(same) & (start[1:] == (start + n)[:-1]))]))
+        size = np.add.reduceat(n, first)
+        rows = zip(*(c[first].tolist() for c in (start,)), size.tolist(), *(c[first].tolist() for c in (source, at, near, near_at)), strict=True)
+        return [(s, k, ((a, b),) if (a, b) == (c, d) else ((a, b), (c, d))) for s, k, a, b, c, d in rows]
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -380,12 +402,12 @@ def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.small_batches(batches, 256, "text"):
             out = []
-            founds = batch.column("found").to_pylist() if "found" in batch.schema.names else [None] * batch.num_rows
-            for doc, text, found in zip(batch.column("own").to_pylist(), shared.binary(batch.column("text")), founds, strict=True):
+            found = Found(batch.column("found")) if "found" in batch.schema.names else None
+            for i, (doc, text) in enumerate(zip(batch.column("own").to_pylist(), shared.binary(batch.column("text")), strict=True)):
                 words = text.split()
                 kept = words
-                if found:
-                    gone = covered(factors_of(text, found), len(words))
+                if found and (pieces := found.pieces(i, text)):
+                    gone = covered(parse(pieces), len(words))
                     kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 joined = b" ".join(kept)
                 out.append((doc, len(words), len(words) - len(kept), joined.decode() if with_text else hashlib.sha256(joined).hexdigest()))
@@ -410,7 +432,8 @@ def factor_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.small_batches(batches, 256, "text"):
-            rows = [(doc, *f) for doc, text, found in zip(batch.column("doc_id").to_pylist(), shared.binary(batch.column("text")), batch.column("found").to_pylist(), strict=True) for f in factors_of(text, found)]
+            found = Found(batch.column("found"))
+            rows = [(doc, *f) for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), shared.binary(batch.column("text")), strict=True)) for f in parse(found.pieces(i, text))]
             if rows:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_words", "source", "at"), zip(*rows, strict=True), strict=True)})
 

@@ -273,3 +273,50 @@ def test_toxicity(spark):
     wrong = [got[i].predicted for i in range(900) if i % 8]
     assert np.mean(hits) > 0.9 and np.mean(wrong) < 0.02
     assert toxicity.report(d, lab.limit(0)).where("score > 0").count() == 0 and toxicity.report(d.limit(0), lab).count() == 0
+
+
+def _without_repeats(rows):
+    """(id, text) rows, in the operator's order, to (id, words, removed, kept words)."""
+    seen, out = set(), []
+    for i, t in rows:
+        w = words(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(x)
+        out.append((i, len(w), sum(gone), b" ".join(a for a, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
+
+
+def test_substring_shared_ids(spark):
+    t, u = BASE, " ".join(f"other{i}" for i in range(50))
+    for rows in ([(1, t), (1, t), (2, u)], [(1, t), (1, t + " tail"), (2, u + " " + t)], [(7, t), (7, u), (7, t + u), (7, u + " " + t), (None, t), (None, None)]):
+        got = sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()))
+        h = {x: r.h for x in {x for _, x in rows} for r in spark.createDataFrame([(x,)], "text string").selectExpr("xxhash64(text) AS h").collect()}
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+        assert got == sorted((i or 0, *rest) for i, *rest in _without_repeats(ordered))
+
+
+def test_substring_families(spark):
+    """Random documents made of shared passages, near copies and repeats within a text, against brute force."""
+    rng = np.random.default_rng(5)
+    passages = [[f"p{k}w{i}" for i in range(int(rng.integers(5, 70)))] for k in range(25)]
+    rows = []
+    for d in range(250):
+        w = []
+        for _ in range(int(rng.integers(0, 5))):
+            part = passages[int(rng.integers(25))]
+            a, b = sorted(rng.integers(0, len(part) + 1, 2).tolist())
+            w += part if rng.random() < 0.5 else part[a:b]
+            w += [f"own{d}x{int(x)}" for x in rng.integers(0, 9, int(rng.integers(0, 12)))]
+        rows.append((d, " ".join(w)))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), with_text=True).collect())
+    assert got == _without_repeats(rows) and sum(r[2] for r in got) > 1000
+
+
+def test_parse_takes_the_longest_source():
+    # Block 0-4 stands in documents 1 and 2; block 5-9 goes on in 2 alone.
+    pieces = [(0, 5, ((1, 100), (2, 50))), (5, 5, ((3, 7), (2, 55))), (10, 2, ((4, 0),))]
+    assert substring.parse(pieces) == [(0, 10 + 19, 2, 50), (10, 2 + 19, 4, 0)]
