@@ -6,9 +6,11 @@ the partition key of every step.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, fields
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text
@@ -16,6 +18,7 @@ from evidra.operators import entities, evidence, logs, series, store, timeline
 from evidra.plans.lineage import cut
 from evidra.sources.incidents import Incidents
 
+_TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z")
 DEPENDENCY_KINDS = ("calls", "reads-from", "writes-to", "depends-on")
 
 
@@ -27,22 +30,80 @@ class QueryError(ValueError):
         self.code = code
 
 
+FRESHNESS = ("any", "settled", "changing")
+
+
 @dataclass(frozen=True)
 class EvidenceQuery:
-    """What is asked: limits, and what the answer must hold."""
+    """What is asked: of which incident, window and entities, within which budget, and what the answer must hold.
+
+    Without a scenario every incident is answered; without a window or entities all of its records count.
+    """
 
     max_items: int = 6
     max_tokens: int = 1200
     reserve_tokens: int = 0
     require_counter_evidence: bool = False
+    min_counter_evidence_items: int = 0
+    require_raw_refs: bool = True
+    scenario_id: str | None = None
+    question: str | None = None
+    hypothesis: str | None = None
+    start: str | None = None
+    end: str | None = None
+    entities: tuple[str, ...] = ()
+    freshness: str = "any"
+    privacy_scope: str | None = None
 
     def checked(self) -> EvidenceQuery:
-        if self.max_items < 1 or self.max_tokens < 1:
-            raise QueryError("invalid_arguments", "budget limits must be positive")
-        if not 0 <= self.reserve_tokens < self.max_tokens:
-            raise QueryError("invalid_arguments", "the reserve must be less than the token budget")
+        blank = [n for n in ("scenario_id", "question", "hypothesis", "privacy_scope") if (v := getattr(self, n)) is not None and not v.strip()]
+        times = [datetime.fromisoformat(t.replace("Z", "+00:00")) if t and _TIME.fullmatch(t) else None for t in (self.start, self.end)]
+        rules = [
+            (self.max_items < 1 or self.max_tokens < 1, "budget limits must be positive"),
+            (not 0 <= self.reserve_tokens < self.max_tokens, "the reserve must be less than the token budget"),
+            (self.min_counter_evidence_items < 0 or self.min_counter_evidence_items > self.max_items, "the counter-evidence asked for must fit the item budget"),
+            (bool(blank), f"{', '.join(blank)} must not be blank"),
+            (any(not e.strip() for e in self.entities), "entities must not be blank"),
+            (self.scenario_id is not None and not re.fullmatch(r"[A-Za-z0-9._-]*[A-Za-z0-9_-][A-Za-z0-9._-]*", self.scenario_id), "scenario_id must be one safe name"),
+            ((self.start is None) != (self.end is None), "a time window has a start and an end"),
+            (any(t and not x for t, x in zip((self.start, self.end), times, strict=True)), "times must be UTC instants"),
+            (all(times) and times[0] > times[1], "the time window ends before it starts"),
+            (self.freshness not in FRESHNESS, f"freshness must be one of {', '.join(FRESHNESS)}"),
+        ]
+        if wrong := [message for bad, message in rules if bad]:
+            raise QueryError("invalid_arguments", "; ".join(wrong))
         return self
 
+    @property
+    def counters(self) -> int:
+        """How many items of counter-evidence the answer must hold."""
+        return max(self.min_counter_evidence_items, int(self.require_counter_evidence))
+
+
+def _asked(tables, query: EvidenceQuery):
+    """Incidents or what is derived from them, of the incident that the query names."""
+    if query.scenario_id is None:
+        return tables
+    return type(tables)(**{f.name: getattr(tables, f.name).where(F.col("incident_id") == query.scenario_id) for f in fields(tables)})
+
+
+def _must_select(i: Incidents, query: EvidenceQuery) -> None:
+    """Raise where no record lies in the query's window or mentions its entities."""
+    if i.manifests.isEmpty():
+        raise QueryError("not_found", f"no incident {query.scenario_id or ''}".rstrip())
+    at = lambda df, t, *es: df.select(t.alias("t"), F.array(*es).alias("es"))
+    c = F.col
+    rows = at(i.points, c("t"), c("entity")).unionByName(at(i.logs, c("t"), c("entity"))).unionByName(at(i.changes, c("t"), c("entity"))).unionByName(at(i.gaps, c("start"), c("entity")))
+    rows = rows.unionByName(i.spans.join(resource_entities(i).select("incident_id", "resource_id", "entity"), ["incident_id", "resource_id"], "left").select(c("start").alias("t"), F.array("entity", "resource_id").alias("es")))
+    inside = c("t").between(F.to_timestamp(F.lit(query.start)), F.to_timestamp(F.lit(query.end))) if query.start else F.lit(True)
+    about = F.arrays_overlap("es", F.array(*map(F.lit, query.entities))) if query.entities else F.lit(True)
+    if not (query.start or query.entities):
+        return
+    n = rows.agg(F.count_if(inside).alias("w"), F.count_if(about).alias("e"), F.count_if(inside & about).alias("b")).first()
+    for found, name in ((n.w, "hot_context_time_window"), (n.e, "hot_context_entities"), (n.b, "hot_context_time_window_entities")):
+        if not found:
+            raise QueryError("unsatisfied_requirement", f"{name}: no record meets it")
+
 
 @dataclass
 class Derived:
@@ -159,7 +220,7 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     rows.append(_candidate(d.edges.where(c("type").isin(*DEPENDENCY_KINDS, "retries")), "dependency_edge", "dependency_edge", "neutral", F.concat_ws(" ", c("src"), c("type"), c("dst")), F.array("src", "dst"), c("evidence"), n, n, F.concat_ws("|", "src", "type", "dst"), edge_confidence=c("confidence"), signal=F.lit("relationship")))
     prior = i.priors.join(timeline.recurring(w, i.priors).select("incident_id", "prior_id", F.lit(0.85).alias("_sim")).distinct(), ["incident_id", "prior_id"], "left")
     rows.append(_candidate(prior, "previous_incident", "previous_incident", F.when(c("_sim").isNotNull(), "supports").otherwise("neutral"), F.concat_ws(" ", F.lit("earlier incident on"), c("primary_entity")), F.array("primary_entity"), F.array("prior_id"), c("first_seen"), c("first_seen"), F.format_string("%010d", "seq"), similarity=c("_sim"), signal=F.lit("prior")))
-    rows.append(_candidate(i.gaps, "missing_data", "missing_data", "neutral", F.concat_ws(" ", F.lit("telemetry is missing for"), c("entity")), F.array("entity"), F.array("gap_id"), c("start"), c("end"), F.format_string("%010d", "seq"), has_missing=F.size(F.coalesce("signals", F.array().cast("array<string>"))), signal=F.get(c("signals"), 0)))
+    rows.append(_candidate(i.gaps, "missing_data", "missing_data", "neutral", F.concat_ws(" ", F.lit("telemetry is missing for"), F.array_join("entities", ", ")), c("entities"), F.array("gap_id", "cause"), c("start"), c("end"), F.format_string("%010d", "seq"), has_missing=F.size(F.coalesce("signals", F.array().cast("array<string>"))), signal=F.get(c("signals"), 0)))
     onset = w.groupBy("incident_id").agg(F.min("start").alias("onset"))
     bounds = onset.join(i.manifests.select("incident_id", F.col("start").alias("healthy_start"), F.col("end").alias("anomalous_end")), "incident_id").select("incident_id", "healthy_start", (F.col("onset") - F.expr("INTERVAL 1 MINUTE")).alias("healthy_end"), (F.col("onset") + F.expr("INTERVAL 1 MINUTE")).alias("anomalous_start"), "anomalous_end")
     flat = series.compare_windows(series.merge_max(i.points), bounds).where("is_counter").join(w.select("incident_id", "name", "entity"), ["incident_id", "name", "entity"], "left_anti")
@@ -171,9 +232,8 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, evidence.SOURCES)), c("source"))
     out = store.numbered(out.withColumn("_rank", rank), ["incident_id"], ["_rank", "_order", "claim"], "candidate_id", "cand-%03d")
     ref = out.select("incident_id", "candidate_id", F.posexplode("refs").alias("_p", "key"))
-    hit = ref.join(known.withColumn("_ok", F.lit(True)), ["incident_id", "key"], "left").groupBy("incident_id", "candidate_id").agg(F.count_if("_ok").alias("_found"), F.count("*").alias("n_refs"), F.count_distinct(text.signal_of_ref(c("key"))).alias("_signals"))
-    j = out.join(hit, ["incident_id", "candidate_id"]).where("_found > 0").withColumn("ref_quality", scores.ref_quality(c("_found"), c("n_refs"), c("_signals")))
-    return evidence.strengths(j.withColumn("n_entities", F.size("entities")).drop("_found", "_signals", "_rank", "_order"))
+    j = out.drop("refs").join(evidence.resolvable(ref, known), ["incident_id", "candidate_id"]).where("n_found > 0").withColumn("ref_quality", scores.ref_quality(c("n_found"), c("n_refs"), c("n_signals")))
+    return evidence.strengths(j.withColumn("n_entities", F.size("entities")).drop("n_found", "n_signals", "_rank", "_order"))
 
 
 @dataclass
@@ -188,24 +248,34 @@ class Bundle:
 
 def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d: Derived | None = None) -> Bundle:
     """Rank causes and choose evidence under the query's budget for every incident."""
-    query.checked()
-    d = d or derive(i)
+    i = _asked(i, query.checked())
+    _must_select(i, query)
+    d = _asked(d, query) if d else derive(i)
     cand = cut(candidates(i, d))
-    found = evidence.suspects(cand)
-    causes = cut(evidence.rank_causes(evidence.along_edges(found, d.edges.select("incident_id", "src", "type", "dst", "attributes"))))
+    edges = d.edges.select("incident_id", "src", "type", "dst", "attributes")
+    found = evidence.suspects(evidence.canonical_entities(cand, edges))
+    causes = cut(evidence.rank_causes(evidence.along_edges(evidence.roll_up(found, edges), edges)))
     item = F.struct("candidate_id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "note")
     priced = cand.withColumn("token_cost", scores.token_cost(F.to_json(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind")))
     counters = F.col("grp") == 4
     must = None
-    if query.require_counter_evidence:
-        first = store.first_by(priced.where(counters), ["incident_id"], F.desc("strength"), "token_cost", "candidate_id").select("incident_id", "candidate_id", F.lit(1).alias("_must"))
+    if query.counters:
+        w = Window.partitionBy("incident_id").orderBy(F.desc("strength"), "token_cost", "candidate_id")
+        first = priced.where(counters).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= query.counters).select("incident_id", "candidate_id", F.lit(1).alias("_must"))
         priced = priced.join(first, ["incident_id", "candidate_id"], "left").withColumn("_must", F.coalesce("_must", F.lit(0)))
         must = F.col("_must")
     order = ["grp", F.desc("strength"), "token_cost", "candidate_id"]
     picked = cut(evidence.greedy_select(priced, ["incident_id"], order, query.max_items, query.max_tokens - query.reserve_tokens, must=must))
     chosen = store.numbered(picked.where("selected"), ["incident_id"], ["position"], "id", "ev-%d")
+    if query.counters:
+        met = chosen.where(F.col("grp") == 4).groupBy("incident_id").agg(F.count("*").alias("n"))
+        short = i.manifests.select("incident_id").join(met, "incident_id", "left").where(F.coalesce("n", F.lit(0)) < query.counters).orderBy("incident_id").first()
+        if short:
+            raise QueryError("unsatisfied_requirement", f"counter_evidence: {query.counters} items asked for, {short.n or 0} fit the budget of {short.incident_id}")
+    if query.require_raw_refs and (bare := chosen.where(F.size("refs") == 0).first()):
+        raise QueryError("unsatisfied_requirement", f"raw_refs: {bare.id} of {bare.incident_id} has none")
     dropped = picked.where("not selected").select("incident_id", "candidate_id", "claim", "strength", "token_cost", F.coalesce("reason", F.lit("lower_priority")).alias("reason"))
-    return Bundle(chosen, dropped, causes, evidence.next_checks(evidence.suggest(chosen, causes)))
+    return Bundle(chosen, dropped, evidence.linked(causes, chosen), evidence.next_checks(evidence.suggest(chosen, causes)))
 
 
 def build_timeline(i: Incidents) -> DataFrame:

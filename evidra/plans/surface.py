@@ -20,9 +20,14 @@ PLAIN = {T.StringType: "string", T.LongType: "integer", T.IntegerType: "integer"
 # Fixed values of the line protocol.
 PARSE, REQUEST, METHOD, PARAMS = -32700, -32600, -32601, -32602
 
+_WORD, _SIZE = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 0}
 QUERY_SCHEMA = {
     "$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "additionalProperties": False, "required": ["folder"],
-    "properties": {"folder": {"type": "string", "minLength": 1}, "max_items": {"type": "integer", "minimum": 1}, "max_tokens": {"type": "integer", "minimum": 1}, "reserve_tokens": {"type": "integer", "minimum": 0}, "require_counter_evidence": {"type": "boolean"}},
+    "properties": {
+        "folder": _WORD, "scenario_id": _WORD, "question": _WORD, "hypothesis": _WORD, "start": {"type": "string", "format": "date-time"}, "end": {"type": "string", "format": "date-time"},
+        "entities": {"type": "array", "items": _WORD}, "max_items": {"type": "integer", "minimum": 1}, "max_tokens": {"type": "integer", "minimum": 1}, "reserve_tokens": _SIZE, "min_counter_evidence_items": _SIZE,
+        "require_counter_evidence": {"type": "boolean"}, "require_raw_refs": {"type": "boolean"}, "freshness": {"type": "string", "enum": list(bundle.FRESHNESS)}, "privacy_scope": _WORD,
+    },
 }
 
 
@@ -80,12 +85,14 @@ def answer(spark: SparkSession, arguments: dict) -> list[dict]:
     extra = set(arguments) - set(QUERY_SCHEMA["properties"])
     if extra or not isinstance(arguments.get("folder"), str) or not arguments["folder"].strip():
         raise bundle.QueryError("invalid_arguments", f"unknown or missing arguments: {sorted(extra) or ['folder']}")
-    kinds = {"integer": int, "boolean": bool, "string": str}
+    kinds = {"integer": int, "boolean": bool, "string": str, "array": list}
     for name, value in arguments.items():
         want = kinds[QUERY_SCHEMA["properties"][name]["type"]]
         if type(value) is not want:
             raise bundle.QueryError("invalid_arguments", f"{name} must be {want.__name__}")
-    query = bundle.EvidenceQuery(**{k: v for k, v in arguments.items() if k != "folder"}).checked()
+        if want is list and not all(isinstance(x, str) for x in value):
+            raise bundle.QueryError("invalid_arguments", f"{name} must be a list of str")
+    query = bundle.EvidenceQuery(**{k: tuple(v) if isinstance(v, list) else v for k, v in arguments.items() if k != "folder"}).checked()
     try:
         found = incidents.read(spark, arguments["folder"])
         rows = bundle_json(bundle.get_evidence_bundle(found, query)).collect()  # one row an incident of the folder asked for

@@ -85,7 +85,7 @@ def typed(manifests: DataFrame, inputs: DataFrame) -> Incidents:
     ch = rows("changes").select("incident_id", "seq", F.col("x.id").alias("change_id"), times.parse(F.col("x.t")).alias("t"), F.col("x.kind").alias("kind"), F.col("x.entity").alias("entity"), F.col("x.summary").alias("summary"))
     pr = rows("prior_incidents").select("incident_id", "seq", F.col("x.id").alias("prior_id"), times.parse(F.col("x.first_seen")).alias("first_seen"), F.col("x.signature.primary_entity").alias("primary_entity"), F.col("x.signature.symptom").alias("symptom"), F.col("x.signature.trigger").alias("trigger"))
     entity = F.coalesce(F.get(F.col("x.affected_entities"), 0), F.lit("unknown"))
-    g = rows("telemetry_gaps").select("incident_id", "seq", F.col("x.id").alias("gap_id"), times.parse(F.col("x.start")).alias("start"), times.parse(F.col("x.end")).alias("end"), entity.alias("entity"), F.col("x.affected_signals").alias("signals"), F.col("x.cause").alias("cause"))
+    g = rows("telemetry_gaps").select("incident_id", "seq", F.col("x.id").alias("gap_id"), times.parse(F.col("x.start")).alias("start"), times.parse(F.col("x.end")).alias("end"), entity.alias("entity"), F.when(F.size("x.affected_entities") > 0, F.col("x.affected_entities")).otherwise(F.array(F.lit("unknown"))).alias("entities"), F.col("x.affected_signals").alias("signals"), F.col("x.cause").alias("cause"))
     # Rows that lack what identifies or places them are dropped.
     need = lambda df, *c: df.where(" and ".join(f"{x} is not null" for x in c))
     return Incidents(m, need(r, "resource_id"), need(s, "span_id", "resource_id"), need(traces, "trace_id"), points, sg, need(logs, "log_id", "t", "body").withColumn("severity", F.coalesce(text.blank_to_null(F.col("severity")), F.lit("INFO"))), need(ch, "change_id", "t", "entity"), need(pr, "prior_id"), need(g, "gap_id", "start"))

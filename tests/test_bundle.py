@@ -25,7 +25,7 @@ def case(name):
         "logs": [{"id": f"log-{k}", "t": f"2026-03-01T10:0{5 + k}:00Z", "entity": "service:pay", "severity": "ERROR", "body": f"charge failed, retrying attempt {k}/5 ({k})", "attributes": {}} for k in range(3)],
         "changes": [{"id": "change:1", "t": "2026-03-01T10:03:00Z", "kind": "deploy", "entity": "service:pay", "summary": "pay 2.0", "attributes": {}}, {"id": "change:2", "t": "2026-03-01T10:08:00Z", "kind": "deploy", "entity": "service:blog", "summary": "blog", "attributes": {}}],
         "prior_incidents": None,
-        "telemetry_gaps": [{"id": "telemetry_gap:1", "start": "2026-03-01T10:02:00Z", "end": "2026-03-01T10:04:00Z", "affected_entities": ["service:shop"], "affected_signals": ["trace"], "cause": None, "note": ""}] if name == "two" else None,
+        "telemetry_gaps": [{"id": "telemetry_gap:1", "start": "2026-03-01T10:02:00Z", "end": "2026-03-01T10:04:00Z", "affected_entities": ["service:shop", "service:pay"], "affected_signals": ["trace"], "cause": "change:1", "note": ""}] if name == "two" else None,
     }
 
 
@@ -88,3 +88,35 @@ def test_bad_query():
         bundle.EvidenceQuery(max_items=0).checked()
     with pytest.raises(bundle.QueryError):
         bundle.EvidenceQuery(max_tokens=10, reserve_tokens=10).checked()
+    for bad in ({"scenario_id": "../x"}, {"start": "2026-03-01T10:00:00Z"}, {"start": "2026-03-01T11:00:00Z", "end": "2026-03-01T10:00:00Z"}, {"entities": (" ",)}, {"freshness": "old"}, {"question": " "}, {"start": "soon", "end": "late"}):
+        with pytest.raises(bundle.QueryError) as e:
+            bundle.EvidenceQuery(**bad).checked()
+        assert e.value.code == "invalid_arguments"
+
+
+def test_scenario_window_entities(answer):
+    i, d, _ = answer
+    ask = lambda **q: bundle.get_evidence_bundle(i, bundle.EvidenceQuery(**q), d)
+    b = ask(scenario_id="two", start="2026-03-01T10:00:00Z", end="2026-03-01T10:10:00Z", entities=("service:pay",))
+    assert {r.incident_id for r in b.items.collect()} == {"two"} == {r.incident_id for r in b.causes.collect()}
+    wrong = [({"scenario_id": "none"}, "not_found", "none"), ({"entities": ("service:none",)}, "unsatisfied_requirement", "hot_context_entities"), ({"start": "2020-01-01T00:00:00Z", "end": "2020-01-02T00:00:00Z"}, "unsatisfied_requirement", "hot_context_time_window"), ({"max_items": 9, "min_counter_evidence_items": 9}, "unsatisfied_requirement", "counter_evidence")]
+    for q, code, word in wrong:
+        with pytest.raises(bundle.QueryError) as e:
+            ask(**q)
+        assert e.value.code == code and word in str(e.value)
+
+
+def test_links_name_items(answer):
+    _, _, b = answer
+    items = {}
+    for r in b.items.collect():
+        items.setdefault(r.incident_id, set()).add(r.id)
+    causes = b.causes.collect()
+    assert all(set(r.supporting) | set(r.counters) <= items[r.incident_id] for r in causes) and any(r.supporting for r in causes)
+    assert all("cand-" not in r.action for r in b.checks.collect())
+
+
+def test_gap_names_its_cause(answer):
+    i, d, _ = answer
+    gap = {r.incident_id: r for r in bundle.candidates(i, d).where("source = 'missing_data'").collect()}["two"]
+    assert gap.refs == ["telemetry_gap:1", "change:1"] and gap.entities == ["service:shop", "service:pay"]
