@@ -57,7 +57,7 @@ def shard_number(entity: Column) -> Column:
 
 def service_name(entity: Column) -> Column:
     """The bare service name of an entity id: after the prefix, before a qualifier."""
-    return F.when(entity.startswith("service:"), F.substring_index(F.substring(entity, 9, 1 << 20), "@", 1))
+    return F.when(entity.startswith("service:"), F.substring_index(F.substring(entity, F.lit(9), F.length(entity)), "@", 1))
 
 
 def method_of(span_name: Column) -> Column:

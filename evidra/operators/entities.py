@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text
+from evidra.plans.lineage import cut
 
-MAX_DEPTH = 32  #: steps up a trace at most; a longer or cyclic chain has no ancestor
 # An entity id's prefix gives its kind and its confidence as a mere hint.
 PREFIX_KINDS = {
     "service": "service", "instance": "instance", "db": "database", "cache": "cache", "infra": "cache", "queue": "queue", "host": "host",
@@ -75,24 +75,25 @@ def edge_confidence(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.join(s, "src", "left").join(d, "dst", "left").withColumn("confidence", scores.damped_edge(F.col("confidence"), F.col("_s"), F.col("_d"))).drop("_s", "_d")
 
 
-def nearest_service(spans: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """For each span the nearest ancestor that is a service, by walking up parents.
+def nearest_service(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, ancestor_id, depth, ancestor): for each span the nearest ancestor that is a service.
 
-    A recursive query; its steps are bounded, so a cycle of parents ends without an ancestor.
+    Pointer doubling: each round joins a span to where its ancestor points, so the reach doubles and a trace of n spans
+    takes log2 n rounds, however deep it is.  What is open after that many lies on a cycle of parents and has no ancestor.
     """
-    spark = spans.sparkSession
-    spans.select("trace_id", "span_id", "parent_id", "endpoint", "entity").createOrReplaceTempView("_evidra_spans")
-    return spark.sql(f"""
-        WITH RECURSIVE up(trace_id, span_id, at, depth, hit) AS (
-          SELECT s.trace_id, s.span_id, p.span_id, 1, p.endpoint = 'service'
-          FROM _evidra_spans s JOIN _evidra_spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id
-          UNION ALL
-          SELECT u.trace_id, u.span_id, g.span_id, u.depth + 1, g.endpoint = 'service'
-          FROM up u JOIN _evidra_spans p ON p.trace_id = u.trace_id AND p.span_id = u.at
-          JOIN _evidra_spans g ON g.trace_id = p.trace_id AND g.span_id = p.parent_id
-          WHERE NOT u.hit AND u.depth < {max_depth})
-        SELECT u.trace_id, u.span_id, u.at AS ancestor_id, u.depth, a.entity AS ancestor
-        FROM up u JOIN _evidra_spans a ON a.trace_id = u.trace_id AND a.span_id = u.at WHERE u.hit""")
+    node = spans.select("trace_id", F.col("span_id").alias("at"), (F.col("endpoint") == "service").alias("hit"))
+    up = spans.select("trace_id", "span_id", F.col("parent_id").alias("at")).join(node, ["trace_id", "at"]).select("trace_id", "span_id", "at", F.lit(1).alias("depth"), "hit")
+    up = cut(up)
+    longest = spans.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    for _ in range(int(longest).bit_length()):
+        left = up.where(~F.col("hit"))
+        if left.isEmpty():
+            break
+        step = up.select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.col("hit").alias("there"))
+        further = left.join(step, ["trace_id", "at"]).select("trace_id", "span_id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("hit"))
+        up = cut(up.where("hit").unionByName(further))
+    names = spans.select("trace_id", F.col("span_id").alias("at"), F.col("entity").alias("ancestor"))
+    return up.where("hit").join(names, ["trace_id", "at"]).select("trace_id", "span_id", F.col("at").alias("ancestor_id"), "depth", "ancestor")
 
 
 def call_edges(spans: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -124,15 +125,48 @@ def retry_edges(attempts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def shared_resource_edges(reads: DataFrame, writes: DataFrame, least: float = 0.96) -> DataFrame:
-    """Readers and certain writers of the same thing share a resource.
+    """(src, other, n_shared): readers and certain writers of the same thing share a resource.
 
-    Counted per pair of sources through the thing they share; each side is made distinct first.
+    Each side is made distinct first, so a thing meets as many rows as it has entities on both sides, not accesses.
     """
     r = reads.select(F.col("src").alias("src"), "dst").distinct()
     w = writes.where(F.col("confidence") >= least).select(F.col("src").alias("other"), "dst").distinct()
     return r.join(w, "dst").where("src <> other").groupBy("src", "other").agg(F.count("*").alias("n_shared"))
 
 
+def instances(resources: DataFrame) -> DataFrame:
+    """``resources`` with the number of resources that share their service name."""
+    n = resources.groupBy("service_name").agg(F.count("*").alias("n_instances"))
+    return resources.join(n, "service_name")
+
+
+def named_pairs(resources: DataFrame) -> DataFrame:
+    """Edges of user interfaces to the API of their name: x-ui calls x-api."""
+    ui = resources.where(F.col("service_name").endswith("-ui")).select(F.col("entity").alias("src"), F.regexp_replace("service_name", "-ui$", "-api").alias("service_name"))
+    api = resources.groupBy("service_name").agg(F.min_by("entity", "seq").alias("dst"))
+    return merge_edges(ui.join(api, "service_name").select("src", F.lit("calls").alias("type"), "dst", F.lit(0.95).alias("confidence"), F.col("service_name").alias("evidence"), F.lit(0).alias("seq")))
+
+
+def trigger_edges(priors: DataFrame, databases: DataFrame) -> DataFrame:
+    """Edges of an earlier incident's entity to a database (stem, entity) that its trigger names as a word."""
+    words = priors.select("prior_id", "primary_entity", F.explode(F.array_distinct(F.split(F.lower("trigger"), r"[^a-z0-9]+"))).alias("stem")).where("stem <> ''")
+    hit = words.join(databases, "stem")
+    return merge_edges(hit.select(F.col("primary_entity").alias("src"), F.lit("depends-on").alias("type"), F.col("entity").alias("dst"), F.lit(0.80).alias("confidence"), F.col("prior_id").alias("evidence"), F.lit(0).alias("seq")).where("src <> dst"))
+
+
+def gap_entities(gaps: DataFrame) -> DataFrame:
+    """(id, kind, source): every entity that a gap (gap_id, entities) affects and whose prefix tells its kind."""
+    own = gaps.select(F.col("gap_id").alias("source"), F.explode("entities").alias("id"))
+    return own.withColumn("kind", kind_of(F.col("id"))).where("kind is not null").select("id", "kind", "source").distinct()
+
+
+def logical_edges(spans: DataFrame) -> DataFrame:
+    """Edges that a service's span says of itself (entity, shard, tenant, span_id): a service fans out to its shards, a tenant calls it."""
+    rows = lambda src, kind, dst: spans.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), F.lit(0.90).alias("confidence"), F.col("span_id").cast("string").alias("evidence"), F.col("span_id").alias("seq"))
+    shard, tenant = F.concat(F.lit("shard:"), F.col("shard").cast("string")), F.concat(F.lit("tenant:"), F.col("tenant").cast("string"))
+    return merge_edges(rows(F.col("entity"), "fans-out-to", shard).unionByName(rows(tenant, "calls", F.col("entity"))).where("src is not null and dst is not null"))
+
+
 def peers(spans: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls to known services, external peers): spans' ``peer`` joined to service names; the first service of a name counts."""
     known = services.groupBy("service_name").agg(F.min_by("entity", "seq").alias("dst"))

@@ -46,3 +46,19 @@ def check(df: DataFrame, key: Column, **rules: Column) -> DataFrame:
 def in_order(positions: Column) -> Column:
     """Whether an array of positions ascends: an ordered subsequence."""
     return F.aggregate(positions, F.struct(F.lit(-1).cast("long").alias("last"), F.lit(True).alias("ok")), lambda a, x: F.struct(x.cast("long").alias("last"), (a["ok"] & (x > a["last"])).alias("ok")), lambda a: a["ok"])
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    """Whether every element of array a is in b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same elements, in any order and number."""
+    return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+
+
+def within_capabilities(expected: DataFrame, capabilities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(expected rows of a capability that their case declares, the others): rows are (incident_id, capability, ...)."""
+    own = capabilities.select("incident_id", "capability").distinct()
+    return expected.join(own, ["incident_id", "capability"], "left_semi"), expected.join(own, ["incident_id", "capability"], "left_anti")

@@ -123,7 +123,17 @@ def nearest_before(left: DataFrame, right: DataFrame, minutes: int, by: list[str
     width = 60 * (minutes + 1)
     bucket = F.floor(F.unix_timestamp("t") / width)
     r = right.select(*by, F.col("t").alias("change_t"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    l = left.withColumn("_b", bucket)
+    l = left.withColumn("_b", bucket).withColumn("_row", F.monotonically_increasing_id())  # rows alike stay rows of their own
     j = l.join(r, [*by, "_b"], "left")
     ok = (F.col("change_t") <= F.col("t")) & (times.minutes_between(F.col("change_t"), F.col("t")) <= minutes)
-    return j.groupBy(*left.columns).agg(times.floor_minute(F.max(F.when(ok, F.col("change_t")))).alias("nearest_t"))
+    return j.groupBy("_row", *left.columns).agg(times.floor_minute(F.max(F.when(ok, F.col("change_t")))).alias("nearest_t")).drop("_row")
+
+
+def trough_times(points: DataFrame) -> DataFrame:
+    """Per series the time of its least value, the first of equals."""
+    return points.groupBy(*SERIES).agg(F.min_by("t", F.struct("v", "t")).alias("trough_t"), F.min("v").alias("trough"))
+
+
+def metric_names(points: DataFrame) -> DataFrame:
+    """Per entity the names of its series, sorted."""
+    return points.groupBy("incident_id", "entity").agg(F.array_sort(F.collect_set("name")).alias("names"))

@@ -88,7 +88,7 @@ def resolve_refs(refs: DataFrame, records: DataFrame) -> DataFrame:
     index = records.select(F.col("key").alias("_key"), F.col("kind").alias("_kind"))
     keys = records.select(F.col("key").alias("_key")).distinct().withColumn("_exact", F.lit(True))
     r = refs.join(keys, refs["ref"] == keys["_key"], "left").drop("_key")
-    r = r.withColumn("_lookup", F.when(F.col("_exact").isNull() & F.col("ref").startswith("trace:"), F.substring("ref", 7, 1 << 20)).otherwise(F.col("ref")))
+    r = r.withColumn("_lookup", F.when(F.col("_exact").isNull() & F.col("ref").startswith("trace:"), F.expr("substring(ref, 7)")).otherwise(F.col("ref")))
     hit = r.join(index, r["_lookup"] == index["_key"], "left")
     ok = F.array_contains(categories_of(F.col("signal")), F.col("_kind"))
     counted = hit.groupBy("ref_id", "signal", "ref").agg(F.count("_kind").alias("n_any"), F.count_if(ok).alias("n_ok"))
@@ -123,3 +123,30 @@ def numbered(df: DataFrame, partition: Sequence[str], order: Sequence, name: str
     """Dense ids by position in a total order within each partition."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(name, F.format_string(form, F.row_number().over(w)))
+
+
+def ingest(records: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records with the events of (incident_id, seq, kind, key, win, entities), events refused).
+
+    Points of a series widen its record's window and entities; any other record whose key is taken is refused.
+    """
+    series = F.col("kind") == "metric_series"
+    kept, refused = insert_unique(records.where(~series), events.where(~series), "incident_id", "kind", "key")
+    rows = records.where(series).unionByName(events.where(series))
+    widened = rows.groupBy("incident_id", "kind", "key").agg(
+        F.min("seq").alias("seq"), F.struct(F.min("win.start").alias("start"), F.max("win.end").alias("end")).alias("win"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities")
+    )
+    return kept.unionByName(widened.select(*kept.columns)), refused
+
+
+def stored_edges(records: DataFrame) -> DataFrame:
+    """(key, src, type, dst, confidence) of the relationship records whose payload can be read; others are left out."""
+    shape = "src STRING, type STRING, dst STRING, confidence DOUBLE"
+    own = records.where("kind = 'relationship'").select("key", F.from_json("payload", shape).alias("x")).select("key", "x.*")
+    return own.where("src is not null and type is not null and dst is not null")
+
+
+def available_from(refs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``refs`` (incident_id, ref) with the place in the replay ``plan`` (incident_id, sequence, key) from which each resolves; null if never."""
+    first = plan.groupBy("incident_id", F.col("key").alias("ref")).agg(F.min("sequence").alias("available_from"))
+    return refs.join(first, ["incident_id", "ref"], "left")

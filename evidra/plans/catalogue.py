@@ -342,7 +342,7 @@ def peer_services(spark, sf_dir):
 _SPANS = """spans AS (SELECT conv_id AS trace_id, turn AS span_id, CASE WHEN turn > 0 THEN turn - 1 END AS parent_id, CASE WHEN role = 'assistant' THEN 'dependency' ELSE 'service' END AS endpoint,
   CASE WHEN role = 'assistant' THEN 'dependency:' ELSE 'service:' END || role AS entity, length(text) AS size FROM conversations)"""
 _UP = """up AS (SELECT s.trace_id, s.span_id, p.span_id AS at, 1 AS depth, p.endpoint = 'service' AS hit FROM spans s JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id
-  UNION ALL SELECT u.trace_id, u.span_id, g.span_id, u.depth + 1, g.endpoint = 'service' FROM up u JOIN spans p ON p.trace_id = u.trace_id AND p.span_id = u.at JOIN spans g ON g.trace_id = p.trace_id AND g.span_id = p.parent_id WHERE NOT u.hit AND u.depth < 32),
+  UNION ALL SELECT u.trace_id, u.span_id, g.span_id, u.depth + 1, g.endpoint = 'service' FROM up u JOIN spans p ON p.trace_id = u.trace_id AND p.span_id = u.at JOIN spans g ON g.trace_id = p.trace_id AND g.span_id = p.parent_id WHERE NOT u.hit),
 anc AS (SELECT u.trace_id, u.span_id, u.at AS ancestor_id, CAST(u.depth AS INTEGER) AS depth, a.entity AS ancestor FROM up u JOIN spans a ON a.trace_id = u.trace_id AND a.span_id = u.at WHERE u.hit)"""
 
 
@@ -424,4 +424,4 @@ def damped_edges(spark, sf_dir):
     return entities.edge_confidence(edges, ent).select(F.col("c_custkey").alias("id"), F.round("confidence", 6).alias("confidence"))
 
 
-from evidra.plans import more as _more  # noqa: E402,F401  registers the rest
+from evidra.plans import context as _context, more as _more  # noqa: E402,F401  register the rest

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Where that is unset, a temporary folder if Spark runs in this process; a cluster must set it."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_evidra_shared", None)
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = sc._evidra_shared = f"file://{tempfile.mkdtemp(prefix='evidra-shared-')}"
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='evidra-checkpoints-')}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -137,9 +137,10 @@ def coverage_counts(spark, sf_dir):
     return quality.coverage(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey")
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)")
 def dangling_refs(spark, sf_dir):
-    return quality.dangling(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return quality.dangling(refs, table(spark, sf_dir, "part").where("p_size > 25"), "p_partkey")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A')
@@ -209,7 +210,7 @@ def streaming_series(spark, sf_dir):
 @query("""SELECT event_id % 50 AS slot, count(*) - 1 AS n_duplicates FROM events GROUP BY 1 HAVING count(*) > 1""")
 def streaming_duplicates(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("slot"), "event_id")
-    _, again = incremental.split_duplicates(ev, None, ["slot"], "event_id")
+    _, again = incremental.reject_duplicates(incremental.in_parts(ev, "slots", 3, "event_id"), ["slot"], "event_id", "slots")
     return again.groupBy("slot").agg(F.count("*").alias("n_duplicates"))
 
 
@@ -221,7 +222,6 @@ def check_signals(spark, sf_dir):
     return ev.select("event_id", F.lit("metric_anomaly").alias("evidence_kind"), text.check_signal(raw).alias("signal"), safe.alias("is_safe"))
 
 
-@query("SELECT doc_id, CAST(ceil(strlen('{\"text\":\"' || replace(replace(replace(regexp_replace(left(text, 40), '[^a-zA-Z ]', '', 'g'), chr(92), ''), '\"', ''), chr(10), '') || '\"}') / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CAST(ceil(strlen(to_json({'text': text})) / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_costs(spark, sf_dir):
-    clean = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z ]", "")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", scores.token_cost(F.to_json(F.struct(clean.alias("text")))).alias("tokens"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", scores.token_cost(F.to_json(F.struct("text"))).alias("tokens"))

@@ -6,17 +6,17 @@ watermark are dropped by Spark and duplicates go to a side output instead of an
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.plans.lineage import shared_folder
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='evidra-stream-')}"
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,20 +54,50 @@ def split_duplicates(batch: DataFrame, seen: DataFrame | None, key: list[str], o
 def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All that is available now, through the stream, as a table: each batch's result is written below the shared folder.
 
-    In complete mode the last batch stands; in append mode all do.
+    In complete mode the last batch stands; in append mode all do.  A batch that is repeated after a failure replaces itself.
     """
     spark = stream.sparkSession
     out = folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        target = f"{out}/rows" if mode == "append" else f"{out}/rows/batch={number}"
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    schema = stream.schema
-    if mode == "append":
-        return spark.read.schema(schema).parquet(f"{out}/rows")
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
+    if mode != "append":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.select(*stream.columns)
+
+
+def in_parts(df: DataFrame, name: str, parts: int, by: str) -> DataFrame:
+    """A table as a stream of so many files, one a batch, that arrive in the order of ``by``."""
+    out = folder(df.sparkSession, name)
+    cuts = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
+    part = sum((F.coalesce(F.col(by) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for k in range(parts):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(out)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def reject_duplicates(stream: DataFrame, key: list[str], order: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is new, rows whose key a row before has) of all that is available now, through the stream.
+
+    Each batch is held against the keys that the batches before it wrote; a repeated batch replaces itself.
+    """
+    spark = stream.sparkSession
+    out = folder(spark, name)
+    keys = stream.select(*key).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = None
+        if number:
+            seen = spark.read.schema(keys).parquet(*(f"{out}/fresh/batch={k}" for k in range(number)))
+        fresh, again = split_duplicates(batch, seen, key, order)
+        fresh.write.mode("overwrite").parquet(f"{out}/fresh/batch={number}")
+        again.write.mode("overwrite").parquet(f"{out}/again/batch={number}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    read = lambda side: spark.read.schema(stream.schema).parquet(f"{out}/{side}/batch=*")
+    return read("fresh"), read("again")
