@@ -50,7 +50,6 @@ REMOVE = 0.9
 BEYOND = 5.0
 BROADCAST_TERMS = 50_000
 BROADCAST_SPANS = 500_000
-PART = 16  #: one in so many texts gives the first lower bound of a term's count
 STEP = 128  #: spans that one scan holds
 PIECE = 4096  #: code points of a text that are searched for a place
 TERM = r"[\p{L}\p{N}]++"
@@ -181,44 +180,28 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SU
     near = shared.materialise(texts.select("es", _terms(F.col("_t")).alias("ts")), "near")
     total = found.select("_h").distinct().count()
     pairs = near.select(F.explode("es").alias("e"), "ts").select("e.*", F.explode("ts").alias("term")).groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
-    # A term stands in at least as many texts as it stands in beside any entity, which bounds its PMI from above:
-    # pairs whose bound is short of the threshold need no corpus count.
-    c_near = near.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("c_near"))
-    pairs = shared.materialise(pairs.join(c_near, "term").withColumn("n", F.lit(total)), "pairs")
-    # So does a count over any part of the texts: one part in PART, by hash, settles the common terms at little cost.
-    part = _text_counts(docs, _may_reveal(pairs, F.col("c_near"), threshold), F.pmod(F.col("_h"), F.lit(PART)) == 0)
-    if part is None:
+    pairs = shared.materialise(pairs, "pairs")
+    if pairs.isEmpty():
         return None
-    bound = F.greatest("c_near", F.coalesce("c_t", F.lit(0).cast("long")))
-    left = shared.materialise(_may_reveal(pairs.join(part, "term", "left").withColumn("c_near", bound).drop("c_t"), F.col("c_near"), threshold), "pairs")
-    c_t = _text_counts(docs, left)
-    if c_t is None:
-        return None
-    shown = _may_reveal(left.join(c_t, "term"), F.col("c_t"), threshold).withColumn("ratio", _ratio(F.col("c_t"))).select("entity", "term", "ratio")
+    j = pairs.join(text_counts(docs), "term").withColumn("n", F.lit(total)).where("c_e < n")
+    expected = F.col("c_t") * F.col("c_e") / F.col("n")
+    chance = F.col("c_te") - expected >= BEYOND * F.sqrt(expected * (1 - F.col("c_e") / F.col("n")))
+    ratio = F.log2(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log2(F.col("n") / F.col("c_e"))
+    shown = j.withColumn("ratio", ratio).where((F.col("ratio") >= threshold) & chance).select("entity", "term", "ratio")
     return shared.materialise(shown, "revealing"), held.select("h", "entity")
 
 
-def _ratio(c_t: Column) -> Column:
-    """PMI / IC of a pair whose term stands in ``c_t`` texts."""
-    return F.log2(F.col("n") * F.col("c_te") / (c_t * F.col("c_e"))) / F.log2(F.col("n") / F.col("c_e"))
-
-
-def _may_reveal(pairs: DataFrame, c_t: Column, threshold: float) -> DataFrame:
-    """Pairs at or beyond the threshold, and beyond chance, if their term stands in ``c_t`` texts."""
-    expected = c_t * F.col("c_e") / F.col("n")
-    chance = F.col("c_te") - expected >= BEYOND * F.sqrt(expected * (1 - F.col("c_e") / F.col("n")))
-    return pairs.where((F.col("c_e") < F.col("n")) & (_ratio(c_t) >= threshold) & chance)
-
+def text_counts(docs: DataFrame) -> DataFrame:
+    """(term, c_t): in how many distinct texts of ``docs`` each term stands.
 
-def _text_counts(docs: DataFrame, pairs: DataFrame, which: Column | None = None) -> DataFrame | None:
-    """(term, c_t): in how many distinct texts of ``docs`` (of those that ``which`` names) each term of ``pairs`` stands; None without terms."""
-    terms = shared.materialise(pairs.select("term").distinct(), "terms")
-    if terms.isEmpty():
-        return None
+    Counted over all rows with partial sums, less what copies add: only texts that stand more than once are looked at again.
+    """
     d = _with_text(docs.select("text"))
-    d = d if which is None else d.where(which)
-    own = d.select("_h", F.explode(_terms(F.col("_t"))).alias("term")).join(_small(terms, BROADCAST_TERMS), "term", "left_semi")
-    return own.distinct().groupBy("term").agg(F.count("*").alias("c_t"))
+    every = d.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    many = shared.materialise(d.groupBy("_h").agg((F.count("*") - 1).alias("more")).where("more > 0"), "copies")
+    once = d.join(_small(many, BROADCAST_TERMS), "_h").dropDuplicates(["_h"])
+    again = once.select("more", F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.sum("more").alias("more"))
+    return every.join(again, "term", "left").select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("c_t"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
