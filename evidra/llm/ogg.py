@@ -1,11 +1,14 @@
-"""Ogg media columns: mux bytes into a checked container, and demux them again.
+"""Ogg media columns: mux bytes into a checked container, store it, and demux what is read back.
 
 Writing: samples and a small description are two logical streams, interleaved page by
-page.  Reading verifies every page's checksum and sequence number, reassembles packets
-from lacing values (also across pages), demultiplexes by serial number and derives
-timestamps from granule positions.  A page that fails any of these raises.
-
-Null text counts as empty.  Equal texts give equal containers: serials are fixed.
+page; the containers are written as a binary column below the shared folder.  Reading verifies every
+page's checksum and sequence number, reassembles packets from lacing values (also across pages),
+demultiplexes by serial number and derives each page's times from granule positions.
+
+Defined results: null text counts as empty.  Equal texts give equal containers: serials are fixed, and
+repeated rows are stored each.  A container that is null, damaged or not of this kind gives a row with its
+doc_id, nulls and what is wrong in ``error``; the others are not held up.  Very long texts are muxed alone
+(a container is held whole in memory).  An empty table gives no rows.  Columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -88,6 +91,7 @@ class Stream:
 
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)  #: of each page that ends a packet
+    page_granules: list[int | None] = field(default_factory=list)  #: of each page
     pages: int = 0
     partial: list[bytes] = field(default_factory=list)
     open: bool = False
@@ -96,6 +100,15 @@ class Stream:
     def seconds(self, rate: int = RATE) -> float:
         return (self.granules[-1] if self.granules else 0) / rate
 
+    def page_times(self, rate: int = RATE) -> list[tuple[float, float]]:
+        """Each page's first and last second: it starts where the last page that ends a packet ends, and ends at its own granule position."""
+        out, at = [], 0
+        for g in self.page_granules:
+            end = at if g is None else g
+            out.append((at / rate, end / rate))
+            at = end
+        return out
+
 
 def demux(media: bytes) -> dict[int, Stream]:
     """The logical streams of a container, by serial; raises :class:`OggError` on any damage."""
@@ -130,6 +143,7 @@ def demux(media: bytes) -> dict[int, Stream]:
             s.partial.append(media[start:body])
         s.open = n > 0 and lacing[-1] == 255
         s.pages, s.ended = s.pages + 1, bool(kind & LAST)
+        s.page_granules.append(None if granule == NO_GRANULE else granule)
         if granule != NO_GRANULE:
             if s.granules and granule < s.granules[-1]:
                 raise OggError("granule position runs backwards")
@@ -146,7 +160,9 @@ def features(payload: bytes, streams: dict[int, Stream]) -> str:
     crossings = int(np.count_nonzero(np.diff(np.signbit(samples))))
     power = int((samples.astype(np.int64) ** 2).sum())
     audio = streams[AUDIO]
-    return f"ms={round(audio.seconds() * 1000)};pages={audio.pages};packets={len(audio.packets)};sum={int(samples.sum())};power={power};peak={int(np.abs(samples).max(initial=0))};crossings={crossings}"
+    times = audio.page_times()
+    longest = max((end - start for start, end in times), default=0.0)
+    return f"ms={round(audio.seconds() * 1000)};pages={audio.pages};page_ms={round(longest * 1000)};packets={len(audio.packets)};sum={int(samples.sum())};power={power};peak={int(np.abs(samples).max(initial=0))};crossings={crossings}"
 
 
 def _store(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,35 +177,77 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id and media: each text (doc_id, text) as an Ogg container."""
 
     def run(batches):
-        for batch in shared.small_batches(batches, 256):
+        for batch in shared.small_batches(batches, 256, "text"):
             yield _store(batch)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id and media of :func:`store_texts`, written below the shared folder and read back from there."""
+    return shared.materialise(store_texts(docs), "media", compression="zstd")
+
+
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+
+
+def payload_of(media: bytes | None) -> tuple[bytes, int, dict[int, Stream]]:
+    """The payload of a container, its unpadded size and its streams; raises :class:`OggError`."""
+    if media is None:
+        raise OggError("no container")
+    streams = demux(media)
+    if streams.keys() != {AUDIO, ABOUT} or len(streams[ABOUT].packets) != 2 or not streams[AUDIO].packets:
+        raise OggError("streams of another kind")
+    head, about = streams[AUDIO].packets[0], streams[ABOUT].packets[1]
+    if len(head) != 21 or head[:8] != b"EVPCM8\x00\x01" or len(about) != 12:
+        raise OggError("stream heads of another kind")
+    payload = b"".join(streams[AUDIO].packets[1:])
+    if struct.unpack("<IBQ", head[8:])[2] != len(payload) or streams[AUDIO].granules[-1] != len(payload):
+        raise OggError("sample count differs")
+    return payload, struct.unpack("<QI", about)[0], streams
 
 
 def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
-    for doc, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-        streams = demux(media)
-        payload = b"".join(streams[AUDIO].packets[1:])
-        n_bytes, _ = struct.unpack("<QI", streams[ABOUT].packets[1])
-        if struct.unpack("<IBQ", streams[AUDIO].packets[0][8:])[2] != len(payload):
-            raise OggError("sample count differs")
-        rows.append((doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, streams)))
+    for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+        media = cell.as_py()
+        try:
+            payload, n_bytes, streams = payload_of(media)
+            rows.append((doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, streams), None))
+        except OggError as e:
+            rows.append((doc, *[None] * 7, str(e)))
     names = [x.split()[0] for x in FEATURES.split(", ")]
     kinds = [pa.string() if x.endswith("string") else pa.int64() for x in FEATURES.split(", ")]
     return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Features of each container of ``media`` (doc_id, media), computed from the bytes read back."""
+    """Features of each container of ``media`` (doc_id, media), computed from the bytes read back; ``error`` says why there are none."""
 
     def run(batches):
-        for batch in shared.small_batches(batches, 256):
-            if batch.num_rows:
-                yield _read(batch)
+        for batch in shared.small_batches(batches, 256, "media"):
+            yield _read(batch)
 
     return media.select("doc_id", "media").mapInArrow(run, FEATURES)
+
+
+PAGES = "doc_id long, serial long, page long, start_seconds double, end_seconds double"
+
+
+def page_table(media: DataFrame) -> DataFrame:
+    """(doc_id, serial, page, start_seconds, end_seconds): the times of every page of every sound container."""
+
+    def run(batches):
+        for batch in shared.small_batches(batches, 256, "media"):
+            rows = []
+            for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                try:
+                    streams = payload_of(cell.as_py())[2]
+                except OggError:
+                    continue
+                rows += [(doc, serial, k, a, b) for serial, s in streams.items() for k, (a, b) in enumerate(s.page_times())]
+            if rows:
+                kinds = [pa.float64() if x.endswith("double") else pa.int64() for x in PAGES.split(", ")]
+                yield pa.RecordBatch.from_pydict({x.split()[0]: pa.array(c, k) for x, k, c in zip(PAGES.split(", "), kinds, zip(*rows, strict=True), strict=True)})
+
+    return media.select("doc_id", "media").mapInArrow(run, PAGES)

@@ -33,7 +33,7 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.read_media(ogg.store_texts(_table(spark, sf_dir, "documents")))
+    return ogg.read_media(ogg.stored(_table(spark, sf_dir, "documents")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

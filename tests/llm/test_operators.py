@@ -138,11 +138,27 @@ def test_lm(spark, docs, order, hot):
 
 
 def test_ogg(docs, none):
-    for r in ogg.read_media(ogg.store_texts(docs)).collect():
+    media = ogg.stored(docs)
+    for r in ogg.read_media(media).collect():
         t = texts()[r.doc_id].encode()
         p = t + b" " * (max(192, -(-len(t) // 192) * 192) - len(t))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-    assert ogg.read_media(ogg.store_texts(none)).count() == 0
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), None)
+    assert ogg.read_media(ogg.stored(none)).count() == 0
+    pages = [r for r in ogg.page_table(media).collect() if r.serial == ogg.AUDIO and r.doc_id == 9]
+    pages.sort(key=lambda r: r.page)
+    size = -(-len(LONG) // 192) * 192
+    # A page ends where its last whole packet does: packets of 1,920 bytes, eight lacing values each, 255 a page.
+    done = [0] + [min(size, 1920 * (255 * k // 8)) for k in range(1, len(pages))]
+    assert [(r.start_seconds, r.end_seconds) for r in pages] == [(a / 8000, b / 8000) for a, b in zip([0, *done[:-1]], done, strict=True)]
+
+
+def test_ogg_bad_rows(spark):
+    good = ogg.mux(b"x" * 192, 1)
+    other = ogg.mux(b"x" * 192, 1).replace(b"EVPCM8", b"OTHERS")
+    rows = [(1, good), (2, None), (3, good[:-3]), (4, b""), (5, b"OggS"), (6, other), (None, good)]
+    got = {r.doc_id: r for r in ogg.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].error is None and got[None].error is None and got[1].n_bytes == 1
+    assert all(got[i].error and got[i].feature is None for i in (2, 3, 4, 5, 6))
 
 
 def test_ogg_damage_and_checksum():
