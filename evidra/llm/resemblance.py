@@ -1,15 +1,23 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by the Jaccard similarity of word shingles, for the pipeline's near-duplicate stage.
 
 Two texts resemble each other when their sets of ``shingle`` words in a row overlap by
-``similarity`` or more.  Candidates share one of ``BANDS`` keys, each made of the least
-values of their set under ``ROWS`` permutations: at similarity 0.8 one pair in about
-13,000 shares none.  Every candidate pair is then checked on the sets themselves, so
+``similarity`` or more.  Candidates are (1) pairs whose fingerprints the generalised pigeonhole of
+:mod:`evidra.llm.simhash` links, and (2) pairs that share one of ``BANDS`` keys, each made of the least
+values of their set under ``ROWS`` permutations, since texts alike by 0.8 differ in about ten of 64
+fingerprint bits, beyond any radius that a pigeonhole can probe: at similarity 0.8 one pair in about
+13,000 shares no key.  Every candidate pair is checked on the sets themselves, so
 no texts are linked below the similarity.
 
-Texts with the same set are one node.  Buckets up to ``PAIRED`` nodes are compared each
-with each; in larger ones a node meets its ``NEIGHBOURS`` next ones, in an order that
-differs from key to key, so that pairs grow with the rows and no node is a hub.
-Null and wordless texts have one set; shorter texts have themselves as their one shingle.
+Texts with the same set are one node.  Buckets of a key up to ``PAIRED`` nodes are compared each
+with each.  In larger ones a node first meets its ``NEIGHBOURS`` next ones, in an order that
+differs from key to key, which joins a family without all its pairs.  The nodes of larger buckets that are
+not one group by then are compared exactly (:func:`rest`): two sets alike by 0.8 share one of the rarest fifth
+of their shingles, so nodes of different groups that share such a shingle are compared each with each.
+
+Defined results: null and wordless texts have one set; shorter texts have themselves as their one shingle.
+Equal rows and rows that share an id are documents each.  Ties go to the least id.  Very long texts are read
+in bounded batches (a text beyond the bound alone).  An empty table gives no rows.  Columns other than doc_id
+and text are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm import graph, shared
-from evidra.llm.substring import _M1, _mix, _rolled, word_hashes
+from evidra.llm import graph, shared, simhash
+from evidra.llm.substring import _M1, _mix, _rolled, keyed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -67,7 +75,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, h, keys): per row its set's name and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches):
+        for batch in shared.small_batches(batches, 512, "text"):
             sets = [shingles(t, shingle) for t in shared.binary(batch.column("text"))]
             keys = np.concatenate([band_keys(s) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), _signed(keys))
@@ -139,32 +147,127 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
     """(h, own): each row's set and its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches, 128):
+        for batch in shared.small_batches(batches, 128, "text"):
             sets = [shingles(t, shingle) for t in shared.binary(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"h": pa.array([identity(s) for s in sets], pa.int64()), "own": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, own binary")
 
 
+def _checked_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (u, v) among ``pairs``, from the sets of the documents that stand for their nodes (h, least)."""
+    ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
+    sets = shared.materialise(_sets(docs, nodes.join(ends, "h"), shingle), "sets")
+    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("own").alias("b")), "v")
+    return shared.materialise(checked(both.select("u", "v", "a", "b"), similarity), "links")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(h, own) of ``nodes`` (h, least)."""
+    named = nodes.select(F.col("least").alias("_n")).distinct()
+    own = sets_of(docs.join(named, docs["doc_id"] == named["_n"], "left_semi"), shingle)
+    return own.dropDuplicates(["h"]).join(nodes.select("h"), "h", "left_semi")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n, s): each shingle of each set (h, own), with the set's size."""
+    for batch in shared.small_batches(batches, 256, "own"):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("own")]
+        size = np.array([len(x) for x in sets])
+        yield pa.RecordBatch.from_pydict({"h": pa.array(np.repeat(batch.column("h").to_numpy(), size)), "n": pa.array(np.repeat(size, size)), "s": pa.array(np.concatenate(sets))})
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different groups in rows (s, g, h) sorted by s: each with each, a row of the triangle at a time."""
+    held = None
+    for batch in batches:
+        x = np.stack([batch.column(c).to_numpy() for c in ("s", "g", "h")])
+        x = x if held is None else np.concatenate([held, x], axis=1)
+        last = np.searchsorted(x[0], x[0, -1]) if x.shape[1] else 0
+        held, x = x[:, last:], x[:, :last]
+        yield from _triangle(x)
+    if held is not None:
+        yield from _triangle(held)
+
+
+def _triangle(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]])) if x.shape[1] else []
+    for i, j in zip(first, [*first[1:], x.shape[1]], strict=True):
+        for k in range(i, j - 1):
+            other = np.flatnonzero(x[1, k + 1 : j] != x[1, k]) + k + 1
+            if len(other):
+                u = np.full(len(other), x[2, k])
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, x[2, other])), "v": pa.array(np.maximum(u, x[2, other]))})
+
+
+def rest(docs: DataFrame, nodes: DataFrame, keys: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """Pairs (u, v) to check among nodes of buckets (key, h) beyond ``PAIRED`` that are not one group by ``roots`` (node, root); None without any.
+
+    Exact: with a set's shingles from the rarest on, sets of sizes n and m alike by t share one of the first n - ceil(t n) + 1 of the one
+    and m - ceil(t m) + 1 of the other.
+    """
+    big = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key")
+    grouped = keys.join(big, "key", "left_semi").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("g"))
+    grouped = shared.materialise(grouped, "buckets")
+    split = grouped.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("key")
+    left = shared.materialise(grouped.join(split, "key", "left_semi").select("h", "g").distinct(), "open")
+    if left.isEmpty():
+        return None
+    sets = _sets(docs, nodes.join(left, "h", "left_semi"), shingle)
+    rows = shared.materialise(sets.mapInArrow(_shingle_rows, "h long, n long, s long"), "shingles")
+    seen = rows.groupBy("s").agg(F.count("*").alias("df"))
+    by_rarity = F.sort_array(F.collect_list(F.struct("df", "s")))  # a set's shingles
+    first = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    prefix = rows.join(seen, "s").groupBy("h", "n").agg(by_rarity.alias("all")).select("h", F.explode(F.slice("all", 1, first)).alias("x")).where("x.df > 1")
+    dealt = prefix.join(left, "h").select("x.s", "g", "h").repartition(shared.partitions(docs.sparkSession), "s").sortWithinPartitions("s")
+    return dealt.mapInArrow(_across, "u long, v long").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, component_id (the least doc_id reachable)."""
+    """Per row of ``docs`` (doc_id, text), whose ids are whole and unique: doc_id, component_id (the least doc_id reachable)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = shared.materialise(signatures(docs, shingle), "signatures")
     nodes = shared.materialise(found.groupBy("h").agg(F.min("doc_id").alias("least")), "nodes")
-    keys = found.join(nodes, (found["h"] == nodes["h"]) & (found["doc_id"] == nodes["least"])).select(F.explode("keys").alias("key"), found["h"])
-    pairs = shared.materialise(candidates(keys), "pairs")
-    ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
-    named = nodes.join(ends, "h").select(F.col("least").alias("_n")).distinct()
-    sets = sets_of(docs.join(named, docs["doc_id"].cast("long") == named["_n"], "left_semi"), shingle)
-    sets = shared.materialise(sets.dropDuplicates(["h"]), "sets")
-    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("own").alias("b")), "v")
-    roots = graph.components(checked(both.select("u", "v", "a", "b"), similarity))
+    keys = shared.materialise(found.join(nodes, (found["h"] == nodes["h"]) & (found["doc_id"] == nodes["least"])).select(F.explode("keys").alias("key"), found["h"]), "keys")
+    pairs = shared.materialise(candidates(keys).unionByName(by_fingerprint(docs, nodes)).distinct(), "pairs")
+    links = _checked_pairs(docs, nodes, pairs, shingle, similarity)
+    roots = graph.components(links)
+    if (more := rest(docs, nodes, keys, roots, shingle, similarity)) is not None:
+        further = _checked_pairs(docs, nodes, shared.materialise(more, "pairs"), shingle, similarity)
+        roots = graph.components(links.unionByName(further))
     rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.select("doc_id", "h").join(rooted.join(component, "root").select("h", "component_id"), "h").select("doc_id", "component_id")
+    out = shared.materialise(found.select("doc_id", "h").join(rooted.join(component, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "components")
+    for df in (found, nodes, keys, pairs, links):
+        shared.discard(df)
+    return out
+
+
+def by_fingerprint(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (h, least) that the fingerprints of their documents link, by :func:`evidra.llm.simhash.all_links`.
+
+    Nodes of one fingerprint meet in a chain in the order of their names.
+    """
+    own = nodes.select(F.col("least").alias("_n"), "h")
+    named = docs.join(own.select("_n"), docs["doc_id"] == F.col("_n"), "left_semi")
+    fps = shared.materialise(simhash.fingerprints(named).join(own, F.col("doc_id") == F.col("_n")).select("fp", "h"), "fps")
+    first = shared.materialise(fps.groupBy("fp").agg(F.min("h").alias("h")), "firsts")
+    links = simhash.all_links(first.select("fp"))
+    far = links.join(first.select(F.col("fp").alias("u"), F.col("h").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("h").alias("b")), "v").select("a", "b")
+    same = fps.join(first.withColumnRenamed("h", "a"), "fp").select("a", F.col("h").alias("b"))
+    both = far.unionByName(same).where("a <> b")
+    return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.  Of rows that share an id one stays; rows without an id all stay."""
-    named = docs.where("doc_id is not null")
-    kept = near_copies(named, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one document of each group: the first by id, then by a hash of the text (a null id is least).
+
+    Rows that share an id are documents of their own: unlike texts stay all, of alike ones one row stays.
+    """
+    own = shared.neutral(docs)
+    texts = keyed(own)
+    named = texts.select("doc_id", "text")
+    kept = near_copies(named, shingle, similarity).where("doc_id = component_id").select("doc_id")
+    if not getattr(texts, "_evidra_ranked", False):
+        return own.join(kept, own["doc_id"].cast("long") == kept["doc_id"], "left_semi").toDF(*docs.columns)
+    return texts.join(kept, "doc_id", "left_semi").select(*(F.col(f"_o{i}") for i in range(len(own.columns)))).toDF(*docs.columns)

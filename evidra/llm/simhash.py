@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches):
+        for batch in shared.small_batches(batches, 512, "text"):
             fps = np.array([fingerprint(t) for t in shared.binary(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps)})
 
@@ -351,10 +351,3 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id.  Of rows that share an id one stays; rows without an id all stay."""
-    named = docs.where("doc_id is not null")
-    kept = near_duplicates(named, tau).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -112,29 +112,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, own, text): ``own`` is the given id and ``doc_id`` a number of the row's own in document order.
 
     Where ids are whole and unique (one small aggregation tells), they are that number.  Else rows are ranked by one
-    range shuffle and prefix sums, equal rows spread over it, and written.
+    range shuffle and prefix sums, equal rows spread over it, and written, with their columns as ``_o0``, ``_o1`` and so on.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
-    if d.groupBy("own").agg(F.count("*").alias("n")).where("n > 1 or own is null").isEmpty():
-        return d.select(F.col("own").alias("doc_id"), "own", "text")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = shared.task_partition(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"own": batch.column("own"), "text": batch.column("text"), "part": pa.array(np.full(n, part), pa.int32()), "at": pa.array(np.arange(at, at + n), pa.int64())})
-            at += n
-
-    order = ["own", "h", "m"]
-    ranked = d.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()}).repartitionByRange(shared.partitions(spark), *order).sortWithinPartitions(*order)
-    ranked = shared.materialise(ranked.select("own", "text").mapInArrow(place, "own long, text string, part int, at long"), "ranked")
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
+    if own.groupBy("own").agg(F.count("*").alias("n")).where("n > 1 or own is null").isEmpty():
+        return own.select(F.col("own").alias("doc_id"), "own", "text")
+
+    order = ["own", "_h", "_m"]
+    ranked = own.withColumns({"_h": F.xxhash64("text"), "_m": F.monotonically_increasing_id()}).repartitionByRange(shared.partitions(spark), *order).sortWithinPartitions(*order)
+    # A partition's rows are numbered in its order: the part above, the place below.
+    ranked = shared.materialise(ranked.drop("_h", "_m").withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, at = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
     base, bases = 0, []
-    for r in ranked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
+    for r in ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
         bases.append((r.part, base))
         base += r.n
-    named = ranked.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
-    return named.select((F.col("base") + F.col("at")).alias("doc_id"), "own", "text")
+    named = ranked.withColumn("part", part).join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    out = named.withColumn("doc_id", F.col("base") + at).drop("part", "base", "_at")
+    out._evidra_ranked = True
+    return out
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -420,7 +417,7 @@ def _cut(with_text: bool):
 
 def report(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (or ``text``, the kept words joined by one space)."""
-    texts = keyed(docs)
+    texts = keyed(docs.select("doc_id", "text")).select("doc_id", "own", "text")
     found = found_pieces(texts)
     maybe, untouched = IdFilter(found.select("doc_id")).split(texts)
     shape = REPORT.replace("kept_sha256", "text") if with_text else REPORT
@@ -437,7 +434,7 @@ def factor_table(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_words", "source", "at"), zip(*rows, strict=True), strict=True)})
 
-    texts = keyed(docs)
+    texts = keyed(docs.select("doc_id", "text")).select("doc_id", "own", "text")
     return texts.join(found_pieces(texts), "doc_id").select("doc_id", "text", "found").mapInArrow(run, "doc_id long, start long, n_words long, source long, at long")
 
 

@@ -45,3 +45,42 @@ def test_stage_finds_edited_copies(spark):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == _least(rows)
     assert resemblance.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rest_of_large_buckets(spark):
+    """Texts of one long passage each share keys without being alike; all pairs that are alike must still be among those to check."""
+    shared.ship(spark)
+    rng = np.random.default_rng(6)
+    passage = [f"p{v}" for v in range(110)]
+    rows = [(5000 + k, f"short {k // 2}") for k in range(6)]
+    for k in range(120):
+        words = passage + [f"own{k}x{v}" for v in range(30)]
+        rows.append((2 * k, " ".join(words)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, _edited(words, {int(rng.integers(115, 140))}, f"new{k}")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    name = {i: resemblance.identity(resemblance.shingles(t.encode(), 5)) for i, t in rows}
+    least = {}
+    for i, h in name.items():
+        least[h] = min(i, least.get(h, i))
+    nodes = spark.createDataFrame(list(least.items()), "h long, least long")
+    keys = nodes.selectExpr("1L AS key", "h")
+    linked = (name[0], name[1])
+    roots = spark.createDataFrame([(linked[0], min(linked)), (linked[1], min(linked))], "node long, root long")
+    got = {(r.u, r.v) for r in resemblance.rest(docs, nodes, keys, roots, 5, 0.8).collect()}
+    sets = {h: _sets(dict(rows)[i]) for h, i in least.items()}
+    hs = sorted(sets)
+    want = {(a, b) for k, a in enumerate(hs) for b in hs[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} - {tuple(sorted(linked))}
+    assert len(want) >= 39 and want <= got and len(got) < 200
+    one = spark.createDataFrame([(h, 1) for h in hs], "node long, root long")
+    assert resemblance.rest(docs, nodes, keys, one, 5, 0.8) is None
+
+
+def test_shared_ids_and_null_ids(spark):
+    shared.ship(spark)
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, t, "x"), (1, u, "y"), (2, t, "z"), (None, u, "v"), (None, "alone", "w"), (3, "alone", "q"), (3, "alone", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    kept = resemblance.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text, r.h) for r in kept.collect())) == sorted([(0, u, "v"), (0, "alone", "w"), (1, t, "x")])
