@@ -11,8 +11,11 @@ in the negative part of U.  The fit uses a bounded sample (``MAX_POSITIVE``,
 ``MAX_UNLABELLED``, ``FEATURES``); every text is scored whole.  Inputs of a score are the
 text's words alone.
 
-Null and empty texts have no features and score the intercept.  Without a confirmed toxic
-text every score is 0.  Labels are learned from rows whose crc32(doc_id) mod 3 is not 1.
+Defined results: null and empty texts have no features and score the intercept.  Without a confirmed toxic
+text every score is 0.  Labels are learned from rows whose crc32(doc_id) mod 3 is not 1; of a text that stands
+more than once the sample holds one row, and rows that share an id share its label.  Ties between features go to
+the smaller name.  Very long texts are scored whole, in bounded batches (a text beyond the bound alone).  An empty
+table gives no rows.  Columns other than doc_id and text are left as they are.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in shared.small_batches(batches, 1024):
+    for batch in shared.small_batches(batches, 1024, "text"):
         p, u = Counter(), Counter()
         for text, is_p, is_u in zip(batch.column("text").to_pylist(), batch.column("p").to_pylist(), batch.column("u").to_pylist(), strict=True):
             own = features_of(text or "")
@@ -93,24 +96,32 @@ def choose_features(s: DataFrame, n_p: int, n_u: int, prior: float) -> list[str]
     return [r.f for r in best.select("f").collect()]
 
 
+def risk(z: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores z with the logistic loss, and the slope that a step follows.
+
+    With l(+) = log(1 + exp(-z)) and l(-) = log(1 + exp(z)): prior mean_P l(+) + max(0, mean_U l(-) - prior mean_P l(-)).
+    Below zero the second term is fitted noise; its slope is followed upwards then, as the method's authors do.
+    """
+    n_p, n_u = max(1, p.sum()), max(1, u.sum())
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    negative = np.logaddexp(0, z)
+    rest = (negative * u).sum() / n_u - prior * (negative * p).sum() / n_p
+    total = prior * (np.logaddexp(0, -z) * p).sum() / n_p + max(0.0, rest)
+    rest_slope = s * u / n_u - prior * s * p / n_p
+    return float(total), prior * (s - 1) * p / n_p + rest_slope if rest >= 0 else -rest_slope
+
+
 def fit(rows: list[list[int]], p: np.ndarray, u: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept: Adam on the non-negative risk with the logistic loss; rows hold feature numbers."""
+    """Weights and intercept: Adam on the non-negative risk; rows hold feature numbers."""
     size = np.array([len(r) for r in rows])
     index = np.array([i for r in rows for i in r], np.int64)
     row = np.repeat(np.arange(len(rows)), size)
-    n_p, n_u = max(1, int(p.sum())), max(1, int(u.sum()))
     w = np.zeros(n_features + 1)  # the last is the intercept
     w[-1] = np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, EPOCHS + 1):
         z = np.bincount(row, weights=w[index], minlength=len(rows)) + w[-1]
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # Logistic loss of a label y: log(1 + exp(-y z)); its slope is s - 1 for + and s for -.
-        loss = np.logaddexp(0, z)
-        corrected = (loss * u).sum() / n_u - prior * (loss * p).sum() / n_p
-        g = prior * (s - 1) * p / n_p
-        rest = s * u / n_u - prior * s * p / n_p
-        g = g + rest if corrected >= 0 else -rest
+        _, g = risk(z, p, u, prior)
         grad = np.append(np.bincount(index, weights=g[row], minlength=n_features), g.sum())
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -128,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]
     number = {f: i for i, f in enumerate(names)}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shared.small_batches(batches, 1024):
+        for batch in shared.small_batches(batches, 1024, "text"):
             own = [sorted(number[f] for f in features_of(t or "") if f in number) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "p": batch.column("p"), "u": batch.column("u"), "x": pa.array(own, pa.list_(pa.int32()))})
 
@@ -152,7 +163,7 @@ def _score(model: tuple[dict[str, float], float] | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = Hits()
-        for batch in shared.small_batches(batches):
+        for batch in shared.small_batches(batches, 512, "text"):
             scores = []
             for text in batch.column("text").to_pylist():
                 own = {f for w in set((text or "").lower().split()) if (h := hits[w]) for f in h}
