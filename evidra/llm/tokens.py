@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces kept per worker; beyond it the memo starts afresh (results do not change).
-MEMO = 500_000
+#: Words kept per worker; beyond it the memo starts afresh (results do not change).
+MEMO = 200_000
 #: Words encoded in one step.
 STEP = 100_000
 END_ID = 1
@@ -50,7 +50,6 @@ class WordEncoder:
         gc.freeze()  # the memo holds no cycles; collections need not walk it
         gc.set_threshold(200_000, 50, 1000)
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.fast = "Lowercase" in repr(self.whole.normalizer) and self.whole.model.end_of_word_suffix == "</w>" and max(vocab.values()) < BREAK
         if self.fast:
             self.bare = Tokenizer(self.whole.model)
@@ -58,12 +57,13 @@ class WordEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             for token, i in vocab.items():
                 self.ends[i] = token.endswith("</w>")
-            self.pieces["\n"] = np.array([BREAK], self.dtype).tobytes()
             self.letters = [(chr(b), s) for b, s in _byte_letters().items() if b > 126 and chr(b) != s]
 
-    def _encode_pieces(self, missing: list[str]) -> None:
-        for start in range(0, len(missing), 4000):
-            part = missing[start : start + 4000]
+    def _pieces(self, distinct: list[str]) -> dict[str, bytes]:
+        """The packed ids of pieces of words; a line feed has an id of its own."""
+        out: dict[str, bytes] = {}
+        for start in range(0, len(distinct), 4000):
+            part = [p for p in distinct[start : start + 4000] if p != "\n"]
             shown = " ".join(part)
             if not shown.isascii():
                 shown = shown.encode().decode("latin-1")
@@ -72,18 +72,18 @@ class WordEncoder:
             ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):  # a vocabulary that lacks a letter
-                self.pieces.update((p, self._direct(p)) for p in part)
+                out.update((p, self._direct(p)) for p in part)
                 continue
             raw, at = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-            self.pieces.update(zip(part, [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+            out.update(zip(part, [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+        out["\n"] = np.array([BREAK], self.dtype).tobytes()
+        return out
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, missing: list[bytes]) -> list[bytes]:
         """The packed ids of words outside the memo, which enter it."""
-        if len(self.pieces) > MEMO:
-            self.pieces = {"\n": self.pieces["\n"]} if self.fast else {}
         other = [] if self.fast else missing
         if self.fast and not LATIN("".join(set((b"".join(missing)).decode("utf-8", "replace")))):
             other = [w for w in missing if not LATIN(w.decode("utf-8", "replace"))]
@@ -94,8 +94,8 @@ class WordEncoder:
             some = plain[start : start + STEP]
             # Words hold no line feed, so all are lowered and split into pieces in one go, each closed by a line feed.
             found = SPLIT((b"\n".join(some) + b"\n").decode().lower())
-            self._encode_pieces(list(set(found).difference(self.pieces)))
-            raw, size = b"".join(map(self.pieces.__getitem__, found)), self.dtype.itemsize
+            pieces = self._pieces(list(set(found)))
+            raw, size = b"".join(map(pieces.__getitem__, found)), self.dtype.itemsize
             ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == BREAK) * size).tolist()
             new.update(zip(some, [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
         if len(self.words) + len(new) > MEMO:
