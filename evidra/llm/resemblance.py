@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import graph, shared, simhash
-from evidra.llm.substring import _M1, _mix, _rolled, keyed, word_hashes
+from evidra.llm.substring import _M1, IdFilter, _mix, _rolled, keyed, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+FIRST = 6  #: keys whose candidates are checked before the others'
 PAIRED, NEIGHBOURS = 32, 4
 CHECKED = 64  #: pairs whose sets one step holds
 _FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -72,16 +73,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h, keys): per row its set's name and keys."""
+    """(doc_id, h, fp, keys): per row its set's name and keys, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.small_batches(batches, 512, "text"):
-            sets = [shingles(t, shingle) for t in shared.binary(batch.column("text"))]
+            texts = shared.binary(batch.column("text"))
+            sets = [shingles(t, shingle) for t in texts]
             keys = np.concatenate([band_keys(s) for s in sets])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), _signed(keys))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": pa.array([identity(s) for s in sets], pa.int64()), "keys": lists})
+            fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": pa.array([identity(s) for s in sets], pa.int64()), "fp": _signed(fps), "keys": lists})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, h long, fp long, keys array<long>")
 
 
 def _pairs(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,14 +162,23 @@ def _checked_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle:
     ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
     sets = shared.materialise(_sets(docs, nodes.join(ends, "h"), shingle), "sets")
     both = pairs.join(sets.select(F.col("h").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("own").alias("b")), "v")
-    return shared.materialise(checked(both.select("u", "v", "a", "b"), similarity), "links")
+    links = shared.materialise(checked(both.select("u", "v", "a", "b"), similarity), "links")
+    shared.discard(sets)
+    return links
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(h, own) of ``nodes`` (h, least)."""
-    named = nodes.select(F.col("least").alias("_n")).distinct()
-    own = sets_of(docs.join(named, docs["doc_id"] == named["_n"], "left_semi"), shingle)
-    return own.dropDuplicates(["h"]).join(nodes.select("h"), "h", "left_semi")
+    """(h, own) of ``nodes`` (h, least); texts that stand for none of them are held back by a fixed-size filter before the join."""
+    named = shared.materialise(nodes.select(F.col("least").alias("doc_id")).distinct(), "named")
+    maybe, _ = IdFilter(named).split(docs.withColumn("own", F.lit(0).cast("long")))
+    return sets_of(maybe.join(named, "doc_id", "left_semi"), shingle).dropDuplicates(["h"]).join(nodes.select("h"), "h", "left_semi")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose ends are not in one group by ``roots`` (node, root)."""
+    u, v = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    j = pairs.join(u, "u", "left").join(v, "v", "left")
+    return j.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +219,7 @@ def rest(docs: DataFrame, nodes: DataFrame, keys: DataFrame, roots: DataFrame, s
     and m - ceil(t m) + 1 of the other.
     """
     big = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key")
-    grouped = keys.join(big, "key", "left_semi").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("g"))
+    grouped = keys.select("key", "h").join(big, "key", "left_semi").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("g"))
     grouped = shared.materialise(grouped, "buckets")
     split = grouped.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("key")
     left = shared.materialise(grouped.join(split, "key", "left_semi").select("h", "g").distinct(), "open")
@@ -224,37 +236,49 @@ def rest(docs: DataFrame, nodes: DataFrame, keys: DataFrame, roots: DataFrame, s
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text), whose ids are whole and unique: doc_id, component_id (the least doc_id reachable)."""
+    """Per row of ``docs`` (doc_id, text), whose ids are whole and unique: doc_id, component_id (the least doc_id reachable).
+
+    Candidates are checked in three turns, each without pairs that the turns before have joined: those of the
+    fingerprints and the first keys, those of the other keys, and the rest of large buckets.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = shared.materialise(signatures(docs, shingle), "signatures")
-    nodes = shared.materialise(found.groupBy("h").agg(F.min("doc_id").alias("least")), "nodes")
-    keys = shared.materialise(found.join(nodes, (found["h"] == nodes["h"]) & (found["doc_id"] == nodes["least"])).select(F.explode("keys").alias("key"), found["h"]), "keys")
-    pairs = shared.materialise(candidates(keys).unionByName(by_fingerprint(docs, nodes)).distinct(), "pairs")
-    links = _checked_pairs(docs, nodes, pairs, shingle, similarity)
-    roots = graph.components(links)
-    if (more := rest(docs, nodes, keys, roots, shingle, similarity)) is not None:
-        further = _checked_pairs(docs, nodes, shared.materialise(more, "pairs"), shingle, similarity)
-        roots = graph.components(links.unionByName(further))
+    nodes = shared.materialise(found.groupBy("h").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("h", F.col("x.doc_id").alias("least"), F.col("x.fp").alias("fp")), "nodes")
+    first = found.join(nodes.select("h", "least"), (F.col("doc_id") == F.col("least")) & (found["h"] == nodes["h"])).select(F.posexplode("keys").alias("band", "key"), found["h"])
+    keys = shared.materialise(first, "keys")
+    turns = [
+        lambda roots: candidates(keys.where(F.col("band") < FIRST)).unionByName(by_fingerprint(nodes)).distinct(),
+        lambda roots: _apart(candidates(keys.where(F.col("band") >= FIRST)), roots),
+        lambda roots: rest(docs, nodes, keys, roots, shingle, similarity),
+    ]
+    links = roots = None
+    for turn in turns:
+        if (pairs := turn(roots)) is None:
+            continue
+        pairs = shared.materialise(pairs, "pairs")
+        if roots is not None and pairs.isEmpty():
+            continue
+        own = _checked_pairs(docs, nodes, pairs, shingle, similarity)
+        links = own if links is None else links.unionByName(own)
+        roots = graph.components(links)
+        shared.discard(pairs)
     rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = shared.materialise(found.select("doc_id", "h").join(rooted.join(component, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "components")
-    for df in (found, nodes, keys, pairs, links):
+    for df in (found, nodes, keys):
         shared.discard(df)
     return out
 
 
-def by_fingerprint(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes (h, least) that the fingerprints of their documents link, by :func:`evidra.llm.simhash.all_links`.
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (h, fp) that their fingerprints link, by :func:`evidra.llm.simhash.all_links`.
 
-    Nodes of one fingerprint meet in a chain in the order of their names.
+    Nodes of one fingerprint meet the first of them.
     """
-    own = nodes.select(F.col("least").alias("_n"), "h")
-    named = docs.join(own.select("_n"), docs["doc_id"] == F.col("_n"), "left_semi")
-    fps = shared.materialise(simhash.fingerprints(named).join(own, F.col("doc_id") == F.col("_n")).select("fp", "h"), "fps")
-    first = shared.materialise(fps.groupBy("fp").agg(F.min("h").alias("h")), "firsts")
+    first = shared.materialise(nodes.groupBy("fp").agg(F.min("h").alias("h")), "firsts")
     links = simhash.all_links(first.select("fp"))
     far = links.join(first.select(F.col("fp").alias("u"), F.col("h").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("h").alias("b")), "v").select("a", "b")
-    same = fps.join(first.withColumnRenamed("h", "a"), "fp").select("a", F.col("h").alias("b"))
+    same = nodes.select("fp", F.col("h").alias("b")).join(first.withColumnRenamed("h", "a"), "fp").select("a", "b")
     both = far.unionByName(same).where("a <> b")
     return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
