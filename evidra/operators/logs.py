@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import text
+from evidra.operators import store
 
 GROUP = ["incident_id", "entity", "severity", "template"]
 
@@ -19,6 +20,5 @@ def log_patterns(logs: DataFrame) -> DataFrame:
     stability = text.pattern_stability(F.col("template"), F.col("n"))
     with_last = (F.col("n") >= 3) | (stability == "recurring-each-cycle") | F.col("template").contains("attempt <n>/")
     exemplars = F.when(with_last & (F.col("a.log_id") != F.col("z.log_id")), F.array("a.log_id", "z.log_id")).otherwise(F.array("a.log_id"))
-    w = Window.partitionBy("incident_id").orderBy("first_seen", "entity", "severity", "template", "first_seq")
     out = g.select(*GROUP, F.col("n").alias("count"), F.col("a.t").alias("first_seen"), F.col("z.t").alias("last_seen"), exemplars.alias("exemplars"), stability.alias("stability"), "first_seq")
-    return out.withColumn("id", F.format_string("lp-%d", F.row_number().over(w))).drop("first_seq")
+    return store.numbered(out, ["incident_id"], ["first_seen", "entity", "severity", "template", "first_seq"], "id", "lp-%d").drop("first_seq")

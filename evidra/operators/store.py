@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import times
+from evidra.plans.lineage import cut
 
 RAW_KINDS = ("resource", "trace", "span", "metric_series", "log", "change", "prior_incident", "telemetry_gap")
 # Which categories a signal may refer to.
@@ -119,10 +120,30 @@ def first_by(df: DataFrame, partition: Sequence[str], *order: Column | str) -> D
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
+def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, name: str) -> DataFrame:
+    """``df`` with each row's place (from 1) in a total order within its partition, however large that is.
+
+    One range shuffle by partition and order, numbering within its tasks, and prefix sums over their counts: no task
+    holds a whole partition.  Lineage is cut after the shuffle, so that all steps see the same ranges.
+    """
+    placed = cut(df.repartitionByRange(*partition, *order).withColumn("_task", F.spark_partition_id()))
+    here = Window.partitionBy("_task", *partition).orderBy(*order)
+    counts = placed.groupBy("_task", *partition).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = placed.withColumn("_here", F.row_number().over(here)).join(before.select("_task", *(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)), "_before").withColumnRenamed("_task", "_t"), (F.col("_task") == F.col("_t")) & _same(partition))
+    return j.withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_task", "_here", "_t", "_before", *(f"_p{i}" for i in range(len(partition))))
+
+
+def _same(partition: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(partition):
+        out = out & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    return out
+
+
 def numbered(df: DataFrame, partition: Sequence[str], order: Sequence, name: str, form: str = "%d") -> DataFrame:
     """Dense ids by position in a total order within each partition."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(name, F.format_string(form, F.row_number().over(w)))
+    return ranked(df, partition, order, name).withColumn(name, F.format_string(form, name))
 
 
 def ingest(records: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import times
+from evidra.operators import store
 
 # The order of markers within a minute, and of relations in a list.
 MARKER_ORDER = {"change": 0, "trigger": 0, "amplification": 1, "symptom": 2, "propagation": 3, "recovery": 4, "non-causal-change": 5, "data-gap": 6}
@@ -67,8 +68,8 @@ def error_log_events(logs: DataFrame) -> DataFrame:
 def ordered(events: DataFrame) -> DataFrame:
     """Events by minute, marker, time, entity and reference, each once, with their position."""
     own = events.where("t is not null and trim(source_ref) <> ''").distinct()
-    w = Window.partitionBy("incident_id").orderBy(times.floor_minute(F.col("t")), _rank(F.col("marker"), MARKER_ORDER, 9), "t", "entity", "source_ref", "marker")
-    return own.withColumn("position", F.row_number().over(w))
+    own = own.withColumns({"_minute": times.floor_minute(F.col("t")), "_rank": _rank(F.col("marker"), MARKER_ORDER, 9)})
+    return store.ranked(own, ["incident_id"], ["_minute", "_rank", "t", "entity", "source_ref", "marker"], "position").drop("_minute", "_rank")
 
 
 def related(windows: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:

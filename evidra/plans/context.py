@@ -186,7 +186,7 @@ def entities_of_records(spark, sf_dir):
     return ev.select("event_id", text.collapse_space(F.concat(F.lit("  "), "event_type", F.lit("   of  "), F.col("user_id").cast("string"), F.lit(" "))).alias("shown"), F.array_sort(es).alias("entities"))
 
 
-@query("SELECT event_type AS severity, count(*) AS n, round(CASE WHEN event_type = 'error' THEN 0.82 ELSE 0.55 END + CASE WHEN count(*) >= 10 THEN 0.08 WHEN count(*) >= 3 THEN 0.04 ELSE 0 END, 2) AS strength FROM events GROUP BY 1")
+@query("SELECT event_type AS severity, count(*) AS n, round(CASE WHEN event_type = 'error' THEN 0.82 ELSE 0.55 END + CASE WHEN count(*) >= 10 THEN 0.08 WHEN count(*) >= 3 THEN 0.04 ELSE 0 END, 2)::DOUBLE AS strength FROM events GROUP BY 1")
 def pattern_strengths(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("severity")).agg(F.count("*").alias("n"))
     return g.select("severity", "n", F.round(scores.pattern_strength(F.upper("severity"), F.col("n")), 2).alias("strength"))
@@ -290,8 +290,8 @@ def otlp_logs(spark, sf_dir):
     return g.select("entity", "severity", "body", _s("t").alias("at_time"))
 
 
-@query("""SELECT 'resource' AS signal, count(DISTINCT user_id) AS accepted, 0::BIGINT AS rejected FROM events UNION ALL SELECT 'span', count_if(event_id % 7 <> 0), count_if(event_id % 7 = 0) FROM events
-UNION ALL SELECT 'metric_point', 0, 0 UNION ALL SELECT 'log', count_if(event_id % 11 <> 0), count_if(event_id % 11 = 0) FROM events""")
+@query("""SELECT 'resource' AS signal, count(DISTINCT user_id) AS accepted, 0::BIGINT AS rejected FROM events UNION ALL SELECT 'span', count_if(event_id % 7 <> 0)::BIGINT, count_if(event_id % 7 = 0)::BIGINT FROM events
+UNION ALL SELECT 'metric_point', 0, 0 UNION ALL SELECT 'log', count_if(event_id % 11 <> 0)::BIGINT, count_if(event_id % 11 = 0)::BIGINT FROM events""")
 def otlp_span_counters(spark, sf_dir):
     return otlp.ingest(_otlp_traces(spark, sf_dir)).counters()
 
@@ -308,6 +308,15 @@ def streaming_first_of_key(spark, sf_dir):
 
 @query(f"SELECT {_t('time_bucket(INTERVAL 6 HOURS, ts)')} AS start_at, event_type AS name, count(*) AS n_points, round(avg(value), 6) AS v FROM events GROUP BY 1, 2")
 def streaming_windows(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit("all").alias("entity"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("v"))
-    w = incremental.windowed(ev, "6 hours", "1 hour")
+    ev = incremental.stream_of(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit("all").alias("entity"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("v"))
+    w = incremental.run_to_end(incremental.windowed(ev, "6 hours", "1 hour"), "complete", "windows")
     return w.select(_s("window.start").alias("start_at"), "name", "n_points", F.round("v", 6).alias("v"))
+
+
+@query(f"""WITH e AS (SELECT event_type AS name, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT name, ts, sum(fresh) OVER (PARTITION BY name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT name, {_t('min(ts)')} AS first_t, count(*) AS n_points FROM s GROUP BY name, k""")
+def streaming_sessions(spark, sf_dir):
+    ev = incremental.stream_of(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit("all").alias("entity"), F.col("ts").cast("timestamp").alias("t"))
+    w = incremental.run_to_end(incremental.silences(ev, "30 minutes", "1 hour"), "complete", "sessions")
+    return w.select("name", _s("session_window.start").alias("first_t"), "n_points")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.functions import scores, text
+from evidra.functions import arrays, scores, text
 
 _ATTRS = "attributes ARRAY<STRUCT<key: STRING, value: STRING>>"
 _SCOPE = "scope STRUCT<name: STRING, version: STRING>"
@@ -60,8 +60,13 @@ def any_value(json: Column, depth: int = 3) -> Column:
 def attribute_map(attrs: Column) -> Column:
     """A list of attributes as a map; entries without key or value are left out, the last of equal keys counts."""
     good = F.filter(attrs, lambda a: a["key"].isNotNull() & a["value"].isNotNull())
-    last = F.filter(good, lambda a, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda b: b["key"] == a["key"]))
-    return F.coalesce(F.map_from_entries(F.transform(last, lambda a: F.struct(a["key"], any_value(a["value"])))), F.create_map().cast("map<string,string>"))
+    placed = F.array_sort(F.transform(good, lambda a, i: F.struct(a["key"].alias("key"), i.alias("i"), a["value"].alias("value"))))
+
+    def last(p: Column) -> Column:
+        own = F.filter(p, lambda a, i: F.coalesce(F.get(p, i + 1)["key"] != a["key"], F.lit(True)))
+        return F.map_from_entries(F.transform(own, lambda a: F.struct(a["key"], any_value(a["value"]))))
+
+    return F.coalesce(arrays.let(placed, last), F.create_map().cast("map<string,string>"))
 
 
 def canonical(attrs: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import times
+from evidra.operators import store
 
 
 def plan(events: DataFrame) -> DataFrame:
@@ -13,8 +14,9 @@ def plan(events: DataFrame) -> DataFrame:
     to the nanosecond, ties in input order.  A malformed time is an issue and has no place."""
     timed = events.withColumn("_key", times.replay_key(F.col("time")))
     good = timed.where(F.col("time").isNull() | F.col("_key").isNotNull())
-    w = Window.partitionBy("incident_id").orderBy(F.asc_nulls_first("_key.base"), F.asc_nulls_first("_key.nanos"), "input_order")
-    return good.withColumn("sequence", F.row_number().over(w) - 1).drop("_key")
+    good = good.withColumns({"_base": F.col("_key.base"), "_nanos": F.col("_key.nanos")}).drop("_key")
+    placed = store.ranked(good, ["incident_id"], [F.asc_nulls_first("_base"), F.asc_nulls_first("_nanos"), "input_order"], "sequence")
+    return placed.withColumn("sequence", F.col("sequence") - 1).drop("_base", "_nanos")
 
 
 def malformed(events: DataFrame) -> DataFrame:

@@ -120,3 +120,44 @@ def test_gap_names_its_cause(answer):
     i, d, _ = answer
     gap = {r.incident_id: r for r in bundle.candidates(i, d).where("source = 'missing_data'").collect()}["two"]
     assert gap.refs == ["telemetry_gap:1", "change:1"] and gap.entities == ["service:shop", "service:pay"]
+
+
+def test_read_files_and_issues(spark, tmp_path):
+    manifest = {"id": "one", "failure_class": "deploy", "question": "why", "capabilities": [], "time_window": {"start": "2026-03-01T10:00:00Z", "end": "2026-03-01T10:10:00Z"}}
+    lacking = case("one")
+    lacking["logs"].append({"id": "log-9", "t": None, "entity": "service:pay", "severity": "INFO", "body": None, "attributes": {}})
+    for name, scenario, given in (("one", json.dumps(manifest), json.dumps(lacking)), ("bad", json.dumps(manifest | {"id": "bad"}), "{no json"), ("worse", "[", json.dumps(case("worse")))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "scenario.json").write_text(scenario)
+        (tmp_path / name / "input.json").write_text(given)
+    i = src.read(spark, str(tmp_path))
+    assert {r.incident_id for r in i.logs.collect()} == {"one"} and i.logs.count() == 3
+    got = {(r.incident_id, r.place, r.problem) for r in src.issues(spark, str(tmp_path)).collect()}
+    assert got == {("one", "logs[3]", "t"), ("one", "logs[3]", "body"), ("bad", "input.json", "malformed"), ("worse", "scenario.json", "malformed")}
+
+
+def test_children_roll_up_and_flows(spark):
+    found = spark.createDataFrame([("i", "pod:a", 1.0, 0.5, ["c1"], ["c2"], ["oom_logs"]), ("i", "service:b", 0.5, 0.0, ["c3"], [], ["x"])], bundle.evidence.SUSPECT)
+    edges = spark.createDataFrame([("i", "service:a", "runs-on", "pod:a", None)], "incident_id string, src string, type string, dst string, attributes string")
+    got = {r.entity: r for r in bundle.evidence.roll_up(found, edges).collect()}
+    assert (got["service:a"].support, got["service:a"].counter, got["service:a"].reasons) == (0.8, 0.4, ["oom_logs", "runtime_child_anomaly"]) and got["pod:a"].support == 1.0
+    suspect = lambda s, x=0.0, *why: {"support": s, "counter": x, "supporting": ["c"], "counters": [], "reasons": set(why)}
+    fold = bundle.evidence.fold_edges
+    edge = lambda kind, role=None: [{"src": "a", "type": kind, "dst": "b", "attributes": role}]
+    t = fold({"b": suspect(1.0)}, edge("retries"))
+    assert t["b"]["counter"] == 0.9 and abs(t["b"]["support"] - 0.45) < 1e-9 and t["a"]["support"] == 0.55 and "retry_fanout_trace" in t["a"]["reasons"]
+    t = fold({"b": suspect(1.0)}, edge("reads-from", "cache-miss-fallback"))
+    assert t["b"]["counter"] == 0.8 and t["b"]["support"] == 0.65 and "a" not in t
+    t = fold({"a": suspect(1.0)}, edge("depends-on"))
+    assert t["b"]["support"] == 1.2 and abs(t["a"]["support"] - 0.2) < 1e-9
+    assert "b" not in fold({"a": suspect(1.0, 0.0, "oom_logs")}, edge("depends-on"))
+    assert fold({"a": suspect(1.0), "b": suspect(0.1, 0.2)}, edge("writes-to"))["b"]["support"] == 0.1
+    assert "b" not in fold({"a": suspect(1.0)}, edge("calls"))
+
+
+def test_deep_and_cyclic_traces(spark):
+    from evidra.operators import entities
+
+    rows = [("t", k, k - 1 if k else None, "service" if k == 0 else "dependency", f"e{k}") for k in range(150)] + [("c", 0, 1, "dependency", "x"), ("c", 1, 0, "dependency", "y")]
+    got = {(r.trace_id, r.span_id): (r.ancestor_id, r.depth, r.ancestor) for r in entities.nearest_service(spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long, endpoint string, entity string")).collect()}
+    assert got == {("t", k): (0, k, "e0") for k in range(1, 150)}
