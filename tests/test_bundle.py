@@ -161,3 +161,34 @@ def test_deep_and_cyclic_traces(spark):
     rows = [("t", k, k - 1 if k else None, "service" if k == 0 else "dependency", f"e{k}") for k in range(150)] + [("c", 0, 1, "dependency", "x"), ("c", 1, 0, "dependency", "y")]
     got = {(r.trace_id, r.span_id): (r.ancestor_id, r.depth, r.ancestor) for r in entities.nearest_service(spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long, endpoint string, entity string")).collect()}
     assert got == {("t", k): (0, k, "e0") for k in range(1, 150)}
+
+
+def test_entities_and_edges(spark):
+    bad = "2026-03-01T10:05:00Z"
+    span = lambda k, parent, resource, name, **attributes: {"span_id": k, "parent_id": parent, "resource": resource, "name": name, "kind": "SERVER", "start": bad, "end": bad, "status": "OK", "attributes": attributes}
+    named = lambda k, **attributes: {"id": k, "attributes": {a.replace("_", "."): v for a, v in attributes.items()}}
+    dots = lambda **a: {k.replace("_", "."): v for k, v in a.items()}
+    spans = [span("a", None, "r-ui", "GET /buy"), span("b", "a", "r-api", "POST /orders", **dots(http_route="/orders", orders_shard="3", tenant_id="t9")), span("c", "b", "r-db", "select", **dots(db_statement="SELECT 1")), span("d", "b", "r-cache", "get", **dots(cache_hit="false")),
+             span("e", "b", "r-api", "charge card", **dots(peer_service="bank")), span("f", "a", "r-job", "work"), span("g", "f", "r-db", "insert", **dots(db_statement="INSERT INTO t"))]
+    given = case("one") | {
+        "resources": [named("r-ui", service_name="shop-ui", k8s_pod_name="ui-1", host_name="h1"), named("r-api", service_name="shop-api"), named("r-job", service_name="job"), named("r-db", service_name="orders-pg", db_system="postgresql"), named("r-cache", service_name="kv", db_system="redis", cluster_name="kv1"),
+                      named("r-x1", service_name="x", service_version="v2"), named("r-x2", service_name="x"), named("r-x3", service_name="x", service_version="v1")],
+        "traces": [{"trace_id": "t-1", "exemplar_of": "failure", "spans": spans}], "metrics": [], "logs": [],
+        "changes": [{"id": "change:v", "t": bad, "kind": "job_start", "entity": "service:job", "summary": "VACUUM of orders started", "attributes": {}}],
+        "prior_incidents": [{"id": "prior:1", "first_seen": bad, "title": "", "summary": "", "mitigation": "", "signature": {"primary_entity": "db:orders-pg", "symptom": "latency", "trigger": "service:report nightly run", "upstream_impact": ""}}],
+        "telemetry_gaps": [{"id": "telemetry_gap:1", "start": bad, "end": bad, "affected_entities": ["service:y", "queue:z"], "affected_signals": ["trace"], "cause": None, "note": ""}],
+    }
+    manifests = spark.createDataFrame([json.dumps({"id": "one", "failure_class": "x", "question": "", "capabilities": [], "time_window": {"start": bad, "end": bad}})], "string").select(F.from_json("value", src.MANIFEST).alias("m")).select("m.*")
+    inputs = spark.createDataFrame([("one", json.dumps(given))], "incident_id string, j string").select("incident_id", F.from_json("j", src.INPUT).alias("d")).select("incident_id", "d.*")
+    i = src.typed(manifests, inputs)
+    found = bundle.resolve_entities(i)
+    ids = {r.id: (r.kind, r.confidence) for r in found.collect()}
+    assert {"route:shop-api/POST /orders": ("route", 0.95), "shard:shop-api-shard-3": ("shard", 0.9), "tenant:t9": ("tenant", 0.9), "queue:z": ("queue", 0.8), "pod:ui-1": ("pod", 0.95), "host:h1": ("host", 0.95), "service:x@canary": ("service", 0.96), "service:x@stable": ("service", 0.95), "service:x@unresolved": ("service", 0.4)}.items() <= ids.items()
+    edges = {(r.src, r.type, r.dst): (r.confidence, r.attributes) for r in bundle.resolve_relationships(i, found).collect()}
+    api, db = "service:shop-api", "db:orders-pg"
+    want = {
+        ("service:shop-ui", "calls", api): (0.98, None), (api, "reads-from", db): (0.96, "cache-miss-fallback"), (api, "reads-from", "infra:kv1"): (0.97, None), ("service:job", "writes-to", db): (0.96, None), (api, "depends-on", "external-api:bank"): (0.95, "payment-provider"),
+        (api, "fans-out-to", "shard:shop-api-shard-3"): (0.9, None), ("tenant:t9", "calls", api): (0.9, "routed to shard:shop-api-shard-3"), ("service:shop-ui", "deployed-as", "pod:ui-1"): (0.99, None), ("pod:ui-1", "runs-on", "host:h1"): (0.95, None),
+        ("service:report", "writes-to", db): (0.95, None), (api, "shares-resource-with", "service:job"): (0.8, None), ("service:shop-ui", "calls", "service:job"): (0.98, None),
+    }
+    assert edges == want
