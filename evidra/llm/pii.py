@@ -14,7 +14,7 @@ distinct texts, so copies add no evidence, and over all documents.  Pairs need `
 Defined results: null text counts as empty and has no spans.  Repeated rows, and rows that share an id, are
 each reported; what is found depends on a row's text alone.  Spans that overlap are reported each and replaced
 as one.  Positions are code points.  Very long texts are read whole, by regular expressions without
-backtracking and by scans in steps of ``STEP`` spans.  An empty table gives no rows.  Columns other than
+backtracking and by scans in short steps.  An empty table gives no rows.  Columns other than
 doc_id and text are left as they are, whatever their names.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions import arrays
 from evidra.llm import shared
 
 KINDS = ("email", "ip", "card", "phone")
@@ -50,7 +51,6 @@ REMOVE = 0.9
 BEYOND = 5.0
 BROADCAST_TERMS = 50_000
 BROADCAST_SPANS = 500_000
-STEP = 128  #: spans that one scan holds
 PIECE = 4096  #: code points of a text that are searched for a place
 TERM = r"[\p{L}\p{N}]++"
 LABELS = {"name": "<NAME>", "number": "<NUMBER>", "word": "<WORD>", "gone": ""}
@@ -58,35 +58,6 @@ _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _PLACES = "array<struct<start:int,end:int,kind:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with the value computed once, however often and wherever it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _scan(items: Column, zero: Column, place, shape: str) -> Column:
-    """The array of what ``place(state, item)`` -> (state, out) gives from left to right.
-
-    In steps, so that an array being built is short: a long one would be copied for every item.
-    """
-
-    def within(state: Column, some: Column) -> Column:
-        start = F.struct(state.alias("s"), F.array().cast(shape).alias("out"))
-
-        def add(acc: Column, x: Column) -> Column:
-            s, out = place(acc["s"], x)
-            return F.struct(s.alias("s"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-        return F.aggregate(some, start, add)
-
-    def whole(items: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.slice(items, i + 1, STEP))
-        first = F.array(F.struct(zero.alias("s"), F.array().cast(shape).alias("out")))
-        done = F.aggregate(steps, first, lambda acc, some: F.concat(acc, F.array(within(F.element_at(acc, -1)["s"], some))))
-        return F.flatten(F.transform(done, lambda x: x["out"]))
-
-    return _let(items, whole)
-
-
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -120,9 +91,9 @@ def _located(text: Column, pattern: str, kind: str) -> Column:
     def found(matches: Column) -> Column:
         between = F.split(text, pattern, -1)
         steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, value: F.struct(F.char_length(gap).alias("gap"), value.alias("value"), F.char_length(value).alias("n")))
-        return F.when(F.size(matches) > 0, _scan(steps, F.lit(0), place, _SPANS)).otherwise(F.array().cast(_SPANS))
+        return arrays.scan(steps, F.lit(0), place, _SPANS)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+    return arrays.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def _valid(kind: str):
@@ -262,7 +233,7 @@ def _replaced(text: Column, spans: Column, label) -> Column:
         return F.concat(F.array_join(gaps, ""), between(F.element_at(ends, -1), F.char_length(text)))
 
     pieces = F.transform(F.sequence(F.lit(0), F.char_length(text), F.lit(PIECE)), lambda i: F.substring(text, i + 1, F.lit(PIECE)))
-    return _let(pieces, lambda p: _let(spans, lambda x: made(p, x)))
+    return arrays.let(pieces, lambda p: arrays.let(spans, lambda x: made(p, x)))
 
 
 def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -296,7 +267,7 @@ def sanitise(docs: DataFrame, min_support: int = MIN_SUPPORT, threshold: float =
         return now, now
 
     zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("rank"))
-    d = d.withColumn("_run", F.when(F.size("_all") > 0, _scan(F.col("_all"), zero, join, shape)).otherwise(F.array().cast(shape)))
+    d = d.withColumn("_run", arrays.scan(F.col("_all"), zero, join, shape))
     ends = lambda x, i: (i == F.size("_run") - 1) | (F.get(F.col("_all"), i + 1)["start"] >= x["end"])
     d = d.withColumn("_joined", F.filter("_run", ends))
     text = F.when(F.size("_joined") > 0, _replaced(F.col("_t"), F.col("_joined"), lambda x: F.get(F.array(*map(F.lit, labels)), x["rank"]))).otherwise(F.col("text"))
