@@ -185,6 +185,7 @@ def _pack(vocab: str, limits: Limits, share: float, with_ids: bool):
                 yield batch_of()
         if rows:
             yield batch_of()
+        enc.forget()
 
     return run
 

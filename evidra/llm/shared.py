@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -113,6 +116,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, column: st
                 n = min(rows, max(1, int(np.searchsorted(ends, before + size, side="right")) - start))
             yield batch.slice(start, n)
             start += n
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a finished task no longer uses, so that an idle worker stays small beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a libc without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

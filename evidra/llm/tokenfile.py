@@ -44,6 +44,7 @@ def _write_shard(folder: str, vocab: str):
         if out is None:
             return
         out.close()
+        encoder(vocab).forget()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         index = f"{folder}/index-{shard:06d}.bin"
         with shared.open_out(f"{index}.{attempt}") as f:

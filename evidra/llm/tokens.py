@@ -1,14 +1,13 @@
-"""Exact word-level memo around a public BPE tokenizer.
+"""Exact word-level encoding with a public BPE tokenizer.
 
 The vocabulary's pre-tokenizer never joins characters across white space, and its
 normaliser works character by character, so a text's ids are the ids of its
 space-separated words in a row.  Each distinct word is therefore encoded once per
-worker and memory bound, whatever the corpus size.
+task and memory bound, whatever the corpus size; a task forgets them at its end.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -17,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept per worker; beyond it the memo starts afresh (results do not change).
-MEMO = 200_000
+from evidra.llm import shared
+
+#: Words a task keeps; beyond it the memo starts afresh (results do not change).
+MEMO = 500_000
 #: Words encoded in one step.
 STEP = 100_000
 END_ID = 1
@@ -47,8 +48,6 @@ class WordEncoder:
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        gc.freeze()  # the memo holds no cycles; collections need not walk it
-        gc.set_threshold(200_000, 50, 1000)
         self.words: dict[bytes, bytes] = {}
         self.fast = "Lowercase" in repr(self.whole.normalizer) and self.whole.model.end_of_word_suffix == "</w>" and max(vocab.values()) < BREAK
         if self.fast:
@@ -82,36 +81,51 @@ class WordEncoder:
     def _direct(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, missing: list[bytes]) -> list[bytes]:
-        """The packed ids of words outside the memo, which enter it."""
-        other = [] if self.fast else missing
-        if self.fast and not LATIN("".join(set((b"".join(missing)).decode("utf-8", "replace")))):
-            other = [w for w in missing if not LATIN(w.decode("utf-8", "replace"))]
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct words."""
+        other = [] if self.fast else words
+        if self.fast and not LATIN("".join(set((b"".join(words)).decode("utf-8", "replace")))):
+            other = [w for w in words if not LATIN(w.decode("utf-8", "replace"))]
         made = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-        new = {w: np.array(x.ids, dtype=self.dtype).tobytes() for w, x in zip(other, made, strict=True)}
-        plain = [w for w in missing if w not in new] if other else missing
-        for start in range(0, len(plain), STEP):
-            some = plain[start : start + STEP]
+        odd = {w: np.array(x.ids, dtype=self.dtype).tobytes() for w, x in zip(other, made, strict=True)}
+        out: list[bytes] = []
+        for start in range(0, len(words), STEP):
+            some = words[start : start + STEP]
+            plain = [w for w in some if w not in odd] if odd else some
+            if not plain:
+                out += [odd[w] for w in some]
+                continue
             # Words hold no line feed, so all are lowered and split into pieces in one go, each closed by a line feed.
-            found = SPLIT((b"\n".join(some) + b"\n").decode().lower())
+            found = SPLIT((b"\n".join(plain) + b"\n").decode().lower())
             pieces = self._pieces(list(set(found)))
             raw, size = b"".join(map(pieces.__getitem__, found)), self.dtype.itemsize
             ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == BREAK) * size).tolist()
-            new.update(zip(some, [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)], strict=True))
-        if len(self.words) + len(new) > MEMO:
-            self.words = {}
-        self.words.update(new)
-        return list(map(new.__getitem__, missing))
+            ids = [raw[i:j] for i, j in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)]
+            if odd:
+                own = iter(ids)
+                ids = [odd[w] if w in odd else next(own) for w in some]
+            out += ids
+        return out
 
     def _known(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of distinct words."""
+        """As :meth:`_encoded`, through the memo."""
         got = list(map(self.words.get, words))
         holes = [i for i, x in enumerate(got) if x is None]
         if holes:
-            for i, x in zip(holes, self._learn([words[i] for i in holes]), strict=True):
+            new = [words[i] for i in holes]
+            ids = self._encoded(new)
+            if len(self.words) + len(new) > MEMO:
+                self.words = {}
+            self.words.update(zip(new, ids, strict=True))
+            for i, x in zip(holes, ids, strict=True):
                 got[i] = x
         return got
 
+    def forget(self) -> None:
+        """Empty the memo."""
+        self.words = {}
+        shared.give_back()
+
     def flat(self, texts: pa.Array, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (strings; null is empty) in a row, each with the end id after it, and their offsets."""
         texts = pc.fill_null(texts, "")

@@ -156,7 +156,7 @@ def _score(model: tuple[dict[str, float], float] | None):
         """word -> its features that have weights; remembered up to a bound."""
 
         def __missing__(self, word: str) -> tuple[str, ...]:
-            if len(self) >= 500_000:
+            if len(self) >= 100_000:
                 self.clear()
             out = self[word] = tuple(f for f in features_of_word(word) if f in weights)
             return out

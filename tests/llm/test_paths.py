@@ -71,8 +71,7 @@ def test_simhash_finds_all_links(spark, bucket):
     assert (simhash._roots(len(fps), a, b) == want).all() and len(set(want)) < len(fps) - 500
 
 
-def test_tokens_beyond_the_memo(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 50)
+def test_tokens_in_short_steps(monkeypatch):
     monkeypatch.setattr(tokens, "STEP", 7)
     enc = tokens.WordEncoder(shared.tokenizer_path())
     odd = [t or "" for t in TEXTS] + ["don't we'll ''t 3.14 x86-64 ÀÉß ŉ İstanbul straße ﬁ Ω ǅ 中文 éa", "\x00 a\x1fb", "a b   c", "<|startoftext|> x <|endoftext|>"]
