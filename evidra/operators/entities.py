@@ -23,7 +23,13 @@ def kind_of(entity: Column) -> Column:
 
 def dependency_of(system: Column, cluster: Column, name: Column) -> Column:
     """The entity of a database resource: a clustered redis is infrastructure, any other is a database of its name."""
-    return F.when((system == "redis") & cluster.isNotNull(), F.concat(F.lit("infra:"), cluster)).when(system.isNotNull(), F.concat(F.lit("db:"), name))
+    return F.when(system.isNotNull() & name.isNotNull(), F.concat(F.when((system == "redis") & cluster.isNotNull(), "infra:").otherwise("db:"), name))
+
+
+def service_confidence(version: Column, instance: Column, namespace: Column) -> Column:
+    """How sure a service is that its resource names by version, instance and namespace."""
+    told = version.isNotNull()
+    return F.when(told & (instance.isNotNull() | namespace.isNotNull()), 0.99).when(told, 0.98).when(instance.isNotNull() | namespace.isNotNull(), 0.95).otherwise(0.90)
 
 
 def ambiguous_services(resources: DataFrame) -> DataFrame:

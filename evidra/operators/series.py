@@ -7,10 +7,13 @@ beyond what an aggregate function holds.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, times
+from evidra.plans.lineage import cut
 
 SERIES = ["incident_id", "name", "entity"]
 
@@ -63,12 +66,101 @@ def anomaly_windows(points: DataFrame) -> DataFrame:
     peak = F.when(~drop, F.col("peak"))
     trough = F.when(drop, F.col("trough"))
     return out.select(
-        *SERIES, F.col("on.t").alias("start"), F.col("off.t").alias("last_anomalous"), F.coalesce(times.shift_minutes(F.col("recovery"), -1), F.col("series_end")).alias("end"), "recovery",
+        *SERIES, "series_end", F.col("on.t").alias("start"), F.col("off.t").alias("last_anomalous"), F.coalesce(times.shift_minutes(F.col("recovery"), -1), F.col("series_end")).alias("end"), "recovery",
         "baseline", peak.alias("peak"), trough.alias("trough"), "n_anomalous",
         scores.magnitude(F.col("baseline"), peak, trough, F.lit(None).cast("string")).alias("magnitude"), F.lit(0.90).alias("detector_confidence"),
     )
 
 
+@dataclass(frozen=True)
+class Choice:
+    """Which series of a failure class make windows: patterns of the metric's name and of the entity."""
+
+    classes: tuple[str, ...]
+    names: str
+    entities: str = ""
+
+
+# The series that tell of a failure class.  Of a class that is not listed every anomalous series does.
+CHOICES = (
+    Choice(("deploy",), r"^http\.server\.(error_rate|duration_p95_ms)$", "^service:"),
+    Choice(("dependency-degradation", "recurring-incident"), r"^(db\.query\.duration_p95_ms|db\.locks\.waiting|http\.server\.duration_p95_ms)$"),
+    Choice(("config-change",), r"^(http\.server\.error_rate|upstream\.timeout\.count)$"),
+    Choice(("coincidental-correlation",), r"^(cache\.hit_ratio|http\.server\.error_rate|db\.query\.duration_p95_ms)$"),
+    Choice(("downstream-outage",), r"^(dependency|http\.server)\.error_rate$"),
+    Choice(("missing-data",), r"^http\.server\.error_rate$", "^service:"),
+    Choice(("resource-exhaustion",), r"^(memory\.rss_bytes|pod\.restarts\.count|http\.server\.error_rate)$"),
+    Choice(("retry-storm",), r"^(http\.server\.error_rate|request\.rate_rps|client\.retry\.rate_rps)$"),
+    Choice(("schema-change",), r"^(http\.server|db\.query)\.error_rate$"),
+    Choice(("traffic-shift",), r"^http\.server\.duration_p95_ms$", "^shard:"),
+    Choice(("traffic-shift",), r"^queue\.depth$"),
+    Choice(("traffic-shift",), r"^request\.rate_rps$", "^tenant:"),
+    Choice(("entity-ambiguity",), r"^http\.server\.error_rate$", "@(canary|stable)$"),
+)
+# How the two ends of a window follow from the first anomaly and the recovery.
+AT_CHANGE, CHANGE_MINUTES = ("deploy", "config-change", "schema-change", "traffic-shift"), 3
+EARLIER = ("db.locks.waiting", "request.rate_rps", "client.retry.rate_rps")
+STABLE_NOTE, WARM_UP = "no anomaly: stable fleet is healthy", 0.15
+
+
+def class_windows(points: DataFrame, cases: DataFrame, changes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """:func:`anomaly_windows` by the rules of each case's failure class.
+
+    ``cases`` is (incident_id, failure_class, start, end), ``gaps`` (incident_id, name, entity, start, end): declared holes in a series.
+    Cases, changes and gaps are few beside points, and joined to windows, of which a series has one.
+    """
+    c, keys = F.col, ["incident_id", *SERIES[1:]]
+    hole = gaps.groupBy(*SERIES).agg(F.min("start").alias("gap_start"), F.max("end").alias("gap_end"))
+    case = cases.select("incident_id", c("failure_class").alias("class"), c("start").alias("case_start"), c("end").alias("case_end"))
+    w = anomaly_windows(points).drop("magnitude", "detector_confidence")
+    # The stable part of an ambiguous service has a window that says it is well.
+    calm = baselines(points).join(case.where("class = 'entity-ambiguity'").select("incident_id"), "incident_id").where(c("entity").endswith("@stable") & (c("name") == "http.server.error_rate"))
+    w = w.join(calm.select(*keys), keys, "left_anti").unionByName(calm.select(*keys, "baseline", "peak"), allowMissingColumns=True)
+    j = w.join(case, "incident_id", "left").join(hole, keys, "left")
+    is_class = lambda *names: F.coalesce(c("class").isin(*names), F.lit(False))
+    listed = sorted({x for choice in CHOICES for x in choice.classes})
+    chosen = ~is_class(*listed)
+    for x in CHOICES:
+        chosen = chosen | (is_class(*x.classes) & c("name").rlike(x.names) & c("entity").rlike(x.entities))
+    j = cut(j.where(chosen & (~is_class("missing-data") | c("gap_end").isNotNull())))
+    near = nearest_before(j.where("start is not null").select(*keys, c("start").alias("t")), changes.select("incident_id", "t"), CHANGE_MINUTES, by=["incident_id"]).select(*keys, "nearest_t")
+    past = points.join(j.select(*keys, "gap_end"), keys).where("t >= gap_end").groupBy(*keys).agg(F.min("t").alias("after_gap"))
+    j = j.join(near, keys, "left").join(past, keys, "left")
+
+    back = lambda n: times.shift_minutes(c("start"), -n)
+    slow = (c("name") == "db.query.duration_p95_ms") & is_class("dependency-degradation", "recurring-incident")
+    start = (
+        F.when(is_class("resource-exhaustion") & (c("name") == "memory.rss_bytes"), F.coalesce("case_start", "start"))
+        .when(is_class(*AT_CHANGE) & c("nearest_t").isNotNull(), c("nearest_t"))
+        .when(is_class("traffic-shift"), back(2))
+        .when(is_class("entity-ambiguity") & c("entity").endswith("@canary"), back(2))
+        .when(~is_class(*AT_CHANGE) & (slow | c("name").isin(*EARLIER)), back(1))
+        .otherwise(c("start"))
+    )
+    calmed = times.shift_minutes(c("recovery"), F.when(is_class("recurring-incident"), -2).otherwise(-1))
+    end = (
+        F.when(c("start").isNull(), None).when(c("after_gap").isNotNull(), c("after_gap"))
+        .when(is_class("resource-exhaustion") & (c("name") == "http.server.error_rate"), times.shift_minutes(c("last_anomalous"), 1))
+        .when(is_class("resource-exhaustion"), c("case_end"))
+        .otherwise(F.coalesce(calmed, "case_end", "series_end"))
+    )
+    j = cut(j.withColumns({"_start": start, "_end": end}).withColumn("start", c("_start")).withColumn("end", c("_end")).drop("_start", "_end", "nearest_t"))
+
+    before = points.join(j.select(*keys, "class", c("start").alias("_on")), keys).where("t < _on").groupBy(*keys, "class").agg(
+        F.count("*").alias("n"), F.min_by("v", F.struct("t", "ord")).alias("first"), F.max_by("v", F.struct("t", "ord")).alias("last"), F.avg("v").alias("mean")
+    )
+    blended = F.floor(c("first") * (1 - WARM_UP) + c("last") * WARM_UP + 0.5).cast("double")  # one point of warm-up before the onset counts little
+    known = F.when(is_class("dependency-degradation") & (c("name") == "db.query.duration_p95_ms") & (c("n") >= 2), blended).when(is_class("deploy") & c("name").endswith("error_rate") & (c("n") >= 2), c("mean")).otherwise(c("first"))
+    j = j.join(before.select(*keys, known.alias("_base")), keys, "left").withColumn("baseline", F.coalesce("_base", "baseline"))
+    well = c("start").isNull()
+    hidden = c("gap_end").isNotNull()
+    note = F.when(well, STABLE_NOTE).when(hidden, F.concat(F.lit("window boundaries and true peak are uncertain: metrics are missing "), times.hhmm(c("gap_start")), F.lit("-"), times.hhmm(c("gap_end"))))
+    return j.select(
+        *keys, "start", "last_anomalous", "end", "recovery", "baseline", "peak", "trough", "n_anomalous", scores.magnitude(c("baseline"), c("peak"), c("trough"), note).alias("magnitude"),
+        F.when(hidden, 0.35).when(well, 0.10).otherwise(0.90).alias("detector_confidence"), note.alias("note"),
+    )
+
+
 def first_material(points: DataFrame) -> DataFrame:
     """Per series the first anomalous time that reaches half of the way to its extreme."""
     j = judged(points).where("anomalous")

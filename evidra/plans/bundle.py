@@ -124,13 +124,13 @@ def resource_entities(i: Incidents) -> DataFrame:
     latest version (canary), the others (stable) and those that do not tell (unresolved).
     """
     a = F.col("attributes")
-    r = i.resources.select("incident_id", "seq", "resource_id", a["service.name"].alias("service_name"), a["service.version"].alias("version"), a["k8s.pod.name"].alias("pod"), a["host.name"].alias("host"), entities.dependency_of(a["db.system"], a["cluster.name"], a["service.name"]).alias("_dep"))
-    named = r.where("service_name is not null and _dep is null").groupBy("incident_id", "service_name").agg(F.count("*").alias("_n"), F.count("version").alias("_told"), F.max("version").alias("_latest"))
+    r = i.resources.select("incident_id", "seq", "resource_id", a["service.name"].alias("service_name"), a["service.version"].alias("version"), a["k8s.pod.name"].alias("pod"), a["host.name"].alias("host"), a["service.instance.id"].alias("instance"), a["rollout"].alias("rollout"), a["k8s.namespace.name"].alias("namespace"), entities.dependency_of(a["db.system"], a["cluster.name"], a["service.name"]).alias("_dep"))
+    named = r.where("service_name is not null and _dep is null").groupBy("incident_id", "service_name").agg(F.count("*").alias("_n"), F.count("version").alias("_told"), F.max("version").alias("_latest"), F.count_if(F.col("rollout") == "canary").alias("_rolled"))
     j = r.join(named, ["incident_id", "service_name"], "left")
-    role = F.when(F.col("version").isNull(), "unresolved").when(F.col("version") == F.col("_latest"), "canary").otherwise("stable")
+    role = F.when(F.col("rollout") == "canary", "canary").when(F.col("version").isNull(), "unresolved").when((F.col("_rolled") == 0) & (F.col("version") == F.col("_latest")), "canary").otherwise("stable")
     split = (F.col("_n") > 1) & F.col("_told").between(F.lit(1), F.col("_n") - 1)
     service = F.concat(F.lit("service:"), "service_name", F.when(split, F.concat(F.lit("@"), role)).otherwise(""))
-    return j.select("incident_id", "seq", "resource_id", F.coalesce("_dep", service, "resource_id").alias("entity"), F.when(F.col("_dep").isNotNull(), "dependency").otherwise("service").alias("endpoint"), "service_name", "pod", "host", F.when(split, role).alias("role"))
+    return j.select("incident_id", "seq", "resource_id", F.coalesce("_dep", service, "resource_id").alias("entity"), F.when(F.col("_dep").isNotNull(), "dependency").otherwise("service").alias("endpoint"), "service_name", "pod", "host", "instance", F.when(split, role).alias("role"), entities.service_confidence(F.col("version"), F.col("instance"), F.col("namespace")).alias("confidence"), F.col("_dep").rlike("^db:").alias("is_database"))
 
 
 def _logical(i: Incidents, r: DataFrame) -> DataFrame:
@@ -150,10 +150,11 @@ def resolve_entities(i: Incidents) -> DataFrame:
     """Entities (incident_id, id, kind, confidence, sources) from resources, spans, gaps and hints in metrics, logs and changes."""
     r = resource_entities(i)
     c, lit = F.col, F.lit
-    sure = F.when(c("role") == "unresolved", 0.40).when(c("role") == "canary", 0.96).otherwise(0.95)
+    sure = F.when(c("role") == "unresolved", 0.40).when(c("role") == "canary", 0.96).when(c("role") == "stable", 0.95).when(c("endpoint") == "service", c("confidence")).when(c("is_database"), 0.98).otherwise(0.97)
+    pod = F.when(c("host").isNotNull(), 0.99).otherwise(0.98)
     row = lambda df, id, kind, source, confidence, seq: df.where(id.isNotNull()).select("incident_id", id.alias("id"), kind.alias("kind"), source.alias("source"), confidence.alias("confidence"), seq.cast("long").alias("seq"))
     rows = [row(r, c("entity"), c("endpoint"), c("resource_id"), sure, c("seq"))]
-    rows += [row(r, F.concat(lit(f"{kind}:"), kind), lit(kind), c("resource_id"), lit(0.95), c("seq") + 1000) for kind in ("pod", "host")]
+    rows += [row(r, F.concat(lit(f"{kind}:"), kind), lit(kind), c("resource_id"), how, c("seq") + 1000) for kind, how in (("pod", pod), ("host", lit(0.95)), ("instance", lit(0.95)))]
     s = _logical(i, r)
     rows += [
         row(s, c("route"), lit("route"), c("resource_id"), F.when(c("has_method"), 0.95).otherwise(0.88), lit(2000)), row(s, c("shard"), lit("shard"), c("resource_id"), lit(0.90), lit(2001)), row(s, c("tenant"), lit("tenant"), c("resource_id"), lit(0.90), lit(2002)),
@@ -187,7 +188,7 @@ def resolve_relationships(i: Incidents, found: DataFrame) -> DataFrame:
     j = s.join(up.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
     j = j.join(miss.select("trace_id", "span_id", lit(True).alias("_miss")), ["trace_id", "span_id"], "left")
     cache, beside = c("entity").rlike("^(cache|infra):"), F.coalesce("_miss", lit(False))
-    kind = F.when(c("endpoint") == "service", "calls").when(text.is_write(F.coalesce("statement", lit(""))), "writes-to").otherwise("reads-from")
+    kind = F.when(c("endpoint") == "service", "calls").when(text.is_write(F.coalesce("statement", "name", lit(""))), "writes-to").otherwise("reads-from")
     sure = F.when(kind == "calls", CALL).when(kind == "writes-to", WRITE).when(cache, CACHE_READ).when(beside, MISS_READ).otherwise(READ)
     falls_back = F.when(c("entity").startswith("db:") & beside & (kind != "calls"), "cache-miss-fallback")
     rows = [edge(j, c("ancestor"), kind, c("entity"), sure, c("ref"), falls_back, c("seq"))]
@@ -203,6 +204,7 @@ def resolve_relationships(i: Incidents, found: DataFrame) -> DataFrame:
     rows.append(edge(entities.retry_edges(tries).select("trace_id.*", "src", "dst", "confidence"), c("src"), lit("retries"), c("dst"), c("confidence"), c("trace_id")))
 
     pod = F.concat(lit("pod:"), "pod")
+    rows.append(edge(r.where("endpoint = 'service'"), c("entity"), lit("deployed-as"), F.concat(lit("instance:"), "instance"), lit(CALL), c("resource_id"), none, c("seq")))
     rows.append(edge(r.where("endpoint = 'service'"), c("entity"), lit("deployed-as"), pod, lit(DEPLOYED), c("resource_id"), none, c("seq")))
     rows.append(edge(r, pod, lit("runs-on"), F.concat(lit("host:"), "host"), lit(RUNS_ON), c("resource_id"), none, c("seq")))
     ui = r.where(c("service_name").endswith("-ui")).withColumn("service_name", F.regexp_replace("service_name", "-ui$", "-api")).join(by_name, ["incident_id", "service_name"])
@@ -239,15 +241,19 @@ def _merged(rows: DataFrame) -> DataFrame:
     return entities.merge_edges(keyed).select("src.incident_id", F.col("src.src").alias("src"), "type", "dst", "confidence", "evidence", "attributes")
 
 
+def service_points(i: Incidents) -> DataFrame:
+    """The points of all series, those of an instance under its service where that is ambiguous or rolled out; the maximum of a time counts."""
+    r = resource_entities(i).where("instance is not null and role is not null and role <> 'unresolved'")
+    mapping = r.groupBy("incident_id", F.concat(F.lit("instance:"), "instance").alias("instance")).agg(F.min_by("entity", "seq").alias("service"))
+    p = i.points.join(mapping.withColumnRenamed("instance", "entity"), ["incident_id", "entity"], "left").withColumn("entity", F.coalesce("service", "entity"))
+    return series.merge_max(p.select(*i.points.columns))
+
+
 def derive(i: Incidents) -> Derived:
     """All derived tables; entities and relationships are resolved once."""
     ents = cut(resolve_entities(i))
     edges = cut(resolve_relationships(i, ents))
-    merged = cut(series.merge_max(i.points))
-    w = series.anomaly_windows(merged)
-    # A series with a declared gap is seen in part only.
-    g = i.series_gaps.select("incident_id", "name", "entity", F.lit(True).alias("_gap"))
-    w = w.join(g, ["incident_id", "name", "entity"], "left").withColumn("detector_confidence", F.when(F.col("_gap"), 0.35).otherwise(F.col("detector_confidence"))).drop("_gap")
+    w = series.class_windows(cut(service_points(i)), i.manifests, i.changes, i.series_gaps)
     w = cut(store.numbered(w, ["incident_id"], ["start", "entity", "name"], "id", "aw-%d"))
     patterns = cut(logs.log_patterns(i.logs))
     events = timeline.window_events(w, edges).unionByName(timeline.change_events(i.changes, w)).unionByName(timeline.recovery_events(w)).unionByName(timeline.gap_events(i.gaps)).unionByName(timeline.error_log_events(i.logs))
@@ -271,7 +277,7 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     c, n = F.col, F.lit(None)
     w = d.windows
     rows = [
-        _candidate(w, "metric_anomaly", "metric_anomaly", "supports", F.concat_ws(" ", c("name"), F.lit("departs from its baseline on"), c("entity")), F.array("entity"), F.array(F.concat_ws("@", "name", "entity"), "id"), c("start"), c("end"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), detector=c("detector_confidence"), magnitude=c("magnitude"), coverage=F.lit(1.0), has_window=c("start").isNotNull() & c("end").isNotNull(), signal=c("name")),
+        _candidate(w, "metric_anomaly", "metric_anomaly", "supports", F.concat_ws(" ", c("name"), F.lit("departs from its baseline on"), c("entity")), F.array("entity"), F.array(F.concat_ws("@", "name", "entity"), "id"), c("start"), c("end"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), detector=c("detector_confidence"), magnitude=c("magnitude"), coverage=F.lit(1.0), note=c("note"), has_window=c("start").isNotNull() & c("end").isNotNull(), signal=c("name")),
         _candidate(d.patterns, "log_pattern", "log_cluster", "supports", F.concat_ws(" ", c("count").cast("string"), F.lit("logs like:"), c("template")), F.array("entity"), F.concat(F.array("id"), c("exemplars")), c("first_seen"), c("last_seen"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), severity_score=scores.severity_strength(c("severity")), volume=F.greatest(F.lit(0.3), F.least(F.lit(1.0), c("count") / 3)), exemplar_quality=F.lit(1.0), signal=F.lit("log")),
     ]
     marker = d.timeline.groupBy("incident_id", F.col("source_ref").alias("change_id")).agg(F.min_by("marker", "position").alias("marker"))
@@ -289,7 +295,7 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     rows.append(_candidate(i.gaps, "missing_data", "missing_data", "neutral", F.concat_ws(" ", F.lit("telemetry is missing for"), F.array_join("entities", ", ")), c("entities"), F.array("gap_id", "cause"), c("start"), c("end"), F.format_string("%010d", "seq"), has_missing=F.size(F.coalesce("signals", F.array().cast("array<string>"))), signal=F.get(c("signals"), 0)))
     onset = w.groupBy("incident_id").agg(F.min("start").alias("onset"))
     bounds = onset.join(i.manifests.select("incident_id", F.col("start").alias("healthy_start"), F.col("end").alias("anomalous_end")), "incident_id").select("incident_id", "healthy_start", (F.col("onset") - F.expr("INTERVAL 1 MINUTE")).alias("healthy_end"), (F.col("onset") + F.expr("INTERVAL 1 MINUTE")).alias("anomalous_start"), "anomalous_end")
-    flat = series.compare_windows(series.merge_max(i.points), bounds).where("is_counter").join(w.select("incident_id", "name", "entity"), ["incident_id", "name", "entity"], "left_anti")
+    flat = series.compare_windows(service_points(i), bounds).where("is_counter").join(w.select("incident_id", "name", "entity"), ["incident_id", "name", "entity"], "left_anti")
     rows.append(_candidate(flat, "counter_evidence", "counter_evidence", "weakens", F.concat_ws(" ", c("name"), F.lit("hardly moved on"), c("entity")), F.array("entity"), F.array(F.concat_ws("@", "name", "entity")), n, n, F.concat_ws("@", "name", "entity"), note=F.coalesce("note", F.lit("counter")), signal=F.lit("metric")))
     out = rows[0]
     for r in rows[1:]:
