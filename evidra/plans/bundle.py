@@ -350,6 +350,39 @@ def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d:
     return Bundle(chosen, dropped, evidence.linked(causes, chosen), evidence.next_checks(evidence.suggest(chosen, causes)))
 
 
+def written_back(i: Incidents, d: Derived, b: Bundle | None = None) -> tuple[DataFrame, DataFrame]:
+    """(raw and derived records (incident_id, seq, kind, key), records refused): what is derived becomes something that references resolve to.
+
+    A key that its kind already has is refused; so is all of it on a second write.
+    """
+    key = lambda df, kind, *parts: df.select("incident_id", F.lit(kind).alias("kind"), F.concat_ws("|", *parts).alias("key"))
+    rows = [
+        key(d.entities, "entity", "id"), key(d.edges, "relationship", "src", "type", "dst"), key(d.windows, "anomaly_window", "id"), key(d.patterns, "log_pattern", "id"),
+        key(d.timeline, "timeline_event", F.col("t").cast("string"), "marker", "entity", "source_ref"), key(d.related, "related_anomaly", "seed", "relation", "id"),
+    ]
+    if b is not None:
+        rows.append(key(b.items, "evidence_item", "id"))
+    new = rows[0]
+    for r in rows[1:]:
+        new = new.unionByName(r)
+    raw = i.records().withColumn("seq", F.lit(0))
+    return store.insert_unique(raw, new.withColumn("seq", F.lit(1)).select(*raw.columns), "incident_id", "kind", "key")
+
+
+#: What each capability of an incident asks for.
+CAPABILITIES = {
+    "resolve_entities": lambda d: d.entities, "resolve_relationships": lambda d: d.edges, "detect_anomalies": lambda d: d.windows, "cluster_logs": lambda d: d.patterns, "build_timeline": lambda d: d.timeline, "find_related_anomalies": lambda d: d.related,
+}
+
+
+def derived_for(i: Incidents, capability: str, d: Derived | None = None) -> DataFrame:
+    """The derived table of one capability, of the incidents that declare it or declare none."""
+    if capability not in CAPABILITIES:
+        raise QueryError("invalid_arguments", f"capability must be one of {', '.join(CAPABILITIES)}")
+    asked = i.manifests.where((F.size(F.coalesce("capabilities", F.array().cast("array<string>"))) == 0) | F.array_contains("capabilities", capability)).select("incident_id")
+    return CAPABILITIES[capability](d or derive(i)).join(asked, "incident_id", "left_semi")
+
+
 def build_timeline(i: Incidents) -> DataFrame:
     return derive(i).timeline
 

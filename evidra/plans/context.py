@@ -203,6 +203,16 @@ def recurring_signatures(spark, sf_dir):
     return timeline.recurring(w, p).select("prior_id", "entity", "name")
 
 
+@query("""WITH c AS (SELECT DISTINCT c_custkey AS k, c_mktsegment AS capability FROM customer), e AS (SELECT o_custkey AS k, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END AS capability FROM orders)
+SELECT e.capability, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_kept, count(*) FILTER (WHERE c.k IS NULL) AS n_removed FROM e LEFT JOIN c ON c.k = e.k AND c.capability = e.capability GROUP BY 1""")
+def capability_projection(spark, sf_dir):
+    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("incident_id"), F.col("c_mktsegment").alias("capability"))
+    rule = F.when(F.col("o_orderkey") % 3 == 0, "BUILDING").when(F.col("o_orderkey") % 3 == 1, "MACHINERY").otherwise("FURNITURE")
+    kept, removed = quality.within_capabilities(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("incident_id"), rule.alias("capability"), "o_orderkey"), declared)
+    n = kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False)))
+    return n.groupBy("capability").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_removed"))
+
+
 # --- evidence links -----------------------------------------------------------
 
 

@@ -116,6 +116,19 @@ def test_links_name_items(answer):
     assert all("cand-" not in r.action for r in b.checks.collect())
 
 
+def test_write_back(answer):
+    i, d, b = answer
+    records, refused = bundle.written_back(i, d, b)
+    assert refused.count() == 0
+    keys = {(r.incident_id, r.key) for r in records.collect()}
+    assert all((r.incident_id, ref) in keys for r in b.items.collect() for ref in r.refs)
+    again = bundle.store.insert_unique(records, records.where("seq = 1"), "incident_id", "kind", "key")[1]
+    assert again.count() == records.where("seq = 1").count() > 20
+    assert bundle.derived_for(i, "detect_anomalies", d).count() == d.windows.count()
+    with pytest.raises(bundle.QueryError):
+        bundle.derived_for(i, "guess")
+
+
 def test_gap_names_its_cause(answer):
     i, d, _ = answer
     gap = {r.incident_id: r for r in bundle.candidates(i, d).where("source = 'missing_data'").collect()}["two"]
