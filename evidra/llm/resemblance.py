@@ -259,6 +259,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         if roots is not None and pairs.isEmpty():
             continue
         own = _checked_pairs(docs, nodes, pairs, shingle, similarity)
+        if roots is not None and own.isEmpty():
+            continue
         links = own if links is None else links.unionByName(own)
         roots = graph.components(links)
         shared.discard(pairs)

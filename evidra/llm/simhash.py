@@ -7,9 +7,14 @@ fingerprints within tau bits differ in at most T_i bits of some partition i, so
 share a signature: the partition with some T_i of its bits masked out.  Fingerprints
 meet by signature, are verified, and linked by a forest of edges, never by all pairs.
 
-Only distinct fingerprints are probed; copies follow their fingerprint.  Null and
-wordless texts have fingerprint zero.  A bucket beyond ``MAX_BUCKET`` is dealt anew on
+Only distinct fingerprints are probed; copies follow their fingerprint.  A bucket beyond ``MAX_BUCKET`` is dealt anew on
 further bits (exact: the rest must agree on one of tau + 1 parts) before it is verified.
+
+Defined results: null and wordless texts have fingerprint zero and are linked like any other.  Repeated rows, and
+rows that share an id, are reported each; a null id counts as no id, so a group of such rows alone has a null
+component.  Ties (a bit set in exactly half the hashes) leave the bit unset.  Very long texts are read in
+bounded batches (a text beyond the bound alone).  An empty table gives no rows.  Columns other than doc_id and text
+are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Layout below one folder, for shard k:
 
 Documents ascend by id through the shards; ``base`` is the sum of all earlier shards.
 Null texts count as empty (one end id), a null id sorts first and is kept as a flag;
-equal ids keep a fixed order by text.  An empty table gives no shards.
+equal ids keep a fixed order by text.  Very long texts are encoded alone.  An empty table gives no shards.
+Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
