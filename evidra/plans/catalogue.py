@@ -332,7 +332,7 @@ def unresolved_share(spark, sf_dir):
 FROM (SELECT n_name AS peer FROM customer JOIN nation ON c_nationkey = n_nationkey) p
 LEFT JOIN (SELECT n_name AS n, 'service:' || CAST(min(s_suppkey) AS VARCHAR) AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) s ON s.n = p.peer GROUP BY 1, 2""")
 def peer_services(spark, sf_dir):
-    spans = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("peer"))
+    spans = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("peer"))
     services = _resources(spark, sf_dir).select("service_name", F.concat(F.lit("service:"), F.col("seq").cast("string")).alias("entity"), "seq")
     hit, miss = entities.peers(spans, services)
     both = hit.select("dst", F.lit(False).alias("is_external")).unionByName(miss.select("dst", F.lit(True).alias("is_external")))

@@ -55,7 +55,7 @@ def spans(conversations: DataFrame) -> DataFrame:
 
 def resources(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """Suppliers as resources that share a service name per nation; only even ones know their version."""
-    return supplier.join(F.broadcast(nation), supplier["s_nationkey"] == nation["n_nationkey"]).select(
+    return supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(
         F.concat(F.lit("resource:"), F.col("s_suppkey").cast("string")).alias("resource_id"), F.col("n_name").alias("service_name"),
         F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("v"), (F.col("s_suppkey") % 3).cast("string"))).alias("version"), F.col("s_suppkey").alias("seq"),
     )

@@ -36,3 +36,17 @@ def test_attribute_values(spark):
     cases = {'{"stringValue":"a"}': "a", '{"intValue":"5"}': "5", '{"boolValue":true}': "true", '{"arrayValue":{"values":[{"stringValue":"a"},{"intValue":1}]}}': '["a","1"]', '{"kvlistValue":{"values":[{"key":"k","value":{"stringValue":"v"}}]}}': '{"k":"v"}'}
     df = spark.createDataFrame(list(cases.items()), "j string, w string").select("j", "w", otlp.any_value(F.col("j")).alias("g"))
     assert [(r.j, r.g) for r in df.collect() if r.g != r.w] == []
+
+
+def test_files_and_repeated_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "a.json").write_text(doc(resourceLogs=[{"resource": {"attributes": attrs(service_name="x") + attrs(service_name="y") + [{"key": None, "value": {"stringValue": "z"}}]}, "scopeLogs": [{"logRecords": [{"timeUnixNano": "1700000000000000000", "body": {"stringValue": "b"}}]}]}]))
+    (tmp_path / "b.json").write_text("{}")
+    docs = otlp.read_files(spark, f"{tmp_path}/a.json", f"{tmp_path}/b.json")
+    r = otlp.ingest(docs)
+    assert [x.entity for x in r.logs.collect()] == ["service:y"]  # the last of equal keys counts
+    assert {(x.signal, x.accepted, x.rejected) for x in r.counters().collect()} == {("resource", 1, 0), ("span", 0, 0), ("metric_point", 0, 0), ("log", 1, 0)}
+    many = spark.createDataFrame([(1,)], "i int").select(otlp.attribute_map(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda k: F.struct((k % 1500).cast("string").alias("key"), F.concat(F.lit('{"intValue":"'), k.cast("string"), F.lit('"}')).alias("value")))).alias("m"))
+    m = many.first().m
+    assert len(m) == 1500 and m["7"] == "1507"

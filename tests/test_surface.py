@@ -46,3 +46,24 @@ def test_replay(spark):
     plan = replay.plan(ev)
     assert [json.loads(r.value)["key"] for r in surface.replay_lines(plan).collect()] == ["r", "a", "b"]
     assert surface.replay_text(plan).first().value == "i 000000 - resource r" and [r.key for r in replay.malformed(ev).collect()] == ["x"]
+
+
+def test_serve_a_folder(spark, tmp_path):
+    """The endpoint over files: an answer whose links resolve within it, and errors with codes."""
+    import io
+
+    from test_bundle import case
+
+    manifest = {"id": "one", "failure_class": "deploy", "question": "why", "capabilities": [], "time_window": {"start": "2026-03-01T10:00:00Z", "end": "2026-03-01T10:10:00Z"}}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "scenario.json").write_text(json.dumps(manifest))
+    (tmp_path / "one" / "input.json").write_text(json.dumps(case("one")))
+    call = lambda k, **a: json.dumps({"jsonrpc": "2.0", "id": k, "method": "tools/call", "params": {"name": surface.TOOL, "arguments": {"folder": str(tmp_path)} | a}})
+    out = io.StringIO()
+    surface.serve(spark, [call(1, scenario_id="one", entities=["service:pay"], max_items=4), "\n", call(2, scenario_id="two"), call(3, entities=[1])], out)
+    good, missing, wrong = map(json.loads, out.getvalue().splitlines())
+    one = good["result"]["structuredContent"]["incidents"][0]
+    ids = {x["id"] for x in one["items"]}
+    assert 0 < len(ids) <= 4 and one["incident_id"] == "one"
+    assert all(set(c["supporting"]) | set(c["counters"]) <= ids for c in one["suspected_causes"])
+    assert missing["result"]["structuredContent"]["code"] == "not_found" and wrong["result"]["structuredContent"]["code"] == "invalid_arguments"
