@@ -137,7 +137,7 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
-    """(entity, term, ratio) of pairs at or beyond the disclosure threshold, and (h, entity) of the texts they are in; or None if there is none.
+    """(entity, term, ratio) of pairs at or beyond the disclosure threshold, and (h, es, ts), the entities and terms of the texts that hold some; or None if there is none.
 
     A pair stands in no more texts than its entity, so entities in fewer than ``min_support`` texts need no terms.
     """
@@ -148,7 +148,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SU
         return None
     of = held.groupBy("h").agg(F.collect_list(F.struct("entity", "c_e")).alias("es"))  # the entities of one text
     texts = _with_text(docs).select(F.col("_h").alias("h"), "_t").join(_small(of, BROADCAST_TERMS), "h").dropDuplicates(["h"])
-    near = shared.materialise(texts.select("es", _terms(F.col("_t")).alias("ts")), "near")
+    near = shared.materialise(texts.select("h", "es", _terms(F.col("_t")).alias("ts")), "near")
     total = found.select("_h").distinct().count()
     pairs = near.select(F.explode("es").alias("e"), "ts").select("e.*", F.explode("ts").alias("term")).groupBy("entity", "c_e", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
     pairs = shared.materialise(pairs, "pairs")
@@ -159,7 +159,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = MIN_SU
     chance = F.col("c_te") - expected >= BEYOND * F.sqrt(expected * (1 - F.col("c_e") / F.col("n")))
     ratio = F.log2(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e"))) / F.log2(F.col("n") / F.col("c_e"))
     shown = j.withColumn("ratio", ratio).where((F.col("ratio") >= threshold) & chance).select("entity", "term", "ratio")
-    return shared.materialise(shown, "revealing"), held.select("h", "entity")
+    return shared.materialise(shown, "revealing"), near
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -180,9 +180,10 @@ def term_spans(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     got = revealing_terms(docs, found, min_support, threshold)
     if got is None or got[0].isEmpty():
         return None
-    pairs, held = got
-    # Terms that an entity of the text reveals; the highest ratio counts.
-    named = held.join(pairs, "entity").groupBy("h", "term").agg(F.max("ratio").alias("ratio"))
+    pairs, near = got
+    # Terms of the text that an entity of it reveals; the highest ratio counts.
+    both = near.select("h", F.explode("es").alias("e"), "ts").select("h", "e.entity", F.explode("ts").alias("term"))
+    named = shared.materialise(both.join(_small(pairs, BROADCAST_TERMS), ["entity", "term"]).groupBy("h", "term").agg(F.max("ratio").alias("ratio")), "named")
     of = shared.materialise(named.select("h").distinct(), "texts")
     texts = _with_text(docs).select(F.col("_h").alias("h"), "_t").join(_small(of, BROADCAST_TERMS), "h", "left_semi").dropDuplicates(["h"])
     at = texts.select("h", F.explode(_located(F.col("_t"), TERM, "term")).alias("x")).withColumn("term", F.lower("x.value"))
