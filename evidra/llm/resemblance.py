@@ -11,8 +11,8 @@ no texts are linked below the similarity.
 Texts with the same set are one node.  Buckets of a key up to ``PAIRED`` nodes are compared each
 with each.  In larger ones a node first meets its ``NEIGHBOURS`` next ones, in an order that
 differs from key to key, which joins a family without all its pairs.  The nodes of larger buckets that are
-not one group by then are compared exactly (:func:`rest`): two sets alike by 0.8 share one of the rarest fifth
-of their shingles, so nodes of different groups that share such a shingle are compared each with each.
+not one group by then are compared exactly (:func:`rest`): in blocks, each with each of another group, by
+counting what their sets share; tasks hold two blocks and return only links that join groups, not pairs.
 
 Defined results: null and wordless texts have one set; shorter texts have themselves as their one shingle.
 Equal rows and rows that share an id are documents each.  Ties go to the least id.  Very long texts are read
@@ -36,6 +36,7 @@ from evidra.llm.substring import _M1, IdFilter, _mix, _rolled, keyed, word_hashe
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+BLOCK = 500  #: sets of one of the two blocks that a task compares
 FIRST = 6  #: keys whose candidates are checked before the others'
 PAIRED, NEIGHBOURS = 32, 4
 CHECKED = 64  #: pairs whose sets one step holds
@@ -181,58 +182,82 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return j.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n, s): each shingle of each set (h, own), with the set's size."""
-    for batch in shared.small_batches(batches, 256, "own"):
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("own")]
-        size = np.array([len(x) for x in sets])
-        yield pa.RecordBatch.from_pydict({"h": pa.array(np.repeat(batch.column("h").to_numpy(), size)), "n": pa.array(np.repeat(size, size)), "s": pa.array(np.concatenate(sets))})
+def joins(group: np.ndarray, block: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of sets alike by ``similarity`` that join groups, of one block each with each or of two blocks each with the other's.
+
+    Sets go by size, so that those that can be alike lie side by side; what is joined already is not compared again.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, flat = size[order], np.concatenate([sets[i] for i in order])
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, root = np.unique(group[order], return_inverse=True)
+    block, two, out = block[order], len(np.unique(block)) > 1, []
+    for i in range(len(order) - 1):
+        end = int(np.searchsorted(size, size[i] / similarity + 1e-9, side="right"))
+        other = np.flatnonzero((root[i + 1 : end] != root[i]) & ((block[i + 1 : end] != block[i]) | (not two))) + i + 1
+        if not len(other):
+            continue
+        own, some = flat[at[i] : at[i + 1]], flat[at[i + 1] : at[end]]
+        found = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
+        both = np.add.reduceat(found.astype(np.int64), at[i + 1 : end] - at[i + 1])[other - i - 1]
+        for j in other[both >= similarity * (size[i] + size[other] - both) - 1e-9].tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different groups in rows (s, g, h) sorted by s: each with each, a row of the triangle at a time."""
-    held = None
-    for batch in batches:
-        x = np.stack([batch.column(c).to_numpy() for c in ("s", "g", "h")])
-        x = x if held is None else np.concatenate([held, x], axis=1)
-        last = np.searchsorted(x[0], x[0, -1]) if x.shape[1] else 0
-        held, x = x[:, last:], x[:, :last]
-        yield from _triangle(x)
-    if held is not None:
-        yield from _triangle(held)
+def _join_blocks(similarity: float):
+    """Over rows (k, b, g, h, own) sorted by k, whose rows are one block or two: links that join groups."""
 
+    def out(x: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(x)
+        h = t.column("h").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in t.column("own").chunks for v in c]
+        pairs = joins(t.column("g").to_numpy(), t.column("b").to_numpy(), sets, similarity)
+        u, v = (np.array([h[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
 
-def _triangle(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-    first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]])) if x.shape[1] else []
-    for i, j in zip(first, [*first[1:], x.shape[1]], strict=True):
-        for k in range(i, j - 1):
-            other = np.flatnonzero(x[1, k + 1 : j] != x[1, k]) + k + 1
-            if len(other):
-                u = np.full(len(other), x[2, k])
-                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(u, x[2, other])), "v": pa.array(np.maximum(u, x[2, other]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j and k[i] != key:
+                    if held:
+                        yield out(held)
+                    held, key = [], k[i]
+                if i < j:
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield out(held)
+
+    return run
 
 
 def rest(docs: DataFrame, nodes: DataFrame, keys: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
-    """Pairs (u, v) to check among nodes of buckets (key, h) beyond ``PAIRED`` that are not one group by ``roots`` (node, root); None without any.
+    """Links (u, v) between groups of nodes of buckets (key, h) beyond ``PAIRED`` that are not one group by ``roots`` (node, root); None without such buckets.
 
-    Exact: with a set's shingles from the rarest on, sets of sizes n and m alike by t share one of the first n - ceil(t n) + 1 of the one
-    and m - ceil(t m) + 1 of the other.
+    Exact: nodes that such buckets connect are compared each with each of another group, ``BLOCK`` by ``BLOCK``.
     """
     big = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("key")
     grouped = keys.select("key", "h").join(big, "key", "left_semi").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("g"))
     grouped = shared.materialise(grouped, "buckets")
-    split = grouped.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("key")
-    left = shared.materialise(grouped.join(split, "key", "left_semi").select("h", "g").distinct(), "open")
+    split = grouped.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("z"), F.min("h").alias("first")).where("a <> z").select("key", "first")
+    left = shared.materialise(grouped.join(split, "key"), "open")
     if left.isEmpty():
         return None
-    sets = _sets(docs, nodes.join(left, "h", "left_semi"), shingle)
-    rows = shared.materialise(sets.mapInArrow(_shingle_rows, "h long, n long, s long"), "shingles")
-    seen = rows.groupBy("s").agg(F.count("*").alias("df"))
-    by_rarity = F.sort_array(F.collect_list(F.struct("df", "s")))  # a set's shingles
-    first = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    prefix = rows.join(seen, "s").groupBy("h", "n").agg(by_rarity.alias("all")).select("h", F.explode(F.slice("all", 1, first)).alias("x")).where("x.df > 1")
-    dealt = prefix.join(left, "h").select("x.s", "g", "h").repartition(shared.partitions(docs.sparkSession), "s").sortWithinPartitions("s")
-    return dealt.mapInArrow(_across, "u long, v long").distinct()
+    sets = _sets(docs, nodes.join(left.select("h").distinct(), "h"), shingle)
+    meet = graph.components(left.select(F.col("h").alias("u"), F.col("first").alias("v")))  # nodes that buckets connect
+    placed = left.select("h", "g").distinct().join(meet, F.col("h") == F.col("node"), "left").select("h", "g", F.coalesce("root", "h").alias("r"))
+    blocks = placed.groupBy("r").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = placed.join(blocks, "r").withColumn("b", F.pmod(F.xxhash64("h"), F.col("n")).cast("int")).join(sets, "h")
+    rows = own.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(F.xxhash64("r", F.least("b", "c"), F.greatest("b", "c")).alias("k"), "b", "g", "h", "own")
+    dealt = rows.repartition(shared.partitions(docs.sparkSession), "k").sortWithinPartitions("k")
+    return dealt.mapInArrow(_join_blocks(similarity), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,23 +272,22 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     first = found.join(nodes.select("h", "least"), (F.col("doc_id") == F.col("least")) & (found["h"] == nodes["h"])).select(F.posexplode("keys").alias("band", "key"), found["h"])
     keys = shared.materialise(first, "keys")
     turns = [
-        lambda roots: candidates(keys.where(F.col("band") < FIRST)).unionByName(by_fingerprint(nodes)).distinct(),
-        lambda roots: _apart(candidates(keys.where(F.col("band") >= FIRST)), roots),
-        lambda roots: rest(docs, nodes, keys, roots, shingle, similarity),
+        lambda _: (candidates(keys.where(F.col("band") < FIRST)).unionByName(by_fingerprint(nodes)).distinct(), True),
+        lambda roots: (_apart(candidates(keys.where(F.col("band") >= FIRST)), roots), True),
+        lambda roots: (rest(docs, nodes, keys, roots, shingle, similarity), False),
     ]
     links = roots = None
     for turn in turns:
-        if (pairs := turn(roots)) is None:
-            continue
-        pairs = shared.materialise(pairs, "pairs")
-        if roots is not None and pairs.isEmpty():
+        own, open_yet = turn(roots)
+        if own is None:
             continue
-        own = _checked_pairs(docs, nodes, pairs, shingle, similarity)
+        own = shared.materialise(own, "pairs")
+        if open_yet and (roots is None or not own.isEmpty()):
+            own = _checked_pairs(docs, nodes, own, shingle, similarity)
         if roots is not None and own.isEmpty():
             continue
         links = own if links is None else links.unionByName(own)
         roots = graph.components(links)
-        shared.discard(pairs)
     rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = shared.materialise(found.select("doc_id", "h").join(rooted.join(component, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "components")
