@@ -36,7 +36,7 @@ from evidra.llm.substring import _M1, IdFilter, _mix, _rolled, keyed, word_hashe
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-BLOCK = 500  #: sets of one of the two blocks that a task compares
+BLOCK = 1000  #: sets of one of the two blocks that a task compares
 FIRST = 6  #: keys whose candidates are checked before the others'
 PAIRED, NEIGHBOURS = 32, 4
 CHECKED = 64  #: pairs whose sets one step holds
