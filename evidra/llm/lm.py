@@ -80,11 +80,13 @@ def _grouped(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-GRAMS = "id long, h long, w long, l long, r long, side int, k long, own_w long, own_lw long, own_wr long"
+GRAMS = "id long, h long, w long, l long, r long, side int, k long"
+OWN = ", own_w long, own_lw long, own_wr long"
 
 
 def gram_rows(docs: DataFrame, hot: frozenset[int], only_hot: bool) -> DataFrame:
-    """The exploded n-grams: per text and distinct (l, w, r) one row with its count k, and the text's own counts of w, (l, w), (w, r)."""
+    """The exploded n-grams: per text and distinct (l, w, r) one row with its count k; for hot words also the text's own counts of w, (l, w), (w, r)."""
+    shape = GRAMS + (OWN if only_hot else "")
     words = np.array(sorted(hot), np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +105,12 @@ def gram_rows(docs: DataFrame, hot: frozenset[int], only_hot: bool) -> DataFrame
             at = _mix(w + doc.astype(np.uint64) * _A)
             lw, wr = _mix(at + l * _B + (side & LEFT).astype(np.uint64)), _mix(at + r * _A + (side & RIGHT).astype(np.uint64))
             _, first, k = np.unique(_mix(lw + wr * _B), return_index=True, return_counts=True)
-            own = [_grouped(x, one)[first] for x in (at, lw, wr)]
+            own = [_grouped(x, one)[first] for x in (at, lw, wr)] if only_hot else []
             ids, hs = (batch.column(c).to_numpy()[doc[first]] for c in ("id", "h"))
             columns = [ids, hs, w[first].view(np.int64), l[first].view(np.int64), r[first].view(np.int64), side[first].astype(np.int32), k.astype(np.int64), *own]
-            yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(c) for n, c in zip(GRAMS.split(", "), columns, strict=True)})
+            yield pa.RecordBatch.from_pydict({n.split()[0]: pa.array(c) for n, c in zip(shape.split(", "), columns, strict=True)})
 
-    return docs.select("id", "h", "text").mapInArrow(run, GRAMS)
+    return docs.select("id", "h", "text").mapInArrow(run, shape)
 
 
 def parts(x: dict[str, np.ndarray], order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +152,11 @@ def _by_centre(order: int, alpha: float):
         lw = _mix(w + x["l"].view(np.uint64) + (x["side"] & LEFT).astype(np.uint64))
         wr = _mix(w + x["r"].view(np.uint64) + (x["side"] & RIGHT).astype(np.uint64))
         counts = {"n_w": _grouped(w, k), "n_lw": _grouped(lw, k), "n_wr": _grouped(wr, k), "n_lwr": _grouped(_mix(lw + wr * _B), k)}
-        return _summed(x | counts, order, alpha)
+        # A text's rows of one centre word lie together, so its own counts are told here and need not travel.
+        text = _mix(x["id"].view(np.uint64) * _B + x["h"].view(np.uint64))
+        copies = np.maximum(_grouped(_mix(lw + wr * _B) + text, np.ones(len(k), np.int64)), 1)  # equal rows of one text
+        own = {f"own_{name}": _grouped(_mix(key + text), k) // copies for name, key in (("w", w), ("lw", lw), ("wr", wr))}
+        return _summed(x | counts | own, order, alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -113,7 +113,7 @@ def test_pii_terms(spark):
 
 @pytest.mark.parametrize(("order", "hot"), [(2, 2), (3, 2), (3, 0.001)])
 def test_lm(spark, docs, order, hot):
-    extra = spark.createDataFrame([(3, "one"), (3, "another text"), (None, "a a b a"), (None, None), (20, "one")], "doc_id long, text string")
+    extra = spark.createDataFrame([(3, "one"), (3, "another text"), (None, "a a b a"), (None, "a a b a"), (None, None), (20, "one"), (21, "a b a b two"), (21, "a b a b two"), (21, "a b a b two")], "doc_id long, text string")
     table = docs.select("doc_id", "text").unionByName(extra)
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in table.collect()]
     grams = lambda w: [tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
