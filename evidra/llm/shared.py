@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -24,9 +26,12 @@ def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context, so that workers can import its functions.
 
     The archive is made on the driver and handed to Spark, which distributes it;
-    executors never open the driver's path.
+    executors never open the driver's path.  Arrow batches are kept to ``ARROW_ROWS`` rows unless the
+    session says otherwise: whole texts are some kilobytes each, and a batch stands in the JVM and in Python.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW) == "10000":  # Spark's own default
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     if getattr(sc, "_evidra_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="evidra-")) / "evidra_src.zip"

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from evidra.llm import shared
 
 #: Words a task keeps; beyond it the memo starts afresh (results do not change).
-MEMO = 500_000
+MEMO = 250_000
 #: Words encoded in one step.
 STEP = 100_000
 END_ID = 1
