@@ -34,9 +34,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of each document's tokens."""
+    """One row per piece of each document's tokens; its workers live beside a JVM that four stages have filled, so they hold little."""
     shared.ship(spark)
-    return packing.pack(docs, shared.tokenizer_path())
+    return packing.pack(docs, shared.tokenizer_path(), held=packing.Held(text_bytes=2_500_000, words=0))
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import shared
-from evidra.llm.tokens import encoder, ids_crc32
+from evidra.llm.tokens import MEMO, encoder, ids_crc32
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,14 @@ class Limits:
 GONE = 1e18  #: the size of a place whose example is taken
 
 
+@dataclass(frozen=True)
+class Held:
+    """What a task holds at once: bytes of text that are encoded together, and words whose ids it remembers."""
+
+    text_bytes: int = 8_000_000
+    words: int = MEMO
+
+
 @dataclass
 class Piece:
     doc: int | None
@@ -149,9 +157,10 @@ PROMPT = 0.25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(vocab: str, limits: Limits, share: float, with_ids: bool):
+def _pack(vocab: str, limits: Limits, share: float, with_ids: bool, held: Held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(vocab), Packer(limits)
+        enc.memo = held.words
         first, made, rows = shared.task_partition() << 33, 0, []
 
         def put(pieces: list[Piece]) -> None:
@@ -170,7 +179,7 @@ def _pack(vocab: str, limits: Limits, share: float, with_ids: bool):
             rows.clear()
             return out
 
-        for batch in shared.small_batches(batches, 2048, "text"):
+        for batch in shared.small_batches(batches, 2048, "text", held.text_bytes):
             docs = batch.column("doc_id").to_pylist()
             ids, at = enc.flat(batch.column("text"))
             heads = np.diff(enc.flat(batch.column("prompt"), end=False)[1]) if "prompt" in batch.schema.names else (np.diff(at) * share).astype(int)
@@ -190,11 +199,12 @@ def _pack(vocab: str, limits: Limits, share: float, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocab: str, limits: Limits = Limits(), prompt: str | float = PROMPT, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, limits: Limits = Limits(), prompt: str | float = PROMPT, with_ids: bool = False, held: Held = Held()) -> DataFrame:
     """One row per piece of each example of ``docs`` (doc_id, text).
 
     ``prompt`` names a column with the leading part of the text that bears no loss, or is
     the share of each example's tokens, counted from its start, that does.
+    ``held`` trades a task's memory against its speed; the pieces do not depend on it.
     ``with_ids`` adds the piece's token ids as packed little-endian 32-bit integers.
     ``sequence_id`` carries the task's number in its upper bits, so ids are unique
     and a repeated task makes the same ones.
@@ -202,5 +212,5 @@ def pack(docs: DataFrame, vocab: str, limits: Limits = Limits(), prompt: str | f
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if isinstance(prompt, str):
         columns.append(F.col(prompt).cast("string").alias("prompt"))
-    run = _pack(vocab, limits, 0.0 if isinstance(prompt, str) else prompt, with_ids)
+    run = _pack(vocab, limits, 0.0 if isinstance(prompt, str) else prompt, with_ids, held)
     return docs.select(*columns).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))

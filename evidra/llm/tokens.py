@@ -49,6 +49,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
+        self.memo = MEMO
         self.fast = "Lowercase" in repr(self.whole.normalizer) and self.whole.model.end_of_word_suffix == "</w>" and max(vocab.values()) < BREAK
         if self.fast:
             self.bare = Tokenizer(self.whole.model)
@@ -114,9 +115,10 @@ class WordEncoder:
         if holes:
             new = [words[i] for i in holes]
             ids = self._encoded(new)
-            if len(self.words) + len(new) > MEMO:
+            if len(self.words) + len(new) > self.memo:
                 self.words = {}
-            self.words.update(zip(new, ids, strict=True))
+            if len(new) <= self.memo:
+                self.words.update(zip(new, ids, strict=True))
             for i, x in zip(holes, ids, strict=True):
                 got[i] = x
         return got
