@@ -52,10 +52,12 @@ def fingerprint(text: bytes) -> int:
         return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: -SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)]
-    n = len(hashes)
-    own = np.array(hashes, np.uint64).view(np.uint8).reshape(n, 8) + (np.arange(8, dtype=np.uint16) * 256)
-    counts = np.bincount(own.ravel(), minlength=8 * 256).reshape(8, 256) @ _BIT_TABLE  # per byte, per bit
+    n, counts = len(words) - SHINGLE + 1, np.zeros((8, 8), np.int64)
+    for at in range(0, n, 50_000):  # a long text's hashes part by part
+        to = min(n, at + 50_000)
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[at:to].tolist(), ends[at + SHINGLE - 1 : to + SHINGLE - 1].tolist(), strict=True)]
+        own = np.array(hashes, np.uint64).view(np.uint8).reshape(to - at, 8) + (np.arange(8, dtype=np.uint16) * 256)
+        counts += np.bincount(own.ravel(), minlength=8 * 256).reshape(8, 256) @ _BIT_TABLE  # per byte, per bit
     set_bits = (2 * counts.ravel() > n).astype(np.uint8)
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 

@@ -21,6 +21,7 @@ Columns other than doc_id and text are not looked at.  Blocks and windows are co
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PART = 1 << 20  #: bytes of a text whose words are hashed at once
+_NEXT_SPACE = re.compile(rb"[\x20\x09-\x0d]").search
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, as long as asked for."""
 
@@ -57,10 +62,12 @@ class _Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        up, down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), b, np.uint64))]) for b in (self.base, self.inverse))
+        if n <= 2 * PART:  # longer ones are not kept
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
@@ -77,11 +84,17 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powe
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each space-separated word of a UTF-8 text."""
-    raw = np.frombuffer(text, np.uint8)
-    space = np.concatenate([[True], _SPACE[raw], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    return _range_hashes(_BYTES[raw], edges[::2], edges[1::2], _LETTERS)
+    """A 64-bit hash of each space-separated word of a UTF-8 text; a long text goes part by part, each up to a space."""
+    parts, start = [], 0
+    while start < len(text):
+        cut = _NEXT_SPACE(text, start + PART) if len(text) - start > PART else None
+        end = cut.start() if cut else len(text)
+        raw = np.frombuffer(text, np.uint8, end - start, start)
+        space = np.concatenate([[True], _SPACE[raw], [True]])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        parts.append(_range_hashes(_BYTES[raw], edges[::2], edges[1::2], _LETTERS))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def _rolled(h: np.ndarray, n: int, m: np.uint64) -> np.ndarray:
