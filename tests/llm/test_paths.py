@@ -157,3 +157,18 @@ def test_pipeline(spark, tmp_path):
     again = packing.pack(made, shared.tokenizer_path()).collect()
     ids = lambda rs: sorted((r.doc_id, r.doc_tokens) for r in rs if r.start == 0)
     assert ids(packed) == ids(again) and digest(packed)
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from evidra.llm import substring
+
+    rng = np.random.default_rng(8)
+    words = [f"w{v}é" for v in rng.integers(0, 1000, 500)]
+    words[100] = "x" * 700
+    text = " \t".join(words).encode() + b"\n"
+    whole = substring.word_hashes(text)
+    for part in (1, 7, 300, 5000):
+        monkeypatch.setattr(substring, "PART", part)
+        assert (substring.word_hashes(text) == whole).all() and len(whole) == 500
+    assert (whole == np.concatenate([substring.word_hashes(w.encode()) for w in words])).all()
+    assert len(substring.word_hashes(b" \n")) == len(substring.word_hashes(b"")) == 0
