@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import decontam, html_tree, lm, ogg, packing, pii, shared, simhash, substring, tokenfile, toxicity
+from evidra.llm import balltree, decontam, html_tree, lm, negatives, ogg, packing, pii, quality, shared, simhash, substring, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,18 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html": op1_html,
@@ -70,8 +82,17 @@ def queries() -> dict[str, Query]:
         "op8_tokenfile": op8_tokenfile,
         "op9_substring": op9_substring,
         "op10_decontam": op10_decontam,
+        "op11_negatives": op11_negatives,
+        "op12_quality": op12_quality,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm": lm.REPORT_SQL, "op9_substring": substring.REPORT_SQL, "op10_decontam": decontam.REPORT_SQL}
+    return {
+        "op4_lm": lm.REPORT_SQL,
+        "op9_substring": substring.REPORT_SQL,
+        "op10_decontam": decontam.REPORT_SQL,
+        "op11_negatives": negatives.REPORT_SQL,
+        "op13_centroids": balltree.REPORT_SQL,
+    }
