@@ -34,54 +34,79 @@ RATE = 0.1
 MIN_ROWS = 20  #: learned texts of a leaf
 REGULAR = 1.0
 CUT = 0.3
-PIECE = 1 << 20  #: code points whose words are held at a time
+PIECE = 1 << 20  #: bytes whose words are held at a time
 
-_SENTENCE = re.compile(r"[.!?]+(?=\s|$)")
+_SENTENCE = re.compile(rb"[.!?]\s")
+_SPACE = 3
 NAMES = (
     "chars", "words", "word_length", "longest_word", "upper", "lower", "digits", "space", "marks", "symbols", "beyond_ascii", "entropy", "top_char",
     "upper_words", "title_words", "symbol_ends", "shout_ends", "digit_words", "wordless", "single", "distinct", "top_word", "adjacent", "distinct_pairs", "top_pair",
     "lines", "line_length", "repeated_lines", "ended_lines", "short_lines", "sentence_length",
 )
-_CLASS = np.full(256, 6)  # of bytes: upper, lower, digits, space, marks, symbols, beyond ASCII
+_CLASS = np.full(256, 6, np.uint8)  # of bytes: upper, lower, digits, space, marks, symbols, beyond ASCII
 for _i, _part in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\r\v\f", b".,;:?!'\"()-", bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\r\v\f.,;:?!'\"()-"))):
     _CLASS[list(_part)] = _i
 
 
-def _pieces(text: str) -> Iterator[str]:
+def _pieces(text: bytes) -> Iterator[bytes]:
     """The text in parts that end between words where they can."""
     start = 0
     while start < len(text):
         end = start + PIECE
         if end < len(text):
-            space = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
+            space = max(text.rfind(b" ", start, end), text.rfind(b"\n", start, end))
             end = space if space > start else end
         yield text[start:end]
         start = end
 
 
+def _of_words(piece: bytes) -> tuple[np.ndarray, int]:
+    """Sums over the piece's words: length in code points; is upper, title, ends in a symbol, ends in "!", has a digit, has no letter, is one character; and the longest in bytes."""
+    raw = np.frombuffer(piece, np.uint8)
+    kind = _CLASS[raw]
+    edge = np.diff(np.concatenate(([0], kind != _SPACE, [0])).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    if not len(first):
+        return np.zeros(8), 0
+    upper, lower, digits, beyond, size = (np.add.reduceat(m.astype(np.int32), first) for m in (kind == 0, kind == 1, kind == 2, kind == 6, (kind != _SPACE) & ((raw & 0xC0) != 0x80)))
+    title = (kind[first] == 0) & (upper == 1) & (lower > 0)
+    told = size, (upper > 1) & (lower == 0), title, kind[last] == 5, raw[last] == 33, digits > 0, upper + lower + beyond == 0, size == 1
+    return np.array([float(t.sum()) for t in told]), int((last - first).max()) + 1
+
+
 def statistics(text: str) -> list[float]:
     """The numbers of ``NAMES`` of one whole text."""
-    raw = np.frombuffer(text.encode(errors="replace"), np.uint8)
-    counts = np.bincount(raw, minlength=256)
-    n = max(1, len(raw))
+    whole = text.encode(errors="replace")
+    counts = np.bincount(np.frombuffer(whole, np.uint8), minlength=256)
+    n = max(1, len(whole))
     share = np.bincount(_CLASS, weights=counts, minlength=7) / n
     p = counts[counts > 0] / n
-    number: dict[str, int] = {}
-    parts = [np.fromiter((number.setdefault(w, len(number)) for w in piece.split()), np.int64) for piece in _pieces(text)]
-    ids = np.concatenate([np.empty(0, np.int64), *parts])
-    words, own = max(1, len(ids)), list(number)
-    uses = np.bincount(ids, minlength=len(own))
-    tells = np.array([(len(w), w.isupper() and len(w) > 1, w.istitle(), w[-1] in "#%&*$|<>{}[]=+~^_@\\/", w[-1] == "!", any(c.isdigit() for c in w), not any(c.isalpha() for c in w), len(w) == 1) for w in own], float).reshape(-1, 8)
-    mean = uses @ tells / words
-    pairs = np.unique(ids[:-1] * max(1, len(own)) + ids[1:], return_counts=True)[1]
+    number: dict[bytes, int] = {}
+    parts, sums, longest = [np.empty(0, np.int64)], np.zeros(8), 0
+    for piece in _pieces(whole):
+        held = piece.split()
+        new = [w for w in dict.fromkeys(held) if w not in number] if number else dict.fromkeys(held)
+        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+        parts.append(np.fromiter(map(number.__getitem__, held), np.int64, len(held)))
+        of_words, most = _of_words(piece)
+        sums += of_words
+        longest = max(longest, most)
+    ids = np.concatenate(parts)
+    n_words, own = max(1, len(ids)), max(1, len(number))
+    uses = np.bincount(ids, minlength=own)
+    mean = sums / n_words
+    pairs = ids[:-1] * own + ids[1:]
+    pairs.sort()
+    ends = np.flatnonzero(np.diff(pairs, append=-1))
+    runs = np.diff(ends, prepend=-1) if len(pairs) else np.empty(0, np.int64)
     followed = max(1, len(ids) - 1)
-    lines = [x for x in (line.strip() for line in text.split("\n")) if x]
+    lines = [x for x in map(bytes.strip, whole.split(b"\n")) if x]
     n_lines = max(1, len(lines))
-    sentences = 1 + sum(1 for _ in _SENTENCE.finditer(text))
+    sentences = 1 + len(_SENTENCE.findall(whole))
     return [
-        np.log1p(len(text)), np.log1p(len(ids)), mean[0], np.log1p(tells[:, 0].max(initial=0)), *share, float(-(p * np.log2(p)).sum()) + 0.0, counts.max() / n,
-        *mean[1:], len(own) / words, uses.max(initial=0) / words, float((ids[:-1] == ids[1:]).sum()) / followed, len(pairs) / followed, pairs.max(initial=0) / followed,
-        np.log1p(len(lines)), np.log1p(len(text) / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, sum(x[-1] in ".!?:;\"'" for x in lines) / n_lines, sum(len(x) < 30 for x in lines) / n_lines,
+        np.log1p(len(text)), np.log1p(len(ids)), mean[0], np.log1p(longest), *share, float(-(p * np.log2(p)).sum()) + 0.0, counts.max() / n,
+        *mean[1:], len(number) / n_words, uses.max(initial=0) / n_words, float((ids[:-1] == ids[1:]).sum()) / followed, len(runs) / followed, runs.max(initial=0) / followed,
+        np.log1p(len(lines)), np.log1p(len(text) / n_lines), 1 - len(set(lines)) / n_lines if lines else 0.0, sum(x[-1] in b".!?:;\"'" for x in lines) / n_lines, sum(len(x) < 30 for x in lines) / n_lines,
         len(ids) / sentences,
     ]
 
