@@ -134,6 +134,24 @@ def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, name: str)
     return j.withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_task", "_here", "_t", "_before", *(f"_p{i}" for i in range(len(partition))))
 
 
+def running_max(df: DataFrame, partition: Sequence[str], order: Sequence, value: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of the rows before each in a total order within its partition; null before the first.
+
+    Dealt as in :func:`ranked`: maxima within the tasks of a range shuffle, then over the tasks before.
+    """
+    placed = cut(df.repartitionByRange(*partition, *order).withColumn("_task", F.spark_partition_id()))
+    here = Window.partitionBy("_task", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy("_task", *partition).agg(F.max(value).alias("_top"))
+    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)))
+    j = placed.withColumn("_here", F.max(value).over(here)).join(before.select(F.col("_task").alias("_t"), *(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)), "_before"), (F.col("_task") == F.col("_t")) & _same(partition))
+    return j.withColumn(name, F.greatest("_here", "_before")).drop("_task", "_here", "_t", "_before", *(f"_p{i}" for i in range(len(partition))))
+
+
+def number_in(id: Column) -> Column:
+    """The number at the end of a dense id."""
+    return F.regexp_extract(id, r"([0-9]+)$", 1).try_cast("long")
+
+
 def _same(partition: Sequence[str]) -> Column:
     out = F.lit(True)
     for i, c in enumerate(partition):

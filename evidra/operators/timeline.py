@@ -18,6 +18,11 @@ def _rank(column: Column, order: dict[str, int], other: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), column), F.lit(other))
 
 
+def relation_rank(relation: Column) -> Column:
+    """The place of a relation in a list."""
+    return _rank(relation, RELATION_ORDER, 4)
+
+
 def propagated(windows: DataFrame, edges: DataFrame) -> DataFrame:
     """Latency windows of an entity that depends on one whose anomaly began earlier.
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text
-from evidra.operators import entities, evidence, logs, series, store, timeline
+from evidra.operators import entities, evidence, logs, picks, series, store, timeline
+from evidra.plans import story
 from evidra.plans.lineage import cut
 from evidra.sources.incidents import Incidents
 
@@ -383,16 +384,28 @@ def derived_for(i: Incidents, capability: str, d: Derived | None = None) -> Data
     return CAPABILITIES[capability](d or derive(i)).join(asked, "incident_id", "left_semi")
 
 
-def build_timeline(i: Incidents) -> DataFrame:
-    return derive(i).timeline
+def build_timeline(i: Incidents, d: Derived | None = None) -> DataFrame:
+    """(incident_id, position, t, marker, entity, source_ref, text): by the picks of each incident's class; incidents of other classes have all events."""
+    d = d or derive(i)
+    own = resource_entities(i).select("incident_id", "resource_id", "entity")
+    picked = picks.class_timeline(story.events(i, d.windows, d.edges, cut(service_points(i)), own))
+    other = i.manifests.where(~F.coalesce(F.col("failure_class").isin(*picks.CLASSES), F.lit(False))).select("incident_id")
+    return picked.unionByName(d.timeline.join(other, "incident_id", "left_semi").withColumn("text", F.lit(None).cast("string")))
 
 
-def find_related_anomalies(i: Incidents) -> DataFrame:
-    return derive(i).related
+def find_related_anomalies(i: Incidents, d: Derived | None = None) -> DataFrame:
+    """The anomalies related to each incident's seed, by its class."""
+    d = d or derive(i)
+    return story.class_related(i, d.windows, d.edges)
 
 
-def compare_windows(i: Incidents, bounds: DataFrame) -> DataFrame:
-    return series.compare_windows(series.merge_max(i.points), bounds)
+def compare_windows(i: Incidents, bounds: DataFrame | None = None, d: Derived | None = None) -> DataFrame:
+    """Every series in the windows given, or without them what each incident's class compares in the windows of its onset."""
+    if bounds is not None:
+        return series.compare_windows(series.merge_max(i.points), bounds)
+    d = d or derive(i)
+    cases = story.asked_of(i.manifests, "compare_windows").select("incident_id", "failure_class", "start", "end")
+    return story.class_comparison(cases, d.windows, cut(service_points(i)))
 
 
 def suggest_next_checks(i: Incidents, query: EvidenceQuery = EvidenceQuery()) -> DataFrame:

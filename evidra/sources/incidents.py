@@ -91,7 +91,7 @@ def typed(manifests: DataFrame, inputs: DataFrame) -> Incidents:
     return Incidents(m, need(r, "resource_id"), need(s, "span_id", "resource_id"), need(traces, "trace_id"), points, sg, need(logs, "log_id", "t", "body").withColumn("severity", F.coalesce(text.blank_to_null(F.col("severity")), F.lit("INFO"))), need(ch, "change_id", "t", "entity"), need(pr, "prior_id"), need(g, "gap_id", "start"))
 
 
-def _raw(spark: SparkSession, folder: str, name: str, shape: str) -> DataFrame:
+def files(spark: SparkSession, folder: str, name: str, shape: str) -> DataFrame:
     """Files of one name below a folder, one row each with their incident; ``_bad`` holds the text of those that are no JSON."""
     rows = spark.read.text(f"{folder}/*/{name}", wholetext=True).select(F.regexp_extract(F.input_file_name(), rf"([^/]+)/{name}$", 1).alias("incident_id"), F.col("value"))
     parsed = rows.withColumn("x", F.from_json("value", f"{shape}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
@@ -100,7 +100,7 @@ def _raw(spark: SparkSession, folder: str, name: str, shape: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> Incidents:
     """Every incident below a folder whose two files can be read; :func:`issues` names the others."""
-    manifests, inputs = _raw(spark, folder, "scenario.json", MANIFEST), _raw(spark, folder, "input.json", INPUT)
+    manifests, inputs = files(spark, folder, "scenario.json", MANIFEST), files(spark, folder, "input.json", INPUT)
     good = manifests.where("_bad is null").select("incident_id").join(inputs.where("_bad is null").select("incident_id"), "incident_id")
     return typed(manifests.where("_bad is null").drop("_bad", "incident_id"), inputs.join(good, "incident_id").drop("_bad"))
 
@@ -113,10 +113,10 @@ NEEDED = {
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
     """(incident_id, place, problem): files that are no JSON, and rows that lack what they need and so stay out of the tables."""
-    inputs = _raw(spark, folder, "input.json", INPUT)
+    inputs = files(spark, folder, "input.json", INPUT)
     files = [
         df.where("_bad is not null").select("incident_id", F.lit(name).alias("place"), F.lit("malformed").alias("problem"))
-        for name, df in (("scenario.json", _raw(spark, folder, "scenario.json", MANIFEST)), ("input.json", inputs))
+        for name, df in (("scenario.json", files(spark, folder, "scenario.json", MANIFEST)), ("input.json", inputs))
     ]
     out = files[0].unionByName(files[1])
     good = inputs.where("_bad is null")
