@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import compare, picks
+from evidra.operators import compare, intervals, picks
 from evidra.operators.compare import Field
 from evidra.operators.picks import Pick
 from evidra.plans.catalogue import _s, _t, query
 from evidra.sources.adapters import table
+from evidra.streaming import incremental, stateful
 
 # --- picked timelines ---------------------------------------------------------
 
@@ -91,3 +92,89 @@ def nested_differences(spark, sf_dir):
     a = o.where(k % 17 != 0).withColumns({"o_orderstatus": F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "o_totalprice": F.col("o_totalprice") * (1 + k % 9 / 100.0), "o_orderpriority": F.replace("o_orderpriority", F.lit("-"), F.lit("  -")), "share": F.col("share") + k % 8 / 100.0})
     fields = [Field("o_orderstatus"), Field("o_totalprice", "number"), Field("share", "unit"), Field("o_orderpriority", "text")]
     return compare.differences(o.where(k % 13 != 0), a, "orders", ["o_orderkey"], fields).select("incident_id", "path", "problem")
+
+
+# --- questions over intervals -------------------------------------------------
+
+_ASKED = """q AS (SELECT event_id AS question_id, ts - to_hours(CAST(event_id % 40 AS INT)) AS s, ts + to_hours(CAST(user_id % 9 AS INT)) AS e, user_id % 10 AS entity, event_id % 4 AS any_kind FROM events WHERE event_type = 'error'),
+r AS (SELECT event_id AS id, ts AS s, ts + to_minutes(CAST(event_id % 600 AS INT)) AS e, user_id % 10 AS entity, event_type AS kind FROM events WHERE event_type <> 'error')"""
+
+
+def _questions(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    later = lambda unit, n: F.col("ts").cast("timestamp") + F.make_interval(**{unit: n.cast("int")})
+    entity = F.array(F.concat(F.lit("user:"), (F.col("user_id") % 10).cast("string")))
+    q = ev.where("event_type = 'error'").select(
+        F.col("event_id").alias("question_id"), later("hours", -(F.col("event_id") % 40)).alias("start"), later("hours", F.col("user_id") % 9).alias("end"), entity.alias("entities"),
+        F.when(F.col("event_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("view"), F.lit("signup"))).alias("kinds"), (1 + F.col("event_id") % 5).cast("int").alias("max_items"), (50 + F.col("event_id") % 200).cast("int").alias("max_tokens"),
+    )
+    r = ev.where("event_type <> 'error'").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("start"), later("mins", F.col("event_id") % 600).alias("end"), entity.alias("entities"), F.col("event_type").alias("kind"), (10 + F.col("event_id") % 90).alias("token_cost"))
+    return q, r
+
+
+@query(f"""WITH {_ASKED} SELECT question_id, count(*) AS n_records, sum(id) AS ids, count(DISTINCT kind) AS n_kinds FROM q JOIN r ON r.s <= q.e AND q.s <= r.e AND q.entity = r.entity AND (any_kind = 0 OR kind IN ('view', 'signup')) GROUP BY 1""")
+def windows_of_many_questions(spark, sf_dir):
+    q, r = _questions(spark, sf_dir)
+    found = intervals.asked(q, r)
+    return found.groupBy("question_id").agg(F.count("*").alias("n_records"), F.sum("id").alias("ids"), F.count_distinct("kind").alias("n_kinds"))
+
+
+@query(f"""WITH RECURSIVE {_ASKED}, c AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY id) AS p, id, 10 + id % 90 AS cost, 1 + question_id % 5 AS items, 50 + question_id % 200 AS tokens
+  FROM q JOIN r ON r.s <= q.e AND q.s <= r.e AND q.entity = r.entity AND (any_kind = 0 OR kind IN ('view', 'signup'))),
+g AS (SELECT question_id, p, id, items, tokens, CASE WHEN cost <= tokens THEN 1 ELSE 0 END AS n, CASE WHEN cost <= tokens THEN cost ELSE 0 END AS spent, cost <= tokens AS take FROM c WHERE p = 1
+  UNION ALL SELECT c.question_id, c.p, c.id, c.items, c.tokens, g.n + CASE WHEN g.n < c.items AND g.spent + c.cost <= c.tokens THEN 1 ELSE 0 END, g.spent + CASE WHEN g.n < c.items AND g.spent + c.cost <= c.tokens THEN c.cost ELSE 0 END, g.n < c.items AND g.spent + c.cost <= c.tokens
+  FROM g JOIN c ON c.question_id = g.question_id AND c.p = g.p + 1)
+SELECT question_id, count(*) AS n_found, CAST(sum(CASE WHEN take THEN 1 ELSE 0 END) AS BIGINT) AS n_selected, CAST(sum(CASE WHEN take THEN id ELSE 0 END) AS BIGINT) AS ids, CAST(max(spent) AS BIGINT) AS tokens FROM g GROUP BY 1""")
+def budgets_of_many_questions(spark, sf_dir):
+    q, r = _questions(spark, sf_dir)
+    got = intervals.budgeted(q.drop("kinds"), intervals.asked(q.drop("max_items", "max_tokens"), r), ["id"])
+    taken = F.col("selected")
+    return got.groupBy("question_id").agg(F.count("*").alias("n_found"), F.count_if(taken).alias("n_selected"), F.sum(F.when(taken, F.col("id")).otherwise(0)).alias("ids"), F.sum(F.when(taken, F.col("token_cost")).otherwise(0)).alias("tokens"))
+
+
+# --- stateful streams ---------------------------------------------------------
+
+
+def _records(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_type").alias("kind"), (F.col("user_id") % 50).cast("string").alias("key"), (F.col("event_id") % 3).cast("string").alias("payload"), F.col("event_type").isin("view", "click").alias("grows"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("t")
+    )
+
+
+@query("""WITH r AS (SELECT event_type AS kind, user_id % 50 AS key, event_id % 3 AS payload, event_type IN ('view', 'click') AS grows, event_id, ts, first_value(event_id % 3) OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS held, row_number() OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS place FROM events)
+SELECT kind, count(CASE WHEN place = 1 THEN 1 END) AS inserted, count(CASE WHEN place > 1 AND payload = held AND grows THEN 1 END) AS updated, count(CASE WHEN place > 1 AND payload = held AND NOT grows THEN 1 END) AS duplicates, count(CASE WHEN payload <> held THEN 1 END) AS conflicts FROM r GROUP BY 1""")
+def streaming_ingest_counters(spark, sf_dir):
+    with stateful.rocks(spark):
+        out = incremental.run_to_end(stateful.ingest_outcomes(incremental.in_parts(_records(spark, sf_dir), "records", 3, "seq")), "append", "outcomes")
+    return out.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("inserted", "updated", "duplicates", "conflicts")))
+
+
+@query(f"""WITH r AS (SELECT event_type AS kind, CAST(user_id % 50 AS VARCHAR) AS key, event_id % 3 AS payload, event_id, ts, first_value(event_id % 3) OVER (PARTITION BY event_type, user_id % 50 ORDER BY event_id) AS held FROM events WHERE event_type IN ('view', 'click'))
+SELECT kind, key, count(*) AS n_points, {_t("min(ts)")} AS first_at, {_t("max(ts)")} AS last_at FROM r WHERE payload = held GROUP BY 1, 2""")
+def streaming_open_series(spark, sf_dir):
+    with stateful.rocks(spark):
+        out = incremental.run_to_end(stateful.ingest_outcomes(incremental.in_parts(_records(spark, sf_dir).where("grows"), "records", 3, "seq")), "append", "outcomes")
+    return out.groupBy("kind", "key").agg(F.max("n").alias("n_points"), _s(F.min("first_t")).alias("first_at"), _s(F.max("last_t")).alias("last_at"))
+
+
+_WAIT, _LATE = "36 hours", "1 hour"
+
+
+@query(f"""WITH a AS (SELECT event_id AS ref_id, user_id, ts FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id AS record_id, user_id, ts FROM events WHERE event_type = 'signup'),
+w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) - INTERVAL {_LATE} AS mark)
+SELECT ref_id, record_id FROM a JOIN b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL {_WAIT} AND a.ts + INTERVAL {_WAIT}
+UNION ALL SELECT ref_id, NULL FROM a, w WHERE a.ts + INTERVAL {_WAIT} < mark AND NOT EXISTS (SELECT 1 FROM b WHERE a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL {_WAIT} AND a.ts + INTERVAL {_WAIT})""")
+def streaming_references(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("t"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    refs = incremental.in_parts(ev.where("event_type = 'purchase'").select(F.col("event_id").alias("ref_id"), "key", F.col("t").alias("ref_t"), "us"), "refs", 4, "us").drop("us")
+    records = incremental.in_parts(ev.where("event_type = 'signup'").select("key", F.col("event_id").alias("record_id"), F.col("t").alias("record_t"), "us"), "records", 4, "us").drop("us")
+    return incremental.run_to_end(stateful.resolve_as_they_arrive(refs, records, _WAIT, _LATE), "append", "resolved").select("ref_id", "record_id")
+
+
+@query(f"""WITH w AS (SELECT max(ts) - INTERVAL 2 hours AS mark FROM events)
+SELECT name, {_t("b")} AS window_at, n_points FROM (SELECT event_type AS name, time_bucket(INTERVAL 6 hours, ts) AS b, count(*) AS n_points FROM events GROUP BY 1, 2), w WHERE b + INTERVAL 6 hours <= mark""")
+def streaming_closed_windows(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit("all").alias("entity"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = incremental.windowed(incremental.in_parts(ev, "points", 4, "us").drop("us"), "6 hours", "2 hours")
+    return incremental.run_to_end(w.select("window", "name", "entity", "n_points", "v"), "append", "closed").select("name", _s("window.start").alias("window_at"), "n_points")

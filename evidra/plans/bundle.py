@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text
-from evidra.operators import entities, evidence, logs, picks, series, store, timeline
+from evidra.operators import entities, evidence, intervals, logs, picks, series, store, timeline
 from evidra.plans import story
 from evidra.plans.lineage import cut
 from evidra.sources.incidents import Incidents
@@ -351,6 +351,24 @@ def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d:
     return Bundle(chosen, dropped, evidence.linked(causes, chosen), evidence.next_checks(evidence.suggest(chosen, causes)))
 
 
+def answer_questions(i: Incidents, d: Derived, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chosen items, dropped items) of many questions at once, a row each.
+
+    ``questions`` is (question_id, incident_id, start, end, entities, max_items, max_tokens): candidates of the incident that
+    overlap the window (or have none themselves) and share an entity (all, without any) are chosen under the question's own budget.
+    """
+    cand = candidates(i, d)
+    item = F.struct("candidate_id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "note")
+    priced = cut(cand.withColumn("token_cost", scores.token_cost(F.to_json(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind"))))
+    q = cut(questions.select("question_id", "incident_id", "start", "end", "entities", F.lit(None).cast("array<string>").alias("kinds")))
+    timeless = priced.where("start is null or end is null").withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    always = q.where("start is not null and end is not null").withColumnRenamed("entities", "_entities").drop("kinds").join(timeless, "incident_id")
+    always = always.where((F.size(F.coalesce("_entities", F.array().cast("array<string>"))) == 0) | F.arrays_overlap("_entities", "entities")).drop("_entities")
+    found = intervals.asked(q, priced, ["incident_id"]).unionByName(always)
+    picked = cut(intervals.budgeted(questions, found, ["grp", F.desc("strength"), "token_cost", "candidate_id"]))
+    return picked.where("selected").drop("selected", "reason"), picked.where("not selected").drop("selected")
+
+
 def written_back(i: Incidents, d: Derived, b: Bundle | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw and derived records (incident_id, seq, kind, key), records refused): what is derived becomes something that references resolve to.
 

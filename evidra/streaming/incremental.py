@@ -70,9 +70,13 @@ def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return rows.select(*stream.columns)
 
 
+PART_ROWS = 1_000_000
+
+
 def in_parts(df: DataFrame, name: str, parts: int, by: str) -> DataFrame:
-    """A table as a stream of so many files, one a batch, that arrive in the order of ``by``."""
+    """A table as a stream of so many files, more where one would have over ``PART_ROWS`` rows, one a batch, that arrive in the order of ``by``."""
     out = folder(df.sparkSession, name)
+    parts = max(parts, -(-df.count() // PART_ROWS))
     cuts = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
     part = sum((F.coalesce(F.col(by) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     for k in range(parts):

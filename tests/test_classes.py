@@ -233,3 +233,17 @@ def test_answer_differences(spark, incidents, derived):
     other = ask([{"rank": 1, "entity": "service:none", "score": 1.0}, {"rank": 2, "entity": top.entity, "score": 0.0}], [{"action": "x", "expected_signal": "nothing of the kind"}])
     got = sorted((r.path, r.problem) for r in judge.answer_differences(expected.typed(other), b).collect())
     assert got == sorted([("$.next_checks", "missing"), ("$.suspected_causes[service:none]", "missing"), (f"$.suspected_causes[{top.entity}].rank", "differs"), (f"$.suspected_causes[{top.entity}].score", "differs")])
+
+
+def test_many_questions_at_once(spark, incidents, derived):
+    from datetime import datetime
+
+    at = lambda m: datetime(2026, 5, 4, 7, m)
+    q = spark.createDataFrame([("q1", "deploy", at(0), at(9), ["service:cart"], 2, 1000), ("q2", "deploy", at(0), at(2), None, 9, 1000), ("q3", "retry-storm", None, None, [], 3, 90)], "question_id string, incident_id string, start timestamp, end timestamp, entities array<string>, max_items int, max_tokens int")
+    chosen, dropped = (x.collect() for x in bundle.answer_questions(incidents, derived, q))
+    of = lambda rows, name: [r for r in rows if r.question_id == name]
+    assert len(of(chosen, "q1")) == 2 and all("service:cart" in r.entities for r in chosen + dropped if r.question_id == "q1")
+    assert all(r.r_start is None or r.r_start <= at(2) for r in of(chosen, "q2") + of(dropped, "q2")) and of(chosen, "q2")
+    assert sum(r.token_cost for r in of(chosen, "q3")) <= 90 and {r.incident_id for r in of(dropped, "q3")} == {"retry-storm"}
+    n = bundle.candidates(incidents, derived).where("incident_id = 'retry-storm'").count()
+    assert len(of(chosen, "q3")) + len(of(dropped, "q3")) == n
