@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +34,37 @@ def service_confidence(version: Column, instance: Column, namespace: Column) ->
     return F.when(told & (instance.isNotNull() | namespace.isNotNull()), 0.99).when(told, 0.98).when(instance.isNotNull() | namespace.isNotNull(), 0.95).otherwise(0.90)
 
 
+def shared_names(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per service name: how many resources carry it, how many of them tell a version, the latest version and how many are rolled out as canaries."""
+    rolled = F.count_if(F.col("rollout") == "canary") if "rollout" in resources.columns else F.lit(0).cast("long")
+    return resources.where("service_name is not null").groupBy(*by, "service_name").agg(F.count("*").alias("_n"), F.count("version").alias("_told"), F.max("version").alias("_latest"), rolled.alias("_rolled"))
+
+
+_AMBIGUOUS = "_n > 1 and _told between 1 and _n - 1"
+
+
 def ambiguous_services(resources: DataFrame) -> DataFrame:
     """Service names that several resources share of which some carry a version and some do not."""
-    g = resources.groupBy("service_name").agg(F.count("*").alias("n"), F.bool_or(F.col("version").isNotNull()).alias("some"), F.bool_or(F.col("version").isNull()).alias("lack"))
-    return g.where((F.col("n") > 1) & F.col("some") & F.col("lack")).select("service_name", F.col("n").alias("n_resources"))
+    return shared_names(resources).where(_AMBIGUOUS).select("service_name", F.col("_n").alias("n_resources"))
+
+
+def with_roles(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``resources`` with the ``role`` of those whose service name is ambiguous: canary (rolled out as one, else the latest version), stable (other versions), unresolved (no version)."""
+    j = resources.join(shared_names(resources, by), [*by, "service_name"], "left")
+    canary = F.col("rollout") == "canary" if "rollout" in resources.columns else F.lit(False)
+    role = F.when(canary, "canary").when(F.col("version").isNull(), "unresolved").when((F.col("_rolled") == 0) & (F.col("version") == F.col("_latest")), "canary").otherwise("stable")
+    return j.withColumn("role", F.when(F.expr(_AMBIGUOUS), role)).drop("_n", "_told", "_latest", "_rolled")
+
+
+def role_confidence(role: Column) -> Column:
+    """How sure the entity of an ambiguous service's role is; null without a role."""
+    return F.when(role == "canary", 0.96).when(role == "stable", 0.95).when(role == "unresolved", 0.40)
 
 
 def split_ambiguous(resources: DataFrame) -> DataFrame:
-    """Entities of ambiguous services: canary (latest version), stable (other versions), unresolved (no version)."""
-    amb = ambiguous_services(resources).select("service_name")
-    own = resources.join(amb, "service_name")
-    latest = own.groupBy("service_name").agg(F.max("version").alias("latest"))
-    role = F.when(F.col("version").isNull(), "unresolved").when(F.col("version") == F.col("latest"), "canary").otherwise("stable")
-    g = own.join(latest, "service_name").withColumn("role", role).groupBy("service_name", "role").agg(F.count("*").alias("n_resources"))
-    confidence = F.when(F.col("role") == "canary", 0.96).when(F.col("role") == "stable", 0.95).otherwise(0.40)
-    return g.select(F.concat(F.lit("service:"), "service_name", F.lit("@"), "role").alias("entity"), "role", "n_resources", confidence.alias("confidence"))
+    """Entities of ambiguous services, one per role."""
+    g = with_roles(resources).where("role is not null").groupBy("service_name", "role").agg(F.count("*").alias("n_resources"))
+    return g.select(F.concat(F.lit("service:"), "service_name", F.lit("@"), "role").alias("entity"), "role", "n_resources", role_confidence(F.col("role")).alias("confidence"))
 
 
 def unresolved_share(records: DataFrame, entity: Column) -> DataFrame:
@@ -66,19 +84,37 @@ def merge_entities(found: DataFrame) -> DataFrame:
     return g
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
-    """Rows of one edge (src, type, dst) as one: greatest confidence, evidence in order without repeats, first attributes."""
-    return edges.groupBy("src", "type", "dst").agg(
-        F.max("confidence").alias("confidence"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"])).alias("evidence"),
-        F.min_by("attributes", "seq").alias("attributes") if "attributes" in edges.columns else F.lit(None).cast("string").alias("attributes"),
+#: How sure an edge of each origin is.
+CALL, WRITE, CACHE_READ, MISS_READ, READ, EXTERNAL, LOGICAL, DEPLOYED, RUNS_ON, INFERRED, SHARED = 0.98, 0.96, 0.97, 0.96, 0.97, 0.95, 0.90, 0.99, 0.95, 0.95, 0.80
+
+
+def edge_rows(df: DataFrame, src: Column, kind: Column | str, dst: Column, confidence: Column | float, evidence: Column, attributes: Column | None = None, seq: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by, src, type, dst, confidence, evidence, attributes, seq) for :func:`merge_edges`; those without an end, or from a thing to itself, go."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    made = df.select(
+        *by, src.alias("src"), lit(kind).alias("type"), dst.alias("dst"), lit(confidence).cast("double").alias("confidence"), evidence.cast("string").alias("evidence"),
+        lit(attributes).cast("string").alias("attributes"), lit(0 if seq is None else seq).cast("long").alias("seq"),
     )
+    return made.where("src is not null and dst is not null and src <> dst")
+
+
+def merge_edges(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of one edge (by, src, type, dst) as one: greatest confidence, evidence in order without repeats, first attributes.
+
+    Each piece of evidence is kept once, with its least place, before an edge's evidence is gathered.
+    """
+    keys = [*by, "src", "type", "dst"]
+    attributes = F.min(F.struct("seq", "attributes")) if "attributes" in edges.columns else F.lit(None)
+    each = edges.groupBy(*keys, "evidence").agg(F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), attributes.alias("_a"))
+    g = each.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda x: x["evidence"]).alias("evidence"), F.min("_a").alias("_a"))
+    return g.withColumn("evidence", F.array_compact("evidence")).withColumn("attributes", F.col("_a.attributes") if "attributes" in edges.columns else F.lit(None).cast("string")).drop("_a")
 
 
-def edge_confidence(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def edge_confidence(edges: DataFrame, entities: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Edges with their confidence lowered where an endpoint is uncertain."""
-    e = entities.select("id", "confidence")
-    s, d = e.select(F.col("id").alias("src"), F.col("confidence").alias("_s")), e.select(F.col("id").alias("dst"), F.col("confidence").alias("_d"))
-    return edges.join(s, "src", "left").join(d, "dst", "left").withColumn("confidence", scores.damped_edge(F.col("confidence"), F.col("_s"), F.col("_d"))).drop("_s", "_d")
+    e = entities.select(*by, "id", "confidence")
+    s, d = e.withColumnsRenamed({"id": "src", "confidence": "_s"}), e.withColumnsRenamed({"id": "dst", "confidence": "_d"})
+    return edges.join(s, [*by, "src"], "left").join(d, [*by, "dst"], "left").withColumn("confidence", scores.damped_edge(F.col("confidence"), F.col("_s"), F.col("_d"))).drop("_s", "_d")
 
 
 def nearest_service(spans: DataFrame) -> DataFrame:
@@ -102,20 +138,39 @@ def nearest_service(spans: DataFrame) -> DataFrame:
     return up.where("hit").join(names, ["trace_id", "at"]).select("trace_id", "span_id", F.col("at").alias("ancestor_id"), "depth", "ancestor")
 
 
+def call_rows(spans: DataFrame, ancestors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Calls from the nearest service ancestor to another entity, one row a span."""
+    own = _placed(spans).join(ancestors.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
+    return edge_rows(own, F.col("ancestor"), "calls", F.col("entity"), CALL, F.col("_ref"), seq=F.col("_seq"), by=by)
+
+
 def call_edges(spans: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Calls from the nearest service ancestor to another entity, merged."""
-    j = spans.join(ancestors, ["trace_id", "span_id"]).where(F.col("ancestor") != F.col("entity"))
-    return merge_edges(j.select(F.col("ancestor").alias("src"), F.lit("calls").alias("type"), F.col("entity").alias("dst"), F.lit(0.98).alias("confidence"), F.col("span_id").cast("string").alias("evidence"), F.col("span_id").alias("seq")))
+    return merge_edges(call_rows(spans, ancestors))
 
 
-def access_edges(spans: DataFrame, ancestors: DataFrame, misses: DataFrame) -> DataFrame:
-    """Reads and writes of dependencies: a statement that writes makes a write; a read beside a cache miss is a fallback."""
-    j = spans.where("endpoint = 'dependency'").join(ancestors, ["trace_id", "span_id"])
-    write = text.is_write(F.col("statement")) if "statement" in spans.columns else F.lit(False)
+def _placed(spans: DataFrame) -> DataFrame:
+    """Spans with the reference and the place of their evidence: those they carry, else their id."""
+    there = set(spans.columns)
+    return spans.withColumns({"_ref": F.col("ref" if "ref" in there else "span_id").cast("string"), "_seq": F.col("seq" if "seq" in there else "span_id").cast("long")})
+
+
+def access_rows(spans: DataFrame, ancestors: DataFrame, misses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reads and writes of dependencies, one row a span.
+
+    A statement (or a name) that writes makes a write.  ``misses`` are the spans beside a cache miss: an access of a database there is
+    marked as a fallback, and a read there (but not of a cache) is a little less sure.
+    """
+    j = _placed(spans).where("endpoint = 'dependency'").join(ancestors.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
     j = j.join(misses.select("trace_id", "span_id", F.lit(True).alias("_miss")), ["trace_id", "span_id"], "left")
-    kind = F.when(write, "writes-to").otherwise("reads-from")
-    role = F.when(~write & F.col("_miss"), "cache-miss-fallback")
-    return merge_edges(j.select(F.col("ancestor").alias("src"), kind.alias("type"), F.col("entity").alias("dst"), F.when(write, 0.97).otherwise(0.96).alias("confidence"), F.col("span_id").cast("string").alias("evidence"), role.alias("attributes"), F.col("span_id").alias("seq")))
+    names = [F.col(c) for c in ("statement", "name") if c in spans.columns]
+    write, beside = text.is_write(F.coalesce(*names, F.lit(""))), F.coalesce("_miss", F.lit(False))
+    sure = F.when(write, WRITE).when(F.col("entity").rlike("^(cache|infra):"), CACHE_READ).when(beside, MISS_READ).otherwise(READ)
+    role = F.when(F.col("entity").startswith("db:") & beside, "cache-miss-fallback")
+    return edge_rows(j, F.col("ancestor"), F.when(write, "writes-to").otherwise("reads-from"), F.col("entity"), sure, F.col("_ref"), role, F.col("_seq"), by)
+
+
+def access_edges(spans: DataFrame, ancestors: DataFrame, misses: DataFrame) -> DataFrame:
+    return merge_edges(access_rows(spans, ancestors, misses))
 
 
 def with_miss_sibling(spans: DataFrame, misses: DataFrame) -> DataFrame:
@@ -130,14 +185,16 @@ def retry_edges(attempts: DataFrame, least: int = 2) -> DataFrame:
     return g.where((F.col("n") >= least) | (F.col("max_attempt") >= least)).withColumn("confidence", F.lit(0.95))
 
 
-def shared_resource_edges(reads: DataFrame, writes: DataFrame, least: float = 0.96) -> DataFrame:
-    """(src, other, n_shared): readers and certain writers of the same thing share a resource.
+def sharing(reads: DataFrame, writes: DataFrame, by: Sequence[str] = (), least: float = WRITE) -> DataFrame:
+    """(by, src, other, dst): readers and certain writers of one thing, each side made distinct first."""
+    r = reads.select(*by, "src", "dst").distinct()
+    w = writes.where(F.col("confidence") >= least).select(*by, F.col("src").alias("other"), "dst").distinct()
+    return r.join(w, [*by, "dst"]).where("src <> other")
 
-    Each side is made distinct first, so a thing meets as many rows as it has entities on both sides, not accesses.
-    """
-    r = reads.select(F.col("src").alias("src"), "dst").distinct()
-    w = writes.where(F.col("confidence") >= least).select(F.col("src").alias("other"), "dst").distinct()
-    return r.join(w, "dst").where("src <> other").groupBy("src", "other").agg(F.count("*").alias("n_shared"))
+
+def shared_resource_edges(reads: DataFrame, writes: DataFrame, least: float = WRITE) -> DataFrame:
+    """(src, other, n_shared): how many things two entities share."""
+    return sharing(reads, writes, (), least).groupBy("src", "other").agg(F.count("*").alias("n_shared"))
 
 
 def instances(resources: DataFrame) -> DataFrame:
@@ -146,49 +203,94 @@ def instances(resources: DataFrame) -> DataFrame:
     return resources.join(n, "service_name")
 
 
+def by_name(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, service_name, dst): the entity of the first resource of each name."""
+    return resources.where("service_name is not null").groupBy(*by, "service_name").agg(F.min_by("entity", "seq").alias("dst"))
+
+
+def named_pair_rows(resources: DataFrame, evidence: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """User interfaces call the API of their name: x-ui calls x-api."""
+    ui = resources.where(F.col("service_name").endswith("-ui")).withColumn("_e", F.col("service_name") if evidence is None else evidence).withColumn("service_name", F.regexp_replace("service_name", "-ui$", "-api"))
+    return edge_rows(ui.join(by_name(resources, by), [*by, "service_name"]), F.col("entity"), "calls", F.col("dst"), INFERRED, F.col("_e"), by=by)
+
+
 def named_pairs(resources: DataFrame) -> DataFrame:
-    """Edges of user interfaces to the API of their name: x-ui calls x-api."""
-    ui = resources.where(F.col("service_name").endswith("-ui")).select(F.col("entity").alias("src"), F.regexp_replace("service_name", "-ui$", "-api").alias("service_name"))
-    api = resources.groupBy("service_name").agg(F.min_by("entity", "seq").alias("dst"))
-    return merge_edges(ui.join(api, "service_name").select("src", F.lit("calls").alias("type"), "dst", F.lit(0.95).alias("confidence"), F.col("service_name").alias("evidence"), F.lit(0).alias("seq")))
+    return merge_edges(named_pair_rows(resources))
+
+
+def trigger_rows(priors: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """An earlier incident (prior_id, primary_entity, trigger) whose trigger begins with a service and a space: that service writes to its database, if ``names`` (by, service_name) has it."""
+    there = names.where("service_name is not null").select(*by, F.concat(F.lit("db:"), "service_name").alias("primary_entity")).distinct()
+    first = F.substring_index("trigger", " ", 1)
+    own = priors.where(first.startswith("service:") & F.col("trigger").contains(" ")).join(there, [*by, "primary_entity"], "left_semi")
+    return edge_rows(own, first, "writes-to", F.col("primary_entity"), INFERRED, F.col("prior_id"), by=by)
+
+
+def trigger_edges(priors: DataFrame, names: DataFrame) -> DataFrame:
+    return merge_edges(trigger_rows(priors, names))
 
 
-def trigger_edges(priors: DataFrame, databases: DataFrame) -> DataFrame:
-    """Edges of an earlier incident's entity to a database (stem, entity) that its trigger names as a word."""
-    words = priors.select("prior_id", "primary_entity", F.explode(F.array_distinct(F.split(F.lower("trigger"), r"[^a-z0-9]+"))).alias("stem")).where("stem <> ''")
-    hit = words.join(databases, "stem")
-    return merge_edges(hit.select(F.col("primary_entity").alias("src"), F.lit("depends-on").alias("type"), F.col("entity").alias("dst"), F.lit(0.80).alias("confidence"), F.col("prior_id").alias("evidence"), F.lit(0).alias("seq")).where("src <> dst"))
+def runtime_rows(resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a resource (resource_id, entity, endpoint, instance, pod, host) tells of where it runs: a service is deployed as instances and pods, a pod runs on a host."""
+    c = F.col
+    name = lambda kind: F.concat(F.lit(f"{kind}:"), c(kind))
+    own = resources.where("endpoint = 'service'")
+    rows = [(own, c("entity"), "deployed-as", name("instance"), CALL, c("seq")), (own, c("entity"), "deployed-as", name("pod"), DEPLOYED, c("seq")), (resources, name("pod"), "runs-on", name("host"), RUNS_ON, None)]
+    out = [edge_rows(df, src, kind, dst, sure, c("resource_id"), seq=seq, by=by) for df, src, kind, dst, sure, seq in rows]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def gap_entities(gaps: DataFrame) -> DataFrame:
-    """(id, kind, source): every entity that a gap (gap_id, entities) affects and whose prefix tells its kind."""
-    own = gaps.select(F.col("gap_id").alias("source"), F.explode("entities").alias("id"))
-    return own.withColumn("kind", kind_of(F.col("id"))).where("kind is not null").select("id", "kind", "source").distinct()
+def gap_entities(gaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, id, kind, source): every entity that a gap (gap_id, entities) affects and whose prefix tells its kind."""
+    own = gaps.select(*by, F.col("gap_id").alias("source"), F.explode("entities").alias("id"))
+    return own.withColumn("kind", kind_of(F.col("id"))).where("kind is not null").select(*by, "id", "kind", "source").distinct()
+
+
+def logical_rows(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a service's span says of itself (entity, shard, tenant: ids): a service fans out to its shards, a tenant calls it."""
+    s = _placed(spans)
+    routed = F.when(F.col("shard").isNotNull(), F.concat(F.lit("routed to "), "shard"))
+    out = edge_rows(s, F.col("entity"), "fans-out-to", F.col("shard"), LOGICAL, F.col("_ref"), seq=F.col("_seq"), by=by)
+    return out.unionByName(edge_rows(s, F.col("tenant"), "calls", F.col("entity"), LOGICAL, F.col("_ref"), routed, F.col("_seq"), by))
 
 
 def logical_edges(spans: DataFrame) -> DataFrame:
-    """Edges that a service's span says of itself (entity, shard, tenant, span_id): a service fans out to its shards, a tenant calls it."""
-    rows = lambda src, kind, dst: spans.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), F.lit(0.90).alias("confidence"), F.col("span_id").cast("string").alias("evidence"), F.col("span_id").alias("seq"))
-    shard, tenant = F.concat(F.lit("shard:"), F.col("shard").cast("string")), F.concat(F.lit("tenant:"), F.col("tenant").cast("string"))
-    return merge_edges(rows(F.col("entity"), "fans-out-to", shard).unionByName(rows(tenant, "calls", F.col("entity"))).where("src is not null and dst is not null"))
+    return merge_edges(logical_rows(spans))
 
 
-def peers(spans: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+def peers(spans: DataFrame, services: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(calls to known services, external peers): spans' ``peer`` joined to service names; the first service of a name counts."""
-    known = services.groupBy("service_name").agg(F.min_by("entity", "seq").alias("dst"))
-    named = spans.where(F.col("peer").isNotNull())
-    hit = named.join(known, named["peer"] == known["service_name"]).drop("service_name")
-    miss = named.join(known, named["peer"] == known["service_name"], "left_anti").withColumn("dst", F.concat(F.lit("external-api:"), "peer"))
-    return hit, miss
+    named = spans.where(F.col("peer").isNotNull()).join(by_name(services, by).withColumnRenamed("service_name", "peer"), [*by, "peer"], "left")
+    return named.where("dst is not null"), named.where("dst is null").withColumn("dst", F.concat(F.lit("external-api:"), "peer"))
+
+
+def peer_rows(spans: DataFrame, services: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A service's span with a peer: a call of the service of that name, else a dependency on something outside, which a charge makes a payment provider."""
+    known, outside = peers(_placed(spans), services, by)
+    pays = F.when(F.lower("name").contains("charge"), "payment-provider")
+    out = edge_rows(known, F.col("entity"), "calls", F.col("dst"), CALL, F.col("_ref"), seq=F.col("_seq"), by=by)
+    return out.unionByName(edge_rows(outside, F.col("entity"), "depends-on", F.col("dst"), EXTERNAL, F.col("_ref"), pays, F.col("_seq"), by))
 
 
-def named_in_text(changes: DataFrame, stems: DataFrame) -> DataFrame:
-    """The first stem (by seq) that stands as a word of each change's text: (change_id, stem).
+def named_in_text(changes: DataFrame, stems: DataFrame, by: Sequence[str] = (), split: str = r"[^a-z0-9]+") -> DataFrame:
+    """The first stem (by seq) that stands as a word of each change's text: (by, change_id, stem).
 
     Words are exploded and matched on equality, so the work follows the length of the texts.
     """
-    words = changes.select("change_id", F.explode(F.array_distinct(F.split(F.lower("summary"), r"[^a-z0-9]+"))).alias("stem")).where("stem <> ''")
-    return words.join(stems, "stem").groupBy("change_id").agg(F.min_by("stem", "seq").alias("stem"))
+    words = changes.select(*by, "change_id", F.explode(F.array_distinct(F.split(F.lower("summary"), split))).alias("stem")).where("stem <> ''")
+    return words.join(stems, [*by, "stem"]).groupBy(*by, "change_id").agg(F.min_by("stem", F.struct("seq", "stem")).alias("stem"))
+
+
+def cleanup_rows(changes: DataFrame, resources: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A clean-up that a service runs and whose text names a database (with or without -pg) writes to it; the first database so named counts."""
+    c = F.col
+    name = F.lower("service_name")
+    stems = resources.where("endpoint = 'dependency' and entity like 'db:%' and service_name is not null").select(*by, "seq", c("entity").alias("db"), F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, "-pg$", "")))).alias("stem"))
+    first = stems.groupBy(*by, "stem").agg(F.min("seq").alias("seq"), F.min_by("db", F.struct("seq", "db")).alias("db"))
+    own = changes.where(c("entity").startswith("service:") & F.lower("summary").contains("vacuum"))
+    named = named_in_text(own, first, by, r"[^a-z0-9_-]+").join(first.select(*by, "stem", "db"), [*by, "stem"])
+    j = own.join(named, [*by, "change_id"]).withColumn("service_name", text.service_name(c("entity"))).join(by_name(resources.where("endpoint = 'service'"), by), [*by, "service_name"], "left")
+    return edge_rows(j, F.coalesce("dst", "entity"), "writes-to", c("db"), INFERRED, c("change_id"), by=by)
 
 
 def discriminator(values: Column) -> Column:

@@ -20,6 +20,7 @@ from evidra.plans.lineage import cut
 from evidra.sources.incidents import Incidents
 
 _TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z")
+BY = ("incident_id",)
 DEPENDENCY_KINDS = ("calls", "reads-from", "writes-to", "depends-on")
 
 
@@ -126,12 +127,9 @@ def resource_entities(i: Incidents) -> DataFrame:
     """
     a = F.col("attributes")
     r = i.resources.select("incident_id", "seq", "resource_id", a["service.name"].alias("service_name"), a["service.version"].alias("version"), a["k8s.pod.name"].alias("pod"), a["host.name"].alias("host"), a["service.instance.id"].alias("instance"), a["rollout"].alias("rollout"), a["k8s.namespace.name"].alias("namespace"), entities.dependency_of(a["db.system"], a["cluster.name"], a["service.name"]).alias("_dep"))
-    named = r.where("service_name is not null and _dep is null").groupBy("incident_id", "service_name").agg(F.count("*").alias("_n"), F.count("version").alias("_told"), F.max("version").alias("_latest"), F.count_if(F.col("rollout") == "canary").alias("_rolled"))
-    j = r.join(named, ["incident_id", "service_name"], "left")
-    role = F.when(F.col("rollout") == "canary", "canary").when(F.col("version").isNull(), "unresolved").when((F.col("_rolled") == 0) & (F.col("version") == F.col("_latest")), "canary").otherwise("stable")
-    split = (F.col("_n") > 1) & F.col("_told").between(F.lit(1), F.col("_n") - 1)
-    service = F.concat(F.lit("service:"), "service_name", F.when(split, F.concat(F.lit("@"), role)).otherwise(""))
-    return j.select("incident_id", "seq", "resource_id", F.coalesce("_dep", service, "resource_id").alias("entity"), F.when(F.col("_dep").isNotNull(), "dependency").otherwise("service").alias("endpoint"), "service_name", "pod", "host", "instance", F.when(split, role).alias("role"), entities.service_confidence(F.col("version"), F.col("instance"), F.col("namespace")).alias("confidence"), F.col("_dep").rlike("^db:").alias("is_database"))
+    j = entities.with_roles(r.where("_dep is null"), BY).unionByName(r.where("_dep is not null"), allowMissingColumns=True)
+    service = F.concat(F.lit("service:"), "service_name", F.coalesce(F.concat(F.lit("@"), "role"), F.lit("")))
+    return j.select("incident_id", "seq", "resource_id", F.coalesce("_dep", service, "resource_id").alias("entity"), F.when(F.col("_dep").isNotNull(), "dependency").otherwise("service").alias("endpoint"), "service_name", "pod", "host", "instance", "role", entities.service_confidence(F.col("version"), F.col("instance"), F.col("namespace")).alias("confidence"), F.col("_dep").rlike("^db:").alias("is_database"))
 
 
 def _logical(i: Incidents, r: DataFrame) -> DataFrame:
@@ -151,7 +149,7 @@ def resolve_entities(i: Incidents) -> DataFrame:
     """Entities (incident_id, id, kind, confidence, sources) from resources, spans, gaps and hints in metrics, logs and changes."""
     r = resource_entities(i)
     c, lit = F.col, F.lit
-    sure = F.when(c("role") == "unresolved", 0.40).when(c("role") == "canary", 0.96).when(c("role") == "stable", 0.95).when(c("endpoint") == "service", c("confidence")).when(c("is_database"), 0.98).otherwise(0.97)
+    sure = F.coalesce(entities.role_confidence(c("role")), F.when(c("endpoint") == "service", c("confidence")).when(c("is_database"), 0.98).otherwise(0.97))
     pod = F.when(c("host").isNotNull(), 0.99).otherwise(0.98)
     row = lambda df, id, kind, source, confidence, seq: df.where(id.isNotNull()).select("incident_id", id.alias("id"), kind.alias("kind"), source.alias("source"), confidence.alias("confidence"), seq.cast("long").alias("seq"))
     rows = [row(r, c("entity"), c("endpoint"), c("resource_id"), sure, c("seq"))]
@@ -160,9 +158,10 @@ def resolve_entities(i: Incidents) -> DataFrame:
     rows += [
         row(s, c("route"), lit("route"), c("resource_id"), F.when(c("has_method"), 0.95).otherwise(0.88), lit(2000)), row(s, c("shard"), lit("shard"), c("resource_id"), lit(0.90), lit(2001)), row(s, c("tenant"), lit("tenant"), c("resource_id"), lit(0.90), lit(2002)),
     ]
+    gaps = entities.gap_entities(i.gaps, BY)
+    rows.append(row(gaps, c("id"), c("kind"), c("source"), lit(0.80), lit(10_000)))
     hints = i.points.select("incident_id", "entity", F.concat_ws("@", "name", "entity").alias("source")).unionByName(i.logs.select("incident_id", "entity", c("log_id").alias("source"))).unionByName(i.changes.select("incident_id", "entity", c("change_id").alias("source")))
-    hints = hints.unionByName(i.gaps.select("incident_id", F.explode("entities").alias("entity"), c("gap_id").alias("source"))).distinct()
-    rows.append(row(hints.withColumn("kind", entities.kind_of(c("entity"))).where("kind is not null"), c("entity"), c("kind"), c("source"), lit(0.80), lit(10_000)))
+    rows.append(row(hints.distinct().withColumn("kind", entities.kind_of(c("entity"))).where("kind is not null"), c("entity"), c("kind"), c("source"), lit(0.80), lit(10_000)))
     out = rows[0]
     for x in rows[1:]:
         out = out.unionByName(x)
@@ -170,76 +169,25 @@ def resolve_entities(i: Incidents) -> DataFrame:
     return entities.merge_entities(keyed).select("id.incident_id", F.col("id.id").alias("id"), "kind", "confidence", "sources")
 
 
-#: How sure an edge of each origin is.
-CALL, WRITE, CACHE_READ, MISS_READ, READ, EXTERNAL, LOGICAL, DEPLOYED, RUNS_ON, INFERRED, SHARED = 0.98, 0.96, 0.97, 0.96, 0.97, 0.95, 0.90, 0.99, 0.95, 0.95, 0.80
-
-
 def resolve_relationships(i: Incidents, found: DataFrame) -> DataFrame:
     """Edges (incident_id, src, type, dst, confidence, evidence, attributes) from spans, resources, changes and earlier incidents."""
-    c, lit, none = F.col, F.lit, F.lit(None).cast("string")
     r = cut(resource_entities(i))
     s = cut(_logical(i, r))
-
-    def edge(df: DataFrame, src, kind, dst, confidence, evidence, attributes=none, seq=lit(0)) -> DataFrame:
-        made = df.select("incident_id", src.alias("src"), kind.alias("type"), dst.alias("dst"), confidence.cast("double").alias("confidence"), evidence.alias("evidence"), attributes.alias("attributes"), seq.cast("long").alias("seq"))
-        return made.where("src is not null and dst is not null and src <> dst")
-
-    up = cut(entities.nearest_service(s))
-    miss = entities.with_miss_sibling(s, s.where("miss"))
-    j = s.join(up.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
-    j = j.join(miss.select("trace_id", "span_id", lit(True).alias("_miss")), ["trace_id", "span_id"], "left")
-    cache, beside = c("entity").rlike("^(cache|infra):"), F.coalesce("_miss", lit(False))
-    kind = F.when(c("endpoint") == "service", "calls").when(text.is_write(F.coalesce("statement", "name", lit(""))), "writes-to").otherwise("reads-from")
-    sure = F.when(kind == "calls", CALL).when(kind == "writes-to", WRITE).when(cache, CACHE_READ).when(beside, MISS_READ).otherwise(READ)
-    falls_back = F.when(c("entity").startswith("db:") & beside & (kind != "calls"), "cache-miss-fallback")
-    rows = [edge(j, c("ancestor"), kind, c("entity"), sure, c("ref"), falls_back, c("seq"))]
-
-    by_name = r.where("service_name is not null and endpoint = 'service'").groupBy("incident_id", "service_name").agg(F.min_by("entity", "seq").alias("dst"))
-    peer = s.where("peer is not null and endpoint = 'service'").join(by_name.withColumnRenamed("service_name", "peer"), ["incident_id", "peer"], "left")
-    known = c("dst").isNotNull()
-    pays = F.when(~known & F.lower("name").contains("charge"), "payment-provider")
-    rows.append(edge(peer, c("entity"), F.when(known, "calls").otherwise("depends-on"), F.coalesce("dst", F.concat(lit("external-api:"), "peer")), F.when(known, CALL).otherwise(EXTERNAL), c("ref"), pays, c("seq")))
-    rows.append(edge(s.where("endpoint = 'service'"), c("entity"), lit("fans-out-to"), c("shard"), lit(LOGICAL), c("ref"), none, c("seq")))
-    rows.append(edge(s.where("endpoint = 'service'"), c("tenant"), lit("calls"), c("entity"), lit(LOGICAL), c("ref"), F.when(c("shard").isNotNull(), F.concat(lit("routed to "), "shard")), c("seq")))
-    tries = j.where("attempt is not null").select("trace_id", c("ancestor").alias("src"), c("entity").alias("dst"), "attempt")
-    rows.append(edge(entities.retry_edges(tries).select("trace_id.*", "src", "dst", "confidence"), c("src"), lit("retries"), c("dst"), c("confidence"), c("trace_id")))
-
-    pod = F.concat(lit("pod:"), "pod")
-    rows.append(edge(r.where("endpoint = 'service'"), c("entity"), lit("deployed-as"), F.concat(lit("instance:"), "instance"), lit(CALL), c("resource_id"), none, c("seq")))
-    rows.append(edge(r.where("endpoint = 'service'"), c("entity"), lit("deployed-as"), pod, lit(DEPLOYED), c("resource_id"), none, c("seq")))
-    rows.append(edge(r, pod, lit("runs-on"), F.concat(lit("host:"), "host"), lit(RUNS_ON), c("resource_id"), none, c("seq")))
-    ui = r.where(c("service_name").endswith("-ui")).withColumn("service_name", F.regexp_replace("service_name", "-ui$", "-api")).join(by_name, ["incident_id", "service_name"])
-    rows.append(edge(ui, c("entity"), lit("calls"), c("dst"), lit(INFERRED), c("resource_id")))
-
-    # A clean-up that a service runs names the database it writes; the first database whose stem is a word of the text counts.
-    stems = r.where("endpoint = 'dependency' and entity like 'db:%'").select("incident_id", "seq", c("entity").alias("dst"), F.explode(F.array_distinct(F.array(F.lower("service_name"), F.regexp_replace(F.lower("service_name"), "-pg$", "")))).alias("stem"))
-    said = i.changes.where(c("entity").startswith("service:") & F.lower("summary").contains("vacuum")).select("incident_id", "change_id", "entity", "seq", F.explode(F.array_distinct(F.split(F.lower("summary"), r"[^a-z0-9_-]+"))).alias("stem"))
-    cleaned = said.join(stems.drop("seq").join(stems.groupBy("incident_id", "stem").agg(F.min("seq").alias("_at")), ["incident_id", "stem"]), ["incident_id", "stem"]).groupBy("incident_id", "change_id", "entity").agg(F.min_by("dst", F.struct("_at", "dst")).alias("dst"))
-    cleaned = cleaned.withColumn("service_name", text.service_name(c("entity"))).join(by_name.withColumnRenamed("dst", "own"), ["incident_id", "service_name"], "left")
-    rows.append(edge(cleaned, F.coalesce("own", "entity"), lit("writes-to"), c("dst"), lit(INFERRED), c("change_id")))
-
-    # An earlier incident whose trigger begins with a service, and whose database is here.
-    there = r.where("service_name is not null").select("incident_id", F.concat(lit("db:"), "service_name").alias("primary_entity")).distinct()
-    first_word = F.substring_index("trigger", " ", 1)
-    prior = i.priors.where(first_word.startswith("service:") & c("trigger").contains(" ")).join(there, ["incident_id", "primary_entity"], "left_semi")
-    rows.append(edge(prior, first_word, lit("writes-to"), c("primary_entity"), lit(INFERRED), c("prior_id")))
-
+    services, own = r.where("endpoint = 'service'"), s.where("endpoint = 'service'")
+    up = cut(entities.nearest_service(s)).select("trace_id", "span_id", "ancestor")
+    tries = s.where("attempt is not null").join(up, ["trace_id", "span_id"]).select("trace_id", F.col("ancestor").alias("src"), F.col("entity").alias("dst"), "attempt")
+    rows = [
+        entities.call_rows(own, up, BY), entities.access_rows(s, up, entities.with_miss_sibling(s, s.where("miss")), BY), entities.peer_rows(own, services, BY), entities.logical_rows(own, BY),
+        entities.edge_rows(entities.retry_edges(tries).select("trace_id.*", "src", "dst", "confidence"), F.col("src"), "retries", F.col("dst"), F.col("confidence"), F.col("trace_id"), by=BY),
+        entities.runtime_rows(r, BY), entities.named_pair_rows(services, F.col("resource_id"), BY), entities.cleanup_rows(i.changes, r, BY), entities.trigger_rows(i.priors, r, BY),
+    ]
     out = rows[0]
     for x in rows[1:]:
         out = out.unionByName(x)
-    merged = cut(_merged(out))
-    use = lambda kind, name: merged.where(c("type") == kind).select("incident_id", "dst", c("src").alias(name), "confidence")
-    both = use("reads-from", "reader").drop("confidence").join(use("writes-to", "writer").where(c("confidence") >= WRITE).drop("confidence"), ["incident_id", "dst"])
-    shared = edge(both, c("reader"), lit("shares-resource-with"), c("writer"), lit(SHARED), c("dst"))
-    merged = merged.unionByName(_merged(shared))
-    sure = found.select("incident_id", "id", "confidence")
-    m = merged.join(sure.select("incident_id", c("id").alias("src"), c("confidence").alias("_s")), ["incident_id", "src"], "left").join(sure.select("incident_id", c("id").alias("dst"), c("confidence").alias("_d")), ["incident_id", "dst"], "left")
-    return m.withColumn("confidence", scores.damped_edge(c("confidence"), c("_s"), c("_d"))).drop("_s", "_d")
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    keyed = rows.withColumn("src", F.struct("incident_id", "src")).drop("incident_id")
-    return entities.merge_edges(keyed).select("src.incident_id", F.col("src.src").alias("src"), "type", "dst", "confidence", "evidence", "attributes")
+    merged = cut(entities.merge_edges(out, BY))
+    both = entities.sharing(merged.where("type = 'reads-from'"), merged.where("type = 'writes-to'"), BY)
+    shared = entities.merge_edges(entities.edge_rows(both, F.col("src"), "shares-resource-with", F.col("other"), entities.SHARED, F.col("dst"), by=BY), BY)
+    return entities.edge_confidence(merged.unionByName(shared), found, BY)
 
 
 def service_points(i: Incidents) -> DataFrame:

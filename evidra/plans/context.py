@@ -37,14 +37,16 @@ def named_pair_edges(spark, sf_dir):
     return entities.named_pairs(_ui_resources(spark, sf_dir)).select("src", "dst", "confidence")
 
 
-@query("""WITH w AS (SELECT DISTINCT c_custkey, unnest(regexp_extract_all(lower(c_mktsegment || ' ' || n_name), '[a-z0-9]+')) AS stem FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT 'user:' || CAST(c_custkey % 50 AS VARCHAR) AS src, 'db:' || r_name AS dst, count(DISTINCT c_custkey) AS n_priors FROM w JOIN region ON lower(r_name) = stem OR (r_name = 'ASIA' AND stem = 'machinery') GROUP BY 1, 2""")
+@query("""SELECT 'service:' || split_part(r_name, ' ', 1) AS src, 'db:' || n_name AS dst, 'writes-to' AS type, 0.95::DOUBLE AS confidence, count(DISTINCT c_custkey) AS n_priors
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 = 0 AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY 1, 2""")
 def prior_trigger_edges(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    priors = c.select(F.col("c_custkey").cast("string").alias("prior_id"), F.concat(F.lit("user:"), (F.col("c_custkey") % 50).cast("string")).alias("primary_entity"), F.concat_ws(" ", "c_mktsegment", "n_name").alias("trigger"))
-    r = table(spark, sf_dir, "region")
-    stems = r.select(F.lower("r_name").alias("stem"), F.concat(F.lit("db:"), "r_name").alias("entity")).unionByName(r.where("r_name = 'ASIA'").select(F.lit("machinery").alias("stem"), F.concat(F.lit("db:"), "r_name").alias("entity")))
-    return entities.trigger_edges(priors, stems).select("src", "dst", F.size("evidence").cast("long").alias("n_priors"))
+    # Earlier incidents on the database of a customer's nation; the trigger begins with a service, with something else, or is one word.
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey") % 3
+    trigger = F.when(k == 0, F.concat(F.lit("service:"), F.substring_index("r_name", " ", 1), F.lit(" nightly "), "c_mktsegment")).when(k == 1, F.concat(F.lit("host:"), "r_name", F.lit(" restart"))).otherwise(F.concat(F.lit("service:"), F.substring_index("r_name", " ", 1)))
+    priors = c.select(F.col("c_custkey").cast("string").alias("prior_id"), F.concat(F.lit("db:"), "n_name").alias("primary_entity"), trigger.alias("trigger"))
+    names = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("service_name"))
+    return entities.trigger_edges(priors, names).select("src", "type", "dst", "confidence", F.size("evidence").cast("long").alias("n_priors"))
 
 
 @query("""WITH g AS (SELECT event_id, unnest(['user:' || CAST(user_id AS VARCHAR), 'type:' || event_type, 'plain']) AS id FROM events WHERE event_type = 'error')
@@ -60,23 +62,23 @@ e AS (SELECT entity AS src, 'fans-out-to' AS type, 'shard:' || CAST(shard AS VAR
 SELECT src, type, dst, 0.9::DOUBLE AS confidence FROM e GROUP BY ALL""")
 def logical_edges(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    spans = c.select(F.concat(F.lit("service:"), "role").alias("entity"), (F.col("conv_id") % 4).alias("shard"), F.when(F.col("turn") % 2 == 0, F.col("conv_id") % 7).alias("tenant"), F.col("turn").alias("span_id"))
+    name = lambda kind, n: F.concat(F.lit(f"{kind}:"), (F.col("conv_id") % n).cast("string"))
+    spans = c.select(F.concat(F.lit("service:"), "role").alias("entity"), name("shard", 4).alias("shard"), F.when(F.col("turn") % 2 == 0, name("tenant", 7)).alias("tenant"), F.col("turn").alias("span_id"))
     return entities.logical_edges(spans).select("src", "type", "dst", "confidence")
 
 
-@query("""WITH d AS (SELECT conv_id AS t, turn, CASE WHEN turn > 0 THEN turn - 1 END AS p, turn % 5 = 3 AS w, turn % 3 = 1 AS miss FROM conversations WHERE role = 'assistant'),
-a AS (SELECT c.conv_id, c.turn, 'service:' || r.role AS src, c.w, EXISTS (SELECT 1 FROM d m WHERE m.t = c.conv_id AND m.miss AND m.turn = c.turn) AS miss FROM (SELECT t AS conv_id, turn, w FROM d) c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn - 1 AND r.role <> 'assistant')
-SELECT src, CASE WHEN w THEN 'writes-to' ELSE 'reads-from' END AS type, CASE WHEN w THEN 0.97 ELSE 0.96 END::DOUBLE AS confidence, bool_or(NOT w AND miss) AS falls_back FROM a GROUP BY 1, 2, 3""")
+@query("""WITH d AS (SELECT c.conv_id, c.turn, 'service:' || r.role AS src, CASE c.conv_id % 3 WHEN 0 THEN 'infra:kv' ELSE 'db:answers' END AS dst, c.turn % 5 = 3 AS w, c.turn % 3 = 1 AS beside
+  FROM conversations c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn - 1 AND r.role <> 'assistant' WHERE c.role = 'assistant'),
+e AS (SELECT src, CASE WHEN w THEN 'writes-to' ELSE 'reads-from' END AS type, dst, conv_id * 1000 + turn AS seq, CASE WHEN w THEN 0.96 WHEN dst = 'infra:kv' THEN 0.97 WHEN beside THEN 0.96 ELSE 0.97 END AS sure, CASE WHEN dst = 'db:answers' AND beside THEN 'cache-miss-fallback' END AS role FROM d)
+SELECT src, type, dst, max(sure)::DOUBLE AS confidence, arg_min(coalesce(role, ''), seq) AS role, count(*) AS n_evidence FROM e GROUP BY 1, 2, 3""")
 def access_edges(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     dep = F.when(F.col("role") == "assistant", "dependency").otherwise("service")
-    s = c.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("span_id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent_id"), dep.alias("endpoint"), F.when(dep == "service", F.concat(F.lit("service:"), "role")).otherwise("db:answers").alias("entity"), F.when(F.col("turn") % 5 == 3, "INSERT INTO t").otherwise("SELECT 1").alias("statement"))
+    store = F.when(F.col("conv_id") % 3 == 0, "infra:kv").otherwise("db:answers")
+    s = c.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("span_id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent_id"), dep.alias("endpoint"), F.when(dep == "service", F.concat(F.lit("service:"), "role")).otherwise(store).alias("entity"), F.when(F.col("turn") % 5 == 3, "INSERT INTO t").otherwise("SELECT 1").alias("statement"), F.concat_ws("/", "conv_id", "turn").alias("ref"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
     up = s.where("endpoint = 'dependency'").select("trace_id", "span_id", "parent_id").join(s.where("endpoint = 'service'").select("trace_id", F.col("span_id").alias("parent_id"), F.col("entity").alias("ancestor")), ["trace_id", "parent_id"]).select("trace_id", "span_id", "ancestor")
     e = entities.access_edges(s, up, s.where("span_id % 3 = 1"))
-    # An edge's role is that of its first span; here every role it had is asked for.
-    j = s.where("endpoint = 'dependency'").join(up, ["trace_id", "span_id"])
-    falls = j.groupBy(F.col("ancestor").alias("src")).agg(F.bool_or((F.col("span_id") % 3 == 1) & (F.col("span_id") % 5 != 3)).alias("_f"))
-    return e.join(falls, "src").select("src", "type", F.round("confidence", 2).alias("confidence"), (F.col("_f") & (F.col("type") == "reads-from")).alias("falls_back"))
+    return e.select("src", "type", "dst", F.round("confidence", 2).alias("confidence"), F.coalesce("attributes", F.lit("")).alias("role"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
 @query("SELECT s_nationkey AS k, CASE count(DISTINCT s_suppkey % 3) WHEN 1 THEN '\"' || CAST(min(s_suppkey % 3) AS VARCHAR) || '\"' ELSE '[\"' || string_agg(DISTINCT CAST(s_suppkey % 3 AS VARCHAR), '\",\"' ORDER BY CAST(s_suppkey % 3 AS VARCHAR)) || '\"]' END AS value FROM supplier GROUP BY 1")

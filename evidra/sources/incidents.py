@@ -114,11 +114,11 @@ NEEDED = {
 def issues(spark: SparkSession, folder: str) -> DataFrame:
     """(incident_id, place, problem): files that are no JSON, and rows that lack what they need and so stay out of the tables."""
     inputs = files(spark, folder, "input.json", INPUT)
-    files = [
+    bad = [
         df.where("_bad is not null").select("incident_id", F.lit(name).alias("place"), F.lit("malformed").alias("problem"))
         for name, df in (("scenario.json", files(spark, folder, "scenario.json", MANIFEST)), ("input.json", inputs))
     ]
-    out = files[0].unionByName(files[1])
+    out = bad[0].unionByName(bad[1])
     good = inputs.where("_bad is null")
     for kind, names in NEEDED.items():
         rows = good.select("incident_id", F.posexplode(kind).alias("i", "x"))
