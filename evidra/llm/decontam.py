@@ -5,11 +5,14 @@ a five-word gram that starts at a multiple of six, so each text probes one gram
 against the hash set; only around hits are whole windows compared, as strings.  Items
 shorter than a window are one window each and get a gram length and stride of their own.
 
-The hash sets ride in the plan while the benchmark has at most ``MAX_GRAMS`` grams
-(that count is checked first); a larger benchmark is matched by shuffled joins instead.
-
-Null text has no words.  Repeated rows are judged each.  An empty benchmark hits nothing.
-Extra columns of either table are ignored by :func:`report` and kept by :func:`remove`.
+The hash set of grams, and that of whole windows with their items, are broadcast join sides: hash relations that
+Spark builds once an executor.  Probes are exploded rows that never leave their task unless a gram hits, and one row a text
+stands for those without a hit.  That holds while the benchmark has at most ``MAX_GRAMS`` grams and windows (counted
+first); a larger benchmark is matched by shuffled joins instead.
+
+Null text has no words.  Repeated rows are judged each.  An empty benchmark hits nothing, an empty table gives no rows.
+Very long texts are probed whole: what a text adds in memory is some three times its words.  Equal windows of several items count
+for each of them.  Extra columns of either table are ignored by :func:`report` and kept by :func:`remove`.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-MAX_GRAMS = 200_000
+MAX_GRAMS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,6 +60,12 @@ class Probe:
         last = F.floor((n - self.k) / self.stride).cast("int")
         return F.when(n >= self.length, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: j * self.stride)).otherwise(F.array().cast("array<int>"))
 
+    def probes(self, words: Column, n: Column) -> Column:
+        """(at, length, gram, from, near) of each position looked up, with the words of all windows that hold the gram, the first of them at ``from``."""
+        first = lambda at: F.greatest(at - (self.stride - 1), F.lit(0))
+        near = lambda at: F.slice(words, first(at) + 1, F.lit(self.stride - 1 + self.length))
+        return F.transform(self.probed(words, n), lambda at: F.struct(at.alias("at"), F.lit(self.length).alias("length"), gram(words, at, self.k).alias("gram"), first(at).alias("from"), near(at).alias("near")))
+
     def starts(self, hits: Column, n: Column) -> Column:
         """Starts of the windows that hold a hit gram."""
         return F.array_distinct(F.flatten(F.transform(hits, lambda p: F.filter(F.sequence(p - (self.stride - 1), p), lambda s: (s >= 0) & (s + self.length <= n)))))
@@ -81,6 +90,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return w.select("item_id", "length", at.alias("at"), "words").select("item_id", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("own")).withColumn("window", F.array_join("own", " "))
 
 
+def split(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_words``, their number ``_n`` and a number ``_row`` of the row."""
+    return docs.select("*", words_of(F.col("text")).alias("_words"), F.monotonically_increasing_id().alias("_row")).withColumn("_n", F.size("_words"))
+
+
 class Matcher:
     """Finds the windows of a benchmark in texts."""
 
@@ -94,48 +108,38 @@ class Matcher:
             g = own.select(F.lit(p.length).alias("length"), gram(F.col("own"), F.col("g"), p.k).alias("gram"))
             grams = g if grams is None else grams.unionByName(g)
         self.grams = grams.distinct() if grams is not None else None
-        self.broadcast = self.grams is None or self.grams.limit(max_grams + 1).count() <= max_grams
-        if self.broadcast and self.grams is not None:
-            self.gram_set: dict[int, list[int]] = {}
-            for r in self.grams.collect():
-                self.gram_set.setdefault(r.length, []).append(r.gram)
-            self.window_set: dict[int, list[str]] = {}
-            for r in self.windows.select("length", "window").distinct().collect():
-                self.window_set.setdefault(r.length, []).append(r.window)
+        few = lambda df: df.limit(max_grams + 1).count() <= max_grams
+        self.broadcast = self.grams is None or (few(self.grams) and few(self.windows))
+        self.items = self.windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
-    def found(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with words, n_words and found: distinct (start, length, window) of each hit window, by length and start."""
-        # _row keeps the optimiser from moving a later filter, and with it the words' regex, into every lambda.
-        d = docs.select("*", words_of(F.col("text")).alias("_words"), F.monotonically_increasing_id().alias("_row")).withColumn("_n", F.size("_words"))
-        if self.grams is None:
-            return d.withColumn("_found", F.array().cast("array<struct<start:int,length:int,window:string>>"))
-        if not self.broadcast:
-            return self._found_by_join(d)
+    def located(self, d: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, start, length, items): each hit window of the texts in ``d`` (keys, _words, _n), and a row with nulls for each text."""
         words, n = F.col("_words"), F.col("_n")
-        for p in self.probes:
-            d = d.withColumn(f"_hits{p.length}", self._within(p, words, n))
-        parts = []
-        for p in self.probes:
-            made = p.windows_at(words, p.starts(F.col(f"_hits{p.length}"), n))
-            parts.append(self._known(made, self.window_set[p.length]))
-        hit = F.lit(False)
-        for p in self.probes:
-            hit = hit | (F.size(f"_hits{p.length}") > 0)
-        none = F.array().cast("array<struct<start:int,length:int,window:string>>")
-        return d.withColumn("_found", F.when(hit, F.concat(*parts)).otherwise(none)).drop(*(f"_hits{p.length}" for p in self.probes))
-
-    @staticmethod
-    def _known(made: Column, known: list[str]) -> Column:
-        return F.filter(made, lambda x: x["window"].isin(known))
+        if self.grams is None:
+            return d.select(*keys, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("array<string>").alias("items"))
+        none = F.lit(None)
+        text = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), none.cast("long").alias("gram"), F.lit(0).alias("from"), none.cast("array<string>").alias("near")))
+        e = d.select(*keys, F.explode(F.concat(text, *(p.probes(words, n) for p in self.probes))).alias("x")).select(*keys, "x.*")
+        known = F.broadcast(self.grams.select("gram").distinct().withColumn("_known", F.lit(True)))
+        hit = e.join(known, "gram", "left").where((F.col("at") < 0) | F.col("_known"))
+        # Windows that hold a hit gram: as many of their words as there are, from each start.
+        length, near, first = F.col("length"), F.col("near"), F.col("from")
+        room = F.least(F.size("near") - length, F.col("at") - first)
+        made = F.when((F.col("at") >= 0) & (room >= 0), F.transform(F.sequence(F.lit(0), room), lambda s: F.struct((first + s).alias("start"), length.alias("length"), F.array_join(F.slice(near, s + 1, length), " ").alias("window"))))
+        w = hit.select(*keys, F.explode_outer(made).alias("w")).select(*keys, "w.*")
+        return w.join(F.broadcast(self.items), "window", "left").where("items is not null or start is null").select(*keys, "start", "length", "items")
 
-    def _within(self, p: Probe, words: Column, n: Column) -> Column:
-        known = self.gram_set[p.length]
-        return F.filter(p.probed(words, n), lambda at: gram(words, at, p.k).isin(known))
+    def found(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with words, n_words and found: distinct (start, length, window) of each hit window, for a benchmark beyond the bound."""
+        return self._found_by_join(split(docs))
 
     def _found_by_join(self, d: DataFrame) -> DataFrame:
         """The same by shuffled joins, for a benchmark beyond the bound: grams, then windows, are joined on equality."""
         from evidra.llm.shared import materialise
 
+        none = F.array().cast("array<struct<start:int,length:int,window:string>>")
+        if self.grams is None:
+            return d.withColumn("_found", none)
         d = materialise(d, "decontam")
         words, n, parts = F.col("_words"), F.col("_n"), None
         for p in self.probes:
@@ -146,7 +150,6 @@ class Matcher:
             made = made.join(self.windows.where(F.col("length") == p.length).select("window"), "window", "left_semi")
             parts = made if parts is None else parts.unionByName(made)
         found = parts.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "length", "window"))).alias("_found"))
-        none = F.array().cast("array<struct<start:int,length:int,window:string>>")
         return d.join(found, "_row", "left").withColumn("_found", F.coalesce("_found", none))
 
 
@@ -157,33 +160,47 @@ def _n_hit(found: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    One shuffle, of a small row per text and one per distinct hit window; texts stay where they are read.
+    One shuffle, of a small row per text and one per hit window; texts stay where they are read.
     """
     m = Matcher(benchmark.select("item_id", "text"), max_grams)
-    d = m.found(docs.select("doc_id", "text")).select(F.col("_row").alias("row"), "doc_id", F.col("_n").cast("long").alias("n_words"), _n_hit(F.col("_found")).cast("long").alias("n_hit"), F.array_distinct(F.transform("_found", lambda x: x["window"])).alias("own"))
-    # Items of a window: bounded by the benchmark, and broadcast only under the checked bound.
-    items = m.windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    d = d.withColumn("window", F.explode_outer("own")).drop("own").join(F.broadcast(items) if m.broadcast else items, "window", "left")
+    keys = ["_row", "doc_id", "_n"]
+    if m.broadcast:
+        w = m.located(split(docs.select("doc_id", "text")), keys)
+    else:
+        w = m.found(docs.select("doc_id", "text")).select(*keys, F.explode_outer("_found").alias("x")).select(*keys, "x.*").join(m.items, "window", "left")
     # A row's windows meet again by its key; each adds at most the benchmark's items.
-    out = d.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    g = w.groupBy(*keys).agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length"))).alias("_found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    n_hit = _n_hit(F.col("_found")).cast("long")
+    return g.select("doc_id", F.col("_n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams: int = MAX_GRAMS) -> DataFrame:
     """``docs`` without contaminated documents, or (``whole=False``) with the hit words cut from their texts.
 
     Cutting joins a touched text's remaining normalised words by one space; texts without hits stay as they are.
+    What is hit is a matter of the text alone, so hits are kept by the text's MD5 (128 bits) and written as a small table,
+    whose known size lets Spark decide how they meet the documents.
     """
-    from evidra.llm.shared import neutral
+    from evidra.llm.shared import materialise, neutral
 
     own = neutral(docs)
     columns = own.columns
-    d = Matcher(benchmark.select("item_id", "text"), max_grams).found(own)
+    m = Matcher(benchmark.select("item_id", "text"), max_grams)
+    key = F.md5(F.col("text").cast("string").cast("binary")).alias("_key")
+    texts = own.select("text", key)
+    if m.broadcast:
+        w = m.located(split(texts), ["_key"]).where("start is not null")
+    else:
+        w = m.found(texts).select("_key", F.explode("_found").alias("x")).select("_key", "x.*")
+    found = materialise(w.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("_found")), "hits")
+    d = own.select("*", key)
     if whole:
-        return d.where((F.size("_found") == 0) & (F.col("_row") >= 0)).select(*columns).toDF(*docs.columns)
+        return d.join(found, "_key", "left_anti").select(*columns).toDF(*docs.columns)
+    words = words_of(F.col("text"))
     hit = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), hit), lambda i: F.get(F.col("_words"), i))
-    return d.withColumn("text", F.when(F.size("_found") > 0, F.array_join(kept, " ")).otherwise(F.col("text"))).select(*columns).toDF(*docs.columns)
+    j = d.join(found, "_key", "left").withColumn("_words", F.when(F.col("_found").isNotNull(), words)).withColumn("_n", F.size(F.coalesce("_words", F.array().cast("array<string>"))))
+    return j.withColumn("text", F.when(F.col("_found").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text"))).select(*columns).toDF(*docs.columns)
 
 
 #: The report in DuckDB, by every window against every window.

@@ -172,3 +172,26 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
         assert (substring.word_hashes(text) == whole).all() and len(whole) == 500
     assert (whole == np.concatenate([substring.word_hashes(w.encode()) for w in words])).all()
     assert len(substring.word_hashes(b" \n")) == len(substring.word_hashes(b"")) == 0
+
+
+def test_large_benchmark_in_seconds(spark):
+    """1,500 items of 60 words: the hash set is a broadcast side, not part of the plan's text."""
+    import time
+
+    from evidra.llm import decontam
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    items = [" ".join(words[j] for j in rng.integers(0, 3000, 60)) for _ in range(1500)]
+    docs = [" ".join(words[j] for j in rng.integers(0, 3000, 400)) for _ in range(200)]
+    docs[7] = docs[7] + " " + items[3][: len(items[3]) // 2]
+    docs[9] = items[5].upper() + ", " + docs[9]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    began = time.time()
+    got = decontam.report(d, b)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    hit = {r.doc_id: (r.n_items, r.n_hit) for r in got.where("contaminated").collect()}
+    assert set(hit) == {7, 9} and hit[9] == (1, 60) and hit[7][0] == 1
+    assert time.time() - began < 60
+    assert {r.doc_id for r in decontam.remove(d, b).collect()} == set(range(200)) - {7, 9}
