@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidra.functions import json_text
 from evidra.operators import compare, intervals, picks
 from evidra.operators.compare import Field
 from evidra.operators.picks import Pick
 from evidra.plans.catalogue import _s, _t, query
+from evidra.sources import otlp
 from evidra.sources.adapters import table
 from evidra.streaming import incremental, stateful
 
@@ -178,3 +180,38 @@ def streaming_closed_windows(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit("all").alias("entity"), F.col("ts").cast("timestamp").alias("t"), F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     w = incremental.windowed(incremental.in_parts(ev, "points", 4, "us").drop("us"), "6 hours", "2 hours")
     return incremental.run_to_end(w.select("window", "name", "entity", "n_points", "v"), "append", "closed").select("name", _s("window.start").alias("window_at"), "n_points")
+
+
+# --- JSON and instants --------------------------------------------------------
+
+
+@query("""SELECT event_id, '{"a":{"tags":["' || event_type || '","x"],"user":' || CAST(user_id AS VARCHAR) || '},"m":{"b":[{"deep":true,"k":' || json_extract_string(props, '$.k') || '}],"z":null},"z":"' || event_type || '"}' AS canonical FROM events""")
+def canonical_json(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    # Keys out of order, at three depths.
+    m = F.concat(F.lit('{ "z" : null, "b": [ {"k": '), F.get_json_object("props", "$.k"), F.lit(', "deep": true} ] }'))
+    doc = F.concat(F.lit('{"z": "'), F.col("event_type"), F.lit('", "m": '), m, F.lit(', "a": {"user": '), F.col("user_id").cast("string"), F.lit(', "tags": ["'), F.col("event_type"), F.lit('", "x"]}}'))
+    return ev.select("event_id", json_text.canonical_text(doc).alias("canonical"))
+
+
+@query("""SELECT event_id, '[{"id":"' || CAST(event_id AS VARCHAR) || '","kind":[["' || event_type || '"],["' || CAST(user_id % 5 AS VARCHAR) || '",{"k":"' || json_extract_string(props, '$.k') || '"}]]}]' AS value FROM events""")
+def attribute_values(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    s, i, l = (lambda c: F.concat(F.lit('{"stringValue":"'), c, F.lit('"}'))), (lambda c: F.concat(F.lit('{"intValue":'), c.cast("string"), F.lit("}"))), (lambda *c: F.concat(F.lit('{"arrayValue":{"values":['), F.concat_ws(",", *c), F.lit("]}}")))
+    pair = lambda k, v: F.concat(F.lit('{"value":'), v, F.lit(f',"key":"{k}"}}'))
+    table_ = lambda *p: F.concat(F.lit('{"kvlistValue":{"values":['), F.concat_ws(",", *p), F.lit("]}}"))
+    kind = l(l(s(F.col("event_type"))), l(i(F.col("user_id") % 5), table_(pair("k", i(F.get_json_object("props", "$.k"))))))
+    return ev.select("event_id", otlp.any_value(l(table_(pair("kind", kind), pair("id", i(F.col("event_id")))))).alias("value"))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, epoch_us(ts) * 1000 + event_id % 1000 AS ns, count(*) OVER (PARTITION BY user_id, ts) AS same FROM events)
+SELECT CAST(user_id AS VARCHAR) AS doc, event_id, ns AS start_ns, ns - lag(ns) OVER (PARTITION BY user_id ORDER BY ns, event_id) AS lag_ns FROM n""")
+def span_nanoseconds(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ev = table(spark, sf_dir, "events")
+    ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).cast("string")
+    span = F.struct(F.lpad(F.hex("user_id"), 32, "0").alias("traceId"), F.lpad(F.hex("event_id"), 16, "0").alias("spanId"), F.col("event_id").cast("string").alias("name"), ns.alias("startTimeUnixNano"), ns.alias("endTimeUnixNano"))
+    docs = ev.groupBy(F.col("user_id").cast("string").alias("doc")).agg(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.collect_list(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("json"))
+    s = otlp.ingest(docs).spans.select("doc", F.col("name").cast("long").alias("event_id"), "start_ns")
+    return s.withColumn("lag_ns", F.col("start_ns") - F.lag("start_ns").over(Window.partitionBy("doc").orderBy("start_ns", "event_id")))

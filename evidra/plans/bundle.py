@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions import scores, text
+from evidra.functions import json_text, scores, text
 from evidra.operators import entities, evidence, intervals, logs, picks, series, store, timeline
 from evidra.plans import story
 from evidra.plans.lineage import cut
@@ -277,7 +277,7 @@ def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d:
     found = evidence.suspects(evidence.canonical_entities(cand, edges))
     causes = cut(evidence.rank_causes(evidence.along_edges(evidence.roll_up(found, edges), edges)))
     item = F.struct("candidate_id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "note")
-    priced = cand.withColumn("token_cost", scores.token_cost(F.to_json(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind")))
+    priced = cand.withColumn("token_cost", scores.token_cost(json_text.canonical(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind")))
     counters = F.col("grp") == 4
     must = None
     if query.counters:
@@ -307,7 +307,7 @@ def answer_questions(i: Incidents, d: Derived, questions: DataFrame) -> tuple[Da
     """
     cand = candidates(i, d)
     item = F.struct("candidate_id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "note")
-    priced = cut(cand.withColumn("token_cost", scores.token_cost(F.to_json(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind"))))
+    priced = cut(cand.withColumn("token_cost", scores.token_cost(json_text.canonical(item))).withColumn("grp", evidence.selection_group(F.col("direction"), F.col("source"), F.col("kind"))))
     q = cut(questions.select("question_id", "incident_id", "start", "end", "entities", F.lit(None).cast("array<string>").alias("kinds")))
     timeless = priced.where("start is null or end is null").withColumnsRenamed({"start": "r_start", "end": "r_end"})
     always = q.where("start is not null and end is not null").withColumnRenamed("entities", "_entities").drop("kinds").join(timeless, "incident_id")

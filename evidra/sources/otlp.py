@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.functions import arrays, scores, text
+from evidra.functions import arrays, json_text, scores, text
 
 _ATTRS = "attributes ARRAY<STRUCT<key: STRING, value: STRING>>"
 _SCOPE = "scope STRUCT<name: STRING, version: STRING>"
@@ -45,16 +45,10 @@ class Ingest:
         return rows.join(bad, "signal", "left").select("signal", "accepted", F.coalesce("rejected", F.lit(0).cast("long")).alias("rejected"))
 
 
-def any_value(json: Column, depth: int = 3) -> Column:
-    """An attribute value's JSON text as plain text: scalars as they are, lists and maps as JSON, nested so deep at most."""
+def any_value(json: Column) -> Column:
+    """An attribute value's JSON text as plain text: scalars as they are, lists and maps of any depth as canonical JSON of texts."""
     scalar = F.coalesce(*(F.get_json_object(json, f"$.{k}") for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")))
-    if depth == 0:
-        return F.coalesce(scalar, json)
-    items = F.from_json(F.get_json_object(json, "$.arrayValue.values"), "array<string>")
-    pairs = F.from_json(F.get_json_object(json, "$.kvlistValue.values"), "array<struct<key:string,value:string>>")
-    as_list = F.to_json(F.transform(items, lambda x: any_value(x, depth - 1)))
-    as_map = F.to_json(F.map_from_entries(F.array_sort(F.transform(pairs, lambda x: F.struct(x["key"], any_value(x["value"], depth - 1))))))
-    return F.coalesce(scalar, as_list, as_map, json)
+    return F.coalesce(scalar, json_text.unwrapped(json), json)
 
 
 def attribute_map(attrs: Column) -> Column:
@@ -90,10 +84,15 @@ def hex_id(c: Column, digits: int) -> Column:
     return F.when(c.rlike(rf"^[0-9a-fA-F]{{{digits}}}$"), F.lower(c))
 
 
+def nanos(c: Column) -> Column:
+    """Unix nanoseconds as a number, null if blank, not a number or beyond the year 2262."""
+    return F.when(c.rlike("^[0-9]{1,19}$"), c.try_cast("bigint"))
+
+
 def nano_time(c: Column) -> Column:
-    """Unix nanoseconds as a timestamp (microseconds), null if blank or not a number."""
-    nanos = F.when(c.rlike("^[0-9]{1,19}$"), c.try_cast("decimal(20,0)"))
-    return F.timestamp_micros(F.floor(nanos / 1000).cast("bigint"))
+    """Unix nanoseconds as a timestamp (microseconds); what is cut off stays in the ``_ns`` columns."""
+    n = nanos(c)
+    return F.timestamp_micros(F.floor(n.cast("decimal(20,0)") / 1000).cast("bigint"))
 
 
 def _exploded(docs: DataFrame, envelope: str, scopes: str, rows: str) -> DataFrame:
@@ -121,6 +120,7 @@ def ingest(documents: DataFrame) -> Ingest:
     spans = s.where(good_span).select(
         "doc", "trace_id", "span_id", hex_id(F.col("x.parentSpanId"), 16).alias("parent_id"), F.col("x.name").alias("name"), F.col("x.kind").alias("kind"), "start", "end",
         F.when(status.isin("2", "STATUS_CODE_ERROR"), "ERROR").otherwise("OK").alias("status"), "resource_id", "entity", "entity_quality", attribute_map(F.col("x.attributes")).alias("attributes"),
+        nanos(F.col("x.startTimeUnixNano")).alias("start_ns"), nanos(F.col("x.endTimeUnixNano")).alias("end_ns"),
     )
     issues = _issue(s, "span", trace_id=F.col("trace_id").isNull(), span_id=F.col("span_id").isNull(), start=F.col("start").isNull(), end=F.col("end").isNull())
 
@@ -131,7 +131,7 @@ def ingest(documents: DataFrame) -> Ingest:
     issues = issues.unionByName(_issue(bad_metric, "metric_point", points=points.isNull(), name=text.blank_to_null(F.col("x.name")).isNull()))
     p = m.where(points.isNotNull() & text.blank_to_null(F.col("x.name")).isNotNull()).select("doc", "place", "resource_id", "entity", "entity_quality", "resource_attributes", F.col("x.name").alias("name"), F.col("x.unit").alias("unit"), kind.alias("aggregation"), F.posexplode(points).alias("ord", "pt"))
     p = p.withColumns({"t": nano_time(F.col("pt.timeUnixNano")), "v": F.coalesce(F.col("pt.asDouble"), F.col("pt.asInt").try_cast("double"))})
-    rows = p.where("t is not null and v is not null").select("doc", "name", "entity", "entity_quality", "unit", "aggregation", "resource_id", "t", "v", "ord")
+    rows = p.where("t is not null and v is not null").select("doc", "name", "entity", "entity_quality", "unit", "aggregation", "resource_id", "t", "v", "ord", nanos(F.col("pt.timeUnixNano")).alias("t_ns"))
     issues = issues.unionByName(_issue(p, "metric_point", time=F.col("t").isNull(), value=F.col("v").isNull()))
 
     g = _exploded(docs, "resourceLogs", "scopeLogs", "logRecords")
@@ -142,7 +142,7 @@ def ingest(documents: DataFrame) -> Ingest:
     made = F.concat_ws(":", F.lit("log"), F.coalesce(hex_id(F.col("x.traceId"), 32), F.lit("none")), F.coalesce(hex_id(F.col("x.spanId"), 16), F.lit("none")), F.unix_micros("t").cast("string"), F.col("doc").cast("string"), F.col("place"))
     logs = g.where("t is not null").select(
         "doc", F.coalesce(own, made).alias("log_id"), "t", "entity", "entity_quality", "resource_id", F.col("x.severityText").alias("severity"), body.alias("body"), "attributes",
-        hex_id(F.col("x.traceId"), 32).alias("trace_id"), hex_id(F.col("x.spanId"), 16).alias("span_id"),
+        hex_id(F.col("x.traceId"), 32).alias("trace_id"), hex_id(F.col("x.spanId"), 16).alias("span_id"), nanos(F.coalesce(F.col("x.timeUnixNano"), F.col("x.observedTimeUnixNano"))).alias("t_ns"),
     )
     issues = issues.unionByName(_issue(g, "log", time=F.col("t").isNull()))
     empty = docs.where("d.resourceSpans is null and d.resourceMetrics is null and d.resourceLogs is null").select("doc", F.lit("$").alias("place"), F.lit("envelope").alias("problem"), F.lit("document").alias("signal"))

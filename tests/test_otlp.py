@@ -50,3 +50,45 @@ def test_files_and_repeated_keys(spark, tmp_path):
     many = spark.createDataFrame([(1,)], "i int").select(otlp.attribute_map(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda k: F.struct((k % 1500).cast("string").alias("key"), F.concat(F.lit('{"intValue":"'), k.cast("string"), F.lit('"}')).alias("value")))).alias("m"))
     m = many.first().m
     assert len(m) == 1500 and m["7"] == "1507"
+
+
+def test_values_of_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    def wrap(v):
+        if isinstance(v, list):
+            return {"arrayValue": {"values": [wrap(x) for x in v]}}
+        if isinstance(v, dict):
+            return {"kvlistValue": {"values": [{"value": wrap(x), "key": k} for k, x in v.items()]}}
+        return {"stringValue": v} if isinstance(v, str) else {"intValue": v}
+
+    def plain(v):
+        return [plain(x) for x in v] if isinstance(v, list) else {k: plain(x) for k, x in sorted(v.items())} if isinstance(v, dict) else str(v)
+
+    deep = "x"
+    for k in range(50):
+        deep = [deep] if k % 2 else {"k": deep}
+    values = [["a", 1], {"b": 1, "a": ["x,[{", 'y"q\\', "é \n"], "c": {}}, [], deep, {"key": {"value": "v", "values": []}}, [[], [[]]], {"long": ["n%d{" % k for k in range(9000)], "text": 'q"[\\' * 9000}, ["\ue000\ue005\ue009", "]}", {"\ue008": "{"}]]
+    rows = [(json.dumps(wrap(v)), json.dumps(plain(v), separators=(",", ":"), ensure_ascii=False)) for v in values]
+    rows += [(x, x) for x in ('{"arrayValue":{"values":[{"foo":[1]}]}}', '{"other":1}', '{"a":{"arrayValue":{}}}', "no json")] + [('{"arrayValue":{}}', "[]"), ('{"kvlistValue":{}}', "{}")]
+    got = spark.createDataFrame(rows, "j string, w string").select("w", otlp.any_value(F.col("j")).alias("g")).collect()
+    assert [(r.w, r.g) for r in got if r.w != r.g] == []
+
+
+def test_one_nanosecond_apart(spark):
+    t = "c" * 32
+    spans = [{"traceId": t, "spanId": f"{k:016x}", "startTimeUnixNano": f"170000000000000000{k}", "endTimeUnixNano": f"170000000000000000{k}"} for k in (1, 2)]
+    r = otlp.ingest(spark.createDataFrame([("1", doc(resourceSpans=[{"resource": {}, "scopeSpans": [{"spans": spans}]}]))], "doc string, json string"))
+    got = sorted((x.start_ns, x.end_ns, x.start) for x in r.spans.collect())
+    assert [x[:2] for x in got] == [(1700000000000000001,) * 2, (1700000000000000002,) * 2] and got[0][2] == got[1][2]
+
+
+def test_canonical_json_and_its_cost(spark):
+    from pyspark.sql import functions as F
+
+    from evidra.functions import json_text, scores
+
+    given = {"z": [{"b": 1, "a": {"d": 0.25, "c": None}}], "a": "é\"", "m": {"y": True, "x": []}}
+    want = json.dumps(given, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    r = spark.createDataFrame([(json.dumps(given, indent=2),), ("{no",)], "j string").select(json_text.canonical_text(F.col("j")).alias("c")).withColumn("n", scores.token_cost(F.col("c"))).collect()
+    assert (r[0].c, r[0].n) == (want, -(-len(want.encode()) // 4)) and r[1].c is None
