@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import json_text
-from evidra.operators import compare, intervals, picks
+from evidra.operators import compare, intervals, picks, rules
 from evidra.operators.compare import Field
 from evidra.operators.picks import Pick
+from evidra.operators.rules import Rule
 from evidra.plans.catalogue import _s, _t, query
 from evidra.sources import otlp
 from evidra.sources.adapters import table
@@ -215,3 +216,35 @@ def span_nanoseconds(spark, sf_dir):
     docs = ev.groupBy(F.col("user_id").cast("string").alias("doc")).agg(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.collect_list(span).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("json"))
     s = otlp.ingest(docs).spans.select("doc", F.col("name").cast("long").alias("event_id"), "start_ns")
     return s.withColumn("lag_ns", F.col("start_ns") - F.lag("start_ns").over(Window.partitionBy("doc").orderBy("start_ns", "event_id")))
+
+
+# --- rules as data ------------------------------------------------------------
+
+_TPC_RULES = (
+    Rule("unique", "order.id"), Rule("refers", "line.order", "order.id", scoped=True), Rule("refers", "line.part", "part.id"), Rule("one_of", "order.status", values=("O", "F")), Rule("needed", "order.comment"), Rule("safe", "order.priority"),
+)
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 3), f AS (
+  SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS path, 'one_of O|F' AS rule, o_orderstatus AS value FROM o WHERE o_orderstatus NOT IN ('O', 'F')
+  UNION ALL SELECT 'order:' || CAST(o_orderkey AS VARCHAR), 'safe', o_orderpriority FROM o WHERE NOT regexp_full_match(o_orderpriority, '[A-Za-z0-9][A-Za-z0-9._-]*')
+  UNION ALL SELECT 'order:' || CAST(o_orderkey AS VARCHAR), 'needed', CASE WHEN o_orderkey % 7 = 1 THEN ' ' END FROM o WHERE o_orderkey % 7 < 2
+  UNION ALL SELECT 'order:' || CAST(o_orderkey AS VARCHAR), 'unique', CAST(o_custkey % 500 AS VARCHAR) FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderkey) > 1
+  UNION ALL SELECT 'line:' || CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), 'refers to order.id', CAST(l_orderkey % 600 AS VARCHAR) FROM lineitem WHERE l_orderkey % 600 NOT IN (SELECT o_custkey % 500 FROM o) OR l_orderkey % 4 = 0
+  UNION ALL SELECT 'line:' || CAST(l_orderkey AS VARCHAR) || '.' || CAST(l_linenumber AS VARCHAR), 'refers to part.id', CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10))
+SELECT * FROM f""")
+def rule_violations(spark, sf_dir):
+    o, li, p = table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 3"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_size > 10")
+    path = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    line = F.concat(F.lit("line:"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+
+    def fact(df, at, position, **values):
+        each = F.explode(F.array(*(F.struct(F.lit(k.replace("_", ".")).alias("field"), v.cast("string").alias("value"), s.alias("scope")) for k, (v, s) in values.items()))).alias("x")
+        return df.select(F.lit("all").alias("case"), F.lit("tables").alias("file"), at.alias("path"), position.cast("long").alias("position"), each).select("case", "file", "path", "position", "x.field", "x.scope", "x.value")
+
+    none, here = F.lit(None).cast("string"), F.lit("here")
+    comment = F.when(F.col("o_orderkey") % 7 == 0, none).when(F.col("o_orderkey") % 7 == 1, " ").otherwise("fine")
+    facts = fact(o, path, F.col("o_orderkey"), order_id=(F.col("o_custkey") % 500, here), order_status=(F.col("o_orderstatus"), none), order_priority=(F.col("o_orderpriority"), none), order_comment=(comment, none))
+    facts = facts.unionByName(fact(li, line, F.col("l_linenumber"), line_order=(F.col("l_orderkey") % 600, F.when(F.col("l_orderkey") % 4 == 0, "elsewhere").otherwise("here")), line_part=(F.col("l_partkey"), none)))
+    facts = facts.unionByName(fact(p, F.lit("part"), F.col("p_partkey"), part_id=(F.col("p_partkey"), none)))
+    return rules.violations(facts, _TPC_RULES).select("path", "rule", "value")
