@@ -28,6 +28,45 @@ def instance_entities(points: DataFrame, mapping: DataFrame) -> DataFrame:
     return points.join(mapping, points["entity"] == mapping["instance"], "left").withColumn("entity", F.coalesce("service", "entity")).select(*points.columns)
 
 
+def identities(points: DataFrame, mapping: DataFrame, holes: DataFrame) -> DataFrame:
+    """What each series is, once instances stand under their service by ``mapping`` (incident_id, instance, service).
+
+    ``points`` carry a unit, ``holes`` are (incident_id, name, entity, start, end, gap_id, seq).  A row has the references of all
+    stored series it is made of (the one stored first leads), the unit named first and whether others are named, how many points
+    were stored, their span, and the hole declared first.  Points meet by their stored series before they meet by service, so a
+    service with most of all points costs a row for each of its instances.
+    """
+    c, keys = F.col, SERIES
+    under = lambda df: df.join(mapping.select("incident_id", c("instance").alias("entity"), "service"), ["incident_id", "entity"], "left").withColumn("own", c("entity")).withColumn("entity", F.coalesce("service", "entity"))
+    stored = points.groupBy(*keys).agg(F.min("ord").alias("ord"), F.min(F.when(c("unit").isNotNull(), F.struct("ord", "unit"))).alias("named"), F.min("unit").alias("least"), F.max("unit").alias("most"), F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("z"))
+    ref = F.struct("ord", F.concat_ws("@", "name", "own").alias("ref"))
+    g = under(stored).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(ref)).alias("_refs"), F.min("ord").alias("input_order"), F.min("named")["unit"].alias("unit"),
+        F.coalesce(F.min("least") != F.max("most"), F.lit(False)).alias("units_differ"), F.sum("n").alias("n_points"), F.min("a").alias("first_t"), F.max("z").alias("last_t"),
+    )
+    hole = under(holes).groupBy(*keys).agg(F.min_by(F.struct("start", "end", "gap_id"), "seq").alias("gap"))
+    refs = F.array_distinct(F.transform("_refs", lambda x: x["ref"]))
+    return g.withColumn("refs", refs).drop("_refs").join(hole, keys, "left")
+
+
+def append(described: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` (incident_id, name, entity, unit, t, v, seq) with the ``outcome`` of adding them to the series ``described`` (incident_id, name, entity, unit).
+
+    A new series is described by its first point, which is "inserted"; a point of a known series is "updated", or a "conflict" if it
+    names another unit; one without name, entity, time or value is "rejected" and describes nothing.  Null units are equal.
+    What a series is described by is one row, so a series with most of all points is no group anywhere.
+    """
+    c, whole = F.col, F.lit(True)
+    for n in ("name", "entity", "t", "v"):
+        whole = whole & c(n).isNotNull()
+    first = points.where(whole).groupBy(*SERIES).agg(F.min_by(F.struct("unit", "seq"), "seq").alias("_first"))
+    known = described.groupBy(*SERIES).agg(F.min(F.struct("unit")).alias("_known"))
+    says = first.join(known, SERIES, "left").select(*SERIES, F.coalesce(c("_known"), F.struct(c("_first.unit"))).alias("_says"), F.when(c("_known").isNull(), c("_first.seq")).alias("_seq"))
+    told = F.when(~c("unit").eqNullSafe(c("_says.unit")), "conflict").when(c("seq") == c("_seq"), "inserted").otherwise("updated")
+    good = points.where(whole).join(says, SERIES).withColumn("outcome", told).drop("_says", "_seq")
+    return good.unionByName(points.where(~whole).withColumn("outcome", F.lit("rejected")))
+
+
 def baselines(points: DataFrame) -> DataFrame:
     """Per series the first point's value, the extremes and how many points there are; NaN never counts as an extreme."""
     good = F.when(~F.isnan("v"), F.col("v"))

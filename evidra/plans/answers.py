@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import json_text
-from evidra.operators import compare, intervals, picks, rules
+from evidra.operators import compare, intervals, picks, rules, series
 from evidra.operators.compare import Field
 from evidra.operators.picks import Pick
 from evidra.operators.rules import Rule
@@ -248,3 +248,39 @@ def rule_violations(spark, sf_dir):
     facts = facts.unionByName(fact(li, line, F.col("l_linenumber"), line_order=(F.col("l_orderkey") % 600, F.when(F.col("l_orderkey") % 4 == 0, "elsewhere").otherwise("here")), line_part=(F.col("l_partkey"), none)))
     facts = facts.unionByName(fact(p, F.lit("part"), F.col("p_partkey"), part_id=(F.col("p_partkey"), none)))
     return rules.violations(facts, _TPC_RULES).select("path", "rule", "value")
+
+
+# --- what a series is ---------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT *, 'instance:' || CAST(user_id AS VARCHAR) AS own, CASE WHEN user_id % 5 = 0 THEN 'instance:' || CAST(user_id AS VARCHAR) ELSE 'svc:' || CAST(user_id % 4 AS VARCHAR) END AS entity,
+  CASE WHEN event_id % 3 > 0 THEN CASE WHEN user_id % 10 < 5 THEN 'ms' ELSE event_type END END AS unit FROM events),
+r AS (SELECT entity, own, min(event_id) AS ord FROM e GROUP BY ALL),
+h AS (SELECT entity, arg_min(event_id, event_id) AS gap, arg_min(ts, event_id) AS gap_start FROM e WHERE event_type = 'error' GROUP BY entity)
+SELECT g.*, x.n_refs, x.refs, 'gap:' || CAST(h.gap AS VARCHAR) AS gap, {_t('h.gap_start')} AS gap_start FROM (
+  SELECT entity, min(event_id) AS input_order, arg_min(unit, event_id) FILTER (unit IS NOT NULL) AS unit, coalesce(min(unit) <> max(unit), false) AS units_differ, count(*) AS n_points, {_t('min(ts)')} AS first_t, {_t('max(ts)')} AS last_t FROM e GROUP BY entity) g
+JOIN (SELECT entity, count(*) AS n_refs, md5(string_agg('latency@' || own, ',' ORDER BY ord)) AS refs FROM r GROUP BY entity) x ON x.entity = g.entity LEFT JOIN h ON h.entity = g.entity""")
+def series_identity(spark, sf_dir):
+    ev, user = table(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    named = {"incident_id": F.lit("x"), "name": F.lit("latency"), "entity": F.concat(F.lit("instance:"), user)}
+    unit = F.when(F.col("event_id") % 3 > 0, F.when(F.col("user_id") % 10 < 5, "ms").otherwise(F.col("event_type")))
+    base = ev.withColumns(named)
+    points = base.select("incident_id", "name", "entity", F.col("ts").alias("t"), F.col("value").alias("v"), F.col("event_id").alias("ord"), unit.alias("unit"))
+    mapping = base.where("user_id % 5 <> 0").select("incident_id", F.col("entity").alias("instance"), F.concat(F.lit("svc:"), (F.col("user_id") % 4).cast("string")).alias("service")).distinct()
+    holes = base.where("event_type = 'error'").select("incident_id", "name", "entity", F.col("ts").alias("start"), F.col("ts").alias("end"), F.concat(F.lit("gap:"), F.col("event_id").cast("string")).alias("gap_id"), F.col("event_id").alias("seq"))
+    out = series.identities(points, mapping, holes)
+    return out.select("entity", "input_order", "unit", "units_differ", "n_points", _s("first_t").alias("first_t"), _s("last_t").alias("last_t"), F.size("refs").cast("long").alias("n_refs"), F.md5(F.array_join("refs", ",")).alias("refs"), F.col("gap.gap_id").alias("gap"), _s("gap.start").alias("gap_start"))
+
+
+@query("""WITH e AS (SELECT event_id, 'user:' || CAST(user_id AS VARCHAR) AS entity, event_type AS name, CASE WHEN event_id % 11 = 5 THEN 'rows' WHEN event_id % 13 > 0 THEN 'ms' END AS unit, CASE WHEN event_id % 17 > 0 THEN value END AS v, user_id % 3 = 0 AND ts < TIMESTAMP '2024-01-10' AS old FROM events),
+k AS (SELECT name, entity, 'ms' AS unit FROM e WHERE old GROUP BY ALL),
+f AS (SELECT name, entity, min(event_id) AS seq, arg_min(coalesce(unit, '-'), event_id) AS unit FROM e WHERE NOT old AND v IS NOT NULL GROUP BY ALL)
+SELECT e.event_id, e.name, e.entity, CASE WHEN v IS NULL THEN 'rejected' WHEN coalesce(e.unit, '-') <> coalesce(k.unit, f.unit) THEN 'conflict' WHEN k.unit IS NULL AND e.event_id = f.seq THEN 'inserted' ELSE 'updated' END AS outcome
+FROM e LEFT JOIN k USING (name, entity) LEFT JOIN f USING (name, entity) WHERE NOT old""")
+def series_append(spark, sf_dir):
+    ev, i = table(spark, sf_dir, "events"), F.col("event_id")
+    unit = F.when(i % 11 == 5, "rows").when(i % 13 > 0, "ms")
+    old = (F.col("user_id") % 3 == 0) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp"))
+    rows = ev.select(F.lit("x").alias("incident_id"), F.col("event_type").alias("name"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("entity"), unit.alias("unit"), F.col("ts").alias("t"), F.when(i % 17 > 0, F.col("value")).alias("v"), i.alias("seq"), old.alias("_old"))
+    described = rows.where("_old").select("incident_id", "name", "entity", F.lit("ms").alias("unit")).distinct()
+    return series.append(described, rows.where("not _old").drop("_old")).select(F.col("seq").alias("event_id"), "name", "entity", "outcome")

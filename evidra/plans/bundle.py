@@ -190,11 +190,20 @@ def resolve_relationships(i: Incidents, found: DataFrame) -> DataFrame:
     return entities.edge_confidence(merged.unionByName(shared), found, BY)
 
 
-def service_points(i: Incidents) -> DataFrame:
-    """The points of all series, those of an instance under its service where that is ambiguous or rolled out; the maximum of a time counts."""
+def services_of_instances(i: Incidents) -> DataFrame:
+    """(incident_id, instance, service) where a service is ambiguous or rolled out."""
     r = resource_entities(i).where("instance is not null and role is not null and role <> 'unresolved'")
-    mapping = r.groupBy("incident_id", F.concat(F.lit("instance:"), "instance").alias("instance")).agg(F.min_by("entity", "seq").alias("service"))
-    p = i.points.join(mapping.withColumnRenamed("instance", "entity"), ["incident_id", "entity"], "left").withColumn("entity", F.coalesce("service", "entity"))
+    return r.groupBy("incident_id", F.concat(F.lit("instance:"), "instance").alias("instance")).agg(F.min_by("entity", "seq").alias("service"))
+
+
+def series_identities(i: Incidents) -> DataFrame:
+    """What each series of the plan is made of: see :func:`series.identities`."""
+    return series.identities(i.points, services_of_instances(i), i.series_gaps)
+
+
+def service_points(i: Incidents) -> DataFrame:
+    """The points of all series, those of an instance under its service; the maximum of a time counts."""
+    p = i.points.join(services_of_instances(i).withColumnRenamed("instance", "entity"), ["incident_id", "entity"], "left").withColumn("entity", F.coalesce("service", "entity"))
     return series.merge_max(p.select(*i.points.columns))
 
 
@@ -202,7 +211,8 @@ def derive(i: Incidents) -> Derived:
     """All derived tables; entities and relationships are resolved once."""
     ents = cut(resolve_entities(i))
     edges = cut(resolve_relationships(i, ents))
-    w = series.class_windows(cut(service_points(i)), i.manifests, i.changes, i.series_gaps)
+    holes = series_identities(i).where("gap is not null").select(*series.SERIES, "gap.*")
+    w = series.class_windows(cut(service_points(i)), i.manifests, i.changes, holes)
     w = cut(store.numbered(w, ["incident_id"], ["start", "entity", "name"], "id", "aw-%d"))
     patterns = cut(logs.log_patterns(i.logs))
     events = timeline.window_events(w, edges).unionByName(timeline.change_events(i.changes, w)).unionByName(timeline.recovery_events(w)).unionByName(timeline.gap_events(i.gaps)).unionByName(timeline.error_log_events(i.logs))
@@ -225,8 +235,10 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     """The eight generators in their fixed order, numbered per incident; a candidate whose references all miss is dropped."""
     c, n = F.col, F.lit(None)
     w = d.windows
+    made_of = cut(series_identities(i).select(*series.SERIES, F.col("refs").alias("_refs")))
+    stored = F.coalesce("_refs", F.array(F.concat_ws("@", "name", "entity")))
     rows = [
-        _candidate(w, "metric_anomaly", "metric_anomaly", "supports", F.concat_ws(" ", c("name"), F.lit("departs from its baseline on"), c("entity")), F.array("entity"), F.array(F.concat_ws("@", "name", "entity"), "id"), c("start"), c("end"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), detector=c("detector_confidence"), magnitude=c("magnitude"), coverage=F.lit(1.0), note=c("note"), has_window=c("start").isNotNull() & c("end").isNotNull(), signal=c("name")),
+        _candidate(w.join(made_of, series.SERIES, "left"), "metric_anomaly", "metric_anomaly", "supports", F.concat_ws(" ", c("name"), F.lit("departs from its baseline on"), c("entity")), F.array("entity"), F.concat(stored, F.array("id")), c("start"), c("end"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), detector=c("detector_confidence"), magnitude=c("magnitude"), coverage=F.lit(1.0), note=c("note"), has_window=c("start").isNotNull() & c("end").isNotNull(), signal=c("name")),
         _candidate(d.patterns, "log_pattern", "log_cluster", "supports", F.concat_ws(" ", c("count").cast("string"), F.lit("logs like:"), c("template")), F.array("entity"), F.concat(F.array("id"), c("exemplars")), c("first_seen"), c("last_seen"), F.format_string("%010d", F.substring("id", 4, 9).cast("int")), severity_score=scores.severity_strength(c("severity")), volume=F.greatest(F.lit(0.3), F.least(F.lit(1.0), c("count") / 3)), exemplar_quality=F.lit(1.0), signal=F.lit("log")),
     ]
     marker = d.timeline.groupBy("incident_id", F.col("source_ref").alias("change_id")).agg(F.min_by("marker", "position").alias("marker"))
@@ -245,7 +257,7 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
     onset = w.groupBy("incident_id").agg(F.min("start").alias("onset"))
     bounds = onset.join(i.manifests.select("incident_id", F.col("start").alias("healthy_start"), F.col("end").alias("anomalous_end")), "incident_id").select("incident_id", "healthy_start", (F.col("onset") - F.expr("INTERVAL 1 MINUTE")).alias("healthy_end"), (F.col("onset") + F.expr("INTERVAL 1 MINUTE")).alias("anomalous_start"), "anomalous_end")
     flat = series.compare_windows(service_points(i), bounds).where("is_counter").join(w.select("incident_id", "name", "entity"), ["incident_id", "name", "entity"], "left_anti")
-    rows.append(_candidate(flat, "counter_evidence", "counter_evidence", "weakens", F.concat_ws(" ", c("name"), F.lit("hardly moved on"), c("entity")), F.array("entity"), F.array(F.concat_ws("@", "name", "entity")), n, n, F.concat_ws("@", "name", "entity"), note=F.coalesce("note", F.lit("counter")), signal=F.lit("metric")))
+    rows.append(_candidate(flat.join(made_of, series.SERIES, "left"), "counter_evidence", "counter_evidence", "weakens", F.concat_ws(" ", c("name"), F.lit("hardly moved on"), c("entity")), F.array("entity"), stored, n, n, F.concat_ws("@", "name", "entity"), note=F.coalesce("note", F.lit("counter")), signal=F.lit("metric")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

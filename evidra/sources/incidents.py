@@ -6,9 +6,10 @@ results, where a corpus has them, are never read here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text, times
@@ -79,8 +80,8 @@ def typed(manifests: DataFrame, inputs: DataFrame) -> Incidents:
     )
     mt = rows("metrics")
     p = mt.select("incident_id", "seq", F.col("x.name").alias("name"), F.col("x.entity").alias("entity"), F.col("x.unit").alias("unit"), F.posexplode("x.points").alias("i", "p"))
-    points = p.select("incident_id", "name", "entity", "unit", times.parse(F.col("p.t")).alias("t"), F.col("p.v").alias("v"), (F.col("seq") * 1_000_000 + F.col("i")).cast("long").alias("ord")).where("t is not null and v is not null")
-    sg = mt.where("x._gap is not null").select("incident_id", F.col("x.name").alias("name"), F.col("x.entity").alias("entity"), times.parse(F.col("x._gap.start")).alias("start"), times.parse(F.col("x._gap.end")).alias("end"), F.col("x._gap.ref").alias("gap_id"))
+    points = p.select("incident_id", "name", "entity", "unit", times.parse(F.col("p.t")).alias("t"), F.col("p.v").alias("v"), (F.col("seq") * 1_000_000 + F.col("i")).cast("long").alias("ord"))
+    sg = mt.where("x._gap is not null").select("incident_id", "seq", F.col("x.name").alias("name"), F.col("x.entity").alias("entity"), times.parse(F.col("x._gap.start")).alias("start"), times.parse(F.col("x._gap.end")).alias("end"), F.col("x._gap.ref").alias("gap_id"))
     logs = rows("logs").select("incident_id", "seq", F.col("x.id").alias("log_id"), times.parse(F.col("x.t")).alias("t"), F.col("x.entity").alias("entity"), F.col("x.severity").alias("severity"), F.col("x.body").alias("body"))
     ch = rows("changes").select("incident_id", "seq", F.col("x.id").alias("change_id"), times.parse(F.col("x.t")).alias("t"), F.col("x.kind").alias("kind"), F.col("x.entity").alias("entity"), F.col("x.summary").alias("summary"))
     pr = rows("prior_incidents").select("incident_id", "seq", F.col("x.id").alias("prior_id"), times.parse(F.col("x.first_seen")).alias("first_seen"), F.col("x.signature.primary_entity").alias("primary_entity"), F.col("x.signature.symptom").alias("symptom"), F.col("x.signature.trigger").alias("trigger"))
@@ -88,7 +89,7 @@ def typed(manifests: DataFrame, inputs: DataFrame) -> Incidents:
     g = rows("telemetry_gaps").select("incident_id", "seq", F.col("x.id").alias("gap_id"), times.parse(F.col("x.start")).alias("start"), times.parse(F.col("x.end")).alias("end"), entity.alias("entity"), F.when(F.size("x.affected_entities") > 0, F.col("x.affected_entities")).otherwise(F.array(F.lit("unknown"))).alias("entities"), F.col("x.affected_signals").alias("signals"), F.col("x.cause").alias("cause"))
     # Rows that lack what identifies or places them are dropped.
     need = lambda df, *c: df.where(" and ".join(f"{x} is not null" for x in c))
-    return Incidents(m, need(r, "resource_id"), need(s, "span_id", "resource_id"), need(traces, "trace_id"), points, sg, need(logs, "log_id", "t", "body").withColumn("severity", F.coalesce(text.blank_to_null(F.col("severity")), F.lit("INFO"))), need(ch, "change_id", "t", "entity"), need(pr, "prior_id"), need(g, "gap_id", "start"))
+    return Incidents(m, need(r, "resource_id"), need(s, "span_id", "resource_id"), need(traces, "trace_id"), need(points, "name", "entity", "t", "v"), need(sg, "name", "entity"), need(logs, "log_id", "t", "body").withColumn("severity", F.coalesce(text.blank_to_null(F.col("severity")), F.lit("INFO"))), need(ch, "change_id", "t", "entity"), need(pr, "prior_id"), need(g, "gap_id", "start"))
 
 
 def files(spark: SparkSession, folder: str, name: str, shape: str) -> DataFrame:
@@ -105,24 +106,41 @@ def read(spark: SparkSession, folder: str) -> Incidents:
     return typed(manifests.where("_bad is null").drop("_bad", "incident_id"), inputs.join(good, "incident_id").drop("_bad"))
 
 
-#: What a row of each kind must have to be named and placed.
+#: What a row of each kind must have to be named and placed; rows within rows after a dot.
 NEEDED = {
-    "resources": ("id",), "traces": ("trace_id",), "logs": ("id", "t", "body"), "changes": ("id", "t", "entity"), "prior_incidents": ("id",), "telemetry_gaps": ("id", "start"),
+    "resources": ("id",), "traces": ("trace_id",), "traces.spans": ("span_id", "resource"), "metrics": ("name", "entity"), "metrics.points": ("t", "v"), "logs": ("id", "t", "body"), "changes": ("id", "t", "entity"),
+    "prior_incidents": ("id",), "telemetry_gaps": ("id", "start"),
 }
+TIMES = ("t", "start")  #: of these, what must be a time
+_PROBLEMS = "array<struct<place:string,problem:string>>"
+
+
+def _lacking(x: Column, at: Column, names: tuple[str, ...]) -> Column:
+    """What a row lacks, with its place; a time that cannot be read is lacking."""
+    given = lambda n: times.parse(x[n]) if n in TIMES else x[n]
+    return F.array_compact(F.array(*(F.when(given(n).isNull(), F.struct(at.alias("place"), F.lit(n).alias("problem"))) for n in names)))
+
+
+def _each(rows: Column, at: Column, found: Callable[[Column, Column], Column]) -> Column:
+    """What ``found`` says of every row of an array, given the row and its place."""
+    own = F.flatten(F.transform(rows, lambda x, k: found(x, F.concat(at, F.lit("["), k.cast("string"), F.lit("]")))))
+    return F.coalesce(own, F.array().cast(_PROBLEMS))
+
+
+def _problems(kind: str, names: tuple[str, ...]) -> Column:
+    outer, _, inner = kind.partition(".")
+    if not inner:
+        return _each(F.col(outer), F.lit(outer), lambda x, at: _lacking(x, at, names))
+    return _each(F.col(outer), F.lit(outer), lambda x, at: _each(x[inner], F.concat(at, F.lit(f".{inner}")), lambda y, where: _lacking(y, where, names)))
 
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
-    """(incident_id, place, problem): files that are no JSON, and rows that lack what they need and so stay out of the tables."""
+    """(incident_id, place, problem): files that are no JSON, and rows that lack what they need and so stay out of the tables.
+
+    All kinds are looked at in one pass over the files.
+    """
     inputs = files(spark, folder, "input.json", INPUT)
-    bad = [
-        df.where("_bad is not null").select("incident_id", F.lit(name).alias("place"), F.lit("malformed").alias("problem"))
-        for name, df in (("scenario.json", files(spark, folder, "scenario.json", MANIFEST)), ("input.json", inputs))
-    ]
-    out = bad[0].unionByName(bad[1])
-    good = inputs.where("_bad is null")
-    for kind, names in NEEDED.items():
-        rows = good.select("incident_id", F.posexplode(kind).alias("i", "x"))
-        lacking = F.array_compact(F.array(*(F.when(F.col(f"x.{n}").isNull(), F.lit(n)) for n in names)))
-        place = F.format_string(f"{kind}[%d]", "i")
-        out = out.unionByName(rows.select("incident_id", place.alias("place"), F.explode(lacking).alias("problem")))
-    return out
+    malformed = lambda name: F.array(F.struct(F.lit(name).alias("place"), F.lit("malformed").alias("problem")))
+    scenarios = files(spark, folder, "scenario.json", MANIFEST).where("_bad is not null").select("incident_id", F.inline(malformed("scenario.json")))
+    found = F.when(F.col("_bad").isNotNull(), malformed("input.json")).otherwise(F.concat(*(_problems(kind, names) for kind, names in NEEDED.items())))
+    return scenarios.unionByName(inputs.select("incident_id", F.inline(found)))

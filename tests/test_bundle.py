@@ -139,6 +139,11 @@ def test_read_files_and_issues(spark, tmp_path):
     manifest = {"id": "one", "failure_class": "deploy", "question": "why", "capabilities": [], "time_window": {"start": "2026-03-01T10:00:00Z", "end": "2026-03-01T10:10:00Z"}}
     lacking = case("one")
     lacking["logs"].append({"id": "log-9", "t": None, "entity": "service:pay", "severity": "INFO", "body": None, "attributes": {}})
+    lacking["logs"].append({"id": "log-10", "t": "soon", "entity": "service:pay", "severity": "INFO", "body": "x", "attributes": {}})
+    lacking["traces"][0]["spans"].append({"span_id": None, "resource": "r-pay"})
+    lacking["traces"].append({"trace_id": "t-2", "spans": [{"span_id": "z", "name": "no resource"}]})
+    lacking["metrics"].append({"name": "queue.depth", "entity": None, "points": []})
+    lacking["metrics"][0]["points"].append({"t": "2026-03-01T10:30:00Z", "v": None})
     for name, scenario, given in (("one", json.dumps(manifest), json.dumps(lacking)), ("bad", json.dumps(manifest | {"id": "bad"}), "{no json"), ("worse", "[", json.dumps(case("worse")))):
         (tmp_path / name).mkdir()
         (tmp_path / name / "scenario.json").write_text(scenario)
@@ -146,7 +151,7 @@ def test_read_files_and_issues(spark, tmp_path):
     i = src.read(spark, str(tmp_path))
     assert {r.incident_id for r in i.logs.collect()} == {"one"} and i.logs.count() == 3
     got = {(r.incident_id, r.place, r.problem) for r in src.issues(spark, str(tmp_path)).collect()}
-    assert got == {("one", "logs[3]", "t"), ("one", "logs[3]", "body"), ("bad", "input.json", "malformed"), ("worse", "scenario.json", "malformed")}
+    assert got == {("one", "logs[3]", "t"), ("one", "logs[3]", "body"), ("one", "logs[4]", "t"), ("one", "traces[0].spans[3]", "span_id"), ("one", "traces[1].spans[0]", "resource"), ("one", "metrics[3]", "entity"), ("one", "metrics[0].points[10]", "v"), ("bad", "input.json", "malformed"), ("worse", "scenario.json", "malformed")}
 
 
 def test_children_roll_up_and_flows(spark):
@@ -205,3 +210,25 @@ def test_entities_and_edges(spark):
         ("service:report", "writes-to", db): (0.95, None), (api, "shares-resource-with", "service:job"): (0.8, None), ("service:shop-ui", "calls", "service:job"): (0.98, None),
     }
     assert edges == want
+
+
+def test_series_of_instances(spark):
+    at = lambda m: F.to_timestamp(F.lit(f"2026-03-01 10:{m:02d}:00"))
+    one = lambda entity, unit, ord_, m: spark.range(1).select(F.lit("i").alias("incident_id"), F.lit("n").alias("name"), F.lit(entity).alias("entity"), at(m).alias("t"), F.lit(1.0).alias("v"), F.lit(ord_).cast("long").alias("ord"), F.lit(unit).cast("string").alias("unit"))
+    points = one("instance:b", None, 5, 3).unionByName(one("instance:a", "ms", 7, 1)).unionByName(one("instance:b", "s", 9, 9)).unionByName(one("db:x", None, 1, 1))
+    mapping = spark.createDataFrame([("i", "instance:a", "service:s"), ("i", "instance:b", "service:s"), ("j", "instance:a", "service:t")], "incident_id string, instance string, service string")
+    holes = spark.range(2).select(F.lit("i").alias("incident_id"), F.lit("n").alias("name"), F.when(F.col("id") == 0, "instance:a").otherwise("instance:b").alias("entity"), at(1).alias("start"), at(2).alias("end"), F.concat(F.lit("g"), "id").alias("gap_id"), (9 - F.col("id")).alias("seq"))
+    got = {r.entity: r for r in bundle.series.identities(points, mapping, holes).collect()}
+    s, x = got["service:s"], got["db:x"]
+    assert (s.refs, s.unit, s.units_differ, s.n_points, s.input_order, s.gap.gap_id) == (["n@instance:b", "n@instance:a"], "ms", True, 3, 5, "g1")
+    assert (x.refs, x.unit, x.units_differ, x.gap) == (["n@db:x"], None, False, None)
+    assert bundle.series.identities(points.limit(0), mapping, holes).count() == 0
+
+
+def test_append_outcomes(spark):
+    row = lambda seq, entity, unit, v=1.0: ("i", "n", entity, unit, "2026-03-01 10:00:00", v, seq)
+    points = spark.createDataFrame([row(1, "new", None), row(2, "new", None), row(2, "new", "ms"), row(3, "known", "ms"), row(4, "known", "s"), row(5, None, "ms"), row(6, "bare", "ms", None), row(7, "bare", "s")], "incident_id string, name string, entity string, unit string, t string, v double, seq long")
+    described = spark.createDataFrame([("i", "n", "known", "ms")], "incident_id string, name string, entity string, unit string")
+    got = sorted((r.seq, r.outcome) for r in bundle.series.append(described, points).collect())
+    assert got == [(1, "inserted"), (2, "conflict"), (2, "updated"), (3, "updated"), (4, "conflict"), (5, "rejected"), (6, "rejected"), (7, "inserted")]
+    assert {r.outcome for r in bundle.series.append(described.limit(0), points.where("entity = 'known'")).collect()} == {"inserted", "conflict"}
