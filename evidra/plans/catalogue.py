@@ -424,4 +424,4 @@ def damped_edges(spark, sf_dir):
     return entities.edge_confidence(edges, ent).select(F.col("c_custkey").alias("id"), F.round("confidence", 6).alias("confidence"))
 
 
-from evidra.plans import answers as _answers, context as _context, more as _more  # noqa: E402,F401  register the rest
+from evidra.plans import answers as _answers, context as _context, more as _more, whole as _whole  # noqa: E402,F401  register the rest
