@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from evidra.operators import series
+from evidra.operators import evidence, logs, series, store, timeline
 from evidra.plans import bundle
 from evidra.plans.catalogue import _s, _t, query
 from evidra.plans.lineage import cut
@@ -40,6 +42,12 @@ each_one AS (SELECT inc, entity AS id, CASE WHEN store THEN 'dependency' ELSE 's
 ents AS (SELECT inc AS incident_id, id, arg_min(kind, place) AS kind, max(sure)::DOUBLE AS confidence, count(DISTINCT source) AS n_sources FROM each_one GROUP BY 1, 2)"""
 
 
+def _incidents(spark, sf_dir):
+    """The incidents with the tables that many steps read computed once, as a deployment reads them from storage."""
+    i = adapters.incident_tables(spark, sf_dir)
+    return replace(i, resources=cut(i.resources), spans=cut(i.spans), points=cut(i.points), changes=cut(i.changes))
+
+
 def _entities(i):
     return cut(bundle.resolve_entities(i))
 
@@ -56,7 +64,7 @@ def resources_as_entities(spark, sf_dir):
 
 @query(f"WITH {_ENTITIES} SELECT incident_id, kind, count(*) AS n_entities FROM ents WHERE incident_id <> 'r1' GROUP BY 1, 2")
 def entities_where_declared(spark, sf_dir):
-    i = adapters.incident_tables(spark, sf_dir)
+    i = _incidents(spark, sf_dir)
     ents = _entities(i)
     found = bundle.derived_for(i, "resolve_entities", bundle.Derived(ents, *[ents.limit(0)] * 5))
     return found.groupBy("incident_id", "kind").agg(F.count("*").alias("n_entities"))
@@ -89,7 +97,7 @@ edges AS (SELECT e.inc AS incident_id, src, type, dst, CASE WHEN coalesce(a.conf
 
 @query(f"WITH RECURSIVE {_EDGES} SELECT incident_id, src, type, dst, round(confidence, 6) AS confidence, n_evidence FROM edges")
 def incident_relationships(spark, sf_dir):
-    i = adapters.incident_tables(spark, sf_dir)
+    i = _incidents(spark, sf_dir)
     return bundle.resolve_relationships(i, _entities(i)).select("incident_id", "src", "type", "dst", F.round("confidence", 6).alias("confidence"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
@@ -131,7 +139,7 @@ def incident_windows(spark, sf_dir):
 SELECT kind, inserted, refused::BIGINT AS refused FROM n WHERE inserted > 0""")
 def derived_written_back(spark, sf_dir):
     # Log patterns are told apart by who logged, so that most of them are refused.
-    i = adapters.incident_tables(spark, sf_dir)
+    i = _incidents(spark, sf_dir)
     ents, w = _entities(i), cut(_windows(i).withColumn("id", F.col("entity")))
     timeline = i.changes.select("incident_id", "t", F.lit("change").alias("marker"), "entity", F.col("change_id").alias("source_ref"))
     d = bundle.Derived(ents, bundle.resolve_relationships(i, ents), w, i.logs.select("incident_id", F.col("entity").alias("id")), timeline, w.select("incident_id", F.lit("all").alias("seed"), F.lit("same").alias("relation"), "id"))
@@ -153,3 +161,46 @@ def otlp_envelopes(spark, sf_dir):
     bodies = [f"{{{spans}}}", f"{{{metrics}}}", f"{{{spans}, {logs}}}", "{}", '{"resourceProfiles": []}']
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.get(F.array(*map(F.lit, bodies)), (F.col("c_custkey") % 5).cast("int")).alias("json"))
     return otlp.ingest(docs).issues.select("doc", "place", "problem", "signal")
+
+
+# --- candidates ---------------------------------------------------------------
+
+_PLACED = ", ".join(f"'{x}'" for x in evidence.SOURCES)
+_CANDIDATES = f"""{_EDGES}, {_WINDOWS.replace(_EVENTS + ", ", "", 1)},
+begun AS (SELECT incident_id, min(start) AS onset FROM class_win GROUP BY 1),
+signed AS (SELECT ev.inc, ev.entity, coalesce(ev.ts > onset AND c.entity IS NULL, false) AS late FROM ev LEFT JOIN begun b ON b.incident_id = ev.inc LEFT JOIN class_win c ON c.incident_id = ev.inc AND c.entity = ev.entity WHERE event_type = 'signup'),
+trips AS (SELECT 'r' || CAST(o % 5 AS VARCHAR) AS inc, o, count(DISTINCT sp.entity) AS n FROM line LEFT JOIN sp USING (o, n) GROUP BY 1, 2),
+seen AS (SELECT p.inc, p.entity, any_value(onset) AS onset, coalesce(max_by(v, t) FILTER (t <= onset - INTERVAL 1 MINUTE AND t >= TIMESTAMP '{CASE_START}'), max_by(v, t) FILTER (t <= onset - INTERVAL 1 MINUTE)) AS x,
+  coalesce(max_by(v, t) FILTER (t BETWEEN onset + INTERVAL 1 MINUTE AND TIMESTAMP '{CASE_END}'), max_by(v, t) FILTER (t <= TIMESTAMP '{CASE_END}')) AS y FROM pts p JOIN begun b ON b.incident_id = p.inc GROUP BY 1, 2),
+cand AS (
+  SELECT incident_id, 'metric_anomaly' AS source, CASE WHEN sure < 0.40 THEN 'counter_evidence' ELSE 'metric_anomaly' END AS kind, CASE WHEN sure < 0.40 THEN 'weakens' ELSE 'supports' END AS direction, 1 AS n_entities, 2 AS n_refs, sure * 0.35 + m / (m + 1) * 0.25 + 0.40 AS strength FROM class_win
+  UNION ALL SELECT inc, 'log_pattern', 'log_cluster', 'supports', 1, CASE WHEN count(*) >= 3 THEN 3 ELSE 2 END, 0.95 * 0.35 + greatest(0.3, least(1.0, count(*) / 3.0)) * 0.25 + 0.40 FROM ev WHERE event_type = 'error' GROUP BY inc, person
+  UNION ALL SELECT inc, 'change_event', 'change_event', CASE WHEN late THEN 'weakens' ELSE 'supports' END, 1, 1, 0.95 * 0.45 + 0.40 + CASE WHEN late THEN 0.90 ELSE 0.75 END * 0.15 FROM signed
+  UNION ALL SELECT inc, 'trace_exemplar', 'trace_exemplar', 'supports', n, 1, 0.65 * 0.40 + greatest(0.45, least(1.0, n / 3.0)) * 0.30 + 0.30 FROM trips
+  UNION ALL SELECT incident_id, 'dependency_edge', 'dependency_edge', 'neutral', 2, n_evidence, confidence * 0.70 + 0.30 FROM edges WHERE type IN ('calls', 'reads-from', 'writes-to', 'depends-on', 'retries')
+  UNION ALL SELECT 'r' || CAST(n_nationkey % 5 AS VARCHAR), 'previous_incident', 'previous_incident', 'neutral', 1, 1, 0.70 * 0.45 + 0.85 * 0.25 + 0.30 FROM nation
+  UNION ALL SELECT 'r1', 'missing_data', 'missing_data', 'neutral', 3, 2, 0.90 * 0.45 + 0.80 * 0.25 + 0.5 * 0.30 FROM region WHERE r_regionkey = 1
+  UNION ALL SELECT s.inc, 'counter_evidence', 'counter_evidence', 'weakens', 1, 1, 0.90 * 0.65 + 0.35 FROM seen s ANTI JOIN class_win w ON w.incident_id = s.inc AND w.entity = s.entity
+    WHERE x IS NOT NULL AND y IS NOT NULL AND (abs(y - x) <= 0.05 * greatest(abs(x), 1e-9) OR (x <> 0 AND y / x <= 1.20) OR abs(y - x) <= 0.1 * greatest(abs(x), 1.0)))"""
+
+
+def _candidates(spark, sf_dir):
+    i = _incidents(spark, sf_dir)
+    ents = _entities(i)
+    w = cut(store.numbered(_windows(i), ["incident_id"], ["start", "entity", "name"], "id", "aw-%d"))
+    events = cut(timeline.ordered(timeline.change_events(i.changes, w)))
+    d = bundle.Derived(ents, cut(bundle.resolve_relationships(i, ents)), w, cut(logs.log_patterns(i.logs)), events, timeline.related(w, ents.limit(0).select("incident_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.col("kind").alias("type")), w))
+    return bundle.candidates(i, d)
+
+
+@query(f"WITH RECURSIVE {_CANDIDATES} SELECT incident_id, source, kind, direction, n_entities::BIGINT AS n_entities, n_refs::BIGINT AS n_refs, round(strength, 6)::DOUBLE AS strength FROM cand")
+def incident_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("incident_id", "source", "kind", "direction", F.col("n_entities").cast("long").alias("n_entities"), "n_refs", F.round("strength", 6).alias("strength"))
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, n AS (SELECT incident_id, source, list_position([{_PLACED}], source) AS place, count(*) AS n FROM cand GROUP BY 1, 2),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY incident_id ORDER BY place) AS last FROM n) SELECT incident_id, source, (last - n + 1)::BIGINT AS first_number, last::BIGINT AS last_number FROM upto""")
+def candidate_numbers(spark, sf_dir):
+    """The generators stand one after the other in a fixed order, without holes."""
+    number = F.regexp_extract("candidate_id", "([0-9]+)$", 1).cast("long")
+    return _candidates(spark, sf_dir).groupBy("incident_id", "source").agg(F.min(number).alias("first_number"), F.max(number).alias("last_number"))
