@@ -271,12 +271,28 @@ def candidates(i: Incidents, d: Derived) -> DataFrame:
 
 @dataclass
 class Bundle:
-    """The answer: selected and dropped items, ranked causes, next checks."""
+    """The answer: selected and dropped items, ranked causes, next checks, and what was asked and spent."""
 
     items: DataFrame
     dropped: DataFrame
     causes: DataFrame
     checks: DataFrame
+    header: DataFrame
+
+
+def headers(i: Incidents, query: EvidenceQuery, picked: DataFrame) -> DataFrame:
+    """(incident_id, question, hypothesis, start, end, max_items, max_tokens, tokens_used, items_dropped), a row for every incident asked about.
+
+    A query without question and hypothesis asks each incident's own question; without a window it asks of the incident's.
+    """
+    own = query.question is None and query.hypothesis is None
+    at = lambda given, c: F.to_timestamp(F.lit(given)) if given else F.col(c)
+    spent = picked.groupBy("incident_id").agg(F.sum(F.when(F.col("selected"), F.col("token_cost"))).alias("_used"), F.count_if(~F.col("selected")).alias("_dropped"))
+    zero = F.lit(0).cast("long")
+    return i.manifests.join(spent, "incident_id", "left").select(
+        "incident_id", (F.col("question") if own else F.lit(query.question).cast("string")).alias("question"), F.lit(query.hypothesis).cast("string").alias("hypothesis"), at(query.start, "start").alias("start"), at(query.end, "end").alias("end"),
+        F.lit(query.max_items).alias("max_items"), F.lit(query.max_tokens).alias("max_tokens"), F.coalesce(F.col("_used").cast("long"), zero).alias("tokens_used"), F.coalesce("_dropped", zero).alias("items_dropped"),
+    )
 
 
 def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d: Derived | None = None) -> Bundle:
@@ -308,7 +324,7 @@ def get_evidence_bundle(i: Incidents, query: EvidenceQuery = EvidenceQuery(), d:
     if query.require_raw_refs and (bare := chosen.where(F.size("refs") == 0).first()):
         raise QueryError("unsatisfied_requirement", f"raw_refs: {bare.id} of {bare.incident_id} has none")
     dropped = picked.where("not selected").select("incident_id", "candidate_id", "claim", "strength", "token_cost", F.coalesce("reason", F.lit("lower_priority")).alias("reason"))
-    return Bundle(chosen, dropped, evidence.linked(causes, chosen), evidence.next_checks(evidence.suggest(chosen, causes)))
+    return Bundle(chosen, dropped, evidence.linked(causes, chosen), evidence.next_checks(evidence.suggest(chosen, causes)), headers(i, query, picked))
 
 
 def answer_questions(i: Incidents, d: Derived, questions: DataFrame) -> tuple[DataFrame, DataFrame]:

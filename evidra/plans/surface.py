@@ -24,7 +24,7 @@ _WORD, _SIZE = {"type": "string", "minLength": 1}, {"type": "integer", "minimum"
 QUERY_SCHEMA = {
     "$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "additionalProperties": False, "required": ["folder"],
     "properties": {
-        "folder": _WORD, "scenario_id": _WORD, "question": _WORD, "hypothesis": _WORD, "start": {"type": "string", "format": "date-time"}, "end": {"type": "string", "format": "date-time"},
+        "folder": _WORD, "intent": {"type": "object", "additionalProperties": False, "minProperties": 1, "properties": {"question": _WORD, "hypothesis": _WORD}}, "scenario_id": _WORD, "question": _WORD, "hypothesis": _WORD, "start": {"type": "string", "format": "date-time"}, "end": {"type": "string", "format": "date-time"},
         "entities": {"type": "array", "items": _WORD}, "max_items": {"type": "integer", "minimum": 1}, "max_tokens": {"type": "integer", "minimum": 1}, "reserve_tokens": _SIZE, "min_counter_evidence_items": _SIZE,
         "require_counter_evidence": {"type": "boolean"}, "require_raw_refs": {"type": "boolean"}, "freshness": {"type": "string", "enum": list(bundle.FRESHNESS)}, "privacy_scope": _WORD,
     },
@@ -56,13 +56,15 @@ def write_schemas(folder: str, **frames: DataFrame) -> list[str]:
 
 
 def bundle_json(b: bundle.Bundle) -> DataFrame:
-    """(incident_id, json): an incident's items, causes and checks as one compact JSON text."""
+    """(incident_id, json): what was asked of an incident, its items, causes and checks as one compact JSON text."""
     item = F.struct("id", "claim", "kind", "direction", F.round("strength", 6).alias("strength"), F.struct("start", "end").alias("time_window"), "entities", F.col("refs").alias("source_refs"), "token_cost", "note")
     items = b.items.groupBy("incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("x")))), lambda r: r["x"]).alias("items"))
     causes = b.causes.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity", F.round("score", 6).alias("score"), "supporting", "counters", "reasons", "is_trap"))).alias("suspected_causes"))
     checks = b.checks.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("rank", "action", "rationale", "expected_signal"))).alias("next_checks"))
-    j = items.join(causes, "incident_id", "left").join(checks, "incident_id", "left")
-    return j.select("incident_id", F.to_json(F.struct("incident_id", "items", "suspected_causes", "next_checks")).alias("json"))
+    budget = F.struct("max_items", "max_tokens", "tokens_used", "items_dropped").alias("budget")
+    head = b.header.select("incident_id", "question", "hypothesis", F.struct("start", "end").alias("time_window"), budget)
+    j = items.join(head, "incident_id").join(causes, "incident_id", "left").join(checks, "incident_id", "left")
+    return j.select("incident_id", F.to_json(F.struct("incident_id", "question", "hypothesis", "time_window", "budget", "items", "suspected_causes", "next_checks")).alias("json"))
 
 
 def replay_lines(plan: DataFrame) -> DataFrame:
@@ -80,11 +82,23 @@ def summary_text(counters: Iterable) -> str:
     return "".join(f"{r.signal}: {r.accepted} accepted, {r.rejected} rejected\n" for r in sorted(counters))
 
 
+def _with_intent(arguments: dict) -> dict:
+    """``arguments`` with the parts of their intent: a question, a hypothesis or both, and said once."""
+    if "intent" not in arguments:
+        return arguments
+    intent, rest = arguments["intent"], {k: v for k, v in arguments.items() if k != "intent"}
+    known = QUERY_SCHEMA["properties"]["intent"]["properties"]
+    if not isinstance(intent, dict) or not intent or set(intent) - set(known) or set(intent) & set(rest):
+        raise bundle.QueryError("invalid_arguments", "intent must be an object with a question, a hypothesis or both, given once")
+    return rest | intent
+
+
 def answer(spark: SparkSession, arguments: dict) -> list[dict]:
     """The tool's result; raises :class:`evidra.plans.bundle.QueryError` with a code a caller can act on."""
     extra = set(arguments) - set(QUERY_SCHEMA["properties"])
     if extra or not isinstance(arguments.get("folder"), str) or not arguments["folder"].strip():
         raise bundle.QueryError("invalid_arguments", f"unknown or missing arguments: {sorted(extra) or ['folder']}")
+    arguments = _with_intent(arguments)
     kinds = {"integer": int, "boolean": bool, "string": str, "array": list}
     for name, value in arguments.items():
         want = kinds[QUERY_SCHEMA["properties"][name]["type"]]

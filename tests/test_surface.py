@@ -25,7 +25,7 @@ def test_protocol():
 
 
 def test_argument_errors(spark):
-    for bad in ({}, {"folder": "x", "more": 1}, {"folder": "x", "max_items": "3"}, {"folder": "x", "max_items": 0}):
+    for bad in ({}, {"folder": "x", "more": 1}, {"folder": "x", "max_items": "3"}, {"folder": "x", "max_items": 0}, {"folder": "x", "intent": {}}, {"folder": "x", "intent": "why"}, {"folder": "x", "intent": {"question": " "}}, {"folder": "x", "intent": {"question": 3}}, {"folder": "x", "intent": {"goal": "y"}}, {"folder": "x", "question": "a", "intent": {"question": "b"}}):
         r = ask(lambda a: surface.answer(spark, a), method="tools/call", params={"name": surface.TOOL, "arguments": bad})
         assert r["result"]["isError"] and r["result"]["structuredContent"]["code"] == "invalid_arguments"
     with pytest.raises(bundle.QueryError) as e:
@@ -60,10 +60,14 @@ def test_serve_a_folder(spark, tmp_path):
     (tmp_path / "one" / "input.json").write_text(json.dumps(case("one")))
     call = lambda k, **a: json.dumps({"jsonrpc": "2.0", "id": k, "method": "tools/call", "params": {"name": surface.TOOL, "arguments": {"folder": str(tmp_path)} | a}})
     out = io.StringIO()
-    surface.serve(spark, [call(1, scenario_id="one", entities=["service:pay"], max_items=4), "\n", call(2, scenario_id="two"), call(3, entities=[1])], out)
-    good, missing, wrong = map(json.loads, out.getvalue().splitlines())
+    surface.serve(spark, [call(1, scenario_id="one", entities=["service:pay"], max_items=4), "\n", call(2, scenario_id="two"), call(3, entities=[1]), call(4, intent={"hypothesis": "the rollout did it"}, max_items=2)], out)
+    good, missing, wrong, meant = map(json.loads, out.getvalue().splitlines())
     one = good["result"]["structuredContent"]["incidents"][0]
     ids = {x["id"] for x in one["items"]}
     assert 0 < len(ids) <= 4 and one["incident_id"] == "one"
+    assert one["question"] == "why" and "hypothesis" not in one and one["time_window"]["start"].startswith("2026-03-01T10:00:00")
+    assert one["budget"]["tokens_used"] == sum(x["token_cost"] for x in one["items"]) <= one["budget"]["max_tokens"] and one["budget"]["max_items"] == 4
+    other = meant["result"]["structuredContent"]["incidents"][0]
+    assert other["hypothesis"] == "the rollout did it" and "question" not in other and other["budget"]["items_dropped"] >= one["budget"]["items_dropped"] and len(other["items"]) <= 2
     assert all(set(c["supporting"]) | set(c["counters"]) <= ids for c in one["suspected_causes"])
     assert missing["result"]["structuredContent"]["code"] == "not_found" and wrong["result"]["structuredContent"]["code"] == "invalid_arguments"
