@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, times
@@ -236,8 +236,6 @@ def compare_windows(points: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def gaps(points: DataFrame, hours: float) -> DataFrame:
     """Silences between neighbouring points of a series longer than so many hours."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*SERIES).orderBy("t", "ord")
     nxt = points.withColumn("next_t", F.lead("t").over(w))
     length = (F.unix_timestamp("next_t") - F.unix_timestamp("t")) / 3600
@@ -247,17 +245,22 @@ def gaps(points: DataFrame, hours: float) -> DataFrame:
 def nearest_before(left: DataFrame, right: DataFrame, minutes: int, by: list[str] | None = None) -> DataFrame:
     """Backward as-of join: per left row (id, t) the latest right time at or before it, within so many whole minutes.
 
-    Both sides are dealt by time buckets as wide as the tolerance, so a row meets two buckets
-    and never the whole other side; the result is floored to its minute.
+    Both sides stand in one order, a time bucket as wide as the tolerance at a time: the latest right time so far, or else the
+    latest of the bucket before, is the nearest, so that no pairs are made.  The result is floored to its minute.
     """
     by = by or []
     width = 60 * (minutes + 1)
     bucket = F.floor(F.unix_timestamp("t") / width)
-    r = right.select(*by, F.col("t").alias("change_t"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
-    l = left.withColumn("_b", bucket).withColumn("_row", F.monotonically_increasing_id())  # rows alike stay rows of their own
-    j = l.join(r, [*by, "_b"], "left")
-    ok = (F.col("change_t") <= F.col("t")) & (times.minutes_between(F.col("change_t"), F.col("t")) <= minutes)
-    return j.groupBy("_row", *left.columns).agg(times.floor_minute(F.max(F.when(ok, F.col("change_t")))).alias("nearest_t")).drop("_row")
+    r = right.dropna(subset=[*by, "t"]).select(*by, F.col("t").alias("_t"), bucket.alias("_b"))
+    last = r.groupBy(*by, "_b").agg(F.max("_t").alias("_before")).withColumn("_b", F.col("_b") + 1)
+    own = left.select(F.struct(*left.columns).alias("_own"), *by, F.col("t").alias("_t"), bucket.alias("_b"))
+    both = own.unionByName(r.withColumn("_change", F.col("_t")), allowMissingColumns=True)
+    # A right row comes before a left one of its time.
+    so_far = F.max("_change").over(Window.partitionBy(*by, "_b").orderBy("_t", F.col("_own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_near", so_far).where("_own is not null").join(last, [*by, "_b"], "left")
+    change = F.coalesce("_near", "_before")
+    ok = (change <= F.col("_t")) & (times.minutes_between(change, F.col("_t")) <= minutes)
+    return near.select("_own.*", times.floor_minute(F.when(ok, change)).alias("nearest_t"))
 
 
 def trough_times(points: DataFrame) -> DataFrame:
