@@ -75,13 +75,15 @@ def unresolved_share(records: DataFrame, entity: Column) -> DataFrame:
 
 
 def merge_entities(found: DataFrame) -> DataFrame:
-    """Rows of one entity id (id, kind, source, confidence, seq) as one: union of sources in order, the greatest confidence of the first kind."""
-    first = found.groupBy("id").agg(F.min_by("kind", "seq").alias("kind"))
-    g = found.join(first.withColumnRenamed("kind", "first_kind"), "id").groupBy("id").agg(
-        F.first("first_kind").alias("kind"), F.max(F.when(F.col("kind") == F.col("first_kind"), F.col("confidence"))).alias("confidence"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"])).alias("sources"),
-    )
-    return g
+    """Rows of one entity id (id, kind, source, confidence, seq) as one: union of sources in order, the greatest confidence of the first kind.
+
+    Each source of a kind is kept once, with its least place, before an entity's sources are gathered: many spans name one resource.
+    """
+    each = found.groupBy("id", "kind", "source").agg(F.min("seq").alias("seq"), F.max("confidence").alias("confidence"))
+    sources = F.collect_list(F.struct("seq", "source"))
+    kinds = each.groupBy("id", "kind").agg(F.min("seq").alias("seq"), F.max("confidence").alias("confidence"), sources.alias("_s"))
+    g = kinds.groupBy("id").agg(F.min_by(F.struct("kind", "confidence"), "seq").alias("_first"), F.flatten(F.collect_list("_s")).alias("_s"))
+    return g.select("id", "_first.kind", "_first.confidence", F.array_distinct(F.transform(F.array_sort("_s"), lambda x: x["source"])).alias("sources"))
 
 
 #: How sure an edge of each origin is.
