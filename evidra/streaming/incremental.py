@@ -74,14 +74,20 @@ PART_ROWS = 1_000_000
 
 
 def in_parts(df: DataFrame, name: str, parts: int, by: str) -> DataFrame:
-    """A table as a stream of so many files, more where one would have over ``PART_ROWS`` rows, one a batch, that arrive in the order of ``by``."""
-    out = folder(df.sparkSession, name)
+    """A table as a stream of so many files, more where one would have over ``PART_ROWS`` rows, one a batch, that arrive in the order of ``by``.
+
+    The table is dealt into its parts once; each file is then made from its own part, however many there are.
+    """
+    spark, out, dealt = df.sparkSession, folder(df.sparkSession, name), folder(df.sparkSession, f"{name}-dealt")
     parts = max(parts, -(-df.count() // PART_ROWS))
     cuts = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
     part = sum((F.coalesce(F.col(by) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(dealt)
+    there = {r[0] for r in spark.read.schema("_part int").parquet(dealt).select("_part").distinct().collect()}
     for k in range(parts):
-        df.where(part == k).coalesce(1).write.mode("append").parquet(out)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
+        own = spark.read.schema(df.schema).parquet(f"{dealt}/_part={k}") if k in there else df.limit(0)
+        own.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 
 def reject_duplicates(stream: DataFrame, key: list[str], order: str, name: str) -> tuple[DataFrame, DataFrame]:
