@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidra.functions import arrays
+
 #: Marks from the private area of Unicode: for braces within texts, for braces of finished values, for an escaped backslash and quote.
 _WITHIN, _DONE, _SLASH, _QUOTE = "", "", "", ""
 _MARKS = "{}[]"
@@ -43,5 +45,5 @@ def unwrapped(json: Column) -> Column:
 
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(json, F.lit(r'Value"\s*:\s*\{'))))
     done = F.aggregate(rounds, c, lambda x, _: F.when(x.contains('Value":{'), inwards(x)).otherwise(x))
-    text = F.when(~done.rlike(r"[{}\[\]]"), F.translate(done, _WITHIN + _DONE, _MARKS * 2))
+    text = arrays.let(done, lambda x: F.when(~x.rlike(r"[{}\[\]]"), F.translate(x, _WITHIN + _DONE, _MARKS * 2)))
     return canonical_text(F.replace(F.replace(text, F.lit(_SLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"')))

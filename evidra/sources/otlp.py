@@ -47,8 +47,13 @@ class Ingest:
 
 def any_value(json: Column) -> Column:
     """An attribute value's JSON text as plain text: scalars as they are, lists and maps of any depth as canonical JSON of texts."""
-    scalar = F.coalesce(*(F.get_json_object(json, f"$.{k}") for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")))
-    return F.coalesce(scalar, json_text.unwrapped(json), json)
+
+    def plain(j: Column) -> Column:
+        may = lambda k: j.contains(k) | j.contains("\\")  # a name may be escaped
+        scalar = F.coalesce(*(F.when(may(k), F.get_json_object(j, f"$.{k}")) for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")))
+        return F.coalesce(scalar, json_text.unwrapped(j), j)
+
+    return arrays.let(json, plain)
 
 
 def attribute_map(attrs: Column) -> Column:

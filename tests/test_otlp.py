@@ -38,6 +38,21 @@ def test_attribute_values(spark):
     assert [(r.j, r.g) for r in df.collect() if r.g != r.w] == []
 
 
+def test_attribute_values_cost(spark):
+    """A value's text is made once, however often its parts are looked at, and work is dealt by rows."""
+    from pyspark.sql import functions as F
+
+    def plan(c):
+        return spark.range(5).select(c.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(otlp.any_value(F.concat(F.lit("MADE"), F.col("id").cast("string")))).count("MADE") == 1
+    escaped = spark.range(1).select(otlp.any_value(F.lit('{"string\\u0056alue":"a"}'))).first()[0]
+    assert escaped == "a"
+    from evidra.plans import catalogue
+
+    assert catalogue.queries()["attribute_values"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
 def test_files_and_repeated_keys(spark, tmp_path):
     from pyspark.sql import functions as F
 
