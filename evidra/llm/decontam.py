@@ -181,8 +181,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
     What is hit is a matter of the text alone, so hits are kept by the text's MD5 (128 bits) and written as a small table,
     whose known size lets Spark decide how they meet the documents.
     """
-    from evidra.llm.shared import materialise, neutral
+    from evidra.llm.shared import materialise, neutral, ship
+    from evidra.llm.substring import without
 
+    ship(docs.sparkSession)
     own = neutral(docs)
     columns = own.columns
     m = Matcher(benchmark.select("item_id", "text"), max_grams)
@@ -195,7 +197,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
     found = materialise(w.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("_found")), "hits")
     d = own.select("*", key)
     if whole:
-        return d.join(found, "_key", "left_anti").select(*columns).toDF(*docs.columns)
+        return without(d, found.select("_key"), "_key").select(*columns).toDF(*docs.columns)
     words = words_of(F.col("text"))
     hit = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), hit), lambda i: F.get(F.col("_words"), i))

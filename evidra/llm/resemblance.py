@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import graph, shared, simhash
-from evidra.llm.substring import _M1, IdFilter, _mix, _rolled, keyed, word_hashes
+from evidra.llm.substring import _M1, IdFilter, _mix, _rolled, keyed, without, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -317,7 +317,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     own = shared.neutral(docs)
     texts = keyed(own)
     named = texts.select("doc_id", "text")
-    kept = near_copies(named, shingle, similarity).where("doc_id = component_id").select("doc_id")
+    gone = near_copies(named, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_k"))
     if not getattr(texts, "_evidra_ranked", False):
-        return own.join(kept, own["doc_id"].cast("long") == kept["doc_id"], "left_semi").toDF(*docs.columns)
-    return texts.join(kept, "doc_id", "left_semi").select(*(F.col(f"_o{i}") for i in range(len(own.columns)))).toDF(*docs.columns)
+        return without(own.withColumn("_k", F.col("doc_id").cast("long")), gone, "_k").drop("_k").toDF(*docs.columns)
+    columns = [f"_o{i}" for i in range(len(own.columns))]
+    return without(texts.select(F.col("doc_id").alias("_k"), *columns), gone, "_k").select(*columns).toDF(*docs.columns)

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidra.llm import shared
 
@@ -272,21 +273,22 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class IdFilter:
-    """A fixed-size Bloom filter of document ids: says no only to ids that are not in it."""
+    """A fixed-size Bloom filter of document ids (or another key): says no only to ids that are not in it."""
 
-    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS):
-        self.words = bits // 64
-        places = F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(2)))).alias("b")
-        rows = ids.select("doc_id", places).select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    def __init__(self, ids: DataFrame, bits: int = FILTER_BITS, key: str = "doc_id"):
+        self.words, self.key = bits // 64, key
+        places = F.explode(F.array(*(F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(2)))).alias("b")
+        rows = ids.select(places).select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
         self.table = np.zeros(self.words, np.int64)
         for w, m in rows.collect():  # bits / 64 rows at most
             self.table[w] = m
         self.broadcast = ids.sparkSession.sparkContext.broadcast(self.table)
 
-    def split(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(texts that may be in it, texts that are not)."""
+    def split(self, texts: DataFrame, columns: str | StructType = "doc_id long, own long, text string") -> tuple[DataFrame, DataFrame]:
+        """(texts that may be in it, texts that are not), with ``columns``."""
+        names = [x.split()[0] for x in columns.split(", ")] if isinstance(columns, str) else columns.names
         bits, table = self.words * 64, self.broadcast
-        placed = texts.withColumn("_b0", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(bits))).withColumn("_b1", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(bits)))
+        placed = texts.withColumn("_b0", F.pmod(F.xxhash64(self.key, F.lit(0)), F.lit(bits))).withColumn("_b1", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(bits)))
 
         def only(wanted: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +298,17 @@ class IdFilter:
                     for c in ("_b0", "_b1"):
                         b = batch.column(c).to_numpy()
                         there &= (t[b // 64] >> (b % 64)) & 1 == 1
-                    yield batch.select(["doc_id", "own", "text"]).filter(pa.array(there == wanted))
+                    yield batch.select(names).filter(pa.array(there == wanted))
 
             return run
 
-        return tuple(placed.mapInArrow(only(w), "doc_id long, own long, text string") for w in (True, False))
+        return tuple(placed.mapInArrow(only(w), columns) for w in (True, False))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those whose ``key`` is in ``gone`` (key), a written table; only rows that the filter cannot clear are shuffled, not all texts."""
+    maybe, sure = IdFilter(gone, key=key).split(rows, rows.schema)
+    return sure.unionByName(maybe.join(gone, key, "left_anti").select(*rows.columns))
 
 
 def found_pieces(texts: DataFrame) -> DataFrame:
