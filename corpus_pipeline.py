@@ -13,13 +13,13 @@ from evidra.llm import decontam, packing, pii, resemblance, shared, toxicity
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    shared.ship(spark)
+    shared.lean(spark)
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles alike by 0.8 or more) the document with the least id stays."""
-    shared.ship(spark)
+    shared.lean(spark)
     return resemblance.keep_one(docs)
 
 
@@ -35,8 +35,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of each document's tokens; its workers live beside a JVM that four stages have filled, so they hold little."""
-    shared.ship(spark)
-    return packing.pack(docs, shared.tokenizer_path(), held=packing.Held(text_bytes=2_500_000, words=0))
+    shared.lean(spark)
+    return packing.pack(docs, shared.tokenizer_path(), held=packing.Held(text_bytes=600_000, words=40_000, trim=True))
 
 
 STAGES = [

@@ -48,6 +48,7 @@ class Held:
 
     text_bytes: int = 8_000_000
     words: int = MEMO
+    trim: bool = False  #: whether memory that a batch took is given back before the next
 
 
 @dataclass
@@ -188,6 +189,8 @@ def _pack(vocab: str, limits: Limits, share: float, with_ids: bool, held: Held):
                     put(pieces)
             if len(rows) >= 4096:
                 yield batch_of()
+            if held.trim:
+                shared.give_back()
         for pieces in packer.finish():
             put(pieces)
             if len(rows) >= 4096:

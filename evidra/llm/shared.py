@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2000
+ARROW_BYTES = 1 << 20
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -42,6 +44,13 @@ def ship(spark: SparkSession) -> None:
     sc._evidra_shipped = True
 
 
+def lean(spark: SparkSession) -> None:
+    """Ship the package and, unless the session says otherwise, end Arrow batches at ``ARROW_BYTES`` too, for jobs whose executors have run much before."""
+    ship(spark)
+    if spark.conf.get(_BYTES, None) in (None, "64MB", "67108864b"):  # Spark's own default
+        spark.conf.set(_BYTES, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
