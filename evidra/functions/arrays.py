@@ -18,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def scan(items: Column, zero: Column, place: Callable[[Column, Column], tuple[Column, Column]], shape: str) -> Column:
     """The array (of type ``shape``) of what ``place(state, item)`` -> (state, out) gives from left to right.
 
-    In steps, so that an array being built is short: a long one would be copied for every item.
+    In steps, so that an array being built is short: a long one would be copied for every item.  An array of one step goes without slices.
     """
 
     def within(state: Column, some: Column) -> Column:
@@ -36,4 +36,7 @@ def scan(items: Column, zero: Column, place: Callable[[Column, Column], tuple[Co
         done = F.aggregate(steps, first, lambda acc, some: F.concat(acc, F.array(within(F.element_at(acc, -1)["s"], some))))
         return F.flatten(F.transform(done, lambda x: x["out"]))
 
-    return F.when(F.size(items) > 0, let(items, whole)).otherwise(F.array().cast(shape))
+    def either(items: Column) -> Column:
+        return F.when(F.size(items) <= STEP, within(zero, items)["out"]).otherwise(whole(items))
+
+    return F.when(F.size(items) > 0, let(items, either)).otherwise(F.array().cast(shape))
