@@ -24,8 +24,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with a benchmark passage go; no Python runs on the executors."""
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), native=True)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 MAX_GRAMS = 500_000
+#: Words of 64 bits of the fixed-size filter of hit texts that keeps clean ones from being shuffled; as many rows are broadcast at most.
+FILTER_WORDS = 1 << 17
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -174,9 +176,27 @@ def report(docs: DataFrame, benchmark: DataFrame, max_grams: int = MAX_GRAMS) ->
     return g.select("doc_id", F.col("_n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams: int = MAX_GRAMS) -> DataFrame:
+def cleared(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those whose ``key`` is in ``gone`` (key), a written table, by DataFrame functions alone.
+
+    A fixed-size Bloom filter of ``gone``, a broadcast join side (two bits in one of ``FILTER_WORDS`` words a key), clears
+    most rows where they are read; only the others are shuffled, if Spark does not broadcast ``gone`` itself.
+    """
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(key))
+    word = F.pmod(F.shiftright("_h", 12), F.lit(FILTER_WORDS)).alias("_w")
+    mask = F.expr("shiftleft(1L, cast(_h & 63 as int)) | shiftleft(1L, cast(shiftright(_h, 6) & 63 as int))").alias("_m")
+    words = hashed(gone.select(key)).select(word, mask).groupBy("_w").agg(F.bit_or("_m").alias("_known"))
+    placed = hashed(rows).select(*rows.columns, word, mask).join(F.broadcast(words), "_w", "left")
+    maybe = F.coalesce(F.col("_known").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False))
+    sure, open_yet = (placed.where(x).select(*rows.columns) for x in (~maybe, maybe))
+    return sure.unionByName(open_yet.join(gone, key, "left_anti").select(*rows.columns))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams: int = MAX_GRAMS, native: bool = False) -> DataFrame:
     """``docs`` without contaminated documents, or (``whole=False``) with the hit words cut from their texts.
 
+    ``native``: by DataFrame functions alone, clean texts being cleared by :func:`cleared` and not by a filter in Python.
+
     Cutting joins a touched text's remaining normalised words by one space; texts without hits stay as they are.
     What is hit is a matter of the text alone, so hits are kept by the text's MD5 (128 bits) and written as a small table,
     whose known size lets Spark decide how they meet the documents.
@@ -184,7 +204,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
     from evidra.llm.shared import materialise, neutral, ship
     from evidra.llm.substring import without
 
-    ship(docs.sparkSession)
+    if not native:
+        ship(docs.sparkSession)
     own = neutral(docs)
     columns = own.columns
     m = Matcher(benchmark.select("item_id", "text"), max_grams)
@@ -197,7 +218,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, whole: bool = True, max_grams:
     found = materialise(w.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("_found")), "hits")
     d = own.select("*", key)
     if whole:
-        return without(d, found.select("_key"), "_key").select(*columns).toDF(*docs.columns)
+        return (cleared if native else without)(d, found.select("_key"), "_key").select(*columns).toDF(*docs.columns)
     words = words_of(F.col("text"))
     hit = F.array_distinct(F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), hit), lambda i: F.get(F.col("_words"), i))
