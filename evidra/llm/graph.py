@@ -28,16 +28,17 @@ def _small(e: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """(node, root) of every node with an edge in ``edges`` (u, v: long), root being the least node it reaches.
 
     Both minima are pre-aggregated before their shuffle, and a hub's rows can be split by
     adaptive execution.  Rounds grow with the logarithm of the longest path.
+    ``nodes``: how many there may be, if that is known; sizes the first table's files as the edges do those of the others.
     """
-    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows=nodes)
     mark = _mark(e)
     while mark[0]:
-        new = materialise(_small(_large(e)), "edges")
+        new = materialise(_small(_large(e)), "edges", rows=mark[0])
         discard(e)
         e, before = new, mark
         mark = _mark(e)

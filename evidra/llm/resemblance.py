@@ -276,6 +276,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         lambda roots: (_apart(candidates(keys.where(F.col("band") >= FIRST)), roots), True),
         lambda roots: (rest(docs, nodes, keys, roots, shingle, similarity), False),
     ]
+    n = nodes.count()
     links = roots = None
     for turn in turns:
         own, open_yet = turn(roots)
@@ -287,7 +288,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
         if roots is not None and own.isEmpty():
             continue
         links = own if links is None else links.unionByName(own)
-        roots = graph.components(links)
+        roots = graph.components(links, nodes=n)
     rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = shared.materialise(found.select("doc_id", "h").join(rooted.join(component, "root").select("h", "component_id"), "h").select("doc_id", "component_id"), "components")

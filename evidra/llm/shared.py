@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2000
 ARROW_BYTES = 1 << 20
+ROWS_A_FILE = 200_000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
@@ -70,9 +71,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/evidra-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about so many short rows in a partition for each ``ROWS_A_FILE``, and no fewer than there are cores.
+
+    A shuffle would leave one for each of its partitions; each is a file, and on local folders a JVM starts processes for every file it makes.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+
+
+def materialise(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows``: about how many short rows it has, which :func:`fewer` makes files of.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = fewer(df, rows)
     path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -348,11 +348,12 @@ def all_links(fps: DataFrame, tau: int = TAU, max_bucket: int = MAX_BUCKET) -> D
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fp, component_id (the least doc_id reachable)."""
     fps = shared.materialise(fingerprints(docs), "fps")
-    nodes = shared.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = graph.components(all_links(nodes.select("fp"), tau))
+    n = fps.count()
+    nodes = shared.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", rows=n)
+    roots = graph.components(all_links(nodes.select("fp"), tau), nodes=n)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return shared.fewer(fps.join(rooted.join(component, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"), n)
 
 
 def report(docs: DataFrame) -> DataFrame:
