@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import scores, text
-from evidra.plans.lineage import cut
+from evidra.plans.lineage import stored
 
 # An entity id's prefix gives its kind and its confidence as a mere hint.
 PREFIX_KINDS = {
@@ -124,25 +124,37 @@ def nearest_service(spans: DataFrame) -> DataFrame:
 
     Pointer doubling: each round joins a span to where its ancestor points, so the reach doubles and a trace of n spans
     takes log2 n rounds, however deep it is.  What is open after that many lies on a cycle of parents and has no ancestor.
+    A row that has found its ancestor carries its name and is stored once; a round stores only what was open before it.
     """
-    node = spans.select("trace_id", F.col("span_id").alias("at"), (F.col("endpoint") == "service").alias("hit"))
-    up = spans.select("trace_id", "span_id", F.col("parent_id").alias("at")).join(node, ["trace_id", "at"]).select("trace_id", "span_id", "at", F.lit(1).alias("depth"), "hit")
-    up = cut(up)
-    longest = spans.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    hit = F.col("endpoint") == "service"
+    node = spans.select("trace_id", F.col("span_id").alias("at"), hit.alias("hit"), F.when(hit, F.col("entity")).alias("ancestor"))
+    up = stored(spans.select("trace_id", "span_id", F.col("parent_id").alias("at")).join(node, ["trace_id", "at"]).select("trace_id", "span_id", "at", F.lit(1).alias("depth"), "hit", "ancestor"))
+    done, left = up.where("hit"), up.where("not hit")
+    # An ancestor beyond the next span is reached over open rows of its trace only.
+    longest = left.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     for _ in range(int(longest).bit_length()):
-        left = up.where(~F.col("hit"))
+        step = done.unionByName(left).select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.col("hit").alias("there"), F.col("ancestor").alias("name"))
+        further = left.drop("hit", "ancestor").join(step, ["trace_id", "at"]).select("trace_id", "span_id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("hit"), F.col("name").alias("ancestor"))
+        further = stored(further)
+        done, left = done.unionByName(further.where("hit")), further.where("not hit")
         if left.isEmpty():
             break
-        step = up.select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("to"), F.col("depth").alias("more"), F.col("hit").alias("there"))
-        further = left.join(step, ["trace_id", "at"]).select("trace_id", "span_id", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("hit"))
-        up = cut(up.where("hit").unionByName(further))
-    names = spans.select("trace_id", F.col("span_id").alias("at"), F.col("entity").alias("ancestor"))
-    return up.where("hit").join(names, ["trace_id", "at"]).select("trace_id", "span_id", F.col("at").alias("ancestor_id"), "depth", "ancestor")
+    return done.select("trace_id", "span_id", F.col("at").alias("ancestor_id"), "depth", "ancestor")
 
 
-def call_rows(spans: DataFrame, ancestors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def with_ancestors(spans: DataFrame) -> DataFrame:
+    """``spans`` with their nearest service ``ancestor``, null without one: what :func:`call_rows` and :func:`access_rows` then read without a join of their own."""
+    return spans.join(nearest_service(spans).select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"], "left")
+
+
+def _called(spans: DataFrame, ancestors: DataFrame | None) -> DataFrame:
+    """Spans, as :func:`_placed`, with the ancestor that is given or that they carry."""
+    return _placed(spans) if ancestors is None else _placed(spans).join(ancestors.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
+
+
+def call_rows(spans: DataFrame, ancestors: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Calls from the nearest service ancestor to another entity, one row a span."""
-    own = _placed(spans).join(ancestors.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
+    own = _called(spans, ancestors)
     return edge_rows(own, F.col("ancestor"), "calls", F.col("entity"), CALL, F.col("_ref"), seq=F.col("_seq"), by=by)
 
 
@@ -156,14 +168,14 @@ def _placed(spans: DataFrame) -> DataFrame:
     return spans.withColumns({"_ref": F.col("ref" if "ref" in there else "span_id").cast("string"), "_seq": F.col("seq" if "seq" in there else "span_id").cast("long")})
 
 
-def access_rows(spans: DataFrame, ancestors: DataFrame, misses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def access_rows(spans: DataFrame, ancestors: DataFrame | None = None, misses: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Reads and writes of dependencies, one row a span.
 
     A statement (or a name) that writes makes a write.  ``misses`` are the spans beside a cache miss: an access of a database there is
-    marked as a fallback, and a read there (but not of a cache) is a little less sure.
+    marked as a fallback, and a read there (but not of a cache) is a little less sure.  Without ``misses`` the spans carry it (:func:`beside_misses`).
     """
-    j = _placed(spans).where("endpoint = 'dependency'").join(ancestors.select("trace_id", "span_id", "ancestor"), ["trace_id", "span_id"])
-    j = j.join(misses.select("trace_id", "span_id", F.lit(True).alias("_miss")), ["trace_id", "span_id"], "left")
+    j = _called(spans.where("endpoint = 'dependency'"), ancestors)
+    j = j if misses is None else j.join(misses.select("trace_id", "span_id", F.lit(True).alias("_miss")), ["trace_id", "span_id"], "left")
     names = [F.col(c) for c in ("statement", "name") if c in spans.columns]
     write, beside = text.is_write(F.coalesce(*names, F.lit(""))), F.coalesce("_miss", F.lit(False))
     sure = F.when(write, WRITE).when(F.col("entity").rlike("^(cache|infra):"), CACHE_READ).when(beside, MISS_READ).otherwise(READ)
@@ -181,6 +193,16 @@ def with_miss_sibling(spans: DataFrame, misses: DataFrame) -> DataFrame:
     return spans.join(m, (spans["trace_id"] == m["_t"]) & spans["parent_id"].eqNullSafe(m["_p"]) & (spans["span_id"] != m["_s"]), "left_semi")
 
 
+def beside_misses(spans: DataFrame, misses: DataFrame) -> DataFrame:
+    """``spans`` with ``_miss``: whether a sibling missed the cache, as :func:`with_miss_sibling`.
+
+    The least and the greatest span that missed tell of a parent whether one other than the span itself did.
+    """
+    m = misses.groupBy(F.col("trace_id").alias("_t"), F.col("parent_id").alias("_p")).agg(F.min("span_id").alias("_a"), F.max("span_id").alias("_b"))
+    j = spans.join(m, (spans["trace_id"] == m["_t"]) & spans["parent_id"].eqNullSafe(m["_p"]), "left")
+    return j.withColumn("_miss", F.coalesce((F.col("_a") != F.col("span_id")) | (F.col("_b") != F.col("span_id")), F.lit(False))).drop("_t", "_p", "_a", "_b")
+
+
 def retry_edges(attempts: DataFrame, least: int = 2) -> DataFrame:
     """(trace_id, src, dst) with at least so many tries, or one numbered so high."""
     g = attempts.groupBy("trace_id", "src", "dst").agg(F.count("*").alias("n"), F.max("attempt").alias("max_attempt"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import times
-from evidra.plans.lineage import cut
+from evidra.plans.lineage import cut, stored
 
 RAW_KINDS = ("resource", "trace", "span", "metric_series", "log", "change", "prior_incident", "telemetry_gap")
 # Which categories a signal may refer to.
@@ -123,15 +123,16 @@ def first_by(df: DataFrame, partition: Sequence[str], *order: Column | str) -> D
 def ranked(df: DataFrame, partition: Sequence[str], order: Sequence, name: str) -> DataFrame:
     """``df`` with each row's place (from 1) in a total order within its partition, however large that is.
 
-    One range shuffle by partition and order, numbering within its tasks, and prefix sums over their counts: no task
-    holds a whole partition.  Lineage is cut after the shuffle, so that all steps see the same ranges.
+    One range shuffle by partition and order, rows counted in order within its tasks as they are stored, and prefix sums
+    over the tasks' counts: no task holds a whole partition, and rows are not dealt a second time.
     """
-    placed = cut(df.repartitionByRange(*partition, *order).withColumn("_task", F.spark_partition_id()))
-    here = Window.partitionBy("_task", *partition).orderBy(*order)
-    counts = placed.groupBy("_task", *partition).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = placed.withColumn("_here", F.row_number().over(here)).join(before.select("_task", *(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)), "_before").withColumnRenamed("_task", "_t"), (F.col("_task") == F.col("_t")) & _same(partition))
-    return j.withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_task", "_here", "_t", "_before", *(f"_p{i}" for i in range(len(partition))))
+    spread = df.repartitionByRange(*partition, *order).sortWithinPartitions(*partition, *order)
+    placed = stored(spread.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.spark_partition_id()))
+    counts = placed.groupBy("_task", *partition).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select(F.col("_task").alias("_t"), *(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)), (before - F.col("_first") + 1).alias("_shift"))
+    j = placed.join(shift, (F.col("_task") == F.col("_t")) & _same(partition))
+    return j.withColumn(name, (F.col("_at") + F.col("_shift")).cast("int")).drop("_at", "_task", "_t", "_shift", *(f"_p{i}" for i in range(len(partition))))
 
 
 def running_max(df: DataFrame, partition: Sequence[str], order: Sequence, value: str, name: str) -> DataFrame:

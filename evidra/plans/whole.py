@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidra.operators import evidence, logs, series, store, timeline
 from evidra.plans import bundle
 from evidra.plans.catalogue import _s, _t, query
-from evidra.plans.lineage import cut
+from evidra.plans.lineage import cut, stored
 from evidra.sources import adapters, otlp
 from evidra.sources.adapters import CASE_END, CASE_START, HOLE, table
 
@@ -45,7 +45,8 @@ ents AS (SELECT inc AS incident_id, id, arg_min(kind, place) AS kind, max(sure):
 def _incidents(spark, sf_dir):
     """The incidents with the tables that many steps read computed once, as a deployment reads them from storage."""
     i = adapters.incident_tables(spark, sf_dir)
-    return replace(i, resources=cut(i.resources), spans=cut(i.spans), points=cut(i.points), changes=cut(i.changes))
+    spans = stored(i.spans.sortWithinPartitions("trace_id", "seq"))
+    return replace(i, resources=cut(i.resources), spans=spans, traces=stored(adapters.traces_of(spans)), points=cut(i.points), changes=cut(i.changes))
 
 
 def _entities(i):
@@ -189,7 +190,7 @@ def _candidates(spark, sf_dir):
     ents = _entities(i)
     w = cut(store.numbered(_windows(i), ["incident_id"], ["start", "entity", "name"], "id", "aw-%d"))
     events = cut(timeline.ordered(timeline.change_events(i.changes, w)))
-    d = bundle.Derived(ents, cut(bundle.resolve_relationships(i, ents)), w, cut(logs.log_patterns(i.logs)), events, timeline.related(w, ents.limit(0).select("incident_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.col("kind").alias("type")), w))
+    d = bundle.Derived(ents, stored(bundle.resolve_relationships(i, ents)), w, cut(logs.log_patterns(i.logs)), events, timeline.related(w, ents.limit(0).select("incident_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.col("kind").alias("type")), w))
     return bundle.candidates(i, d)
 
 

@@ -65,6 +65,11 @@ def resources(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
+def traces_of(spans: DataFrame) -> DataFrame:
+    """A trace for each trace id of the spans, in order of its start."""
+    return spans.groupBy("incident_id", "trace_id", F.lit(None).cast("string").alias("exemplar_of")).agg(F.min(F.unix_seconds("start")).alias("seq"))
+
+
 def incident_tables(spark: SparkSession, sf_dir: str) -> Incidents:
     """Five incidents from the business tables: suppliers are resources, line items spans, events series, changes and logs, nations earlier incidents.
 
@@ -90,7 +95,8 @@ def incident_tables(spark: SparkSession, sf_dir: str) -> Incidents:
         ).alias("attributes"),
     )
 
-    line = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o"), c("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("u"), F.min("l_shipdate").cast("timestamp").alias("t"))
+    # Dealt by order, so that a trace's spans stand in one task.
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate").repartition("l_orderkey").groupBy(c("l_orderkey").alias("o"), c("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("u"), F.min("l_shipdate").cast("timestamp").alias("t"))
     o, n = c("o"), c("n")
     spans = line.select(
         named(o).alias("incident_id"), F.concat(lit("t"), s(o)).alias("trace_id"), n.cast("long").alias("seq"), s(n).alias("span_id"), F.when(n > 1, s(F.floor(n / 2))).alias("parent_id"),
@@ -100,7 +106,6 @@ def incident_tables(spark: SparkSession, sf_dir: str) -> Incidents:
             orders__shard=F.when(n == 4, s(o % 3)), tenant__id=F.when(n == 2, s(o % 7)),
         ).alias("attributes"),
     )
-    traces = spans.select("incident_id", F.unix_seconds("start").alias("seq"), "trace_id", lit(None).cast("string").alias("exemplar_of")).groupBy("incident_id", "trace_id", "exemplar_of").agg(F.min("seq").alias("seq"))
 
     ev = table(spark, sf_dir, "events")
     third = F.floor(c("user_id") / 5).cast("long") % 3
@@ -118,4 +123,4 @@ def incident_tables(spark: SparkSession, sf_dir: str) -> Incidents:
     hole = region.where("k = 1").select(named(k).alias("incident_id"), lit(0).alias("seq"), lit("gap:1").alias("gap_id"), F.to_timestamp(lit(HOLE[0])).alias("start"), F.to_timestamp(lit(HOLE[1])).alias("end"))
     gaps = hole.select("*", lit("service:svc0@canary").alias("entity"), F.array(lit("service:svc0@canary"), lit("host:h9"), lit("odd")).alias("entities"), F.array(lit("metric")).alias("signals"), lit("outage").alias("cause"))
     series_gaps = hole.select("incident_id", "seq", lit("http.server.error_rate").alias("name"), lit("service:svc0@canary").alias("entity"), "start", "end", "gap_id")
-    return Incidents(manifests, resources, spans, traces, points, series_gaps, errors, changes, priors, gaps)
+    return Incidents(manifests, resources, spans, traces_of(spans), points, series_gaps, errors, changes, priors, gaps)
