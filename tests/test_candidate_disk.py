@@ -53,3 +53,12 @@ def test_siblings_that_missed(spark):
     s = spark.createDataFrame(rows, "trace_id string, span_id long, parent_id long, miss boolean")
     got = {(r.trace_id, r.span_id) for r in entities.beside_misses(s, s.where("miss")).where("_miss").collect()}
     assert got == {(r.trace_id, r.span_id) for r in entities.with_miss_sibling(s, s.where("miss")).collect()} == {("t", 1), ("t", 3), ("u", 2), ("u", 3)}
+
+
+def test_traces_are_not_made_anew_from_lines(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the driver's tables")
+    i = whole._incidents(spark, SF)
+    plan = i.traces._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "l_orderkey" not in plan
+    assert i.traces.count() == i.spans.select("incident_id", "trace_id").distinct().count()
